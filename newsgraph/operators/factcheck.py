@@ -152,7 +152,10 @@ def _with_errors(keys: DataFrame, errors: DataFrame | None, verdicts: DataFrame,
     wiki: both -> api_error."""
     if errors is None:
         return verdicts
-    e = errors.select("name", "type", "kind").dropDuplicates(["name", "type"])
+    # one kind per key; a network failure outranks an HTTP status (deterministic on retries)
+    e = errors.groupBy("name", "type").agg(
+        F.max((F.col("kind") == "network").cast("int")).alias("net")).select(
+        "name", "type", F.when(F.col("net") == 1, "network").otherwise("http_status").alias("kind"))
     j = verdicts.join(e, ["name", "type"], "left")
     failed = F.col("kind").isNotNull()
     reason = F.when(failed & (F.col("kind") == "network"), F.lit(REASON_API_ERROR)) \

@@ -244,3 +244,103 @@ SQL["hallucination_flags"] = with_ctes("""
 SELECT article_id, hallucination_flags, CAST(n_flags AS BIGINT) AS n_flags,
        n_flags = 0 AS fact_check_passed
 FROM flags""", "ln", "cand", "fc_ent", *_KB, "checked", "flags")
+
+CTE["imp"] = """
+SELECT CAST(k AS VARCHAR) AS article_id, k, status,
+       CASE WHEN status = 'ok' THEN 'Order ' || k || ' changed hands. Its customer is affected.'
+            WHEN status = 'bad_json' THEN 'Unable to generate impact summary due to processing error.'
+            ELSE 'Processing error occurred.' END AS summary,
+       CASE WHEN status <> 'ok' THEN 1 WHEN idx = 15 THEN 7 ELSE 1 + k % 10 END AS severity,
+       CASE WHEN status = 'ok' THEN c_mktsegment ELSE 'Unknown' END AS affected_sectors,
+       CASE WHEN status = 'ok' AND k % 2 = 1 THEN c_name ELSE '' END AS key_stakeholders
+FROM (SELECT o.o_orderkey AS k, (o.o_orderkey + 13) % 20 AS idx, c.c_name, c.c_mktsegment,
+             CASE (o.o_orderkey + 13) % 20 WHEN 13 THEN 'severity_range' WHEN 14 THEN 'severity'
+                  WHEN 16 THEN 'summary_length' WHEN 17 THEN 'bad_json' WHEN 18 THEN 'affected_sectors'
+                  WHEN 19 THEN 'missing' ELSE 'ok' END AS status
+      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+
+CTE["kb_errors"] = """
+SELECT s_name AS name, 'company' AS type, 'network' AS kind FROM supplier WHERE s_suppkey % 11 = 0
+UNION ALL SELECT s_name, 'company', 'http_status' FROM supplier WHERE s_suppkey % 13 = 0 AND s_suppkey % 11 <> 0
+UNION ALL SELECT n_name, 'location', 'http_status' FROM nation WHERE n_nationkey % 5 = 1"""
+
+CTE["ent_agg"] = """
+SELECT article_id, count(*) AS n_kept, count(*) FILTER (WHERE validated) AS n_valid,
+       coalesce(string_agg(CASE WHEN validated THEN name END, '|' ORDER BY pos), '') AS entity_names,
+       coalesce(string_agg(CASE WHEN NOT validated THEN name || ' (' || type || '): ' || reason END,
+                           ' | ' ORDER BY pos), '') AS flags,
+       count(*) FILTER (WHERE NOT validated) AS n_flags
+FROM checked GROUP BY article_id"""
+
+CTE["rel_final"] = """
+SELECT * FROM parsed_rel WHERE confidence >= 0.7
+  AND article_id IN (SELECT article_id FROM kept_ent GROUP BY article_id HAVING count(*) >= 2)"""
+
+CTE["rel_agg"] = """
+SELECT article_id, count(*) AS n_rel,
+       string_agg(subject_name || '>' || upper(action) || '>' || object_name, '|' ORDER BY pos) AS rel_text
+FROM rel_final GROUP BY article_id"""
+
+CTE["events_flat"] = """
+SELECT CAST(o.o_orderkey AS VARCHAR) AS article_id,
+       CAST(coalesce(e.n_valid, 0) AS BIGINT) AS n_entities,
+       coalesce(e.entity_names, '') AS entity_names,
+       CAST(CASE WHEN e.article_id IS NULL THEN 0 ELSE coalesce(r.n_rel, 0) END AS BIGINT) AS n_relationships,
+       CASE WHEN e.article_id IS NULL THEN '' ELSE coalesce(r.rel_text, '') END AS relationship_text,
+       CASE WHEN e.article_id IS NULL THEN 'No significant entities or impact detected.' ELSE i.summary END AS summary,
+       CAST(CASE WHEN e.article_id IS NULL THEN 1 ELSE i.severity END AS BIGINT) AS severity,
+       CASE WHEN e.article_id IS NULL THEN '' ELSE i.affected_sectors END AS affected_sectors,
+       CASE WHEN e.article_id IS NULL THEN '' ELSE i.key_stakeholders END AS key_stakeholders,
+       coalesce(e.n_flags, 0) = 0 AS fact_check_passed,
+       coalesce(e.flags, '') AS hallucination_flags,
+       'gpt-4-turbo-preview' AS llm_model_used
+FROM orders o LEFT JOIN ent_agg e ON e.article_id = CAST(o.o_orderkey AS VARCHAR)
+     LEFT JOIN rel_agg r ON r.article_id = e.article_id
+     LEFT JOIN imp i ON i.article_id = e.article_id"""
+
+_ORDER += ["imp", "kb_errors", "ent_agg", "rel_final", "rel_agg", "events_flat"]
+
+_REL_SELECT = """
+SELECT article_id, CAST(pos - 1 AS BIGINT) AS pos,
+       subject_name, 'company' AS subject_type, 0.9 AS subject_confidence,
+       CAST(NULL AS VARCHAR) AS subject_industry,
+       object_name, 'company' AS object_type, 0.9 AS object_confidence, object_industry AS object_industry,
+       upper(action) AS action, round(sentiment, 6) AS sentiment, round(confidence, 6) AS confidence,
+       reasoning
+FROM {src}"""
+
+SQL["relationships_parsed"] = with_ctes(_REL_SELECT.format(src="parsed_rel"), "ln", "edges", "parsed_rel")
+SQL["relationships_confident"] = with_ctes(
+    _REL_SELECT.format(src="parsed_rel WHERE confidence >= 0.7"), "ln", "edges", "parsed_rel")
+SQL["relationships_gated"] = with_ctes(_REL_SELECT.format(src="rel_final"),
+                                       *_ENT, "kept_ent", "edges", "parsed_rel", "rel_final")
+
+SQL["impacts_parsed"] = with_ctes("""
+SELECT article_id, summary, CAST(severity AS BIGINT) AS severity, affected_sectors, key_stakeholders, status
+FROM imp""", "imp")
+
+SQL["kb_candidates"] = with_ctes("""
+SELECT name, 'company' AS type, CAST(rank AS BIGINT) AS rank, kb_id AS cand_id, cand_name AS cand_label
+FROM ccand
+UNION ALL
+SELECT name, type, CAST(rank AS BIGINT), wikidata_id, label FROM wcand""", "ln", "cand", "fc_ent", *_KB)
+
+SQL["error_verdicts"] = with_ctes("""
+SELECT v.name, v.type, CASE WHEN e.kind IS NOT NULL THEN false ELSE v.validated END AS validated,
+       CASE WHEN e.kind = 'network' THEN 'api_error'
+            WHEN e.kind IS NOT NULL AND v.type = 'company' THEN 'not_found'
+            WHEN e.kind IS NOT NULL THEN 'api_error' ELSE v.reason END AS reason
+FROM verdict v LEFT JOIN kb_errors e ON e.name = v.name AND e.type = v.type""",
+                                  "ln", "cand", "fc_ent", *_KB, "kb_errors")
+
+_EVENT_CTES = (*_ENT, "kept_ent", "fc_ent", "edges", "parsed_rel", *_KB, "checked", "imp", "ent_agg",
+               "rel_final", "rel_agg", "events_flat")
+_FC_FROM_PARSED = "SELECT article_id, k, pos, name, type, confidence, industry, country FROM kept_ent"
+
+SQL["graph_events_flat"] = with_ctes("SELECT * FROM events_flat", *_EVENT_CTES, fc_ent=_FC_FROM_PARSED)
+
+SQL["minimal_events"] = with_ctes("""
+SELECT CAST(o_orderkey AS VARCHAR) AS article_id, 'No significant entities or impact detected.' AS summary,
+       CAST(1 AS BIGINT) AS severity, true AS fact_check_passed, 'gpt-4-turbo-preview' AS llm_model_used
+FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT article_id FROM kept_ent)""",
+                                  *_ENT, "kept_ent")

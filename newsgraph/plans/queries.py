@@ -130,3 +130,97 @@ def flags_table(t: Tables) -> DataFrame:
 @query
 def hallucination_flags(spark, sf_dir):
     return flags_table(_t(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ relationships / impact
+
+def _rel_cols(df: DataFrame) -> DataFrame:
+    cols = ["article_id", F.col("pos").cast("bigint").alias("pos")]
+    for end in ("subject", "object"):
+        cols += [F.col(f"{end}.name").alias(f"{end}_name"), F.col(f"{end}.type").alias(f"{end}_type"),
+                 F.round(F.col(f"{end}.confidence"), 6).alias(f"{end}_confidence"),
+                 F.col(f"{end}.industry").alias(f"{end}_industry")]
+    cols += ["action", _r6("sentiment"), _r6("confidence"), "reasoning"]
+    return df.select(*cols)
+
+
+def parsed_relationships(t: Tables) -> DataFrame:
+    rels, _ = parse.parse_relationships(fx.responses_fixture(t))
+    return rels
+
+
+@query
+def relationships_parsed(spark, sf_dir):
+    return _rel_cols(parsed_relationships(_t(spark, sf_dir)))
+
+
+@query
+def relationships_confident(spark, sf_dir):
+    return _rel_cols(filters.by_confidence(parsed_relationships(_t(spark, sf_dir))))
+
+
+@query
+def relationships_gated(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rels = filters.by_confidence(parsed_relationships(t))
+    kept = filters.by_confidence(parsed_entities(t))
+    return _rel_cols(filters.min_entities(rels, kept, 2))
+
+
+@query
+def impacts_parsed(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    arts = t.orders.select(F.col("o_orderkey").cast("string").alias("article_id"))
+    imp = parse.parse_impacts(fx.responses_fixture(t), arts)
+    return imp.select("article_id", "summary", F.col("severity").cast("bigint").alias("severity"),
+                      F.array_join("affected_sectors", "|").alias("affected_sectors"),
+                      F.array_join("key_stakeholders", "|").alias("key_stakeholders"), "status")
+
+
+# ------------------------------------------------------------------ search / errors
+
+@query
+def kb_candidates(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    ents = kept_entities(t)
+    comp = fc.search_kb(ents.filter(F.col("type") == "company").select("name").distinct(),
+                        fx.company_kb(t), "kb_id", "name")
+    wiki = fc.search_kb(ents.filter(F.col("type").isin("person", "location", "event"))
+                        .select("name", "type").distinct(), fx.wiki_kb(t), "wikidata_id", "label")
+    return comp.select("name", F.lit("company").alias("type"), F.col("rank").cast("bigint").alias("rank"),
+                       F.col("kb_id").alias("cand_id"), F.col("cand_name").alias("cand_label")) \
+        .unionByName(wiki.select("name", "type", F.col("rank").cast("bigint").alias("rank"),
+                                 F.col("wikidata_id").alias("cand_id"), F.col("label").alias("cand_label")))
+
+
+@query
+def error_verdicts(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    v = fc.verdicts(kept_entities(t), fx.company_kb(t), fx.wiki_kb(t), fx.kb_errors(t))
+    return v.select("name", "type", "validated", "reason")
+
+
+# ------------------------------------------------------------------ graph events
+
+def order_batch(t: Tables, cfg: Config = Config()):
+    from newsgraph.plans.process import process_batch
+    arts = fx.order_articles(t).drop("file_no")
+    return process_batch(arts, fx.responses_fixture(t), fx.company_kb(t), fx.wiki_kb(t),
+                         cfg=cfg, as_of=F.lit("2024-06-01 00:00:00").cast("timestamp"))
+
+
+@query
+def graph_events_flat(spark, sf_dir):
+    from newsgraph.operators.assemble import flatten_events
+    return flatten_events(order_batch(_t(spark, sf_dir)).events)
+
+
+@query
+def minimal_events(spark, sf_dir):
+    from newsgraph.operators.assemble import minimal_events as mk
+    t = _t(spark, sf_dir)
+    arts = fx.order_articles(t)
+    ev = mk(arts, filters.by_confidence(parsed_entities(t)))
+    return ev.select("article_id", F.col("impact_summary.summary").alias("summary"),
+                     F.col("impact_summary.severity").cast("bigint").alias("severity"),
+                     "fact_check_passed", "llm_model_used")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMERIC_KINDS = ("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT", "BOOLEAN")
 
 
 def parse_single(text: Column) -> Column:
@@ -29,12 +28,17 @@ def get(v: Column, path: str) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """Top-level JSON kind: OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)
+    """JSON kind of a scalar: STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, VOID.
+
+    Containers give their full schema text (``OBJECT<...>``/``ARRAY<...>``); use
+    ``is_object`` / ``as_array`` for those.
+    """
+    return F.schema_of_variant(v)
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.lit(False))
+    """True for a JSON object (a cast to a one-field struct only succeeds on objects)."""
+    return F.coalesce(F.try_variant_get(v, "$", "struct<_probe:int>").isNotNull(), F.lit(False))
 
 
 def as_array(v: Column) -> Column:
@@ -57,10 +61,12 @@ def string(v: Column) -> Column:
 
 
 def lax_double(v: Column) -> Column:
-    """float field: numbers, booleans and numeric strings; NULL otherwise."""
-    k = kind(v)
-    ok = k.isin(*NUMERIC_KINDS) | k.startswith("DECIMAL") | (k == "STRING")
-    return F.when(F.coalesce(ok, F.lit(False)), F.try_variant_get(v, "$", "double"))
+    """float field: numbers, booleans and numeric strings; NULL otherwise.
+
+    The variant -> double cast already returns NULL for objects, arrays, null and
+    non-numeric text, which is exactly the lax float rule.
+    """
+    return F.try_variant_get(v, "$", "double")
 
 
 def lax_int(v: Column) -> Column:
@@ -77,7 +83,7 @@ def in_range(x: Column, lo: float, hi: float) -> Column:
 def string_list(v: Column) -> Column:
     """List[str]: a JSON array whose elements are all strings, else NULL."""
     arr = as_array(v)
-    all_str = F.forall(arr, lambda e: F.coalesce(kind(e) == "STRING", F.lit(False)))
+    all_str = F.forall(arr, lambda e: F.coalesce(F.schema_of_variant(e) == "STRING", F.lit(False)))
     return F.when(all_str, F.transform(arr, lambda e: F.try_variant_get(e, "$", "string")))
 
 

@@ -23,6 +23,7 @@ FALLBACK_ERROR = "Processing error occurred."
 FALLBACK_SECTORS = ["Unknown"]
 
 HOISTED = ("industry", "role", "country", "severity")
+ENTITY_FIELDS = ["name", "type", "confidence", "metadata", *HOISTED]
 
 ENTITY_TYPE = (
     "struct<name:string,type:string,confidence:double,metadata:map<string,string>,"
@@ -40,41 +41,56 @@ def _first_failure(checks: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def _entity_fields(el: Column, hoist_from_metadata: bool) -> tuple[list, Column]:
-    """Checks and the typed struct for one ``Entity`` JSON object.
+# Entity fields are read in three projections: (1) sub-variants, (2) their kinds
+# and typed values, (3) checks and the typed struct.  Each variant is navigated
+# once and no read sits inside a conditional branch, so the generated code stays
+# small and nothing is evaluated twice.
 
-    ``hoist_from_metadata``: extracted entities take industry/role/country/severity
-    from ``metadata`` (top-level keys ignored); relationship endpoints are built from
-    top-level keys only.
-    """
-    name, typ = V.get(el, "$.name"), V.get(el, "$.type")
-    conf_v = V.get(el, "$.confidence")
-    meta_v = V.get(el, "$.metadata")
-    conf = V.lax_double(conf_v)
-    src = meta_v if hoist_from_metadata else el
-    hoisted = {k: V.get(src, f"$.{k}") for k in HOISTED}
-    checks = [
-        ("not_object", V.is_object(el)),
-        ("name", V.is_str(name)),
-        ("type", V.is_str(typ)),
-        ("confidence", V.in_range(conf, 0.0, 1.0)),
-        ("metadata", meta_v.isNull() | V.is_object(meta_v)),
-    ]
+def _entity_raw(el: Column, p: str, hoist_from_metadata: bool) -> list[Column]:
+    src = "$.metadata." if hoist_from_metadata else "$."
+    return [V.is_object(el).alias(f"{p}is_obj"), V.get(el, "$.name").alias(f"{p}name_v"),
+            V.get(el, "$.type").alias(f"{p}type_v"), V.get(el, "$.confidence").alias(f"{p}conf_v"),
+            V.get(el, "$.metadata").alias(f"{p}meta_v")] + \
+           [V.get(el, f"{src}{k}").alias(f"{p}{k}_v") for k in HOISTED]
+
+
+def _entity_typed(p: str) -> list[Column]:
+    c = lambda n: F.col(f"{p}{n}")
+    out = [c("is_obj"),
+           V.kind(c("name_v")).alias(f"{p}name_k"), F.try_variant_get(c("name_v"), "$", "string").alias(f"{p}name"),
+           V.kind(c("type_v")).alias(f"{p}type_k"), F.try_variant_get(c("type_v"), "$", "string").alias(f"{p}type"),
+           V.lax_double(c("conf_v")).alias(f"{p}conf"),
+           c("meta_v").isNull().alias(f"{p}meta_absent"), V.is_object(c("meta_v")).alias(f"{p}meta_obj"),
+           V.string_map(c("meta_v")).alias(f"{p}meta")]
+    for k in HOISTED:
+        out += [c(f"{k}_v").isNull().alias(f"{p}{k}_absent"), V.kind(c(f"{k}_v")).alias(f"{p}{k}_k"),
+                F.try_variant_get(c(f"{k}_v"), "$", "string").alias(f"{p}{k}")]
+    return out
+
+
+def _entity_checks(p: str) -> tuple[list[tuple[str, Column]], Column]:
+    c = lambda n: F.col(f"{p}{n}")
+    checks = [("not_object", c("is_obj")), ("name", c("name_k") == "STRING"),
+              ("type", c("type_k") == "STRING"), ("confidence", V.in_range(c("conf"), 0.0, 1.0)),
+              ("metadata", c("meta_absent") | c("meta_obj"))]
     for k in HOISTED:
-        checks.append((k, V.str_or_null_ok(hoisted[k])))
-    sev = V.string(hoisted["severity"])
+        checks.append((k, c(f"{k}_absent") | c(f"{k}_k").isin("STRING", "VOID")))
+    sev = F.when(c("severity_k") == "STRING", c("severity"))
     checks.append(("severity_value", sev.isNull() | sev.isin(*SEVERITY_LEVELS)))
-    meta = F.when(meta_v.isNull(), F.create_map().cast("map<string,string>")) \
-            .otherwise(V.string_map(meta_v))
-    value = F.struct(
-        V.string(name).alias("name"), V.string(typ).alias("type"), conf.alias("confidence"),
-        meta.alias("metadata"), *[V.string(hoisted[k]).alias(k) for k in HOISTED])
+    meta = F.when(c("meta_absent"), F.create_map().cast("map<string,string>")).otherwise(c("meta"))
+    value = F.struct(c("name").alias("name"), c("type").alias("type"), c("conf").alias("confidence"),
+                     meta.alias("metadata"),
+                     *[F.when(c(f"{k}_k") == "STRING", c(k)).alias(k) for k in HOISTED])
     return checks, value
 
 
 def _responses(responses: DataFrame, stage: str) -> DataFrame:
-    return responses.filter(F.col("stage") == stage).select(
-        "article_id", "content", "error", V.parse_single(F.col("content")).alias("root"))
+    r = responses.filter(F.col("stage") == stage).select(
+        "article_id", "content", "error",
+        F.try_parse_json(F.concat(F.lit("["), F.col("content"), F.lit("]"))).alias("_wrapped"))
+    one = F.size(V.as_array(F.col("_wrapped"))) == 1
+    return r.select("article_id", "content", "error",
+                    F.when(one, V.get(F.col("_wrapped"), "$[0]")).alias("root"))
 
 
 def _response_status(root: Column, elements: Column, extra: Column | None = None) -> Column:
@@ -86,87 +102,113 @@ def _response_status(root: Column, elements: Column, extra: Column | None = None
     return s.when(elements.isNull(), "not_a_list").otherwise("ok")
 
 
+def _emit_if(df: DataFrame, cond: Column, *cols: Column) -> DataFrame:
+    """Rows of ``cols`` where ``cond`` holds, without a Filter node.
+
+    A filter over computed columns is pushed below their projection and makes
+    Catalyst evaluate every VARIANT read twice (once in the filter, once in the
+    projection); emitting a 0/1-element array through a generator keeps one pass.
+    """
+    return df.select(F.inline(F.when(cond, F.array(F.struct(*cols)))))
+
+
 def _explode(resp: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
-    ok = resp.filter(F.col("status") == "ok").select(
-        "article_id", F.posexplode("elements").alias("pos", "el"))
+    # explode a NULL list for failed responses instead of filtering first: a filter
+    # would be pushed below the parse and make Catalyst evaluate the parse twice
+    ok = resp.select("article_id", F.posexplode(
+        F.when(F.col("status") == "ok", F.col("elements"))).alias("pos", "el"))
     bad = resp.filter(F.col("status") != "ok").select(
         F.lit(stage).alias("stage"), "article_id", F.lit(None).cast("int").alias("pos"),
         F.col("content").alias("raw"), F.col("status").alias("reason"))
     return ok, bad
 
 
-def entity_elements(responses: DataFrame) -> DataFrame:
-    """All entity elements with a ``reason`` (NULL = valid) plus response-level failures.
+def _root_elements(responses: DataFrame, stage: str, key: str, wrap_object: bool) -> DataFrame:
+    r = _responses(responses, stage)
+    r = r.select("*", V.is_object(F.col("root")).alias("_obj"),
+                 V.get(F.col("root"), f"$.{key}").alias("_val"))
+    has_key = F.col("_obj") & F.col("_val").isNotNull()
+    if wrap_object:   # relationships: a lone object is one element
+        elements = (F.when(has_key, V.as_array(F.col("_val")))
+                    .when(F.col("_obj"), F.array(F.col("root"))).otherwise(V.as_array(F.col("root"))))
+        extra = F.when(has_key & elements.isNull(), f"{key}_not_list")
+    else:             # entities: an object without the key yields nothing
+        elements = F.when(has_key, V.as_array(F.col("_val"))).otherwise(V.as_array(F.col("root")))
+        extra = F.when(has_key & elements.isNull(), f"{key}_not_list") \
+                 .when(~has_key & F.col("_obj"), f"no_{key}_key")
+    r = r.withColumn("elements", elements)
+    return r.withColumn("status", _response_status(F.col("root"), F.col("elements"), extra))
+
+
+def entity_elements(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All entity elements with a ``reason`` (NULL = valid), and response-level failures.
 
     Root shapes: ``[...]`` or ``{"entities": [...]}`` give elements; any other shape
     gives none (an object without the key yields nothing, as in the reference).
     """
-    r = _responses(responses, "entity")
-    root = F.col("root")
-    has_key = V.is_object(root) & V.get(root, "$.entities").isNotNull()
-    elements = F.when(has_key, V.as_array(V.get(root, "$.entities"))) \
-                .otherwise(V.as_array(root))
-    extra = F.when(has_key & elements.isNull(), "entities_not_list") \
-             .when(~has_key & V.is_object(root), "no_entities_key")
-    resp = r.withColumn("elements", elements).withColumn(
-        "status", _response_status(root, F.col("elements"), extra))
-    ok, bad = _explode(resp, "entity")
-    checks, value = _entity_fields(F.col("el"), hoist_from_metadata=True)
-    el = ok.select("article_id", F.col("pos").cast("int").alias("pos"),
-                   _first_failure(checks).alias("reason"), value.alias("e"),
-                   F.to_json("el").alias("raw"))
+    ok, bad = _explode(_root_elements(responses, "entity", "entities", wrap_object=False), "entity")
+    raw = ok.select("article_id", F.col("pos").cast("int").alias("pos"), F.to_json("el").alias("raw"),
+                    *_entity_raw(F.col("el"), "e_", hoist_from_metadata=True))
+    typed = raw.select("article_id", "pos", "raw", *_entity_typed("e_"))
+    checks, value = _entity_checks("e_")
+    el = typed.select("article_id", "pos", "raw", _first_failure(checks).alias("reason"), value.alias("e"))
     return el, bad
 
 
 def parse_entities(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """-> (entities, quarantine).  entities: article_id, pos, <Entity fields>."""
     el, bad = entity_elements(responses)
-    good = el.filter(F.col("reason").isNull()).select("article_id", "pos", "e.*")
-    rejected = el.filter(F.col("reason").isNotNull()).select(
-        F.lit("entity").alias("stage"), "article_id", "pos", "raw", "reason")
+    good = _emit_if(el, F.col("reason").isNull(), F.col("article_id"), F.col("pos"),
+                    *[F.col(f"e.{c}").alias(c) for c in ENTITY_FIELDS])
+    rejected = _emit_if(el, F.col("reason").isNotNull(), F.lit("entity").alias("stage"),
+                        F.col("article_id"), F.col("pos"), F.col("raw"), F.col("reason"))
     return good, rejected.unionByName(bad)
 
 
 def relationship_elements(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relationship elements; a lone object without the key is one relationship."""
-    r = _responses(responses, "mapping")
-    root = F.col("root")
-    has_key = V.is_object(root) & V.get(root, "$.relationships").isNotNull()
-    elements = (F.when(has_key, V.as_array(V.get(root, "$.relationships")))
-                .when(V.is_object(root), F.array(root))
-                .otherwise(V.as_array(root)))
-    extra = F.when(has_key & elements.isNull(), "relationships_not_list")
-    resp = r.withColumn("elements", elements).withColumn(
-        "status", _response_status(root, F.col("elements"), extra))
-    ok, bad = _explode(resp, "mapping")
+    ok, bad = _explode(_root_elements(responses, "mapping", "relationships", wrap_object=True), "mapping")
     el = F.col("el")
-    s_checks, subj = _entity_fields(V.get(el, "$.subject"), hoist_from_metadata=False)
-    o_checks, obj = _entity_fields(V.get(el, "$.object"), hoist_from_metadata=False)
-    action = V.get(el, "$.action")
-    sentiment = V.lax_double(V.get(el, "$.sentiment"))
-    conf = V.lax_double(V.get(el, "$.confidence"))
-    reasoning = V.get(el, "$.reasoning")
-    checks = [("not_object", V.is_object(el))]
+    sub = ok.select("article_id", F.col("pos").cast("int").alias("pos"), F.to_json(el).alias("raw"),
+                    V.is_object(el).alias("is_obj"),
+                    V.get(el, "$.subject").alias("s"), V.get(el, "$.object").alias("o"),
+                    V.get(el, "$.action").alias("action_v"), V.get(el, "$.sentiment").alias("sent_v"),
+                    V.get(el, "$.confidence").alias("conf_v"), V.get(el, "$.reasoning").alias("reas_v"))
+    raw = sub.select("article_id", "pos", "raw", "is_obj", "action_v", "sent_v", "conf_v", "reas_v",
+                     *_entity_raw(F.col("s"), "s_", hoist_from_metadata=False),
+                     *_entity_raw(F.col("o"), "o_", hoist_from_metadata=False))
+    typed = raw.select(
+        "article_id", "pos", "raw", "is_obj",
+        V.kind(F.col("action_v")).alias("action_k"),
+        F.try_variant_get(F.col("action_v"), "$", "string").alias("action"),
+        V.lax_double(F.col("sent_v")).alias("sentiment"), V.lax_double(F.col("conf_v")).alias("confidence"),
+        V.kind(F.col("reas_v")).alias("reas_k"),
+        F.try_variant_get(F.col("reas_v"), "$", "string").alias("reasoning"),
+        *_entity_typed("s_"), *_entity_typed("o_"))
+    s_checks, subj = _entity_checks("s_")
+    o_checks, obj = _entity_checks("o_")
+    checks = [("not_object", F.col("is_obj"))]
     checks += [(f"subject.{n}", c) for n, c in s_checks]
-    checks += [("action", V.is_str(action))]
+    checks += [("action", F.col("action_k") == "STRING")]
     checks += [(f"object.{n}", c) for n, c in o_checks]
-    checks += [("sentiment", V.in_range(sentiment, -1.0, 1.0)),
-               ("confidence", V.in_range(conf, 0.0, 1.0)),
-               ("reasoning", V.is_str(reasoning))]
-    out = ok.select(
-        "article_id", F.col("pos").cast("int").alias("pos"), _first_failure(checks).alias("reason"),
-        subj.alias("subject"), F.upper(V.string(action)).alias("action"), obj.alias("object"),
-        sentiment.alias("sentiment"), conf.alias("confidence"),
-        V.string(reasoning).alias("reasoning"), F.to_json(el).alias("raw"))
+    checks += [("sentiment", V.in_range(F.col("sentiment"), -1.0, 1.0)),
+               ("confidence", V.in_range(F.col("confidence"), 0.0, 1.0)),
+               ("reasoning", F.col("reas_k") == "STRING")]
+    out = typed.select(
+        "article_id", "pos", _first_failure(checks).alias("reason"),
+        subj.alias("subject"), F.upper(F.col("action")).alias("action"), obj.alias("object"),
+        "sentiment", "confidence", "reasoning", "raw")
     return out, bad
 
 
 def parse_relationships(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """-> (relationships, quarantine).  Action is upper-cased as in the reference."""
     el, bad = relationship_elements(responses)
-    good = el.filter(F.col("reason").isNull()).drop("reason", "raw")
-    rejected = el.filter(F.col("reason").isNotNull()).select(
-        F.lit("mapping").alias("stage"), "article_id", "pos", "raw", "reason")
+    good = _emit_if(el, F.col("reason").isNull(),
+                    *[F.col(c) for c in ["article_id", "pos", "subject", "action", "object",
+                                         "sentiment", "confidence", "reasoning"]])
+    rejected = _emit_if(el, F.col("reason").isNotNull(), F.lit("mapping").alias("stage"),
+                        F.col("article_id"), F.col("pos"), F.col("raw"), F.col("reason"))
     return good, rejected.unionByName(bad)
 
 
@@ -184,17 +226,23 @@ def parse_impacts(responses: DataFrame, articles: DataFrame | None = None) -> Da
     else:
         r = r.withColumn("missing", F.lit(False))
     root = F.col("root")
-    summary_v, severity_v = V.get(root, "$.summary"), V.get(root, "$.severity")
-    sectors_v, stake_v = V.get(root, "$.affected_sectors"), V.get(root, "$.key_stakeholders")
-    summary = V.string(summary_v)
-    severity = V.lax_int(severity_v)
-    sectors = V.string_list(sectors_v)
-    stake = F.when(stake_v.isNull(), F.array().cast("array<string>")).otherwise(V.string_list(stake_v))
+    r = r.select("*", V.is_object(root).alias("_obj"), V.get(root, "$.summary").alias("summary_v"),
+                 V.get(root, "$.severity").alias("severity_v"),
+                 V.get(root, "$.affected_sectors").alias("sectors_v"),
+                 V.get(root, "$.key_stakeholders").alias("stake_v"))
+    r = r.select("*", F.when(V.kind(F.col("summary_v")) == "STRING",
+                             F.try_variant_get(F.col("summary_v"), "$", "string")).alias("summary_s"),
+                 V.lax_int(F.col("severity_v")).alias("severity_i"),
+                 V.string_list(F.col("sectors_v")).alias("sectors_l"),
+                 F.when(F.col("stake_v").isNull(), F.array().cast("array<string>"))
+                  .otherwise(V.string_list(F.col("stake_v"))).alias("stake_l"))
+    summary, severity = F.col("summary_s"), F.col("severity_i")
+    sectors, stake = F.col("sectors_l"), F.col("stake_l")
     status = (F.when(F.col("missing"), "missing")
               .when(F.col("error").isNotNull(), "call_error")
               .when(F.col("content").isNull(), "no_content")
               .when(root.isNull(), "bad_json")
-              .when(~V.is_object(root), "not_object")
+              .when(~F.col("_obj"), "not_object")
               .when(summary.isNull(), "summary")
               .when(F.char_length(summary) > 500, "summary_length")
               .when(severity.isNull(), "severity")

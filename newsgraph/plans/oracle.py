@@ -344,3 +344,79 @@ SELECT CAST(o_orderkey AS VARCHAR) AS article_id, 'No significant entities or im
        CAST(1 AS BIGINT) AS severity, true AS fact_check_passed, 'gpt-4-turbo-preview' AS llm_model_used
 FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT article_id FROM kept_ent)""",
                                   *_ENT, "kept_ent")
+
+# ---------------------------------------------------------------- articles / ingest
+
+CTE["doc_art"] = """
+SELECT doc_id, substr(sha256(url), 1, 12) AS article_id, url,
+       substring(split_part(text, '.', 1), 1, 100) AS title, text AS content, source,
+       TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER)) AS published_date
+FROM (SELECT *, 'https://' || source || '.example.org/d/' || doc_id AS url FROM documents)"""
+
+SQL["articles_validated"] = with_ctes("""
+SELECT doc_id, article_id, url, substring(title, 1, 100) AS title_preview, source,
+       CAST(epoch(published_date) AS BIGINT) AS published_epoch,
+       CAST(CASE WHEN doc_id % 10 = 7 THEN epoch(TIMESTAMP '2024-06-01 00:00:00')
+                 ELSE epoch(published_date) + doc_id % 600 END AS BIGINT) AS fetch_epoch,
+       CAST(1 AS BIGINT) AS n_tags, CAST(length(content) AS BIGINT) AS content_chars
+FROM doc_art WHERE doc_id % 10 IN (0, 1, 6, 7)""", "doc_art")
+
+SQL["articles_quarantine"] = with_ctes("""
+SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN '' ELSE article_id END AS article_id,
+       CASE doc_id % 10 WHEN 2 THEN 'title' WHEN 3 THEN 'url' WHEN 4 THEN 'published_date'
+            WHEN 5 THEN 'tags' WHEN 8 THEN 'author' WHEN 9 THEN 'bad_json' END AS reason
+FROM doc_art WHERE doc_id % 10 IN (2, 3, 4, 5, 8, 9)""", "doc_art")
+
+_URL_RE = r"^(?i)(https?)://([^\s/?#@]+@)?([^\s/?#:@]+)(:[0-9]{1,5})?([/?#]\S*)?$"
+_NORM_URL = (f"lower(regexp_extract(url, '{_URL_RE}', 1)) || '://' || regexp_extract(url, '{_URL_RE}', 2)"
+             f" || lower(regexp_extract(url, '{_URL_RE}', 3)) || regexp_extract(url, '{_URL_RE}', 4)"
+             f" || CASE WHEN regexp_extract(url, '{_URL_RE}', 5) = '' THEN '/'"
+             f" WHEN starts_with(regexp_extract(url, '{_URL_RE}', 5), '/') THEN regexp_extract(url, '{_URL_RE}', 5)"
+             f" ELSE '/' || regexp_extract(url, '{_URL_RE}', 5) END")
+
+
+def _unescape(x: str) -> str:
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
+                    ("&amp;", "&")]:
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def _collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+
+
+_TEXT = "html"
+for _pat in [r"(?is)<head[^>]*>.*?</head>", r"(?is)<script[^>]*>.*?</script>",
+             r"(?is)<style[^>]*>.*?</style>", r"(?is)<nav[^>]*>.*?</nav>", r"(?s)<!--.*?-->"]:
+    _TEXT = f"regexp_replace({_TEXT}, '{_pat}', ' ', 'g')"
+_TEXT = _collapse(_unescape(f"regexp_replace({_TEXT}, '<[^>]*>', ' ', 'g')"))
+_TITLE = _collapse(_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+
+CTE["page_art"] = f"""
+SELECT page_id, url_norm, substr(sha256(url_norm), 1, 12) AS article_id, {_TITLE} AS title,
+       {_TEXT} AS content, regexp_extract(url_norm, '^https?://([^/:?#]+)', 1) AS source
+FROM (SELECT *, {_NORM_URL} AS url_norm FROM pages)"""
+
+SQL["page_articles"] = with_ctes("""
+SELECT page_id, article_id, title, source, CAST(length(content) AS BIGINT) AS content_chars,
+       md5(content) AS content_md5
+FROM page_art""", "page_art")
+
+SQL["article_ids"] = with_ctes("SELECT page_id, url_norm AS url, article_id FROM page_art", "page_art")
+
+SQL["dedup_articles"] = "WITH RECURSIVE " + """
+doc AS (SELECT doc_id, substr(sha256('https://' || source || '.example.org/d/' || doc_id), 1, 12) AS article_id,
+               TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id % 600 AS BIGINT)) AS base
+        FROM documents),
+s AS (SELECT article_id, base AS ts, 1 AS file_no FROM doc
+      UNION ALL SELECT article_id, base + INTERVAL 1 DAY, 2 FROM doc WHERE doc_id % 10 = 0
+      UNION ALL SELECT article_id, base + INTERVAL 20 DAY, 3 FROM doc WHERE doc_id % 50 = 0),
+kept(article_id, ts) AS (
+  SELECT article_id, min(ts) FROM s GROUP BY article_id
+  UNION ALL
+  SELECT s.article_id, min(s.ts) FROM kept k JOIN s ON s.article_id = k.article_id
+         AND s.ts > k.ts + INTERVAL 7 DAY GROUP BY s.article_id)
+SELECT s.article_id, CAST(min(s.file_no) AS BIGINT) AS file_no, CAST(epoch(s.ts) AS BIGINT) AS fetch_epoch
+FROM s JOIN kept k ON k.article_id = s.article_id AND k.ts = s.ts
+GROUP BY s.article_id, s.ts"""

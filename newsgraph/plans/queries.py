@@ -224,3 +224,60 @@ def minimal_events(spark, sf_dir):
     return ev.select("article_id", F.col("impact_summary.summary").alias("summary"),
                      F.col("impact_summary.severity").cast("bigint").alias("severity"),
                      "fact_check_passed", "llm_model_used")
+
+
+# ------------------------------------------------------------------ articles / ingest
+
+AS_OF = "2024-06-01 00:00:00"
+
+
+def _validated_docs(t: Tables):
+    from newsgraph.sources.articles import decode_events, validate_articles
+    msgs = fx.doc_article_messages(t)
+    return validate_articles(decode_events(msgs), as_of=F.lit(AS_OF).cast("timestamp"),
+                             keep=("doc_id",))
+
+
+@query
+def articles_validated(spark, sf_dir):
+    from newsgraph.sources.articles import article_preview
+    valid, _ = _validated_docs(_t(spark, sf_dir))
+    v = article_preview(valid)
+    return v.select("doc_id", "article_id", "url", "title_preview", "source",
+                    F.unix_seconds("published_date").alias("published_epoch"),
+                    F.unix_seconds("fetch_timestamp").alias("fetch_epoch"),
+                    F.size("tags").cast("bigint").alias("n_tags"),
+                    F.char_length("content").cast("bigint").alias("content_chars"))
+
+
+@query
+def articles_quarantine(spark, sf_dir):
+    _, q = _validated_docs(_t(spark, sf_dir))
+    return q.select("doc_id", F.coalesce("article_id", F.lit("")).alias("article_id"), "reason")
+
+
+@query
+def page_articles(spark, sf_dir):
+    from newsgraph.sources.ingest import pages_to_articles
+    a = pages_to_articles(_t(spark, sf_dir).pages)
+    return a.select("page_id", "article_id", "title", "source",
+                    F.char_length("content").cast("bigint").alias("content_chars"),
+                    F.md5("content").alias("content_md5"))
+
+
+@query
+def article_ids(spark, sf_dir):
+    from newsgraph.sources.ingest import article_id
+    from newsgraph.sources.articles import normalize_url
+    p = _t(spark, sf_dir).pages
+    return p.select("page_id", normalize_url(F.col("url")).alias("url"),
+                    article_id(F.col("url")).alias("article_id"))
+
+
+@query
+def dedup_articles(spark, sf_dir):
+    from newsgraph.sources.ingest import ttl_keep
+    s = fx.dup_stream(_t(spark, sf_dir))
+    kept = ttl_keep(s, "article_id", "fetch_timestamp", 7, tie=["file_no"])
+    return kept.select("article_id", F.col("file_no").cast("bigint").alias("file_no"),
+                       F.unix_seconds("fetch_timestamp").alias("fetch_epoch"))

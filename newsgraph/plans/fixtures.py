@@ -82,8 +82,9 @@ def edges_fixture(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
     action = F.when(flag == "A", ACTION_BY_FLAG["A"]).when(flag == "N", ACTION_BY_FLAG["N"]) \
               .when(flag == "R", ACTION_BY_FLAG["R"])
+    # "+ 0.0" turns a negative zero into 0.0 (same text in JSON on both engines)
     sentiment = F.round(F.when(flag == "R", -F.col("l_discount") * 10)
-                        .otherwise(F.col("l_tax") * 10), 6)
+                        .otherwise(F.col("l_tax") * 10), 6) + F.lit(0.0)
     lk = F.col("l_orderkey")
     return j.select(
         lk.alias("k"), lk.cast("string").alias("article_id"), F.col("rn").cast("int").alias("pos"),

@@ -56,7 +56,7 @@ SELECT l.l_orderkey AS k, CAST(l.l_orderkey AS VARCHAR) AS article_id, l.rn AS p
        s.s_name AS subject_name, c.c_name AS object_name, c.c_mktsegment AS object_industry,
        CASE l.l_returnflag WHEN 'A' THEN 'supplies' WHEN 'N' THEN 'delivers_to'
                            WHEN 'R' THEN 'recalls_from' END AS action,
-       round(CASE WHEN l.l_returnflag = 'R' THEN -l.l_discount * 10 ELSE l.l_tax * 10 END, 6) AS sentiment,
+       round(CASE WHEN l.l_returnflag = 'R' THEN -l.l_discount * 10 ELSE l.l_tax * 10 END, 6) + 0.0 AS sentiment,
        CAST(50 + (l.l_orderkey * 3 + l.l_suppkey * 5) % 51 AS DOUBLE) / 100 AS confidence,
        'Line ' || l.rn || ' of order ' || l.l_orderkey AS reasoning
 FROM ln l JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -420,3 +420,74 @@ kept(article_id, ts) AS (
 SELECT s.article_id, CAST(min(s.file_no) AS BIGINT) AS file_no, CAST(epoch(s.ts) AS BIGINT) AS fetch_epoch
 FROM s JOIN kept k ON k.article_id = s.article_id AND k.ts = s.ts
 GROUP BY s.article_id, s.ts"""
+
+# ---------------------------------------------------------------- requests / responses
+
+_NL2 = "chr(10) || chr(10)"
+
+CTE["ent_ctx"] = """
+SELECT article_id, count(*) AS n,
+       '[' || string_agg('{"name":"' || name || '","type":"' || type || '"}', ',' ORDER BY pos) || ']' AS ctx
+FROM fc_ent GROUP BY article_id"""
+
+CTE["val_ctx"] = """
+SELECT article_id,
+       '[' || string_agg('{"name":"' || name || '","type":"' || type || '","industry":'
+                         || coalesce('"' || industry || '"', 'null') || '}', ',' ORDER BY pos) || ']' AS ctx
+FROM checked_ind WHERE validated GROUP BY article_id"""
+
+CTE["checked_ind"] = """
+SELECT c.*, f.industry FROM checked c JOIN fc_ent f ON f.article_id = c.article_id AND f.pos = c.pos"""
+
+CTE["fx_rel"] = """
+SELECT * FROM edges WHERE confidence >= 0.7
+  AND article_id IN (SELECT article_id FROM fc_ent GROUP BY article_id HAVING count(*) >= 2)"""
+
+CTE["rel_ctx"] = """
+SELECT article_id,
+       '[' || string_agg('{"subject":"' || subject_name || '","action":"' || upper(action) || '","object":"'
+                         || object_name || '","sentiment":' || CAST(sentiment AS VARCHAR) || '}',
+                         ',' ORDER BY pos) || ']' AS ctx
+FROM fx_rel GROUP BY article_id"""
+
+_ORDER += ["checked_ind", "ent_ctx", "val_ctx", "fx_rel", "rel_ctx"]
+
+SQL["entity_requests"] = with_ctes(f"""
+SELECT article_id, 'entity' AS stage, CAST(4 AS BIGINT) AS n_messages,
+       md5('Article: ' || content || {_NL2} || 'Extract all entities as JSON array:') AS user_md5,
+       'gpt-4-turbo-preview' AS model, 0.1 AS temperature, 'json_object' AS response_format
+FROM doc_art""", "doc_art")
+
+SQL["causal_requests"] = with_ctes(f"""
+SELECT article_id, 'mapping' AS stage, CAST(6 AS BIGINT) AS n_messages,
+       md5('Article: Order ' || article_id || {_NL2} || 'Known Entities: ' || ctx || {_NL2}
+           || 'Extract causal relationships between these entities as JSON array:') AS user_md5,
+       'gpt-4-turbo-preview' AS model, 0.2 AS temperature, 'json_object' AS response_format
+FROM ent_ctx WHERE n >= 2""", "ln", "cand", "fc_ent", "ent_ctx")
+
+_IMPACT_REQ = f"""
+SELECT e.article_id, 'impact' AS stage, CAST(6 AS BIGINT) AS n_messages,
+       md5('Article: Order ' || e.article_id || {_NL2} || 'Entities: ' || coalesce(v.ctx, '[]')
+           || chr(10) || 'Relationships: ' || coalesce(r.ctx, '[]') || {_NL2}
+           || 'Generate impact summary as JSON:') AS user_md5,
+       'gpt-4-turbo-preview' AS model, 0.3 AS temperature, 'json_object' AS response_format
+FROM (SELECT DISTINCT article_id FROM fc_ent) e
+LEFT JOIN val_ctx v ON v.article_id = e.article_id LEFT JOIN rel_ctx r ON r.article_id = e.article_id"""
+
+_REQ_CTES = ("ln", "cand", "fc_ent", "edges", *_KB, "checked", "checked_ind", "ent_ctx", "val_ctx",
+             "fx_rel", "rel_ctx")
+
+SQL["impact_requests"] = with_ctes(_IMPACT_REQ, *_REQ_CTES)
+
+SQL["responses_attached"] = with_ctes("""
+SELECT CAST(k AS VARCHAR) AS article_id, stage,
+       CASE WHEN idx = 19 THEN 'missing' ELSE 'ok' END AS status,
+       CAST(CASE WHEN idx = 19 THEN 0 ELSE tok END AS BIGINT) AS tokens_used
+FROM (
+  SELECT o_orderkey AS k, 'entity' AS stage, o_orderkey % 20 AS idx, 200 + o_orderkey % 97 AS tok FROM orders
+  UNION ALL
+  SELECT o_orderkey, 'mapping', (o_orderkey + 7) % 20, 300 + o_orderkey % 89 FROM orders
+  WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT article_id FROM fc_ent GROUP BY article_id HAVING count(*) >= 2)
+  UNION ALL
+  SELECT o_orderkey, 'impact', (o_orderkey + 13) % 20, 150 + o_orderkey % 83 FROM orders
+  WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT article_id FROM fc_ent))""", "ln", "cand", "fc_ent")

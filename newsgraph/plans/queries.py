@@ -281,3 +281,60 @@ def dedup_articles(spark, sf_dir):
     kept = ttl_keep(s, "article_id", "fetch_timestamp", 7, tie=["file_no"])
     return kept.select("article_id", F.col("file_no").cast("bigint").alias("file_no"),
                        F.unix_seconds("fetch_timestamp").alias("fetch_epoch"))
+
+
+# ------------------------------------------------------------------ requests / responses
+
+def _req_cols(df: DataFrame) -> DataFrame:
+    return df.select("article_id", "stage", F.size("messages").cast("bigint").alias("n_messages"),
+                     F.md5(F.element_at("messages", -1)["content"]).alias("user_md5"),
+                     "model", _r6("temperature"), "response_format")
+
+
+def fixture_relationships(t: Tables) -> DataFrame:
+    """Edges (2.5) in relationship shape, over the threshold, for articles with 2+ entities."""
+    e = fx.edges_fixture(t)
+    rel = e.select("article_id", "pos", F.struct(F.col("subject_name").alias("name")).alias("subject"),
+                   F.upper("action").alias("action"),
+                   F.struct(F.col("object_name").alias("name")).alias("object"), "sentiment",
+                   "confidence")
+    return filters.min_entities(filters.by_confidence(rel), kept_entities(t), 2)
+
+
+@query
+def entity_requests(spark, sf_dir):
+    from newsgraph.operators.prompts import entity_requests as build
+    return _req_cols(build(fx.doc_articles(_t(spark, sf_dir))))
+
+
+@query
+def causal_requests(spark, sf_dir):
+    from newsgraph.operators.prompts import causal_requests as build
+    t = _t(spark, sf_dir)
+    return _req_cols(build(fx.order_articles(t), kept_entities(t)))
+
+
+@query
+def impact_requests(spark, sf_dir):
+    from newsgraph.operators.prompts import impact_requests as build
+    t = _t(spark, sf_dir)
+    kept = kept_entities(t)
+    arts = fx.order_articles(t).join(kept.select("article_id"), "article_id", "left_semi")
+    valid = _checked(t).filter(F.col("validated"))
+    return _req_cols(build(arts, valid, fixture_relationships(t)))
+
+
+@query
+def responses_attached(spark, sf_dir):
+    from newsgraph.operators import prompts as pr
+    from newsgraph.operators.responses import attach
+    t = _t(spark, sf_dir)
+    arts = fx.order_articles(t)
+    kept = kept_entities(t)
+    gated = arts.join(kept.select("article_id"), "article_id", "left_semi")
+    reqs = pr.entity_requests(arts).unionByName(pr.causal_requests(arts, kept)) \
+        .unionByName(pr.impact_requests(gated, _checked(t).filter(F.col("validated")),
+                                        fixture_relationships(t)))
+    a = attach(reqs, fx.responses_fixture(t))
+    return a.select("article_id", "stage", "status",
+                    F.coalesce("tokens_used", F.lit(0)).cast("bigint").alias("tokens_used"))

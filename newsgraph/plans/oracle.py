@@ -491,3 +491,73 @@ FROM (
   UNION ALL
   SELECT o_orderkey, 'impact', (o_orderkey + 13) % 20, 150 + o_orderkey % 83 FROM orders
   WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT article_id FROM fc_ent))""", "ln", "cand", "fc_ent")
+
+# ---------------------------------------------------------------- text: mentions
+
+_LABELS = "['ORG', 'PERSON', 'GPE', 'LOC', 'EVENT', 'MONEY', 'PRODUCT']"
+_MONEY_RE = r"[$€£][0-9][0-9,]*(\.[0-9]+)?( ?(billion|million|thousand|bn|mn|m|k))?"
+
+CTE["gaz"] = f"""
+SELECT phrase, {_LABELS}[length(phrase) % 7 + 1] AS label
+FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS phrase FROM benchmark)
+WHERE length(phrase) >= 6
+UNION ALL SELECT 'apache license', 'PRODUCT' UNION ALL SELECT 'general public license', 'PRODUCT'
+UNION ALL SELECT 'unmapped phrase', 'NORP'"""
+
+CTE["labelmap"] = """
+SELECT * FROM (VALUES ('ORG', 'company'), ('PERSON', 'person'), ('GPE', 'location'), ('LOC', 'location'),
+                      ('EVENT', 'event'), ('MONEY', 'financial_instrument'), ('PRODUCT', 'product')) t(label, type)"""
+
+_SPANS = """
+SELECT doc_id, i, m AS tok, pre, post,
+       sum(length(pre) + length(m)) OVER (PARTITION BY doc_id ORDER BY i
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS end_
+FROM (SELECT doc_id, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS pre, unnest(ps[2:len(ms) + 1]) AS post,
+             unnest(generate_series(0, len(ms) - 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '{re}') AS ms, string_split_regex(text, '{re}') AS ps
+            FROM documents))"""
+
+CTE["tok"] = _SPANS.format(re=r"\p{L}+")
+CTE["money_tok"] = _SPANS.format(re=_MONEY_RE)
+
+_BLANK = "(length({x}) > 0 AND regexp_replace({x}, '[ \\t]', '', 'g') = '')"
+CTE["tw"] = """
+SELECT *, end_ - length(tok) AS start,
+       lead(tok, 1) OVER w AS m1, lead(tok, 2) OVER w AS m2, lead(end_, 1) OVER w AS e1,
+       lead(end_, 2) OVER w AS e2, post AS p1, lead(post, 1) OVER w AS p2
+FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+
+CTE["ng"] = f"""
+SELECT doc_id, i AS tk, 1 AS n, start, end_ AS e, tok AS name, lower(tok) AS phrase FROM tw
+UNION ALL
+SELECT doc_id, i, 2, start, e1, tok || p1 || m1, lower(tok || ' ' || m1) FROM tw
+WHERE m1 IS NOT NULL AND {_BLANK.format(x='p1')}
+UNION ALL
+SELECT doc_id, i, 3, start, e2, tok || p1 || m1 || p2 || m2, lower(tok || ' ' || m1 || ' ' || m2) FROM tw
+WHERE m2 IS NOT NULL AND {_BLANK.format(x='p1')} AND {_BLANK.format(x='p2')}"""
+
+CTE["mcand"] = """
+SELECT ng.*, g.label, lm.type FROM ng JOIN gaz g ON g.phrase = ng.phrase JOIN labelmap lm ON lm.label = g.label"""
+
+CTE["mentions"] = """
+SELECT doc_id, start, e AS "end", name, phrase, label, type, 0.75 AS confidence FROM mcand c
+WHERE NOT EXISTS (SELECT 1 FROM mcand d WHERE d.doc_id = c.doc_id AND d.tk <= c.tk + c.n - 1
+                  AND d.tk + d.n - 1 >= c.tk AND (d.n > c.n OR (d.n = c.n AND d.tk < c.tk)))
+UNION ALL
+SELECT doc_id, end_ - length(tok), end_, tok, lower(tok), 'MONEY', 'financial_instrument', 0.75 FROM money_tok"""
+
+_ORDER += ["gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mentions"]
+_MENTION_CTES = ("gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mentions")
+
+SQL["mentions"] = with_ctes("""
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", name, label, type,
+       round(confidence, 6) AS confidence
+FROM mentions""", *_MENTION_CTES)
+
+SQL["mention_entities"] = with_ctes("""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_start, phrase, type) - 1 AS BIGINT) AS pos,
+       name, phrase, type, CAST(mentions AS BIGINT) AS mentions, CAST(first_start AS BIGINT) AS first_start,
+       round(confidence, 6) AS confidence
+FROM (SELECT doc_id, phrase, type, arg_min(name, start) AS name, count(*) AS mentions,
+             min(start) AS first_start, max(confidence) AS confidence
+      FROM mentions GROUP BY doc_id, phrase, type)""", *_MENTION_CTES)

@@ -338,3 +338,28 @@ def responses_attached(spark, sf_dir):
     a = attach(reqs, fx.responses_fixture(t))
     return a.select("article_id", "stage", "status",
                     F.coalesce("tokens_used", F.lit(0)).cast("bigint").alias("tokens_used"))
+
+
+# ------------------------------------------------------------------ text: mentions
+
+def doc_mentions(t: Tables) -> DataFrame:
+    from newsgraph.operators.tagging import money_mentions, tag_mentions
+    docs = t.documents.select("doc_id", "text")
+    return tag_mentions(docs, fx.gazetteer(t), "doc_id", "text") \
+        .unionByName(money_mentions(docs, "doc_id", "text"))
+
+
+@query
+def mentions(spark, sf_dir):
+    m = doc_mentions(_t(spark, sf_dir))
+    return m.select("doc_id", F.col("start").cast("bigint").alias("start"),
+                    F.col("end").cast("bigint").alias("end"), "name", "label", "type", _r6("confidence"))
+
+
+@query
+def mention_entities(spark, sf_dir):
+    from newsgraph.operators.tagging import mentions_to_entities
+    e = mentions_to_entities(doc_mentions(_t(spark, sf_dir)), "doc_id")
+    return e.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "name", "phrase", "type",
+                    F.col("mentions").cast("bigint").alias("mentions"),
+                    F.col("first_start").cast("bigint").alias("first_start"), _r6("confidence"))

@@ -561,3 +561,22 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_start,
 FROM (SELECT doc_id, phrase, type, arg_min(name, start) AS name, count(*) AS mentions,
              min(start) AS first_start, max(confidence) AS confidence
       FROM mentions GROUP BY doc_id, phrase, type)""", *_MENTION_CTES)
+
+SQL["impact_rollup"] = with_ctes("""
+SELECT e.article_id,
+       substring(CAST(coalesce(r.n_rel, 0) AS VARCHAR) || ' causal links connect ' || e.n_ent || ' entities.'
+                 || CASE WHEN coalesce(r.n_rel, 0) > 0
+                         THEN ' Most exposed: ' || array_to_string(r.objs[1:5], ', ') || '.'
+                         ELSE ' No party is exposed.' END, 1, 500) AS summary,
+       CAST(CASE WHEN coalesce(r.n_rel, 0) = 0 THEN 1
+                 ELSE least(10, greatest(1, 1 + floor(5 * r.mx) + least(4, len(r.objs)))) END AS BIGINT) AS severity,
+       coalesce(array_to_string(e.sectors, '|'), '') AS affected_sectors,
+       coalesce(array_to_string(r.objs[1:5], '|'), '') AS key_stakeholders,
+       CAST(coalesce(r.n_rel, 0) AS BIGINT) AS n_relationships
+FROM (SELECT article_id, count(*) AS n_ent,
+             list_sort(list_distinct(list(industry) FILTER (WHERE industry IS NOT NULL))) AS sectors
+      FROM fc_ent GROUP BY article_id) e
+LEFT JOIN (SELECT article_id, count(*) AS n_rel, max(abs(sentiment)) AS mx,
+                  list_sort(list_distinct(list(object_name))) AS objs
+           FROM fx_rel GROUP BY article_id) r ON r.article_id = e.article_id""",
+                                 "ln", "cand", "fc_ent", "edges", "fx_rel")

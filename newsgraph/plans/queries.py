@@ -363,3 +363,28 @@ def mention_entities(spark, sf_dir):
     return e.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "name", "phrase", "type",
                     F.col("mentions").cast("bigint").alias("mentions"),
                     F.col("first_start").cast("bigint").alias("first_start"), _r6("confidence"))
+
+
+@query
+def lexicon_relations(spark, sf_dir):
+    from newsgraph.operators.relations import lexicon_relations as lex_rel
+    t = _t(spark, sf_dir)
+    docs = t.documents.select("doc_id", "text")
+    r = lex_rel(docs, doc_mentions(t), fx.lexicon(spark), "doc_id", "text")
+    return r.select("doc_id", F.col("pos").cast("bigint").alias("pos"),
+                    F.col("subject.name").alias("subject_name"), "action",
+                    F.col("object.name").alias("object_name"), _r6("sentiment"), _r6("confidence"),
+                    "reasoning")
+
+
+@query
+def impact_rollup(spark, sf_dir):
+    from newsgraph.operators.impact import rollup_impact
+    t = _t(spark, sf_dir)
+    kept = kept_entities(t)
+    arts = fx.order_articles(t).join(kept.select("article_id"), "article_id", "left_semi")
+    r = rollup_impact(arts, kept, fixture_relationships(t))
+    return r.select("article_id", "summary", F.col("severity").cast("bigint").alias("severity"),
+                    F.array_join("affected_sectors", "|").alias("affected_sectors"),
+                    F.array_join("key_stakeholders", "|").alias("key_stakeholders"),
+                    F.col("n_relationships").cast("bigint").alias("n_relationships"))

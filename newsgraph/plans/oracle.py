@@ -580,3 +580,56 @@ LEFT JOIN (SELECT article_id, count(*) AS n_rel, max(abs(sentiment)) AS mx,
                   list_sort(list_distinct(list(object_name))) AS objs
            FROM fx_rel GROUP BY article_id) r ON r.article_id = e.article_id""",
                                  "ln", "cand", "fc_ent", "edges", "fx_rel")
+
+# ---------------------------------------------------------------- graph
+
+CTE["ent_ts"] = """
+SELECT f.*, o.o_orderdate AS ts FROM fc_ent f JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = f.article_id"""
+
+CTE["gedges"] = """
+SELECT lower(trim(subject_name)) AS src, upper(action) AS action, lower(trim(object_name)) AS dst,
+       count(*) AS n, sum(sentiment) AS sentiment_sum, max(confidence) AS confidence,
+       min(article_id) AS first_article, max(article_id) AS last_article
+FROM fx_rel GROUP BY 1, 2, 3"""
+
+_ORDER += ["ent_ts", "gedges"]
+_G = ("ln", "cand", "fc_ent", "edges", "fx_rel", "gedges")
+
+SQL["graph_nodes"] = with_ctes("""
+SELECT lower(trim(name)) AS key, type, min(name) AS name, round(max(confidence), 6) AS confidence,
+       CAST(count(*) AS BIGINT) AS mentions, CAST(epoch(min(ts)) AS BIGINT) AS first_seen,
+       CAST(epoch(max(ts)) AS BIGINT) AS last_seen,
+       max(CASE WHEN industry IS NOT NULL THEN {'ts': ts, 'v': industry} END).v AS industry,
+       max(CASE WHEN country IS NOT NULL THEN {'ts': ts, 'v': country} END).v AS country
+FROM ent_ts GROUP BY 1, 2""", "ln", "cand", "fc_ent", "ent_ts")
+
+SQL["graph_edges"] = with_ctes("""
+SELECT src, action, dst, CAST(n AS BIGINT) AS n, round(sentiment_sum, 6) AS sentiment_sum,
+       round(sentiment_sum / n, 6) AS sentiment_avg, round(confidence, 6) AS confidence,
+       first_article, last_article
+FROM gedges""", *_G)
+
+SQL["node_stats"] = with_ctes("""
+SELECT coalesce(o.key, i.key) AS key, CAST(coalesce(o.out_edges, 0) AS BIGINT) AS out_edges,
+       CAST(coalesce(i.in_edges, 0) AS BIGINT) AS in_edges, CAST(coalesce(o.out_weight, 0) AS BIGINT) AS out_weight,
+       CAST(coalesce(i.in_weight, 0) AS BIGINT) AS in_weight, round(coalesce(o.out_sentiment, 0.0), 6) AS out_sentiment,
+       round(coalesce(i.in_sentiment, 0.0), 6) AS in_sentiment
+FROM (SELECT src AS key, count(*) AS out_edges, sum(n) AS out_weight, sum(sentiment_sum) AS out_sentiment
+      FROM gedges GROUP BY src) o
+FULL JOIN (SELECT dst AS key, count(*) AS in_edges, sum(n) AS in_weight, sum(sentiment_sum) AS in_sentiment
+           FROM gedges GROUP BY dst) i ON o.key = i.key""", *_G)
+
+_TRACE_EDGES = """
+SELECT DISTINCT src, dst FROM (
+  SELECT src, dst FROM gedges
+  UNION ALL SELECT lower(trim(c.c_name)), lower(trim(n.n_name)) FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  UNION ALL SELECT lower(trim(n.n_name)), lower(trim(r.r_name)) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+
+SQL["impact_trace"] = "WITH RECURSIVE " + ",\n".join(
+    f"{n} AS ({CTE[n]}\n)" for n in _G) + f""",
+te AS ({_TRACE_EDGES}),
+tr(seed, node, depth) AS (
+  SELECT lower(trim(s_name)), lower(trim(s_name)), 0 FROM supplier
+  UNION
+  SELECT tr.seed, te.dst, tr.depth + 1 FROM tr JOIN te ON te.src = tr.node WHERE tr.depth < 3)
+SELECT seed, node, CAST(min(depth) AS BIGINT) AS depth FROM tr GROUP BY seed, node"""

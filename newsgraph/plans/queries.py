@@ -388,3 +388,64 @@ def impact_rollup(spark, sf_dir):
                     F.array_join("affected_sectors", "|").alias("affected_sectors"),
                     F.array_join("key_stakeholders", "|").alias("key_stakeholders"),
                     F.col("n_relationships").cast("bigint").alias("n_relationships"))
+
+
+# ------------------------------------------------------------------ graph
+
+def _entity_ts(t: Tables) -> DataFrame:
+    o = t.orders.select(F.col("o_orderkey").cast("string").alias("article_id"),
+                        F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return kept_entities(t).join(o, "article_id")
+
+
+def graph_edges_table(t: Tables) -> DataFrame:
+    from newsgraph.operators.graph import upsert_edges
+    return upsert_edges(fixture_relationships(t))
+
+
+@query
+def graph_nodes(spark, sf_dir):
+    from newsgraph.operators.graph import node_view, upsert_nodes
+    n = node_view(upsert_nodes(_entity_ts(_t(spark, sf_dir)), ts_col="ts"))
+    return n.select("key", "type", "name", _r6("confidence"), F.col("mentions").cast("bigint").alias("mentions"),
+                    F.unix_seconds("first_seen").alias("first_seen"),
+                    F.unix_seconds("last_seen").alias("last_seen"), "industry", "country")
+
+
+@query
+def graph_edges(spark, sf_dir):
+    from newsgraph.operators.graph import edge_view
+    e = edge_view(graph_edges_table(_t(spark, sf_dir)))
+    return e.select("src", "action", "dst", F.col("n").cast("bigint").alias("n"), _r6("sentiment_sum"),
+                    _r6("sentiment_avg"), _r6("confidence"), "first_article", "last_article")
+
+
+@query
+def node_stats(spark, sf_dir):
+    from newsgraph.operators.graph import node_stats as stats
+    s = stats(graph_edges_table(_t(spark, sf_dir)))
+    return s.select("key", *[F.col(c).cast("bigint").alias(c) for c in
+                             ("out_edges", "in_edges", "out_weight", "in_weight")],
+                    _r6("out_sentiment"), _r6("in_sentiment"))
+
+
+def trace_edges(t: Tables) -> DataFrame:
+    """Graph edges plus customer LOCATED_IN nation and nation IN region, as (src, dst)."""
+    from newsgraph.operators.graph import node_key
+    c = t.customer.select("c_name", "c_nationkey")
+    n = t.nation.select("n_nationkey", "n_name", "n_regionkey")
+    r = t.region.select("r_regionkey", "r_name")
+    loc = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        node_key(F.col("c_name")).alias("src"), node_key(F.col("n_name")).alias("dst"))
+    inr = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        node_key(F.col("n_name")).alias("src"), node_key(F.col("r_name")).alias("dst"))
+    return graph_edges_table(t).select("src", "dst").unionByName(loc).unionByName(inr)
+
+
+@query
+def impact_trace(spark, sf_dir):
+    from newsgraph.operators.graph import impact_trace as trace, node_key
+    t = _t(spark, sf_dir)
+    seeds = t.supplier.select(node_key(F.col("s_name")).alias("seed"), node_key(F.col("s_name")).alias("node"))
+    tr = trace(seeds, trace_edges(t), 3)
+    return tr.select("seed", "node", F.col("depth").cast("bigint").alias("depth"))

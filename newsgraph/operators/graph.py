@@ -89,8 +89,9 @@ def impact_trace(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_GRAPH_
     e = edges.select("src", "dst").distinct()
     if direction == "both":
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    # each round is materialised once (reliable checkpoint in the shared dir): the
-    # emptiness test and the next round read it instead of recomputing all rounds
+    # the edge list and each round are materialised once (reliable checkpoints in the
+    # shared dir): every round reads them instead of recomputing the earlier rounds
+    e = cut_lineage(e)
     visited = cut_lineage(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited.select("seed", "node")
     for d in range(1, max_depth + 1):

@@ -633,3 +633,69 @@ tr(seed, node, depth) AS (
   UNION
   SELECT tr.seed, te.dst, tr.depth + 1 FROM tr JOIN te ON te.src = tr.node WHERE tr.depth < 3)
 SELECT seed, node, CAST(min(depth) AS BIGINT) AS depth FROM tr GROUP BY seed, node"""
+
+# ---------------------------------------------------------------- curation
+
+CTE["ui"] = """
+SELECT e.user_id, s.s_name AS name, sum(e.value) AS weight
+FROM events e JOIN supplier s
+  ON s.s_suppkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT) % (SELECT count(*) FROM supplier)
+WHERE e.event_type IN ('purchase', 'view') GROUP BY 1, 2"""
+
+CTE["vecs_u"] = """
+SELECT u.user_id, CAST(e.embedding AS DOUBLE[]) AS v
+FROM (SELECT DISTINCT user_id FROM events) u
+JOIN embeddings e ON e.vec_id = u.user_id % (SELECT count(*) FROM embeddings)"""
+
+CTE["vecs_a"] = """
+SELECT CAST(o.o_orderkey AS VARCHAR) AS article_id, o.o_orderdate AS published, CAST(e.embedding AS DOUBLE[]) AS v
+FROM orders o JOIN embeddings e ON e.vec_id = o.o_orderkey % (SELECT count(*) FROM embeddings)"""
+
+CTE["ge"] = "SELECT DISTINCT src, dst FROM gedges"
+
+CTE["reach"] = """
+SELECT lower(trim(name)) AS seed, lower(trim(name)) AS node, 0 AS depth FROM (SELECT DISTINCT name FROM ui)
+UNION
+SELECT r.seed, ge.dst, r.depth + 1 FROM reach r JOIN ge ON ge.src = r.node WHERE r.depth < 3"""
+
+CTE["gm"] = """
+SELECT ui.user_id, ps.article_id, min(ps.depth) AS graph_depth,
+       array_to_string(list_sort(list_distinct(list('Follows ' || ui.name))), '|') AS match_reasons
+FROM ui JOIN (SELECT r.seed, ae.article_id, min(r.depth) AS depth
+              FROM reach r JOIN (SELECT DISTINCT article_id, lower(trim(name)) AS node FROM fc_ent) ae
+                ON ae.node = r.node GROUP BY 1, 2) ps ON ps.seed = lower(trim(ui.name))
+GROUP BY 1, 2"""
+
+_CUR = ("ln", "cand", "fc_ent", "edges", "fx_rel", "gedges", "ui", "vecs_u", "vecs_a", "ge")
+
+
+def _recursive(body: str, names: tuple, rec: str = "reach(seed, node, depth)", after: tuple = ("gm",)) -> str:
+    parts = [f"{n} AS ({CTE[n]}\n)" for n in names]
+    parts.append(f"{rec} AS ({CTE['reach']}\n)")
+    parts += [f"{n} AS ({CTE[n]}\n)" for n in after]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
+
+
+SQL["user_interests"] = with_ctes("SELECT user_id, name, round(weight, 6) AS weight FROM ui", "ui")
+
+SQL["graph_match"] = _recursive("""
+SELECT user_id, article_id, CAST(graph_depth AS BIGINT) AS graph_depth, match_reasons FROM gm""", _CUR)
+
+SQL["vector_topk"] = with_ctes("""
+SELECT user_id, article_id, score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, article_id) AS rank
+  FROM (SELECT u.user_id, a.article_id, round(list_cosine_similarity(u.v, a.v), 6) AS score
+        FROM vecs_u u, vecs_a a)) WHERE rank <= 10""", "vecs_u", "vecs_a")
+
+_FEED = """
+SELECT user_id, article_id, relevance_score, CAST(graph_depth AS BIGINT) AS graph_depth, match_reasons,
+       CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY relevance_score DESC, article_id) AS rank
+  FROM (SELECT gm.*, round(0.7 / (1 + gm.graph_depth)
+                           + 0.3 * greatest(0.0, coalesce(list_cosine_similarity(u.v, a.v), 0.0)), 6) AS relevance_score
+        FROM gm LEFT JOIN vecs_u u ON u.user_id = gm.user_id LEFT JOIN vecs_a a ON a.article_id = gm.article_id
+        {where})) WHERE rank <= 20"""
+
+SQL["user_feed"] = _recursive(_FEED.format(where=""), _CUR)
+SQL["fresh_feed"] = _recursive(_FEED.format(
+    where="WHERE a.published > (SELECT max(o_orderdate) FROM orders) - INTERVAL 24 HOURS"), _CUR)

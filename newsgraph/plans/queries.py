@@ -449,3 +449,72 @@ def impact_trace(spark, sf_dir):
     seeds = t.supplier.select(node_key(F.col("s_name")).alias("seed"), node_key(F.col("s_name")).alias("node"))
     tr = trace(seeds, trace_edges(t), 3)
     return tr.select("seed", "node", F.col("depth").cast("bigint").alias("depth"))
+
+
+# ------------------------------------------------------------------ curation
+
+def _vectors(t: Tables):
+    """(user vectors, article vectors): embeddings row key % count(embeddings) (2.12)."""
+    emb = t.embeddings.select("vec_id", "embedding")
+    n = emb.count()  # one number, used as a modulus
+    users = t.events.select("user_id").distinct()
+    uv = users.join(emb, (users.user_id % n) == emb.vec_id).select("user_id", F.col("embedding").alias("vec"))
+    o = t.orders.select("o_orderkey")
+    av = o.join(emb, (o.o_orderkey % n) == emb.vec_id).select(
+        F.col("o_orderkey").cast("string").alias("article_id"), F.col("embedding").alias("vec"))
+    return uv, av
+
+
+def _matches(t: Tables) -> DataFrame:
+    from newsgraph.operators.curate import graph_match as gm
+    return gm(fx.interests_fixture(t), kept_entities(t), graph_edges_table(t))
+
+
+@query
+def user_interests(spark, sf_dir):
+    from newsgraph.operators.curate import interests
+    i = fx.interests_fixture(_t(spark, sf_dir))
+    return interests(i).select("user_id", "name", _r6("weight"))
+
+
+@query
+def graph_match(spark, sf_dir):
+    m = _matches(_t(spark, sf_dir))
+    return m.select("user_id", "article_id", F.col("graph_depth").cast("bigint").alias("graph_depth"),
+                    F.array_join("match_reasons", "|").alias("match_reasons"))
+
+
+@query
+def vector_topk(spark, sf_dir):
+    from newsgraph.operators.curate import vector_topk as topk
+    uv, av = _vectors(_t(spark, sf_dir))
+    r = topk(uv.withColumnRenamed("user_id", "qid"), av.withColumnRenamed("article_id", "iid"), 10)
+    return r.select(F.col("qid").alias("user_id"), F.col("iid").alias("article_id"), _r6("score"),
+                    F.col("rank").cast("bigint").alias("rank"))
+
+
+def _feed_cols(f: DataFrame) -> DataFrame:
+    return f.select(F.col("user_id").cast("bigint").alias("user_id"), "article_id", _r6("relevance_score"),
+                    F.col("graph_depth").cast("bigint").alias("graph_depth"),
+                    F.array_join("match_reasons", "|").alias("match_reasons"),
+                    F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def user_feed(spark, sf_dir):
+    from newsgraph.operators.curate import user_feed as feed
+    t = _t(spark, sf_dir)
+    uv, av = _vectors(t)
+    return _feed_cols(feed(_matches(t), uv, av, as_of=F.lit(AS_OF).cast("timestamp")))
+
+
+@query
+def fresh_feed(spark, sf_dir):
+    from newsgraph.operators.curate import fresh, user_feed as feed
+    t = _t(spark, sf_dir)
+    uv, av = _vectors(t)
+    ts = t.orders.select(F.col("o_orderkey").cast("string").alias("article_id"),
+                         F.col("o_orderdate").cast("timestamp").alias("published"))
+    as_of = F.lit(t.orders.agg(F.max(F.col("o_orderdate").cast("timestamp"))).first()[0])
+    m = fresh(_matches(t).join(ts, "article_id"), "published", as_of)
+    return _feed_cols(feed(m, uv, av, as_of=as_of))

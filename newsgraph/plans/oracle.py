@@ -699,3 +699,49 @@ SELECT user_id, article_id, relevance_score, CAST(graph_depth AS BIGINT) AS grap
 SQL["user_feed"] = _recursive(_FEED.format(where=""), _CUR)
 SQL["fresh_feed"] = _recursive(_FEED.format(
     where="WHERE a.published > (SELECT max(o_orderdate) FROM orders) - INTERVAL 24 HOURS"), _CUR)
+
+# ---------------------------------------------------------------- metrics
+
+SQL["stage_counts"] = with_ctes("""
+SELECT 'entities_total' AS metric, CAST(count(*) AS BIGINT) AS value FROM parsed_ent
+UNION ALL SELECT 'entities_high_confidence', count(*) FILTER (WHERE confidence >= 0.7) FROM parsed_ent
+UNION ALL SELECT 'relationships_total', count(*) FROM parsed_rel
+UNION ALL SELECT 'relationships_high_confidence', count(*) FILTER (WHERE confidence >= 0.7) FROM parsed_rel
+UNION ALL SELECT 'factcheck_total', count(*) FROM checked
+UNION ALL SELECT 'factcheck_validated', count(*) FILTER (WHERE validated) FROM checked
+UNION ALL SELECT 'factcheck_hallucinations', count(*) FILTER (WHERE NOT validated) FROM checked""",
+                                 "ln", "cand", "parsed_ent", "fc_ent", "edges", "parsed_rel", *_KB, "checked")
+
+SQL["token_usage"] = with_ctes("""
+SELECT model, stage, CAST(sum(tok) AS BIGINT) AS tokens, CAST(count(*) FILTER (WHERE idx <> 19) AS BIGINT) AS responses
+FROM (SELECT 'gpt-4-turbo-preview' AS model, stage, idx, CASE WHEN idx = 19 THEN 0 ELSE tok END AS tok FROM (
+  SELECT 'entity' AS stage, o_orderkey % 20 AS idx, 200 + o_orderkey % 97 AS tok FROM orders
+  UNION ALL
+  SELECT 'mapping', (o_orderkey + 7) % 20, 300 + o_orderkey % 89 FROM orders
+  WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT article_id FROM fc_ent GROUP BY article_id HAVING count(*) >= 2)
+  UNION ALL
+  SELECT 'impact', (o_orderkey + 13) % 20, 150 + o_orderkey % 83 FROM orders
+  WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT article_id FROM fc_ent)))
+GROUP BY ROLLUP (model, stage)""", "ln", "cand", "fc_ent")
+
+SQL["article_metrics"] = with_ctes("""
+SELECT article_id, n_entities AS entity_count, n_relationships AS relationship_count, severity,
+       CAST(CASE WHEN hallucination_flags = '' THEN 0
+                 ELSE len(string_split(hallucination_flags, ' | ')) END AS BIGINT) AS n_flags,
+       CASE WHEN severity BETWEEN 1 AND 3 THEN 'minor' WHEN severity BETWEEN 4 AND 6 THEN 'significant'
+            WHEN severity BETWEEN 7 AND 8 THEN 'major' WHEN severity BETWEEN 9 AND 10 THEN 'crisis' END AS severity_band,
+       fact_check_passed
+FROM events_flat""", *_EVENT_CTES, fc_ent=_FC_FROM_PARSED)
+
+SQL["hallucination_rate"] = with_ctes("""
+SELECT c.type, o.o_orderstatus AS source, CAST(count(*) AS BIGINT) AS n,
+       CAST(count(*) FILTER (WHERE NOT c.validated) AS BIGINT) AS flagged,
+       round(avg(CASE WHEN c.validated THEN 0.0 ELSE 1.0 END), 6) AS rate
+FROM checked c JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = c.article_id
+GROUP BY CUBE (c.type, o.o_orderstatus)""", "ln", "cand", "fc_ent", *_KB, "checked")
+
+SQL["events_windowed"] = """
+SELECT CAST(epoch(time_bucket(INTERVAL 15 MINUTE, ts)) AS BIGINT) AS window_start, event_type,
+       CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total_value,
+       CAST(count(DISTINCT user_id) AS BIGINT) AS users
+FROM events GROUP BY 1, 2"""

@@ -518,3 +518,65 @@ def fresh_feed(spark, sf_dir):
     as_of = F.lit(t.orders.agg(F.max(F.col("o_orderdate").cast("timestamp"))).first()[0])
     m = fresh(_matches(t).join(ts, "article_id"), "published", as_of)
     return _feed_cols(feed(m, uv, av, as_of=as_of))
+
+
+# ------------------------------------------------------------------ metrics
+
+@query
+def stage_counts(spark, sf_dir):
+    from newsgraph.operators.metrics import stage_counts as counts
+    t = _t(spark, sf_dir)
+    return counts(parsed_entities(t), parsed_relationships(t), _checked(t))
+
+
+def _attached(t: Tables) -> DataFrame:
+    from newsgraph.operators import prompts as pr
+    from newsgraph.operators.responses import attach
+    arts = fx.order_articles(t)
+    kept = kept_entities(t)
+    gated = arts.join(kept.select("article_id"), "article_id", "left_semi")
+    reqs = pr.entity_requests(arts).unionByName(pr.causal_requests(arts, kept)) \
+        .unionByName(pr.impact_requests(gated, _checked(t).filter(F.col("validated")),
+                                        fixture_relationships(t)))
+    return attach(reqs, fx.responses_fixture(t))
+
+
+@query
+def token_usage(spark, sf_dir):
+    from newsgraph.operators.metrics import token_usage as usage
+    u = usage(_attached(_t(spark, sf_dir)))
+    return u.select("model", "stage", F.col("tokens").cast("bigint").alias("tokens"),
+                    F.col("responses").cast("bigint").alias("responses"))
+
+
+@query
+def article_metrics(spark, sf_dir):
+    from newsgraph.operators.metrics import article_metrics as am
+    m = am(order_batch(_t(spark, sf_dir)).events)
+    return m.select("article_id", *[F.col(c).cast("bigint").alias(c) for c in
+                                    ("entity_count", "relationship_count", "severity", "n_flags")],
+                    "severity_band", "fact_check_passed")
+
+
+@query
+def hallucination_rate(spark, sf_dir):
+    from newsgraph.operators.metrics import hallucination_rate as rate
+    t = _t(spark, sf_dir)
+    src = t.orders.select(F.col("o_orderkey").cast("string").alias("article_id"),
+                          F.col("o_orderstatus").alias("source"))
+    r = rate(_checked(t).join(src, "article_id"))
+    return r.select("type", "source", F.col("n").cast("bigint").alias("n"),
+                    F.col("flagged").cast("bigint").alias("flagged"), _r6("rate"))
+
+
+@query
+def events_windowed(spark, sf_dir):
+    from newsgraph.operators.metrics import windowed
+    ev = _t(spark, sf_dir).events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type",
+                                         "value", "user_id")
+    w = windowed(ev, "ts", ["event_type"], "15 minutes",
+                 [F.count("*").alias("n"), F.sum("value").alias("total_value"),
+                  F.countDistinct("user_id").alias("users")])
+    return w.select(F.unix_seconds("window.start").alias("window_start"), "event_type",
+                    F.col("n").cast("bigint").alias("n"), _r6("total_value"),
+                    F.col("users").cast("bigint").alias("users"))

@@ -745,3 +745,5 @@ SELECT CAST(epoch(time_bucket(INTERVAL 15 MINUTE, ts)) AS BIGINT) AS window_star
        CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total_value,
        CAST(count(DISTINCT user_id) AS BIGINT) AS users
 FROM events GROUP BY 1, 2"""
+
+SQL["stream_graph_events"] = SQL["graph_events_flat"]

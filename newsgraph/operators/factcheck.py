@@ -95,11 +95,20 @@ def company_verdicts(names: DataFrame, kb: DataFrame | None, limit: int = CANDID
             F.lit(None).cast("double").alias("v_confidence"),
             F.create_map().cast("map<string,string>").alias("v_metadata"),
             F.lit(REASON_NO_KEY).alias("reason"))
-    c = search_kb(names, kb, "kb_id", "name", limit, language, how="left")
-    exact = F.lower(F.col("cand_name")) == F.lower(F.col("name"))
-    v = c.groupBy("key", "name").agg(
+    return company_verdict(search_kb(names, kb, "kb_id", "name", limit, language, how="left"), limit)
+
+
+def company_verdict(cands: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    """Verdict from ranked candidates (key, name, rank, kb_id, cand_name, permalink,
+    short_description; NULL candidate columns = no candidate).  An exact name
+    wins wherever it ranks among the candidates; any candidate is a partial match."""
+    if "key" not in cands.columns:
+        cands = cands.withColumn("key", _norm(F.col("name")))
+    seen = F.col("kb_id").isNotNull() & (F.col("rank") <= limit)   # the search returns `limit`
+    exact = seen & (F.lower(F.col("cand_name")) == F.lower(F.col("name")))
+    v = cands.groupBy("key", "name").agg(
         F.min(F.when(exact, F.struct("rank", "kb_id", "permalink", "short_description"))).alias("ex"),
-        F.count("kb_id").alias("n_cand"))
+        F.count(F.when(seen, F.col("kb_id"))).alias("n_cand"))
     has_exact, has_any = F.col("ex").isNotNull(), F.coalesce(F.col("n_cand"), F.lit(0)) > 0
     meta = (F.when(has_exact, F.create_map(
                 F.lit("crunchbase_uuid"), F.col("ex.kb_id"), F.lit("permalink"), F.col("ex.permalink"),
@@ -123,10 +132,16 @@ def wiki_verdicts(keys: DataFrame, kb: DataFrame, limit: int = CANDIDATE_LIMIT,
     inside the name -> 0.80 fuzzy; otherwise not_found.
     """
     keys = keys.select("name", "type").distinct()
-    c = search_kb(keys, kb, "wikidata_id", "label", limit, language, how="left")
+    return wiki_verdict(search_kb(keys, kb, "wikidata_id", "label", limit, language, how="left"), limit)
+
+
+def wiki_verdict(cands: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    """Verdict from ranked candidates (key, name, type, rank, wikidata_id, label,
+    description): the first candidate in rank order that hits decides."""
+    c = cands if "key" in cands.columns else cands.withColumn("key", _norm(F.col("name")))
     lname, llabel = F.lower(F.col("name")), F.lower(F.coalesce(F.col("label"), F.lit("")))
     desc = F.coalesce(F.col("description"), F.lit(""))
-    cand = F.col("wikidata_id").isNotNull()
+    cand = F.col("wikidata_id").isNotNull() & (F.col("rank") <= limit)
     exact = cand & (llabel == lname)
     fuzzy = cand & (F.contains(F.lower(desc), F.col("type")) | F.contains(lname, llabel))
     first = F.min(F.when(exact | fuzzy, F.struct(

@@ -44,11 +44,12 @@ def graph_match(user_interests: DataFrame, article_entities: DataFrame, edges: D
         F.array_sort(F.collect_set(F.concat(F.lit(REASON_PREFIX), F.col("name")))).alias("match_reasons"))
 
 
-def _unit(v: Column) -> Column:
-    """Vector scaled to unit length, as DOUBLE (JVM-side expressions)."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(d, lambda x: x / norm)
+def _rows_unit(col: pd.Series) -> np.ndarray:
+    """Stack a column of vectors into a float64 matrix of unit rows."""
+    m = np.stack(col.to_numpy()).astype(np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / n
 
 
 def _cosine_batch(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -82,39 +83,52 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
 
     Blocked nested loop without a cross join of rows: queries and items are
     hashed into blocks sized so a (query block x item block) score matrix fits
-    one task; each block pair is scored with one matrix product in an Arrow
-    batch (``cogroup.applyInPandas``) and only its per-query top-k is emitted;
+    one task; each block pair is scored with one matrix product on Arrow
+    batches (grouped ``applyInPandas``) and only its per-query top-k is emitted;
     a final window keeps the global top-k.  Ties rank by item id; scores are
     compared at 6 decimals so the order does not depend on summation order.
     """
-    q = queries.select(F.col("qid"), _unit(F.col("vec")).alias("vec"))
-    it = items.select(F.col("iid"), _unit(F.col("vec")).alias("vec"))
+    q = queries.select(F.col("qid"), F.col("vec").cast("array<double>").alias("vec"))
+    it = items.select(F.col("iid"), F.col("vec").cast("array<double>").alias("vec"))
     nq = max(1, math.ceil(q.count() / BLOCK_ROWS))
     ni = max(1, math.ceil(it.count() / BLOCK_ROWS))
-    qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq))) \
-          .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1))))
-    ib = it.withColumn("ib", F.pmod(F.xxhash64("iid"), F.lit(ni))) \
-           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     qtype = dict(q.dtypes)["qid"]
     itype = dict(it.dtypes)["iid"]
-
-    def score(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
+    # one grouped frame per (query block, item block): queries are copied to every
+    # item block and items to every query block (block counts, not rows, multiply)
+    qrows = q.select(F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("qb"),
+                     F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"),
+                     F.lit(0).alias("side"), "qid", F.lit(None).cast(itype).alias("iid"), "vec")
+    irows = it.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"),
+                      F.pmod(F.xxhash64("iid"), F.lit(ni)).alias("ib"),
+                      F.lit(1).alias("side"), F.lit(None).cast(qtype).alias("qid"), "iid", "vec")
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        qpdf, ipdf = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if qpdf.empty or ipdf.empty:
-            return pd.DataFrame({"qid": [], "iid": [], "score": []})
-        qm = np.stack(qpdf["vec"].to_numpy()).astype(np.float64)
-        im = np.stack(ipdf["vec"].to_numpy()).astype(np.float64)
+            return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
+                                 "score": pd.Series([], dtype=float)})
+        qm = _rows_unit(qpdf["vec"])
+        im = _rows_unit(ipdf["vec"])
+        order = np.argsort(ipdf["iid"].to_numpy(), kind="stable")
+        im, iids = im[order], ipdf["iid"].to_numpy()[order]
         s = np.round(qm @ im.T, 6)
-        iids = ipdf["iid"].to_numpy()
-        order_ids = np.argsort(iids, kind="stable")
-        s, iids = s[:, order_ids], iids[order_ids]
         kk = min(k, s.shape[1])
-        # stable sort on -score keeps the id order among equal scores
-        top = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(s.shape[0]), kk)
-        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[rows], "iid": iids[top.ravel()],
-                             "score": s[rows, top.ravel()]})
-
-    part = qb.groupBy("qb", "ib").cogroup(ib.groupBy("qb", "ib")).applyInPandas(
+        # k-th best score per query; every item scoring at least that is a candidate
+        # (ties included), then candidates are ordered by (-score, item id)
+        kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+        out_q, out_i, out_s = [], [], []
+        qids = qpdf["qid"].to_numpy()
+        for r in range(s.shape[0]):
+            cand = np.nonzero(s[r] >= kth[r])[0]
+            best = cand[np.lexsort((cand, -s[r, cand]))][:kk]
+            out_q.append(np.repeat(qids[r], len(best)))
+            out_i.append(iids[best])
+            out_s.append(s[r, best])
+        return pd.DataFrame({"qid": np.concatenate(out_q), "iid": np.concatenate(out_i),
+                             "score": np.concatenate(out_s)})
+
+    part = qrows.unionByName(irows).groupBy("qb", "ib").applyInPandas(
         score, f"qid {qtype}, iid {itype}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("iid"))
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -33,6 +33,33 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``newsgraph`` importable in Python workers (pandas UDFs, applyInPandas).
+
+    The package is zipped once per SparkContext and added with ``addPyFile``,
+    the standard way to distribute code to every executor.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="newsgraph-code-"), "newsgraph.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the operators rely on to an existing session."""
     for k, v in SESSION_CONF.items():
@@ -41,6 +68,7 @@ def configure(spark: SparkSession) -> SparkSession:
         except Exception:  # static conf on a shared session
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 

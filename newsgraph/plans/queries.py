@@ -206,7 +206,8 @@ def order_batch(t: Tables, cfg: Config = Config()):
     from newsgraph.plans.process import process_batch
     arts = fx.order_articles(t).drop("file_no")
     return process_batch(arts, fx.responses_fixture(t), fx.company_kb(t), fx.wiki_kb(t),
-                         cfg=cfg, as_of=F.lit("2024-06-01 00:00:00").cast("timestamp"))
+                         cfg=cfg, as_of=F.lit("2024-06-01 00:00:00").cast("timestamp"),
+                         checkpoint=True)
 
 
 @query

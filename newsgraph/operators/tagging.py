@@ -60,7 +60,7 @@ def ngrams(tokens: DataFrame, id_col: str, n_max: int) -> DataFrame:
         t = t.withColumn(f"m{k}", F.lead("match", k).over(w)) \
              .withColumn(f"e{k}", F.lead("end", k).over(w)) \
              .withColumn(f"p{k}", F.col("post") if k == 1 else F.lead("post", k - 1).over(w))
-    out = []
+    grams = []
     for n in range(1, n_max + 1):
         words = [F.col("match")] + [F.col(f"m{k}") for k in range(1, n)]
         surface = F.col("match")
@@ -72,13 +72,12 @@ def ngrams(tokens: DataFrame, id_col: str, n_max: int) -> DataFrame:
             ok = ok & F.col(f"m{k}").isNotNull() & (F.length(gap) > 0) \
                 & (F.regexp_replace(gap, BLANK_RE, "") == "")
         end = F.col("end") if n == 1 else F.col(f"e{n - 1}")
-        out.append(t.filter(ok).select(
-            id_col, F.col("idx").alias("tok"), F.lit(n).alias("n"), "start", end.alias("end"),
-            surface.alias("name"), F.lower(F.concat_ws(" ", *words)).alias("phrase")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        grams.append(F.when(ok, F.struct(F.lit(n).alias("n"), end.alias("end"), surface.alias("name"),
+                                          F.lower(F.concat_ws(" ", *words)).alias("phrase"))))
+    # one window pass and one generator for all widths (not one scan per width)
+    g = t.select(id_col, F.col("idx").alias("tok"), "start",
+                 F.explode(F.filter(F.array(*grams), lambda x: x.isNotNull())).alias("g"))
+    return g.select(id_col, "tok", "g.n", "start", "g.end", "g.name", "g.phrase")
 
 
 def resolve_overlaps(cands: DataFrame, id_col: str, n_max: int) -> DataFrame:

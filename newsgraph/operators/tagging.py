@@ -34,7 +34,10 @@ def regex_spans(df: DataFrame, id_col: str, text_col: str, pattern: str) -> Data
     n = F.size(matches)
     z = F.arrays_zip(F.slice(pieces, 1, n).alias("pre"), matches.alias("m"),
                      F.slice(pieces, 2, n).alias("post"))
-    ex = df.select(F.col(id_col), F.posexplode(F.when(n > 0, z)).alias("idx", "s")) \
+    # cluster the texts by id before exploding: the tokens of a text are then born in
+    # the partition that the per-text windows need, and no token row is shuffled
+    ex = df.select(id_col, text_col).repartition(id_col) \
+           .select(F.col(id_col), F.posexplode(F.when(n > 0, z)).alias("idx", "s")) \
            .select(id_col, "idx", "s.pre", "s.m", "s.post")
     w = Window.partitionBy(id_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("pre") + F.length("m")).over(w)
@@ -52,14 +55,22 @@ def max_phrase_words(gazetteer: DataFrame) -> int:
     return int(v or 1)
 
 
-def ngrams(tokens: DataFrame, id_col: str, n_max: int) -> DataFrame:
-    """Phrases of 1..n_max consecutive tokens joined by blanks only."""
+def ngrams(tokens: DataFrame, id_col: str, n_max: int, first_words: DataFrame | None = None) -> DataFrame:
+    """Phrases of 1..n_max consecutive tokens joined by blanks only.
+
+    ``first_words(word)``: when given, phrases are only grown from tokens whose
+    lower-cased text starts some dictionary phrase (a semi-join after the
+    window, so the following tokens are still visible).
+    """
     w = Window.partitionBy(id_col).orderBy("idx")
     t = tokens
     for k in range(1, n_max):
         t = t.withColumn(f"m{k}", F.lead("match", k).over(w)) \
              .withColumn(f"e{k}", F.lead("end", k).over(w)) \
              .withColumn(f"p{k}", F.col("post") if k == 1 else F.lead("post", k - 1).over(w))
+    if first_words is not None:
+        t = t.join(first_words.select(F.col("word").alias("_w")).distinct(),
+                   F.lower(F.col("match")) == F.col("_w"), "left_semi")
     grams = []
     for n in range(1, n_max + 1):
         words = [F.col("match")] + [F.col(f"m{k}") for k in range(1, n)]
@@ -105,9 +116,10 @@ def tag_mentions(articles: DataFrame, gazetteer: DataFrame, id_col: str = "artic
     spark = articles.sparkSession
     n_max = n_max or max_phrase_words(gazetteer)
     toks = regex_spans(articles, id_col, text_col, WORD_RE)
-    grams = ngrams(toks, id_col, n_max)
     gaz = gazetteer.select(F.lower(F.trim("phrase")).alias("phrase"), "label") \
                    .join(F.broadcast(label_map(spark)), "label")
+    firsts = gaz.select(F.split("phrase", " +")[0].alias("word"))
+    grams = ngrams(toks, id_col, n_max, firsts)
     cands = grams.join(gaz, "phrase")
     kept = resolve_overlaps(cands, id_col, n_max)
     return kept.select(id_col, "start", "end", "name", "phrase", "label", "type",

@@ -18,6 +18,7 @@ GRAPH_WEIGHT, VECTOR_WEIGHT = 0.7, 0.3
 FEED_SIZE = 20
 REASON_PREFIX = "Follows "
 BLOCK_ROWS = 20_000   # vectors per side held by one task in the exact top-k
+QUERY_CHUNK = 512     # queries scored per matrix product (bounds the score matrix)
 
 
 def interests(interactions: DataFrame, weight_col: str = "weight") -> DataFrame:
@@ -112,19 +113,21 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         im = _rows_unit(ipdf["vec"])
         order = np.argsort(ipdf["iid"].to_numpy(), kind="stable")
         im, iids = im[order], ipdf["iid"].to_numpy()[order]
-        s = np.round(qm @ im.T, 6)
-        kk = min(k, s.shape[1])
-        # k-th best score per query; every item scoring at least that is a candidate
-        # (ties included), then candidates are ordered by (-score, item id)
-        kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-        out_q, out_i, out_s = [], [], []
         qids = qpdf["qid"].to_numpy()
-        for r in range(s.shape[0]):
-            cand = np.nonzero(s[r] >= kth[r])[0]
-            best = cand[np.lexsort((cand, -s[r, cand]))][:kk]
-            out_q.append(np.repeat(qids[r], len(best)))
-            out_i.append(iids[best])
-            out_s.append(s[r, best])
+        kk = min(k, im.shape[0])
+        out_q, out_i, out_s = [], [], []
+        # score QUERY_CHUNK queries at a time: memory is chunk x block, not block x block
+        for c0 in range(0, qm.shape[0], QUERY_CHUNK):
+            s = np.round(qm[c0:c0 + QUERY_CHUNK] @ im.T, 6)
+            # k-th best score per query; every item scoring at least that is a candidate
+            # (ties included), then candidates are ordered by (-score, item id)
+            kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+            for r in range(s.shape[0]):
+                cand = np.nonzero(s[r] >= kth[r])[0]
+                best = cand[np.lexsort((cand, -s[r, cand]))][:kk]
+                out_q.append(np.repeat(qids[c0 + r], len(best)))
+                out_i.append(iids[best])
+                out_s.append(s[r, best])
         return pd.DataFrame({"qid": np.concatenate(out_q), "iid": np.concatenate(out_i),
                              "score": np.concatenate(out_s)})
 

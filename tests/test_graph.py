@@ -87,3 +87,24 @@ def test_vector_topk_matches_numpy(spark):
         order = sorted(range(40), key=lambda j: (-s[i, j], f"i{j:02d}"))[:4]
         exp += [(i, r + 1, f"i{j:02d}") for r, j in enumerate(order)]
     assert got == sorted(exp)
+
+
+def test_ttl_keep_random_vs_fold(spark):
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(6):
+        for _ in range(rnd.randrange(1, 40)):
+            rows.append((f"id{i}", base + dt.timedelta(minutes=rnd.randrange(0, 60 * 24 * 60))))
+    rows = [(a, ts, n) for n, (a, ts) in enumerate(rows)]
+    exp = set()
+    for i in range(6):
+        last = None
+        for ts in sorted({ts for a, ts, _ in rows if a == f"id{i}"}):
+            if last is None or ts - last > dt.timedelta(days=7):
+                exp.add((f"id{i}", ts))
+                last = ts
+    df = spark.createDataFrame(rows, "article_id string, fetch_timestamp timestamp, n int")
+    for hours in (1, 24, 240):
+        got = {(r.article_id, r.fetch_timestamp) for r in ttl_keep(df, tie=["n"], bucket_hours=hours).collect()}
+        assert got == exp, hours

@@ -43,3 +43,11 @@ def test_trace_depth_bounded(spark):
     tr = Q.impact_trace(spark, SF)
     assert tr.filter("depth > 3 or depth < 0").count() == 0
     assert tr.filter("depth = 0 and seed <> node").count() == 0
+
+
+def test_quarantine_tells_missing_from_quiet(spark):
+    t = Tables(spark, SF)
+    q = Q.order_batch(t).quarantine
+    missing = {r.article_id for r in q.filter("stage = 'entity' and reason = 'missing'").collect()}
+    exp = {str(r.o_orderkey) for r in t.orders.filter("o_orderkey % 20 = 19").collect()}
+    assert missing == exp

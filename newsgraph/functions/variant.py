@@ -27,6 +27,16 @@ def get(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
+def fields(v: Column, names) -> Column:
+    """All named fields of a JSON object in one read: STRUCT of VARIANTs.
+
+    The struct is NULL when ``v`` is not an object; a missing key gives a SQL NULL
+    field, a JSON null gives a variant null (the distinction pydantic makes).
+    """
+    ddl = ",".join(f"`{n}`:variant" for n in names)
+    return F.try_variant_get(v, "$", f"struct<{ddl}>")
+
+
 def kind(v: Column) -> Column:
     """JSON kind of a scalar: STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, VOID.
 

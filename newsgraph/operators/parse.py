@@ -46,12 +46,24 @@ def _first_failure(checks: list[tuple[str, Column]]) -> Column:
 # once and no read sits inside a conditional branch, so the generated code stays
 # small and nothing is evaluated twice.
 
-def _entity_raw(el: Column, p: str, hoist_from_metadata: bool) -> list[Column]:
-    src = "$.metadata." if hoist_from_metadata else "$."
-    return [V.is_object(el).alias(f"{p}is_obj"), V.get(el, "$.name").alias(f"{p}name_v"),
-            V.get(el, "$.type").alias(f"{p}type_v"), V.get(el, "$.confidence").alias(f"{p}conf_v"),
-            V.get(el, "$.metadata").alias(f"{p}meta_v")] + \
-           [V.get(el, f"{src}{k}").alias(f"{p}{k}_v") for k in HOISTED]
+ENTITY_KEYS = ("name", "type", "confidence", "metadata")
+
+
+def _entity_fields_struct(el: Column, hoist_from_metadata: bool) -> Column:
+    """One read of an Entity object: its keys as a struct of VARIANTs."""
+    return V.fields(el, ENTITY_KEYS if hoist_from_metadata else (*ENTITY_KEYS, *HOISTED))
+
+
+def _entity_raw(struct_col: str, p: str, hoist_from_metadata: bool) -> list[Column]:
+    """Sub-values of an Entity from its field struct (see ``_entity_fields_struct``)."""
+    s = F.col(struct_col)
+    out = [s.isNotNull().alias(f"{p}is_obj"), s["name"].alias(f"{p}name_v"),
+           s["type"].alias(f"{p}type_v"), s["confidence"].alias(f"{p}conf_v"),
+           s["metadata"].alias(f"{p}meta_v")]
+    if hoist_from_metadata:   # industry/role/country/severity come from metadata only
+        m = V.fields(s["metadata"], HOISTED)
+        return out + [m[k].alias(f"{p}{k}_v") for k in HOISTED]
+    return out + [s[k].alias(f"{p}{k}_v") for k in HOISTED]
 
 
 def _entity_typed(p: str) -> list[Column]:
@@ -147,8 +159,9 @@ def entity_elements(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     gives none (an object without the key yields nothing, as in the reference).
     """
     ok, bad = _explode(_root_elements(responses, "entity", "entities", wrap_object=False), "entity")
-    raw = ok.select("article_id", F.col("pos").cast("int").alias("pos"), F.to_json("el").alias("raw"),
-                    *_entity_raw(F.col("el"), "e_", hoist_from_metadata=True))
+    obj = ok.select("article_id", F.col("pos").cast("int").alias("pos"), F.to_json("el").alias("raw"),
+                    _entity_fields_struct(F.col("el"), True).alias("e_s"))
+    raw = obj.select("article_id", "pos", "raw", *_entity_raw("e_s", "e_", hoist_from_metadata=True))
     typed = raw.select("article_id", "pos", "raw", *_entity_typed("e_"))
     checks, value = _entity_checks("e_")
     el = typed.select("article_id", "pos", "raw", _first_failure(checks).alias("reason"), value.alias("e"))
@@ -169,14 +182,18 @@ def relationship_elements(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relationship elements; a lone object without the key is one relationship."""
     ok, bad = _explode(_root_elements(responses, "mapping", "relationships", wrap_object=True), "mapping")
     el = F.col("el")
-    sub = ok.select("article_id", F.col("pos").cast("int").alias("pos"), F.to_json(el).alias("raw"),
-                    V.is_object(el).alias("is_obj"),
-                    V.get(el, "$.subject").alias("s"), V.get(el, "$.object").alias("o"),
-                    V.get(el, "$.action").alias("action_v"), V.get(el, "$.sentiment").alias("sent_v"),
-                    V.get(el, "$.confidence").alias("conf_v"), V.get(el, "$.reasoning").alias("reas_v"))
+    top = ok.select("article_id", F.col("pos").cast("int").alias("pos"), F.to_json(el).alias("raw"),
+                    V.fields(el, ("subject", "object", "action", "sentiment", "confidence",
+                                  "reasoning")).alias("r_s"))
+    r = F.col("r_s")
+    sub = top.select("article_id", "pos", "raw", r.isNotNull().alias("is_obj"),
+                     r["action"].alias("action_v"), r["sentiment"].alias("sent_v"),
+                     r["confidence"].alias("conf_v"), r["reasoning"].alias("reas_v"),
+                     _entity_fields_struct(r["subject"], False).alias("s_s"),
+                     _entity_fields_struct(r["object"], False).alias("o_s"))
     raw = sub.select("article_id", "pos", "raw", "is_obj", "action_v", "sent_v", "conf_v", "reas_v",
-                     *_entity_raw(F.col("s"), "s_", hoist_from_metadata=False),
-                     *_entity_raw(F.col("o"), "o_", hoist_from_metadata=False))
+                     *_entity_raw("s_s", "s_", hoist_from_metadata=False),
+                     *_entity_raw("o_s", "o_", hoist_from_metadata=False))
     typed = raw.select(
         "article_id", "pos", "raw", "is_obj",
         V.kind(F.col("action_v")).alias("action_k"),

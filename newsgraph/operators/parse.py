@@ -30,7 +30,6 @@ ENTITY_TYPE = (
     "industry:string,role:string,country:string,severity:string>"
 )
 
-QUARANTINE_COLS = ["stage", "article_id", "pos", "raw", "reason"]
 
 
 def _first_failure(checks: list[tuple[str, Column]]) -> Column:
@@ -243,10 +242,12 @@ def parse_impacts(responses: DataFrame, articles: DataFrame | None = None) -> Da
     else:
         r = r.withColumn("missing", F.lit(False))
     root = F.col("root")
-    r = r.select("*", V.is_object(root).alias("_obj"), V.get(root, "$.summary").alias("summary_v"),
-                 V.get(root, "$.severity").alias("severity_v"),
-                 V.get(root, "$.affected_sectors").alias("sectors_v"),
-                 V.get(root, "$.key_stakeholders").alias("stake_v"))
+    r = r.withColumn("_f", V.fields(root, ("summary", "severity", "affected_sectors",
+                                            "key_stakeholders")))
+    f = F.col("_f")
+    r = r.select("*", f.isNotNull().alias("_obj"), f["summary"].alias("summary_v"),
+                 f["severity"].alias("severity_v"), f["affected_sectors"].alias("sectors_v"),
+                 f["key_stakeholders"].alias("stake_v"))
     r = r.select("*", F.when(V.kind(F.col("summary_v")) == "STRING",
                              F.try_variant_get(F.col("summary_v"), "$", "string")).alias("summary_s"),
                  V.lax_int(F.col("severity_v")).alias("severity_i"),
@@ -278,7 +279,3 @@ def parse_impacts(responses: DataFrame, articles: DataFrame | None = None) -> Da
          .alias("affected_sectors"),
         F.when(ok, stake).otherwise(F.array().cast("array<string>")).alias("key_stakeholders"),
         "status")
-
-
-def empty_quarantine(spark) -> DataFrame:
-    return spark.createDataFrame([], "stage string, article_id string, pos int, raw string, reason string")

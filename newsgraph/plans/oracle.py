@@ -126,7 +126,7 @@ JOIN ctop t ON lower(trim(q.name)) = t.key JOIN company_kb kb ON kb.kb_id = t.ci
 CTE["cverdict"] = """
 SELECT q.name, 'company' AS type,
        e.kb_id IS NOT NULL OR coalesce(n.n, 0) > 0 AS validated,
-       CASE WHEN e.kb_id IS NOT NULL THEN 0.95 WHEN n.n > 0 THEN 0.75 END AS v_confidence,
+       CAST(CASE WHEN e.kb_id IS NOT NULL THEN 0.95 WHEN n.n > 0 THEN 0.75 END AS DOUBLE) AS v_confidence,
        CASE WHEN e.kb_id IS NOT NULL THEN 'crunchbase_uuid=' || e.kb_id || ';permalink=' || e.permalink
                  || ';short_description=' || e.short_description
             WHEN n.n > 0 THEN 'partial_match=true' ELSE '' END AS v_meta,
@@ -146,7 +146,7 @@ JOIN wtop t ON lower(trim(q.name)) = t.key JOIN wiki_kb kb ON kb.wikidata_id = t
 
 CTE["wverdict"] = """
 SELECT q.name, q.type, h.name IS NOT NULL AS validated,
-       CASE WHEN h.is_exact THEN 0.92 WHEN h.name IS NOT NULL THEN 0.80 END AS v_confidence,
+       CAST(CASE WHEN h.is_exact THEN 0.92 WHEN h.name IS NOT NULL THEN 0.80 END AS DOUBLE) AS v_confidence,
        CASE WHEN h.is_exact THEN 'description=' || h.description || ';wikidata_id=' || h.wikidata_id
             WHEN h.name IS NOT NULL THEN 'fuzzy_match=true' ELSE '' END AS v_meta,
        CASE WHEN h.name IS NULL THEN 'not_found' END AS reason
@@ -302,9 +302,9 @@ _ORDER += ["imp", "kb_errors", "ent_agg", "rel_final", "rel_agg", "events_flat"]
 
 _REL_SELECT = """
 SELECT article_id, CAST(pos - 1 AS BIGINT) AS pos,
-       subject_name, 'company' AS subject_type, 0.9 AS subject_confidence,
+       subject_name, 'company' AS subject_type, CAST(0.9 AS DOUBLE) AS subject_confidence,
        CAST(NULL AS VARCHAR) AS subject_industry,
-       object_name, 'company' AS object_type, 0.9 AS object_confidence, object_industry AS object_industry,
+       object_name, 'company' AS object_type, CAST(0.9 AS DOUBLE) AS object_confidence, object_industry AS object_industry,
        upper(action) AS action, round(sentiment, 6) AS sentiment, round(confidence, 6) AS confidence,
        reasoning
 FROM {src}"""
@@ -455,14 +455,14 @@ _ORDER += ["checked_ind", "ent_ctx", "val_ctx", "fx_rel", "rel_ctx"]
 SQL["entity_requests"] = with_ctes(f"""
 SELECT article_id, 'entity' AS stage, CAST(4 AS BIGINT) AS n_messages,
        md5('Article: ' || content || {_NL2} || 'Extract all entities as JSON array:') AS user_md5,
-       'gpt-4-turbo-preview' AS model, 0.1 AS temperature, 'json_object' AS response_format
+       'gpt-4-turbo-preview' AS model, CAST(0.1 AS DOUBLE) AS temperature, 'json_object' AS response_format
 FROM doc_art""", "doc_art")
 
 SQL["causal_requests"] = with_ctes(f"""
 SELECT article_id, 'mapping' AS stage, CAST(6 AS BIGINT) AS n_messages,
        md5('Article: Order ' || article_id || {_NL2} || 'Known Entities: ' || ctx || {_NL2}
            || 'Extract causal relationships between these entities as JSON array:') AS user_md5,
-       'gpt-4-turbo-preview' AS model, 0.2 AS temperature, 'json_object' AS response_format
+       'gpt-4-turbo-preview' AS model, CAST(0.2 AS DOUBLE) AS temperature, 'json_object' AS response_format
 FROM ent_ctx WHERE n >= 2""", "ln", "cand", "fc_ent", "ent_ctx")
 
 _IMPACT_REQ = f"""
@@ -470,7 +470,7 @@ SELECT e.article_id, 'impact' AS stage, CAST(6 AS BIGINT) AS n_messages,
        md5('Article: Order ' || e.article_id || {_NL2} || 'Entities: ' || coalesce(v.ctx, '[]')
            || chr(10) || 'Relationships: ' || coalesce(r.ctx, '[]') || {_NL2}
            || 'Generate impact summary as JSON:') AS user_md5,
-       'gpt-4-turbo-preview' AS model, 0.3 AS temperature, 'json_object' AS response_format
+       'gpt-4-turbo-preview' AS model, CAST(0.3 AS DOUBLE) AS temperature, 'json_object' AS response_format
 FROM (SELECT DISTINCT article_id FROM fc_ent) e
 LEFT JOIN val_ctx v ON v.article_id = e.article_id LEFT JOIN rel_ctx r ON r.article_id = e.article_id"""
 
@@ -540,7 +540,7 @@ CTE["mcand"] = """
 SELECT ng.*, g.label, lm.type FROM ng JOIN gaz g ON g.phrase = ng.phrase JOIN labelmap lm ON lm.label = g.label"""
 
 CTE["mentions"] = """
-SELECT doc_id, start, e AS "end", name, phrase, label, type, 0.75 AS confidence FROM mcand c
+SELECT doc_id, start, e AS "end", name, phrase, label, type, CAST(0.75 AS DOUBLE) AS confidence FROM mcand c
 WHERE NOT EXISTS (SELECT 1 FROM mcand d WHERE d.doc_id = c.doc_id AND d.tk <= c.tk + c.n - 1
                   AND d.tk + d.n - 1 >= c.tk AND (d.n > c.n OR (d.n = c.n AND d.tk < c.tk)))
 UNION ALL

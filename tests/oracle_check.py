@@ -46,9 +46,20 @@ def digest(df: pd.DataFrame) -> tuple[int, list[str], str, list[tuple]]:
     return len(rows), cols, h, rows
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+                 "INTEGER": "int"}
+
+
+def type_mismatches(spark_dtypes: dict, con, sql: str) -> list:
+    d = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({sql})").fetchall()}
+    return [(c, spark_dtypes.get(c), d.get(c)) for c in sorted(set(d) | set(spark_dtypes))
+            if DUCK_TO_SPARK.get(d.get(c), d.get(c)) != spark_dtypes.get(c)]
+
+
 def compare(spark, sf_dir: str, name: str, fn, sql: str | None, con=None, verbose=True):
     t0 = time.time()
-    sdf = fn(spark, sf_dir).toPandas()
+    frame = fn(spark, sf_dir)
+    sdf = frame.toPandas()
     t1 = time.time()
     if sql is None:
         if verbose:
@@ -57,12 +68,15 @@ def compare(spark, sf_dir: str, name: str, fn, sql: str | None, con=None, verbos
     con = con or duck(sf_dir)
     ddf = con.execute(sql).fetchdf()
     a, b = digest(sdf), digest(ddf)
-    ok = a[0] == b[0] and a[1] == b[1] and a[2] == b[2]
+    types = type_mismatches(dict(frame.dtypes), con, sql)
+    ok = a[0] == b[0] and a[1] == b[1] and a[2] == b[2] and not types
     if verbose:
         print(f"{name}: {'OK' if ok else 'MISMATCH'} spark={a[0]} duck={b[0]} {t1 - t0:.1f}s")
         if not ok:
             if a[1] != b[1]:
                 print("  cols spark", a[1], "\n  cols duck ", b[1])
+            if types:
+                print("  types (col, spark, duck):", types)
             sa, sb = set(a[3]), set(b[3])
             for r in sorted(sa - sb)[:5]:
                 print("  spark only:", r)

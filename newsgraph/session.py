@@ -26,6 +26,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     b = b.config("spark.driver.memory", os.environ.get("NEWSGRAPH_DRIVER_MEM", "16g"))
+    # delete a checkpoint's files once nothing references it (long-running streams)
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in SESSION_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

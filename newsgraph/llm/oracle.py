@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from newsgraph.llm import mixing
+
 # Words and windows as the query has them; an item of fewer than 10 words is one window.
 OP5 = r"""
 WITH w AS (
@@ -33,4 +35,75 @@ SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_h
 FROM w LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
-SQL = {"op5_decontamination": OP5}
+OP2 = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.rid <> b.rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id ASC NULLS LAST) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def _weight(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END" if weights else "1"
+
+
+def _fill(table: str, source: str, parents: str, name: str, weight: str) -> str:
+    """Children of one level with their budgets; ``source`` gives (cap, budget) and the names."""
+    part = f"PARTITION BY {parents}" if parents else ""
+    run = f"({part} ORDER BY CAST(cap AS DOUBLE) / w, {name} RANGE UNBOUNDED PRECEDING)"
+    names = f"{parents}, {name}" if parents else name
+    return f"""
+{table}_w AS (SELECT *, CAST({weight} AS BIGINT) AS w FROM ({source})),
+{table}_a AS (
+  SELECT *, CAST(sum(cap) OVER {run} - cap AS HUGEINT) AS before,
+         CAST(sum(w) OVER ({part}) - sum(w) OVER {run} + w AS HUGEINT) AS rest_w
+  FROM {table}_w),
+{table}_b AS (
+  SELECT *, cap * rest_w + before * w <= CAST(budget AS HUGEINT) * w AS full_up FROM {table}_a),
+{table}_c AS (
+  SELECT *, budget - sum(CASE WHEN full_up THEN cap ELSE 0 END) OVER ({part}) AS rest,
+         CASE WHEN full_up THEN 0 ELSE w END AS open_w FROM {table}_b),
+{table}_d AS (
+  SELECT *, greatest(sum(open_w) OVER ({part}), 1) AS all_w, sum(open_w) OVER {run} AS upto FROM {table}_c),
+{table} AS (
+  SELECT {names}, CAST(CASE WHEN full_up THEN cap
+         ELSE (rest * upto) // all_w - (rest * (upto - open_w)) // all_w END AS BIGINT) AS budget FROM {table}_d)"""
+
+
+def _op3() -> str:
+    num, den = mixing.SHARE
+    d, g, o = (mixing.WEIGHTS[k] for k in ("domain", "language", "origin"))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce({mixing.DOMAIN}, '') AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+         md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS id,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+leaf AS (
+  SELECT domain, language, origin, CAST(sum(n_tokens) AS BIGINT) AS tokens,
+         CAST(sum(n_tokens) * {mixing.MAX_EPOCHS} AS BIGINT) AS cap
+  FROM d GROUP BY ALL),{_fill("b0", f"SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(least(sum(tokens) * {num} // {den}, sum(cap)) AS BIGINT) FROM leaf) AS budget FROM leaf GROUP BY domain", "", "domain", _weight("domain", d))},{
+_fill("b1", "SELECT domain, language, CAST(sum(cap) AS BIGINT) AS cap, any_value(budget) AS budget FROM leaf JOIN b0 USING (domain) GROUP BY domain, language", "domain", "language", _weight("language", g))},{
+_fill("b2", "SELECT domain, language, origin, cap, budget FROM leaf JOIN b1 USING (domain, language)", "domain, language", "origin", _weight("origin", o))},
+plan AS (
+  SELECT domain, language, origin, CASE WHEN tokens = 0 THEN 0 ELSE budget // tokens END AS whole, budget, tokens
+  FROM leaf JOIN b2 USING (domain, language, origin)),
+k AS (
+  SELECT d.*, whole, budget - whole * tokens AS rest, md5(concat_ws(':', '{mixing.SEED}', CAST(whole AS VARCHAR), id)) AS k
+  FROM d JOIN plan USING (domain, language, origin)),
+s AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY k RANGE UNBOUNDED PRECEDING) AS upto FROM k),
+c AS (
+  SELECT *, whole + CASE WHEN (rest > 0 OR whole = 0) AND upto <= rest THEN 1 ELSE 0 END AS copies FROM s)
+SELECT doc_id, domain, language, origin, n_tokens, CAST(unnest(generate_series(1, copies)) AS INT) AS epoch
+FROM c WHERE copies > 0
+"""
+
+
+SQL = {"op2_topk": OP2, "op3_mixing": _op3(), "op5_decontamination": OP5}

@@ -83,3 +83,15 @@ def ordered_index(df: DataFrame, keys: list[Column], weight: str) -> tuple[DataF
 
     out = laid.mapInArrow(number, schema_of(laid.drop(part), ("row_index", T.LongType()), ("prefix", T.LongType())))
     return out, rows, total
+
+
+def row_ids(df: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``, an id of each row that stays the same whenever the frame is read.
+
+    Rows of a Parquet table are known by file and position; any other frame is
+    checkpointed with a running number.
+    """
+    plain = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if plain and "_metadata" not in df.columns:
+        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
+    return checkpoint(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))))

@@ -87,8 +87,8 @@ def mix(docs: DataFrame, levels: dict[str, str] | None = None, weights: dict[str
     node cannot use goes to its siblings, and past them only through their
     ancestors' siblings.  A leaf takes whole epochs, then the longest prefix
     within its rest of a last epoch, in the order of an md5 of seed, epoch,
-    doc_id and text; rows equal in doc_id and text enter together.  Documents without tokens cost
-    nothing and enter with the prefix before them.
+    doc_id and text; rows equal in doc_id and text enter together.  Documents
+    without tokens cost nothing and enter with the prefix before them.
 
     Only DataFrame operations.  Adds ``epoch`` (from 1), ``n_tokens`` and the
     level columns (columns of the input with these names are replaced).
@@ -102,7 +102,8 @@ def mix(docs: DataFrame, levels: dict[str, str] | None = None, weights: dict[str
     weights = {n: weights.get(k, {}) for n, k in zip(names, levels, strict=True)}
     leaf_of = {n: F.coalesce(F.expr(x).cast("string"), F.lit("")) for n, x in zip(names, levels.values(), strict=True)}
     ident = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
-    base = docs.withColumns({**leaf_of, "_id": ident, "_tokens": tokens()})
+    base = docs.select(F.struct(*docs.columns).alias("_row"), *[x.alias(n) for n, x in leaf_of.items()],
+                       ident.alias("_id"), tokens().alias("_tokens"))
     slim = checkpoint(base.select(*names, "_id", "_tokens"))
     leaves = slim.groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
     plan = budgets(leaves, names, weights, share, max_epochs)
@@ -131,4 +132,4 @@ def mix(docs: DataFrame, levels: dict[str, str] | None = None, weights: dict[str
     chosen = chosen.where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     added = {"epoch": F.col("_epoch").cast("int"), "n_tokens": F.col("_tokens"),
              **{k: F.col(n) for n, k in zip(names, levels, strict=True)}}
-    return chosen.select(*[c for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    return chosen.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])

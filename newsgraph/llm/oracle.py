@@ -83,7 +83,8 @@ def _op3() -> str:
 WITH d AS (
   SELECT doc_id, coalesce({mixing.DOMAIN}, '') AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS origin,
          md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS id,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens
   FROM documents),
 leaf AS (
   SELECT domain, language, origin, CAST(sum(n_tokens) AS BIGINT) AS tokens,
@@ -106,4 +107,78 @@ FROM c WHERE copies > 0
 """
 
 
-SQL = {"op2_topk": OP2, "op3_mixing": _op3(), "op5_decontamination": OP5}
+OP6 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n FROM d WHERE text IS NOT NULL),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM x),
+r AS (
+  SELECT *, i = n OR (h + 257 * coalesce(lag(h, 1) OVER w, 0) + 66049 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 AS last
+  FROM h WINDOW w AS (PARTITION BY rid ORDER BY i)),
+c AS (
+  SELECT *, coalesce(sum(CAST(last AS INT)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+  FROM r),
+chunk AS (SELECT rid, doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM c GROUP BY rid, doc_id, k),
+marked AS (
+  SELECT *, n >= 2 AND row_number() OVER (PARTITION BY t, n >= 2 ORDER BY doc_id NULLS LAST, rid, k) > 1 AS gone FROM chunk),
+doc AS (
+  SELECT rid, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS removed, count(*) FILTER (gone) AS chunks,
+         coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), '') AS clean
+  FROM marked GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(removed, 0) AS BIGINT) AS n_lines_removed,
+       CAST(coalesce(chunks, 0) AS BIGINT) AS n_chunks_removed, CAST(length(clean) AS BIGINT) AS clean_chars, md5(clean) AS clean_md5
+FROM d LEFT JOIN doc USING (rid)
+"""
+
+OP9 = r"""
+WITH p AS (
+  SELECT *, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, md5(coalesce(html, '')) AS digest,
+         regexp_extract(url, '^([a-z]+)://([^/?#]*)(.*)$', 1) AS scheme, regexp_extract(url, '^([a-z]+)://([^/?#]*)(.*)$', 2) AS host,
+         regexp_extract(url, '^([a-z]+)://([^/?#]*)(.*)$', 3) AS tail
+  FROM pages WHERE page_id IS NOT NULL),
+raw AS (
+  SELECT page_id * 2 AS record_id, url, page_id * 600 AS ts, true AS response, page_id % 13 <> 12 AS ok,
+         CASE WHEN page_id % 10 <> 9 THEN tag END AS etag,
+         CASE WHEN page_id % 3 = 0 THEN 'day ' || page_id END AS modified, length(html) AS size, digest, page_id
+  FROM p
+  UNION ALL
+  SELECT page_id * 2 + 1,
+         CASE WHEN scheme IN ('http', 'https') THEN upper(scheme) || '://' || upper(host)
+              || CASE scheme WHEN 'http' THEN ':80' ELSE ':443' END || regexp_replace(tail, '#.*$', '') || '#again' ELSE url END,
+         page_id * 600 + CASE WHEN page_id % 11 = 0 THEN -900 ELSE (page_id % 7) * 43200 + 30 END, false, true,
+         CASE WHEN page_id % 10 = 0 THEN 'W/' || tag WHEN page_id % 10 = 1 THEN '"other"' WHEN page_id % 10 NOT IN (2, 9) THEN tag END,
+         CASE WHEN page_id % 3 = 0 THEN 'day ' || page_id END, 0, NULL, page_id
+  FROM p),
+parts AS (
+  SELECT *, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$', 1)) AS s,
+         regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$', 2)), '^.*@', ''), '^www\.', '') AS h,
+         regexp_replace(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$', 3), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_replace(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$', 4), '^\?', ''), '&'),
+                               lambda q: q <> '' AND NOT starts_with(q, 'utm_'))) AS q
+  FROM raw),
+rec AS (
+  SELECT *, CASE WHEN s = '' THEN trim(url) ELSE
+    CASE s WHEN 'http' THEN regexp_replace(h, ':80$', '') WHEN 'https' THEN regexp_replace(h, ':443$', '') ELSE h END
+    || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END END AS url_key
+  FROM parts),
+line AS (
+  SELECT *, last_value(CASE WHEN response AND ok THEN record_id END IGNORE NULLS) OVER (
+           PARTITION BY url_key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near
+  FROM rec),
+m AS (
+  SELECT r.record_id, r.url_key, r.ts, f.record_id AS refers_to, r.page_id, r.etag, f.etag AS fetag, f.size AS fsize, f.digest AS fdigest,
+         CASE WHEN f.record_id IS NULL THEN 'no-earlier'
+              WHEN CASE WHEN r.etag IS NOT NULL THEN coalesce(regexp_replace(r.etag, '^W/', '') = regexp_replace(f.etag, '^W/', ''), false)
+                        WHEN r.modified IS NOT NULL THEN coalesce(r.modified = f.modified, false)
+                        ELSE f.etag IS NULL AND f.modified IS NULL END THEN 'resolved'
+              ELSE 'mismatch' END AS outcome
+  FROM line r LEFT JOIN rec f ON f.record_id = r.near AND r.url_key IS NOT NULL WHERE NOT r.response)
+SELECT record_id, url_key, ts, refers_to, outcome,
+       concat_ws(';', 'cache-control=max-age=' || page_id % 100,
+         'content-length=' || CASE WHEN outcome = 'resolved' THEN coalesce(fsize, 0) ELSE 0 END,
+         CASE WHEN outcome = 'resolved' THEN 'content-type=text/html' END, 'date=' || ts,
+         'etag=' || CASE WHEN outcome = 'resolved' THEN coalesce(etag, fetag) ELSE etag END, 'expires=' || ts + 3600) AS headers,
+       CASE WHEN outcome = 'resolved' THEN fdigest END AS payload_digest
+FROM m
+"""
+
+SQL = {"op2_topk": OP2, "op3_mixing": _op3(), "op5_decontamination": OP5, "op6_line_dedup": OP6, "op9_warc": OP9}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from newsgraph.llm import decontam, mixing, sharding, simhash, topk, toxicity
+from newsgraph.llm import decontam, linededup, mixing, quality, sharding, simhash, substring, topk, toxicity, warc
 from newsgraph.llm.common import read
 
 
@@ -30,8 +31,29 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = linededup.dedup_lines(read(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_lines_removed", "n_chunks_removed",
+                        F.length("text").cast("long").alias("clean_chars"), F.md5("text").alias("clean_md5"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicate_passages(read(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve(warc.capture_records(read(spark, sf_dir, "pages")))
+    fields = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return done.withColumn("headers", F.array_join(fields, ";"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_mixing, op4_toxicity, op5_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_mixing, op4_toxicity, op5_decontamination, op6_line_dedup, op7_substring_dedup,
+                                  op8_quality, op9_warc, op10_simhash)}

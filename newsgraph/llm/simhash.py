@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgraph.llm.common import checkpoint, schema_of
+from newsgraph.llm.common import checkpoint, fresh, schema_of
 from newsgraph.llm.components import components
 
 SHINGLE = 4
@@ -284,6 +284,7 @@ def representatives(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_B
     found = near_duplicates(mark, width, max_bits, carry=["doc_id", "_h"])
     best = found.groupBy("component_fingerprint").agg(F.min(F.struct("doc_id", "_h")).alias("b")).select(
         F.col("b.doc_id").alias("_best_id"), F.col("b._h").alias("_best_h"))
-    out = docs.withColumn("_h", F.xxhash64("text"))
-    out = out.join(best, out["doc_id"].eqNullSafe(best["_best_id"]) & (out["_h"] == best["_best_h"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    h = fresh(docs, "_h")
+    out = docs.withColumn(h, F.xxhash64("text"))
+    out = out.join(best, out["doc_id"].eqNullSafe(best["_best_id"]) & (out[h] == best["_best_h"]), "left_semi")
+    return out.dropDuplicates(["doc_id", h]).drop(h)

@@ -47,8 +47,9 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
     kept (a text may become empty; null stays null); adds ``n_lines``,
     ``n_lines_removed`` and ``n_chunks_removed``, in place of columns of these names.
 
-    Only DataFrame operations.  Digests are counted with map-side combining; only
-    repeated chunks and the final join by row shuffle text.
+    Only DataFrame operations.  Digests are counted and matched without texts;
+    the texts meet the marks of their row, then those of repeated chunks the
+    first copy, then each row its removals.
     """
     docs = docs.drop("n_lines", "n_lines_removed", "n_chunks_removed")
     rid = fresh(docs, "_rid")
@@ -59,18 +60,24 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_rid", "_at")
     counts = _repeatable(chunked, key, min_lines).groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies"), F.min(order).alias("_first"))
     repeated = checkpoint(counts.where("_copies > 1").select("_digest", F.col("_first._rid").alias("_frid"), F.col("_first._at").alias("_fat")))
-    members = _repeatable(chunked, key, min_lines, F.col("_c.text").alias("_text")).drop("doc_id")
-    first = members.join(repeated, (members["_digest"] == repeated["_digest"]) & (members["_rid"] == repeated["_frid"]) & (members["_at"] == repeated["_fat"]))
-    first = first.select(repeated["_digest"].alias("_fdigest"), F.col("_text").alias("_ftext"), "_frid", "_fat")
-    later = members.join(first, members["_digest"] == first["_fdigest"]).where(
-        ~((F.col("_rid") == F.col("_frid")) & (F.col("_at") == F.col("_fat"))) & (F.col("_text") == F.col("_ftext")))
-    gone = later.groupBy("_rid").agg(F.collect_list("_at").alias("_gone"), F.sum("_n").alias("_n_gone"))
-    whole = _chunks(rows, ["_row", "text", "_rid"], divisor).withColumn(
-        "_n_lines", F.size(F.split("text", "\n", -1)).cast("long")).join(gone, "_rid", "left")
+    members = _repeatable(chunked, key, min_lines).drop("doc_id").join(repeated, "_digest")
+    marks = members.groupBy("_rid").agg(F.collect_list(F.struct(
+        "_at", "_digest", "_n", ((F.col("_rid") == F.col("_frid")) & (F.col("_at") == F.col("_fat"))).alias("first"))).alias("_marks"))
+    # only now the texts, and only of repeated chunks; naming the array twice keeps it from being worked out for each mark
+    wide = _chunks(rows.select("_rid", "text").join(marks, "_rid"), ["_rid", "_marks"], divisor)
+    texts = wide.select("_rid", F.explode_outer(F.when(F.size("_chunks") > 0, F.transform("_marks", lambda m: F.struct(
+        m["_at"].alias("at"), m["_digest"].alias("digest"), m["_n"].alias("n"), m["first"].alias("first"),
+        F.get("_chunks", m["_at"])["text"].alias("text"))))).alias("m")).select("_rid", "m.*")
+    first = texts.where("first").select("digest", F.col("text").alias("_ftext"))
+    later = texts.where("not first").join(first, "digest").where(F.col("text") == F.col("_ftext"))
+    gone = later.groupBy("_rid").agg(F.collect_list("at").alias("_gone"), F.sum("n").alias("_n_gone"))
+    whole = rows.select("_row", "text", "_rid").join(gone, "_rid", "left")
+    whole = _chunks(whole, ["_row", "text", "_gone", "_n_gone"], divisor).withColumn(
+        "_n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
     every = F.sequence(F.lit(0), F.size("_chunks") - 1)
     kept = whole.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_except(every, "_gone")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("_left", lambda i: F.get("_chunks", i)["text"]), "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.when(F.size("_chunks") > 0, F.array_join(
+        F.transform("_left", lambda i: F.get("_chunks", i)["text"]), "\n")))
     return kept.select(
         *[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns],
         F.when(F.col("text").isNotNull(), F.col("_n_lines")).otherwise(F.lit(0)).cast("long").alias("n_lines"),

@@ -116,7 +116,7 @@ class Lexicon:
         got = self.seen.get(word)
         if got is not None:
             return got
-        if len(self.sets) > 50_000 or len(self.seen) > 500_000:
+        if len(self.sets) > 50_000 or len(self.seen) > 200_000:
             self.reset()
         s = 0
         for c in word:
@@ -181,7 +181,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.update(w[:k] + "*" for k in STEMS if k < len(w))
             for t in found:
                 counts[t][toxic] += 1
-            if len(counts) > 300_000:
+            if len(counts) > 100_000:
                 yield out()
     if counts:
         yield out()

@@ -27,10 +27,10 @@ class Config:
     poll_minutes: int = POLL_INTERVAL_MINUTES
     candidate_limit: int = CANDIDATE_LIMIT
     kb_language: str = "en"
-    id_len: int = 12
+    id_len: int = 64  # hex digits of SHA-256: the whole digest
+    # copies that arrive later than this are judged without the state that was evicted
+    dedup_late_days: int = 30
     drop_unverified_edges: bool = False
-    # broadcast a side only when its estimated size is at most this many bytes
-    broadcast_bytes: int = 64 * 1024 * 1024
     temperatures: dict = field(
         default_factory=lambda: {"entity": 0.1, "mapping": 0.2, "impact": 0.3}
     )

@@ -17,6 +17,7 @@ from newsgraph.operators.graph import impact_trace, node_key
 GRAPH_WEIGHT, VECTOR_WEIGHT = 0.7, 0.3
 FEED_SIZE = 20
 REASON_PREFIX = "Follows "
+ITEM_BLOCKS = 8       # blocks of items at least, so that small inputs are spread too
 BLOCK_ROWS = 20_000   # vectors per side held by one task in the exact top-k
 QUERY_CHUNK = 512     # queries scored per matrix product (bounds the score matrix)
 
@@ -45,12 +46,14 @@ def graph_match(user_interests: DataFrame, article_entities: DataFrame, edges: D
         F.array_sort(F.collect_set(F.concat(F.lit(REASON_PREFIX), F.col("name")))).alias("match_reasons"))
 
 
-def _rows_unit(col: pd.Series) -> np.ndarray:
-    """Stack a column of vectors into a float64 matrix of unit rows."""
-    m = np.stack(col.to_numpy()).astype(np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / n
+def _rows_unit(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows with a direction, and their vectors as a float64 matrix of unit rows."""
+    if pdf.empty:
+        return pdf, np.empty((0, 0))
+    m = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+    n = np.linalg.norm(m, axis=1)
+    ok = np.isfinite(n) & (n > 0)
+    return pdf[ok], m[ok] / n[ok, None]
 
 
 def _cosine_batch(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -88,11 +91,12 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     batches (grouped ``applyInPandas``) and only its per-query top-k is emitted;
     a final window keeps the global top-k.  Ties rank by item id; scores are
     compared at 6 decimals so the order does not depend on summation order.
+    Vectors that are NULL, of zero length or not finite have no cosine and no row.
     """
-    q = queries.select(F.col("qid"), F.col("vec").cast("array<double>").alias("vec"))
-    it = items.select(F.col("iid"), F.col("vec").cast("array<double>").alias("vec"))
+    q = queries.select(F.col("qid"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
+    it = items.select(F.col("iid"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
     nq = max(1, math.ceil(q.count() / BLOCK_ROWS))
-    ni = max(1, math.ceil(it.count() / BLOCK_ROWS))
+    ni = max(ITEM_BLOCKS, math.ceil(it.count() / BLOCK_ROWS))
     qtype = dict(q.dtypes)["qid"]
     itype = dict(it.dtypes)["iid"]
     # one grouped frame per (query block, item block): queries are copied to every
@@ -106,11 +110,10 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         qpdf, ipdf = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        (qpdf, qm), (ipdf, im) = _rows_unit(qpdf), _rows_unit(ipdf)
         if qpdf.empty or ipdf.empty:
             return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
                                  "score": pd.Series([], dtype=float)})
-        qm = _rows_unit(qpdf["vec"])
-        im = _rows_unit(ipdf["vec"])
         order = np.argsort(ipdf["iid"].to_numpy(), kind="stable")
         im, iids = im[order], ipdf["iid"].to_numpy()[order]
         qids = qpdf["qid"].to_numpy()

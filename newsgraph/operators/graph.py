@@ -72,6 +72,13 @@ def upsert_edges(relationships: DataFrame, previous: DataFrame | None = None) ->
         F.max("last_article").alias("last_article"))
 
 
+def edge_articles(relationships: DataFrame) -> DataFrame:
+    """The articles of every edge as rows (src, action, dst, article_id): no list that grows with the edge."""
+    return relationships.select(
+        node_key(F.col("subject.name")).alias("src"), F.upper("action").alias("action"),
+        node_key(F.col("object.name")).alias("dst"), "article_id").distinct()
+
+
 def edge_view(edges: DataFrame) -> DataFrame:
     return edges.withColumn("sentiment_avg", F.col("sentiment_sum") / F.col("n"))
 

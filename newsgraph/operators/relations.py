@@ -44,8 +44,9 @@ def lexicon_relations(articles: DataFrame, mentions: DataFrame, lexicon: DataFra
         "name", "type", F.col("end").cast("int").alias("m_end"),
         F.col("confidence").cast("double").alias("m_conf"),
         F.lit(None).cast("string").alias("action"), F.lit(None).cast("double").alias("sentiment"))
-    ev = sents.unionByName(verbs).unionByName(ments)
-    fwd = Window.partitionBy(id_col).orderBy("off", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    # a mention can be a subject from its end on: one that starts at the verb does not hide it
+    ev = sents.unionByName(verbs).unionByName(ments).withColumn("from", F.coalesce("m_end", "off"))
+    fwd = Window.partitionBy(id_col).orderBy("from", "kind").rowsBetween(Window.unboundedPreceding, -1)
     bwd = Window.partitionBy(id_col).orderBy(F.desc("off"), F.desc("kind")) \
                 .rowsBetween(Window.unboundedPreceding, -1)
     is_m = F.col("kind") == 1

@@ -279,9 +279,9 @@ def doc_articles(t: Tables) -> DataFrame:
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/d/"), F.col("doc_id"))
     return d.select(
         F.col("doc_id"),
-        F.substring(F.sha2(url, 256), 1, 12).alias("article_id"),
+        F.sha2(url, 256).alias("article_id"),
         url.alias("url"),
-        F.substring(F.split_part(F.col("text"), F.lit("."), F.lit(1)), 1, 100).alias("title"),
+        F.split_part(F.col("text"), F.lit("."), F.lit(1)).alias("title"),
         F.col("text").alias("content"), F.col("source"), pub.alias("published_date"),
         F.timestamp_add("SECOND", F.col("doc_id") % 600, pub).alias("fetch_timestamp"),
         F.lit(None).cast("string").alias("author"), F.array("lang").alias("tags"),

@@ -348,8 +348,8 @@ FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT article_id FROM kep
 # ---------------------------------------------------------------- articles / ingest
 
 CTE["doc_art"] = """
-SELECT doc_id, substr(sha256(url), 1, 12) AS article_id, url,
-       substring(split_part(text, '.', 1), 1, 100) AS title, text AS content, source,
+SELECT doc_id, sha256(url) AS article_id, url,
+       split_part(text, '.', 1) AS title, text AS content, source,
        TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER)) AS published_date
 FROM (SELECT *, 'https://' || source || '.example.org/d/' || doc_id AS url FROM documents)"""
 
@@ -368,16 +368,17 @@ SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN '' ELSE article_id END AS article_
 FROM doc_art WHERE doc_id % 10 IN (2, 3, 4, 5, 8, 9)""", "doc_art")
 
 _URL_RE = r"^(?i)(https?)://([^\s/?#@]+@)?([^\s/?#:@]+)(:[0-9]{1,5})?([/?#]\S*)?$"
-_NORM_URL = (f"lower(regexp_extract(url, '{_URL_RE}', 1)) || '://' || regexp_extract(url, '{_URL_RE}', 2)"
-             f" || lower(regexp_extract(url, '{_URL_RE}', 3)) || regexp_extract(url, '{_URL_RE}', 4)"
+_NORM_URL = (f"CASE WHEN regexp_matches(url, '{_URL_RE}') THEN lower(regexp_extract(url, '{_URL_RE}', 1)) || '://' || regexp_extract(url, '{_URL_RE}', 2)"
+             f" || lower(regexp_extract(url, '{_URL_RE}', 3)) || CASE lower(regexp_extract(url, '{_URL_RE}', 1)) || regexp_extract(url, '{_URL_RE}', 4)"
+             f" WHEN 'http:80' THEN '' WHEN 'https:443' THEN '' ELSE regexp_extract(url, '{_URL_RE}', 4) END"
              f" || CASE WHEN regexp_extract(url, '{_URL_RE}', 5) = '' THEN '/'"
              f" WHEN starts_with(regexp_extract(url, '{_URL_RE}', 5), '/') THEN regexp_extract(url, '{_URL_RE}', 5)"
-             f" ELSE '/' || regexp_extract(url, '{_URL_RE}', 5) END")
+             f" ELSE '/' || regexp_extract(url, '{_URL_RE}', 5) END END")
 
 
 def _unescape(x: str) -> str:
     for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
-                    ("&amp;", "&")]:
+                    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
         x = f"replace({x}, '{ent}', '{ch}')"
     return x
 
@@ -394,19 +395,31 @@ _TEXT = _collapse(_unescape(f"regexp_replace({_TEXT}, '<[^>]*>', ' ', 'g')"))
 _TITLE = _collapse(_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
 
 CTE["page_art"] = f"""
-SELECT page_id, url_norm, substr(sha256(url_norm), 1, 12) AS article_id, {_TITLE} AS title,
+SELECT page_id, url_norm, sha256(url_norm) AS article_id, {_TITLE} AS title,
        {_TEXT} AS content, regexp_extract(url_norm, '^https?://([^/:?#]+)', 1) AS source
 FROM (SELECT *, {_NORM_URL} AS url_norm FROM pages)"""
 
 SQL["page_articles"] = with_ctes("""
 SELECT page_id, article_id, title, source, CAST(length(content) AS BIGINT) AS content_chars,
        md5(content) AS content_md5
-FROM page_art""", "page_art")
+FROM page_art WHERE url_norm IS NOT NULL""", "page_art")
 
 SQL["article_ids"] = with_ctes("SELECT page_id, url_norm AS url, article_id FROM page_art", "page_art")
 
+SQL["page_quarantine"] = with_ctes("""
+SELECT p.page_id, p.url, 'url' AS reason FROM pages p JOIN page_art a ON a.page_id = p.page_id WHERE a.url_norm IS NULL""", "page_art")
+
+# batch order: file 1, file 3, then files 2, 4 and 5; a copy within 7 days of a published one goes
+SQL["stream_dedup"] = """
+WITH doc AS (SELECT doc_id, sha256('https://' || source || '.example.org/d/' || doc_id) AS article_id,
+                    TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id % 600 AS BIGINT)) AS base FROM documents)
+SELECT article_id, CAST(file_no AS BIGINT) AS file_no, CAST(epoch(ts) AS BIGINT) AS fetch_epoch FROM (
+  SELECT article_id, 1 AS file_no, base AS ts FROM doc
+  UNION ALL SELECT article_id, 3, base + INTERVAL 20 DAY FROM doc WHERE doc_id % 50 = 0
+  UNION ALL SELECT article_id, 5, base - INTERVAL 10 DAY FROM doc WHERE doc_id % 9 = 0)"""
+
 SQL["dedup_articles"] = "WITH RECURSIVE " + """
-doc AS (SELECT doc_id, substr(sha256('https://' || source || '.example.org/d/' || doc_id), 1, 12) AS article_id,
+doc AS (SELECT doc_id, sha256('https://' || source || '.example.org/d/' || doc_id) AS article_id,
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id % 600 AS BIGINT)) AS base
         FROM documents),
 s AS (SELECT article_id, base AS ts, 1 AS file_no FROM doc
@@ -564,21 +577,24 @@ FROM (SELECT doc_id, phrase, type, arg_min(name, start) AS name, count(*) AS men
 
 SQL["impact_rollup"] = with_ctes("""
 SELECT e.article_id,
-       substring(CAST(coalesce(r.n_rel, 0) AS VARCHAR) || ' causal links connect ' || e.n_ent || ' entities.'
-                 || CASE WHEN coalesce(r.n_rel, 0) > 0
-                         THEN ' Most exposed: ' || array_to_string(r.objs[1:5], ', ') || '.'
-                         ELSE ' No party is exposed.' END, 1, 500) AS summary,
+       CAST(coalesce(r.n_rel, 0) AS VARCHAR) || ' causal links connect ' || e.n_ent || ' entities.'
+         || CASE WHEN coalesce(r.n_rel, 0) > 0
+                 THEN ' Most exposed: ' || array_to_string(r.objs[1:greatest(r.k, 1)], ', ')
+                      || CASE WHEN len(r.objs) > greatest(r.k, 1) THEN ' and ' || (len(r.objs) - greatest(r.k, 1)) || ' more' ELSE '' END || '.'
+                 ELSE ' No party is exposed.' END AS summary,
        CAST(CASE WHEN coalesce(r.n_rel, 0) = 0 THEN 1
                  ELSE least(10, greatest(1, 1 + floor(5 * r.mx) + least(4, len(r.objs)))) END AS BIGINT) AS severity,
        coalesce(array_to_string(e.sectors, '|'), '') AS affected_sectors,
-       coalesce(array_to_string(r.objs[1:5], '|'), '') AS key_stakeholders,
+       coalesce(array_to_string(r.objs, '|'), '') AS key_stakeholders,
        CAST(coalesce(r.n_rel, 0) AS BIGINT) AS n_relationships
 FROM (SELECT article_id, count(*) AS n_ent,
              list_sort(list_distinct(list(industry) FILTER (WHERE industry IS NOT NULL))) AS sectors
       FROM fc_ent GROUP BY article_id) e
-LEFT JOIN (SELECT article_id, count(*) AS n_rel, max(abs(sentiment)) AS mx,
-                  list_sort(list_distinct(list(object_name))) AS objs
-           FROM fx_rel GROUP BY article_id) r ON r.article_id = e.article_id""",
+LEFT JOIN (SELECT article_id, sum(n) AS n_rel, max(mx) AS mx, count(*) FILTER (upto <= 400) AS k,
+                  list(object_name ORDER BY mx DESC, n DESC, object_name) AS objs
+           FROM (SELECT *, sum(length(object_name) + 2) OVER (PARTITION BY article_id ORDER BY mx DESC, n DESC, object_name) AS upto
+                 FROM (SELECT article_id, object_name, count(*) AS n, max(abs(sentiment)) AS mx FROM fx_rel GROUP BY 1, 2))
+           GROUP BY article_id) r ON r.article_id = e.article_id""",
                                  "ln", "cand", "fc_ent", "edges", "fx_rel")
 
 # ---------------------------------------------------------------- graph
@@ -609,6 +625,10 @@ SELECT src, action, dst, CAST(n AS BIGINT) AS n, round(sentiment_sum, 6) AS sent
        first_article, last_article
 FROM gedges""", *_G)
 
+SQL["edge_articles"] = with_ctes("""
+SELECT DISTINCT lower(trim(subject_name)) AS src, upper(action) AS action, lower(trim(object_name)) AS dst, article_id
+FROM fx_rel""", "ln", "cand", "fc_ent", "edges", "fx_rel")
+
 SQL["node_stats"] = with_ctes("""
 SELECT coalesce(o.key, i.key) AS key, CAST(coalesce(o.out_edges, 0) AS BIGINT) AS out_edges,
        CAST(coalesce(i.in_edges, 0) AS BIGINT) AS in_edges, CAST(coalesce(o.out_weight, 0) AS BIGINT) AS out_weight,

@@ -275,6 +275,39 @@ def article_ids(spark, sf_dir):
                     article_id(F.col("url")).alias("article_id"))
 
 
+@query
+def page_quarantine(spark, sf_dir):
+    from newsgraph.sources.ingest import page_quarantine as bad
+    return bad(_t(spark, sf_dir).pages)
+
+
+@query
+def edge_articles(spark, sf_dir):
+    from newsgraph.operators.graph import edge_articles as links
+    return links(fixture_relationships(_t(spark, sf_dir)))
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    """First copies, copies 20 days on, then late arrivals: a day after, 3 and 10 days before
+    a copy that is already published; the last batch is replayed."""
+    from newsgraph.config import Config
+    from newsgraph.streaming.stream import dedup_against_seen
+    t = _t(spark, sf_dir)
+    s = fx.dup_stream(t).drop("title", "source")
+    first = s.filter("file_no = 1")
+    late = [first.filter(f"doc_id % {m} = 0").withColumn("fetch_timestamp", F.expr(f"fetch_timestamp - INTERVAL {d} DAYS"))
+                 .withColumn("file_no", F.lit(n)) for n, d, m in ((4, 3, 7), (5, 10, 9))]
+    batches = [first, s.filter("file_no = 3"), s.filter("file_no = 2").unionByName(late[0]).unionByName(late[1])]
+    seen, out = _scratch(spark, "seen"), []
+    for n, batch in [*enumerate(batches), (2, batches[2])]:
+        kept = dedup_against_seen(spark, batch, seen, n, Config())
+        out = [*out[:n], kept]
+    done = out[0].unionByName(out[1]).unionByName(out[2])
+    return done.select("article_id", F.col("file_no").cast("bigint").alias("file_no"),
+                       F.unix_seconds("fetch_timestamp").alias("fetch_epoch"))
+
+
 @query
 def dedup_articles(spark, sf_dir):
     from newsgraph.sources.ingest import ttl_keep
@@ -511,13 +544,15 @@ def user_feed(spark, sf_dir):
 
 @query
 def fresh_feed(spark, sf_dir):
-    from newsgraph.operators.curate import fresh, user_feed as feed
+    from newsgraph.operators.curate import fresh, graph_match as gm, user_feed as feed
     t = _t(spark, sf_dir)
     uv, av = _vectors(t)
     ts = t.orders.select(F.col("o_orderkey").cast("string").alias("article_id"),
                          F.col("o_orderdate").cast("timestamp").alias("published"))
     as_of = F.lit(t.orders.agg(F.max(F.col("o_orderdate").cast("timestamp"))).first()[0])
-    m = fresh(_matches(t).join(ts, "article_id"), "published", as_of)
+    # articles are filtered first: only fresh ones are matched
+    recent = fresh(ts, "published", as_of).select("article_id")
+    m = gm(fx.interests_fixture(t), kept_entities(t).join(recent, "article_id", "left_semi"), graph_edges_table(t))
     return _feed_cols(feed(m, uv, av, as_of=as_of))
 
 
@@ -606,8 +641,7 @@ def stream_graph_events(spark, sf_dir):
         F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_date"),
         F.date_format("fetch_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetch_timestamp"), "tags"))
     arts.select(msg.alias("value"), "file_no").write.partitionBy("file_no").text(f"{base}/landing")
-    n_files = len(spark.read.text(f"{base}/landing").inputFiles())
-    stream = spark.readStream.format("text").option("maxFilesPerTrigger", max(1, n_files // 4)) \
+    stream = spark.readStream.format("text").option("maxFilesPerTrigger", 8) \
                   .load(f"{base}/landing").select("value")
     # static inputs of a long-running stream are materialised once, not re-derived per batch
     from newsgraph.session import cut_lineage

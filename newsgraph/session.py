@@ -31,6 +31,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     for k, v in SESSION_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    if master and master.startswith("local["):  # one machine: a table is often one row group
+        spark.conf.set("newsgraph.textPartitions", str(spark.sparkContext.defaultParallelism))
     configure(spark)
     return spark
 
@@ -65,19 +67,19 @@ def ship_package(spark: SparkSession) -> None:
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the operators rely on to an existing session."""
     for k, v in SESSION_CONF.items():
-        try:
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session
-            pass
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set one only when unset (tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; a single-machine session without one gets a temporary folder."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="newsgraph-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -12,22 +12,19 @@ TABLES = (
 
 # tables whose rows carry long text and get per-row CPU work (parsing, regexes)
 TEXT_TABLES = ("documents", "pages", "conversations")
+TEXT_PARTITIONS = "newsgraph.textPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; callers select columns so the scan's ReadSchema is pruned.
 
-    A text table stored in fewer files than the cluster has cores (e.g. one
-    parquet row group) would run all per-row text work in a single task; such a
-    scan is spread round-robin over ``defaultParallelism`` tasks.  Large inputs
-    (many files) are left as scanned: no extra shuffle at scale.
+    Scans are split by ``spark.sql.files.maxPartitionBytes``.  A session whose
+    text tables are single row groups can declare ``newsgraph.textPartitions``:
+    text tables are then dealt over that many tasks, whatever their size.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        par = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < par:
-            df = df.repartition(par)
-    return df
+    declared = spark.conf.get(TEXT_PARTITIONS, None) if name in TEXT_TABLES else None
+    return df.repartition(int(declared)) if declared else df
 
 
 class Tables:

@@ -86,34 +86,22 @@ def _gather(lists: Lists, keep: int, batches: Iterator[pa.RecordBatch]) -> Itera
 def _collect(lists: Lists, cutoff: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phase 2: vectors with an entry of at least cutoff / m in some list, unless their upper bound is below the cutoff.
 
-    ``known`` sums the entries; bit j of ``missing`` is set where list j has none.
+    Phase 3: the lists that these miss are resolved exactly where the vectors
+    are, and whole scores of at least the cutoff go on.
     """
     m = len(lists.parts)
     for cid, x in _chunks(batches, lists.dim):
-        known, upper, missing, some = 0, 0, 0, False
-        for j, s in enumerate(lists.scores(x)):
+        local, upper, some = lists.scores(x), 0, False
+        for s in local:
             entry = s * m >= cutoff[:, None]
-            known = known + np.where(entry, s, 0)
             upper = upper + np.where(entry, s, cutoff[:, None] / m)
-            missing = missing + np.where(entry, 0, 1 << j)
             some = some | entry
         qi, xi = np.nonzero(some & (upper >= cutoff[:, None] - 1e-6 * np.abs(cutoff[:, None])))
-        if len(qi):
+        score = sum(s[qi, xi] for s in local)
+        keep = score >= cutoff[qi]
+        if keep.any():
             yield pa.RecordBatch.from_arrays([
-                pa.array(lists.ids[qi]), pa.array(cid[xi]), pa.array(known[qi, xi].astype(np.int64)),
-                pa.array(missing[qi, xi].astype(np.int32))], ["qid", "cid", "known", "missing"])
-
-
-def _resolve(lists: Lists, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phase 3: the missing local scores of the candidates, exactly."""
-    order = np.argsort(lists.ids)
-    for b in batches:
-        qid, cid, known, missing = (b.column(i).to_numpy() for i in range(4))
-        x = _matrix(b.column(4).to_pylist(), lists.dim)
-        q = lists.q[order[np.searchsorted(lists.ids, qid, sorter=order)]]
-        for j, p in enumerate(lists.parts):
-            known = known + np.where(missing >> j & 1, (q[:, p] * x[:, p]).sum(axis=1), 0)
-        yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(cid), pa.array(known)], ["qid", "cid", "score"])
+                pa.array(lists.ids[qi[keep]]), pa.array(cid[xi[keep]]), pa.array(score[keep].astype(np.int64))], ["qid", "cid", "score"])
 
 
 def _block(items: DataFrame, queries: list, k: int, n_lists: int) -> DataFrame:
@@ -141,13 +129,7 @@ def _block(items: DataFrame, queries: list, k: int, n_lists: int) -> DataFrame:
     def collect(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _collect(shared.value, cutoff.value, it)
 
-    def resolve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _resolve(shared.value, it)
-
-    entries = checkpoint(vectors.mapInArrow(collect, "qid long, cid long, known long, missing int"))
-    done = entries.where("missing = 0").select("qid", "cid", F.col("known").alias("score"))
-    rest = entries.where("missing <> 0").join(vectors, "cid").select("qid", "cid", "known", "missing", "q")
-    scored = done.unionByName(rest.mapInArrow(resolve, "qid long, cid long, score long"))
+    scored = vectors.mapInArrow(collect, "qid long, cid long, score long")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("first").asc_nulls_last(), "cid")
     # the classes that can hold the k + 1 best rows, before they are expanded
     ranked = scored.join(items.select("cid", "ids", F.element_at("ids", 1).alias("first")), "cid")
@@ -173,7 +155,8 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, n_lists: int = N_LIS
     best of each list; the k + 1-th whole score among them is a safe cutoff t.
     Phase 2 broadcasts t: a vector that scores t has at least t / n_lists in some
     list, so only such entries are collected, less those whose upper bound is
-    below t.  Phase 3 resolves the lists that the remaining ones miss.  Queries
+    below t.  Phase 3 resolves the lists that the remaining ones miss, in the
+    task that holds the vector, so only scores of t or more travel.  Queries
     go in blocks of about ``query_block`` vectors, so what is broadcast is
     bounded; each block passes over the classes twice.
     """

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from newsgraph.config import FEED_TTL_HOURS, MAX_GRAPH_DEPTH
 from newsgraph.operators.graph import impact_trace, node_key
+from newsgraph.session import cut_lineage
 
 # Fixed values (ours): relevance weights and feed length
 GRAPH_WEIGHT, VECTOR_WEIGHT = 0.7, 0.3
@@ -169,6 +170,33 @@ def user_feed(matches: DataFrame, user_vectors: DataFrame | None = None,
                          "relevance_score", "match_reasons", "graph_depth", ts.alias("timestamp"), "rank")
 
 
+def graph_feed(user_interests: DataFrame, article_entities: DataFrame, edges: DataFrame,
+               user_vectors: DataFrame, article_vectors: DataFrame, n: int = FEED_SIZE,
+               max_depth: int = MAX_GRAPH_DEPTH, as_of: Column | None = None) -> DataFrame:
+    """``user_feed`` of ``graph_match``, without forming all matched pairs.
+
+    (user, node, depth) and (article, node) stay apart.  A pair of depth 0 scores
+    at least 0.7 and any deeper one at most 0.65, so a user who follows an entity
+    with ``n`` articles needs no deeper pair; only the others' nodes are expanded
+    at every depth.  Reasons are joined to the ranked rows alone.
+    """
+    ui = cut_lineage(user_interests.select("user_id", "name", node_key(F.col("name")).alias("seed")))
+    reach = impact_trace(ui.select("seed").distinct().withColumn("node", F.col("seed")), edges, max_depth)
+    ae = cut_lineage(article_entities.select("article_id", node_key(F.col("name")).alias("node")).distinct())
+    served = ui.join(ae.groupBy("node").count().where(F.col("count") >= n), ui["seed"] == F.col("node"))
+    served = served.select("user_id").distinct().withColumn("served", F.lit(True))
+    nodes = ui.join(reach, "seed").groupBy("user_id", "node").agg(F.min("depth").alias("depth"))
+    nodes = nodes.join(served, "user_id", "left").where((F.col("depth") == 0) | F.col("served").isNull())
+    pairs = nodes.join(ae, "node").groupBy("user_id", "article_id").agg(F.min("depth").alias("graph_depth"))
+    top = cut_lineage(user_feed(pairs.withColumn("match_reasons", F.lit(None)), user_vectors, article_vectors, n, as_of)
+                      .drop("match_reasons"))
+    user = F.col("user_id").cast("string").alias("user_id")
+    why = top.select("user_id", "article_id").join(ae, "article_id").join(reach.select("seed", "node"), "node") \
+             .join(ui.select(user, "name", "seed"), ["user_id", "seed"]).groupBy("user_id", "article_id") \
+             .agg(F.array_sort(F.collect_set(F.concat(F.lit(REASON_PREFIX), F.col("name")))).alias("match_reasons"))
+    return top.join(why, ["user_id", "article_id"])
+
+
 def fresh(df: DataFrame, ts_col: str, as_of: Column, hours: int = FEED_TTL_HOURS) -> DataFrame:
     """Rows younger than ``hours`` at ``as_of`` (feed cache TTL)."""
     return df.filter(F.col(ts_col) > as_of - F.expr(f"INTERVAL {int(hours)} HOURS"))

@@ -3,14 +3,19 @@
 The reference runs a per-row NER model; here text is tokenised into letter runs
 with code-point offsets, 1..N-word phrases are matched against a gazetteer
 table with an equi-join, and overlapping matches are resolved by "longest
-wins, then earliest".  Everything is column expressions, windows ordered by
-token index inside one document, and joins: no per-row Python.
+wins, then earliest".  All of it is column expressions, windows ordered by
+token index inside one document, and joins; only the walk along a text's
+overlapping offsets is a small Arrow-batched helper.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Label -> entity type map and base confidence of the reference.
 LABEL_TYPES = [("ORG", "company"), ("PERSON", "person"), ("GPE", "location"), ("LOC", "location"),
@@ -91,27 +96,49 @@ def ngrams(tokens: DataFrame, id_col: str, n_max: int, first_words: DataFrame |
     return g.select(id_col, "tok", "g.n", "start", "g.end", "g.name", "g.phrase")
 
 
-def resolve_overlaps(cands: DataFrame, id_col: str, n_max: int) -> DataFrame:
-    """Keep a match unless an overlapping one is longer, or as long and earlier.
+def _settle(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Per text, in the order given: whether a span overlaps no span kept before it."""
+    out = []
+    for ss, es in zip(starts, ends, strict=True):
+        kept_s, kept_e, keep = [], [], []
+        for s, e in zip(ss, es, strict=True):
+            i = bisect_left(kept_s, s)
+            same = i < len(kept_s) and kept_s[i] == s and kept_e[i] == e
+            free = (i == 0 or kept_e[i - 1] <= s) and (i == len(kept_s) or kept_s[i] >= e)
+            if free and not same:
+                kept_s.insert(i, s)
+                kept_e.insert(i, e)
+            keep.append(free or same)
+        out.append(keep)
+    return pd.Series(out, dtype=object)
+
+
+_settle_udf = F.pandas_udf(_settle, T.ArrayType(T.BooleanType()))
+
+
+def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:
+    """Longest span first, then the earliest: a span stays unless it overlaps one that stays.
 
-    Overlapping matches start within n_max-1 tokens of each other, so a small
-    range frame over token index sees all rivals of a match.
+    A span beaten only by beaten spans stays, so the order matters along a chain
+    of overlaps; it is walked once per text over offsets alone.  Several
+    candidates of one and the same span stay together.
     """
-    w = Window.partitionBy(id_col).orderBy("tok").rangeBetween(-(n_max - 1), n_max - 1)
-    rivals = F.collect_list(F.struct("tok", "n")).over(w)
-    c = cands.withColumn("_rivals", rivals)
-    beaten = F.exists("_rivals", lambda d: (d["tok"] <= F.col("tok") + F.col("n") - 1)
-                      & (d["tok"] + d["n"] - 1 >= F.col("tok"))
-                      & ((d["n"] > F.col("n")) | ((d["n"] == F.col("n")) & (d["tok"] < F.col("tok")))))
-    return c.filter(~beaten).drop("_rivals")
+    rest = [c for c in cands.columns if c not in (id_col, "start", "end")]
+    spans = F.collect_list(F.struct((F.col("start") - F.col("end")).alias("_order"), "start", "end", *rest))
+    c = cands.groupBy(id_col).agg(F.array_sort(spans).alias("_c"))
+    c = c.withColumn("_keep", _settle_udf(F.col("_c.start"), F.col("_c.end")))
+    kept = F.filter(F.arrays_zip("_c", "_keep"), lambda x: x["_keep"])
+    return c.select(id_col, F.explode(kept).alias("_m")).select(
+        id_col, *[F.col(f"_m._c.{x}").alias(x) for x in cands.columns if x != id_col])
 
 
 def tag_mentions(articles: DataFrame, gazetteer: DataFrame, id_col: str = "article_id",
-                 text_col: str = "content", n_max: int | None = None) -> DataFrame:
-    """Mentions: (id, start, end, name, phrase, label, type, confidence, tok, n).
+                 text_col: str = "content", n_max: int | None = None, money: bool = False) -> DataFrame:
+    """Mentions: (id, start, end, name, phrase, label, type, confidence).
 
     Offsets are code points.  Labels outside the type map are dropped (the
-    reference keeps only mapped labels).
+    reference keeps only mapped labels).  ``money``: currency amounts are
+    mentions as well and compete with the phrases that they overlap.
     """
     spark = articles.sparkSession
     n_max = n_max or max_phrase_words(gazetteer)
@@ -120,10 +147,11 @@ def tag_mentions(articles: DataFrame, gazetteer: DataFrame, id_col: str = "artic
                    .join(F.broadcast(label_map(spark)), "label")
     firsts = gaz.select(F.split("phrase", " +")[0].alias("word"))
     grams = ngrams(toks, id_col, n_max, firsts)
-    cands = grams.join(gaz, "phrase")
-    kept = resolve_overlaps(cands, id_col, n_max)
-    return kept.select(id_col, "start", "end", "name", "phrase", "label", "type",
-                       F.lit(BASE_CONFIDENCE).alias("confidence"), "tok", "n")
+    cands = grams.join(gaz, "phrase").select(id_col, "start", "end", "name", "phrase", "label", "type",
+                                             F.lit(BASE_CONFIDENCE).alias("confidence"))
+    if money:
+        cands = cands.unionByName(money_mentions(articles, id_col, text_col))
+    return resolve_overlaps(cands, id_col)
 
 
 def money_mentions(articles: DataFrame, id_col: str = "article_id",
@@ -133,8 +161,7 @@ def money_mentions(articles: DataFrame, id_col: str = "article_id",
     return m.select(id_col, "start", "end", F.col("match").alias("name"),
                     F.lower("match").alias("phrase"), F.lit("MONEY").alias("label"),
                     F.lit("financial_instrument").alias("type"),
-                    F.lit(BASE_CONFIDENCE).alias("confidence"), F.lit(-1).alias("tok"),
-                    F.lit(0).alias("n"))
+                    F.lit(BASE_CONFIDENCE).alias("confidence"))
 
 
 def mentions_to_entities(mentions: DataFrame, id_col: str = "article_id") -> DataFrame:

@@ -315,6 +315,15 @@ SQL["relationships_confident"] = with_ctes(
 SQL["relationships_gated"] = with_ctes(_REL_SELECT.format(src="rel_final"),
                                        *_ENT, "kept_ent", "edges", "parsed_rel", "rel_final")
 
+SQL["relationships_rejected"] = with_ctes("""
+SELECT CAST(o_orderkey AS VARCHAR) AS article_id, CAST(-1 AS BIGINT) AS pos,
+       CASE (o_orderkey + 7) % 20 WHEN 17 THEN 'bad_json' WHEN 18 THEN 'relationships_not_list' END AS reason
+FROM orders WHERE (o_orderkey + 7) % 20 IN (17, 18)
+UNION ALL
+SELECT article_id, CAST(0 AS BIGINT), CASE (k + 7) % 20 WHEN 13 THEN 'sentiment' WHEN 15 THEN 'subject.confidence'
+                                                      WHEN 16 THEN 'action' END
+FROM edges WHERE pos = 1 AND (k + 7) % 20 IN (13, 15, 16)""", "ln", "edges")
+
 SQL["impacts_parsed"] = with_ctes("""
 SELECT article_id, summary, CAST(severity AS BIGINT) AS severity, affected_sectors, key_stakeholders, status
 FROM imp""", "imp")
@@ -552,15 +561,23 @@ WHERE m2 IS NOT NULL AND {_BLANK.format(x='p1')} AND {_BLANK.format(x='p2')}"""
 CTE["mcand"] = """
 SELECT ng.*, g.label, lm.type FROM ng JOIN gaz g ON g.phrase = ng.phrase JOIN labelmap lm ON lm.label = g.label"""
 
-CTE["mentions"] = """
-SELECT doc_id, start, e AS "end", name, phrase, label, type, CAST(0.75 AS DOUBLE) AS confidence FROM mcand c
-WHERE NOT EXISTS (SELECT 1 FROM mcand d WHERE d.doc_id = c.doc_id AND d.tk <= c.tk + c.n - 1
-                  AND d.tk + d.n - 1 >= c.tk AND (d.n > c.n OR (d.n = c.n AND d.tk < c.tk)))
+CTE["mall"] = """
+SELECT doc_id, start, e AS "end", name, phrase, label, type, CAST(0.75 AS DOUBLE) AS confidence FROM mcand
 UNION ALL
 SELECT doc_id, end_ - length(tok), end_, tok, lower(tok), 'MONEY', 'financial_instrument', 0.75 FROM money_tok"""
 
-_ORDER += ["gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mentions"]
-_MENTION_CTES = ("gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mentions")
+# spans of a text from the longest on, each added unless one taken before overlaps it
+CTE["mkept"] = """
+SELECT doc_id, unnest(list_reduce(spans, lambda a, b: CASE
+         WHEN len(list_filter(a, lambda y: y.s < b[1].e AND y.e > b[1].s)) > 0 THEN a ELSE list_concat(a, b) END)) AS k
+FROM (SELECT doc_id, list([{'s': start, 'e': "end"}] ORDER BY start - "end", start) AS spans
+      FROM (SELECT DISTINCT doc_id, start, "end" FROM mall) GROUP BY doc_id)"""
+
+CTE["mentions"] = """
+SELECT m.* FROM mall m JOIN mkept ON mkept.doc_id = m.doc_id AND mkept.k.s = m.start AND mkept.k.e = m."end\""""
+
+_ORDER += ["gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mall", "mkept", "mentions"]
+_MENTION_CTES = ("gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mall", "mkept", "mentions")
 
 SQL["mentions"] = with_ctes("""
 SELECT doc_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", name, label, type,
@@ -575,6 +592,23 @@ FROM (SELECT doc_id, phrase, type, arg_min(name, start) AS name, count(*) AS men
              min(start) AS first_start, max(confidence) AS confidence
       FROM mentions GROUP BY doc_id, phrase, type)""", *_MENTION_CTES)
 
+CTE["sent"] = _SPANS.format(re="[^.!?]+[.!?]*")
+CTE["verbs"] = """
+SELECT doc_id, end_ - length(tok) AS at_, action, sentiment
+FROM tok JOIN (VALUES ('is', 'IS', 0.0), ('was', 'WAS', 0.0), ('are', 'ARE', 0.0), ('from', 'COMES_FROM', 0.1),
+                      ('with', 'WORKS_WITH', 0.3), ('by', 'AFFECTED_BY', -0.2)) x(verb, action, sentiment) ON lower(tok) = verb"""
+_ORDER += ["sent", "verbs"]
+
+SQL["lexicon_relations"] = with_ctes("""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS BIGINT) AS pos, subject_name, action,
+       object_name, CAST(sentiment AS DOUBLE) AS sentiment, CAST(0.75 AS DOUBLE) AS confidence, reasoning
+FROM (SELECT v.*, s.name AS subject_name, s.start AS s_start, o.name AS object_name, o.start AS o_start,
+             n.start AS n_start, n.end_ AS n_end, trim(n.tok) AS reasoning
+      FROM verbs v ASOF JOIN mentions s ON s.doc_id = v.doc_id AND v.at_ >= s."end"
+           ASOF JOIN mentions o ON o.doc_id = v.doc_id AND v.at_ < o.start
+           ASOF JOIN (SELECT *, end_ - length(tok) AS start FROM sent) n ON n.doc_id = v.doc_id AND v.at_ >= n.start)
+WHERE s_start >= n_start AND o_start < n_end""", *_MENTION_CTES, "sent", "verbs")
+
 SQL["impact_rollup"] = with_ctes("""
 SELECT e.article_id,
        CAST(coalesce(r.n_rel, 0) AS VARCHAR) || ' causal links connect ' || e.n_ent || ' entities.'

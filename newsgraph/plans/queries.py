@@ -80,6 +80,12 @@ def entities_rejected(spark, sf_dir):
                     "reason")
 
 
+@query
+def relationships_rejected(spark, sf_dir):
+    _, q = parse.parse_relationships(fx.responses_fixture(_t(spark, sf_dir)))
+    return q.select("article_id", F.coalesce(F.col("pos"), F.lit(-1)).cast("bigint").alias("pos"), "reason")
+
+
 # ------------------------------------------------------------------ fact check
 
 @query
@@ -377,10 +383,8 @@ def responses_attached(spark, sf_dir):
 # ------------------------------------------------------------------ text: mentions
 
 def doc_mentions(t: Tables) -> DataFrame:
-    from newsgraph.operators.tagging import money_mentions, tag_mentions
-    docs = t.documents.select("doc_id", "text")
-    return tag_mentions(docs, fx.gazetteer(t), "doc_id", "text") \
-        .unionByName(money_mentions(docs, "doc_id", "text"))
+    from newsgraph.operators.tagging import tag_mentions
+    return tag_mentions(t.documents.select("doc_id", "text"), fx.gazetteer(t), "doc_id", "text", money=True)
 
 
 @query
@@ -536,15 +540,16 @@ def _feed_cols(f: DataFrame) -> DataFrame:
 
 @query
 def user_feed(spark, sf_dir):
-    from newsgraph.operators.curate import user_feed as feed
+    from newsgraph.operators.curate import graph_feed
     t = _t(spark, sf_dir)
     uv, av = _vectors(t)
-    return _feed_cols(feed(_matches(t), uv, av, as_of=F.lit(AS_OF).cast("timestamp")))
+    return _feed_cols(graph_feed(fx.interests_fixture(t), kept_entities(t), graph_edges_table(t), uv, av,
+                                 as_of=F.lit(AS_OF).cast("timestamp")))
 
 
 @query
 def fresh_feed(spark, sf_dir):
-    from newsgraph.operators.curate import fresh, graph_match as gm, user_feed as feed
+    from newsgraph.operators.curate import fresh, graph_feed
     t = _t(spark, sf_dir)
     uv, av = _vectors(t)
     ts = t.orders.select(F.col("o_orderkey").cast("string").alias("article_id"),
@@ -552,8 +557,8 @@ def fresh_feed(spark, sf_dir):
     as_of = F.lit(t.orders.agg(F.max(F.col("o_orderdate").cast("timestamp"))).first()[0])
     # articles are filtered first: only fresh ones are matched
     recent = fresh(ts, "published", as_of).select("article_id")
-    m = gm(fx.interests_fixture(t), kept_entities(t).join(recent, "article_id", "left_semi"), graph_edges_table(t))
-    return _feed_cols(feed(m, uv, av, as_of=as_of))
+    ents = kept_entities(t).join(recent, "article_id", "left_semi")
+    return _feed_cols(graph_feed(fx.interests_fixture(t), ents, graph_edges_table(t), uv, av, as_of=as_of))
 
 
 # ------------------------------------------------------------------ metrics

@@ -68,3 +68,29 @@ def test_rollup(spark):
     assert r["a"].severity == 1 + 4 + 2 and r["a"].affected_sectors == ["Auto", "Tech"]
     assert r["a"].key_stakeholders == ["Y", "Z"] and r["a"].summary.startswith("3 causal links")
     assert r["b"].severity == 1 and r["b"].key_stakeholders == []
+
+
+def test_chained_overlaps_and_money(spark):
+    gaz = spark.createDataFrame([("aa bb", "ORG"), ("bb cc dd", "ORG"), ("dd ee ff gg", "ORG"), ("million", "ORG"),
+                                 ("million pounds", "GPE")], "phrase string, label string")
+    d = spark.createDataFrame([(1, "aa bb cc dd ee ff gg"), (2, "$5 million"), (3, "$5 million pounds"), (4, None), (5, "")],
+                              "doc_id long, text string")
+    m = tag_mentions(d, gaz, "doc_id", "text", money=True).collect()
+    got = sorted((r.doc_id, r.start, r.end, r.label) for r in m)
+    # "aa bb" overlaps only a span that is itself beaten; of two overlapping spans the longer one stays
+    assert got == [(1, 0, 5, "ORG"), (1, 9, 20, "ORG"), (2, 0, 10, "MONEY"), (3, 3, 17, "GPE")]
+
+
+def test_graph_feed_equals_feed_of_all_pairs(spark):
+    from newsgraph.operators.curate import graph_feed, graph_match, user_feed
+    ui = spark.createDataFrame([(u, f"N{(u * 3 + j) % 7}") for u in range(6) for j in range(2)], "user_id long, name string")
+    ae = spark.createDataFrame([(f"a{i}", f"n{(i * i + j) % 9}") for i in range(30) for j in range(2)], "article_id string, name string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)], "src string, dst string")
+    uv = spark.createDataFrame([(u, [1.0, float(u)]) for u in range(5)], "user_id long, vec array<double>")
+    av = spark.createDataFrame([(f"a{i}", [float(i % 4), 1.0]) for i in range(28)], "article_id string, vec array<double>")
+    at = F.lit("2024-06-01").cast("timestamp")
+    for n in (3, 8, 40):  # all users served by depth 0, some, none
+        got = graph_feed(ui, ae, edges, uv, av, n, 3, at)
+        exp = user_feed(graph_match(ui, ae, edges, 3), uv, av, n, at)
+        assert sorted(got.select(exp.columns).collect()) == sorted(exp.collect())
+        assert exp.count() > 0

@@ -8,6 +8,10 @@ same bug in the oracle.
 
 from __future__ import annotations
 
+import json
+
+from newsgraph.operators import prompts
+
 CTE: dict[str, str] = {}
 
 CTE["ln"] = """
@@ -447,6 +451,19 @@ GROUP BY s.article_id, s.ts"""
 
 _NL2 = "chr(10) || chr(10)"
 
+
+def _shots(system: str, examples: list, key: str) -> str:
+    """SQL literal of the fixed messages before the last one."""
+    turns = ["system|" + system]
+    for ex in examples:
+        turns += ["user|Article: " + ex["article"], "assistant|" + json.dumps(ex[key], ensure_ascii=False)]
+    return "'" + "\n\n".join([*turns, "user|"]).replace("'", "''") + "'"
+
+
+_ENTITY_SHOTS = _shots(prompts.ENTITY_SYSTEM_PROMPT, prompts.ENTITY_EXAMPLES, "entities")
+_CAUSAL_SHOTS = _shots(prompts.CAUSAL_SYSTEM_PROMPT, prompts.CAUSAL_EXAMPLES, "relationships")
+_IMPACT_SHOTS = _shots(prompts.IMPACT_SYSTEM_PROMPT, prompts.IMPACT_EXAMPLES, "impact_summary")
+
 CTE["ent_ctx"] = """
 SELECT article_id, count(*) AS n,
        '[' || string_agg('{"name":"' || name || '","type":"' || type || '"}', ',' ORDER BY pos) || ']' AS ctx
@@ -475,26 +492,23 @@ FROM fx_rel GROUP BY article_id"""
 _ORDER += ["checked_ind", "ent_ctx", "val_ctx", "fx_rel", "rel_ctx"]
 
 SQL["entity_requests"] = with_ctes(f"""
-SELECT article_id, 'entity' AS stage, CAST(4 AS BIGINT) AS n_messages,
-       md5('Article: ' || content || {_NL2} || 'Extract all entities as JSON array:') AS user_md5,
+SELECT article_id, 'entity' AS stage, CAST(4 AS BIGINT) AS n_messages, md5(u) AS user_md5, md5({_ENTITY_SHOTS} || u) AS messages_md5,
        'gpt-4-turbo-preview' AS model, CAST(0.1 AS DOUBLE) AS temperature, 'json_object' AS response_format
-FROM doc_art""", "doc_art")
+FROM (SELECT *, 'Article: ' || content || {_NL2} || 'Extract all entities as JSON array:' AS u FROM doc_art)""", "doc_art")
 
 SQL["causal_requests"] = with_ctes(f"""
-SELECT article_id, 'mapping' AS stage, CAST(6 AS BIGINT) AS n_messages,
-       md5('Article: Order ' || article_id || {_NL2} || 'Known Entities: ' || ctx || {_NL2}
-           || 'Extract causal relationships between these entities as JSON array:') AS user_md5,
+SELECT article_id, 'mapping' AS stage, CAST(6 AS BIGINT) AS n_messages, md5(u) AS user_md5, md5({_CAUSAL_SHOTS} || u) AS messages_md5,
        'gpt-4-turbo-preview' AS model, CAST(0.2 AS DOUBLE) AS temperature, 'json_object' AS response_format
-FROM ent_ctx WHERE n >= 2""", "ln", "cand", "fc_ent", "ent_ctx")
+FROM (SELECT *, 'Article: Order ' || article_id || {_NL2} || 'Known Entities: ' || ctx || {_NL2}
+                || 'Extract causal relationships between these entities as JSON array:' AS u FROM ent_ctx) WHERE n >= 2""", "ln", "cand", "fc_ent", "ent_ctx")
 
 _IMPACT_REQ = f"""
-SELECT e.article_id, 'impact' AS stage, CAST(6 AS BIGINT) AS n_messages,
-       md5('Article: Order ' || e.article_id || {_NL2} || 'Entities: ' || coalesce(v.ctx, '[]')
-           || chr(10) || 'Relationships: ' || coalesce(r.ctx, '[]') || {_NL2}
-           || 'Generate impact summary as JSON:') AS user_md5,
+SELECT article_id, 'impact' AS stage, CAST(6 AS BIGINT) AS n_messages, md5(u) AS user_md5, md5({_IMPACT_SHOTS} || u) AS messages_md5,
        'gpt-4-turbo-preview' AS model, CAST(0.3 AS DOUBLE) AS temperature, 'json_object' AS response_format
-FROM (SELECT DISTINCT article_id FROM fc_ent) e
-LEFT JOIN val_ctx v ON v.article_id = e.article_id LEFT JOIN rel_ctx r ON r.article_id = e.article_id"""
+FROM (SELECT e.article_id, 'Article: Order ' || e.article_id || {_NL2} || 'Entities: ' || coalesce(v.ctx, '[]')
+             || chr(10) || 'Relationships: ' || coalesce(r.ctx, '[]') || {_NL2} || 'Generate impact summary as JSON:' AS u
+      FROM (SELECT DISTINCT article_id FROM fc_ent) e
+      LEFT JOIN val_ctx v ON v.article_id = e.article_id LEFT JOIN rel_ctx r ON r.article_id = e.article_id)"""
 
 _REQ_CTES = ("ln", "cand", "fc_ent", "edges", *_KB, "checked", "checked_ind", "ent_ctx", "val_ctx",
              "fx_rel", "rel_ctx")
@@ -751,6 +765,9 @@ SELECT user_id, article_id, relevance_score, CAST(graph_depth AS BIGINT) AS grap
         {where})) WHERE rank <= 20"""
 
 SQL["user_feed"] = _recursive(_FEED.format(where=""), _CUR)
+SQL["user_feed_events"] = _recursive("SELECT CAST(user_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) AS user_id, article_id, "
+    "relevance_score, match_reasons, graph_depth, CAST(epoch(TIMESTAMP '2024-06-01 00:00:00') AS BIGINT) AS epoch FROM ("
+    + _FEED.format(where="") + ")", _CUR)
 SQL["fresh_feed"] = _recursive(_FEED.format(
     where="WHERE a.published > (SELECT max(o_orderdate) FROM orders) - INTERVAL 24 HOURS"), _CUR)
 
@@ -784,8 +801,16 @@ SELECT article_id, n_entities AS entity_count, n_relationships AS relationship_c
                  ELSE len(string_split(hallucination_flags, ' | ')) END AS BIGINT) AS n_flags,
        CASE WHEN severity BETWEEN 1 AND 3 THEN 'minor' WHEN severity BETWEEN 4 AND 6 THEN 'significant'
             WHEN severity BETWEEN 7 AND 8 THEN 'major' WHEN severity BETWEEN 9 AND 10 THEN 'crisis' END AS severity_band,
-       fact_check_passed
-FROM events_flat""", *_EVENT_CTES, fc_ent=_FC_FROM_PARSED)
+       fact_check_passed, CAST(epoch(TIMESTAMP '2024-06-01 00:00:00') - epoch(o.o_orderdate) AS DOUBLE) AS processing_seconds
+FROM events_flat e JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = e.article_id""", *_EVENT_CTES, fc_ent=_FC_FROM_PARSED)
+
+SQL["pipeline_windowed"] = with_ctes("""
+SELECT CAST(epoch(time_bucket(INTERVAL 15 MINUTE, CAST(o.o_orderdate AS TIMESTAMP))) AS BIGINT) AS window_start,
+       o.o_orderstatus AS source, CAST(count(*) AS BIGINT) AS articles,
+       CAST(sum(CASE WHEN hallucination_flags = '' THEN 0 ELSE len(string_split(hallucination_flags, ' | ')) END) AS BIGINT) AS flags,
+       round(avg(severity), 6) AS mean_severity
+FROM events_flat e JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = e.article_id GROUP BY 1, 2""",
+                                     *_EVENT_CTES, fc_ent=_FC_FROM_PARSED)
 
 SQL["hallucination_rate"] = with_ctes("""
 SELECT c.type, o.o_orderstatus AS source, CAST(count(*) AS BIGINT) AS n,

@@ -328,6 +328,8 @@ def dedup_articles(spark, sf_dir):
 def _req_cols(df: DataFrame) -> DataFrame:
     return df.select("article_id", "stage", F.size("messages").cast("bigint").alias("n_messages"),
                      F.md5(F.element_at("messages", -1)["content"]).alias("user_md5"),
+                     F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["content"])),
+                                        "\n\n")).alias("messages_md5"),
                      "model", _r6("temperature"), "response_format")
 
 
@@ -547,6 +549,24 @@ def user_feed(spark, sf_dir):
                                  as_of=F.lit(AS_OF).cast("timestamp")))
 
 
+@query
+def user_feed_events(spark, sf_dir):
+    """The feed written as JSON user-feed events and read back."""
+    from newsgraph.operators.curate import graph_feed
+    from newsgraph.sources.sinks import write_user_feed
+    t = _t(spark, sf_dir)
+    uv, av = _vectors(t)
+    path = _scratch(spark, "feed")
+    write_user_feed(graph_feed(fx.interests_fixture(t), kept_entities(t), graph_edges_table(t), uv, av,
+                               as_of=F.lit(AS_OF).cast("timestamp")), "parquet", path, 0, encoded=True)
+    e = F.from_json("value", "user_id string, article_id string, relevance_score double, match_reasons array<string>, "
+                             "graph_depth bigint, timestamp timestamp").alias("e")
+    back = spark.read.parquet(path).select("key", e)
+    return back.select("key", "e.user_id", "e.article_id", F.round("e.relevance_score", 6).alias("relevance_score"),
+                       F.array_join("e.match_reasons", "|").alias("match_reasons"), "e.graph_depth",
+                       F.unix_seconds("e.timestamp").alias("epoch"))
+
+
 @query
 def fresh_feed(spark, sf_dir):
     from newsgraph.operators.curate import fresh, graph_feed
@@ -593,10 +613,26 @@ def token_usage(spark, sf_dir):
 @query
 def article_metrics(spark, sf_dir):
     from newsgraph.operators.metrics import article_metrics as am
-    m = am(order_batch(_t(spark, sf_dir)).events)
+    t = _t(spark, sf_dir)
+    fetched = fx.order_articles(t).select("article_id", "fetch_timestamp")
+    m = am(order_batch(t).events.join(fetched, "article_id"), "fetch_timestamp", "processing_timestamp")
     return m.select("article_id", *[F.col(c).cast("bigint").alias(c) for c in
                                     ("entity_count", "relationship_count", "severity", "n_flags")],
-                    "severity_band", "fact_check_passed")
+                    "severity_band", "fact_check_passed", _r6("processing_seconds"))
+
+
+@query
+def pipeline_windowed(spark, sf_dir):
+    """Articles, flags and mean severity of the graph events per publication interval and source."""
+    from newsgraph.operators.metrics import windowed
+    t = _t(spark, sf_dir)
+    src = fx.order_articles(t).select("article_id", "source", "published_date")
+    w = windowed(order_batch(t).events.join(src, "article_id"), "published_date", ["source"], "15 minutes",
+                 [F.count("*").alias("articles"), F.sum(F.size("hallucination_flags")).alias("flags"),
+                  F.avg("impact_summary.severity").alias("mean_severity")])
+    return w.select(F.unix_seconds("window.start").alias("window_start"), "source",
+                    F.col("articles").cast("bigint").alias("articles"),
+                    F.col("flags").cast("bigint").alias("flags"), _r6("mean_severity"))
 
 
 @query

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from newsgraph.config import FEED_TTL_HOURS, MAX_GRAPH_DEPTH
 from newsgraph.operators.graph import impact_trace, node_key
@@ -18,21 +19,43 @@ from newsgraph.session import cut_lineage
 GRAPH_WEIGHT, VECTOR_WEIGHT = 0.7, 0.3
 FEED_SIZE = 20
 REASON_PREFIX = "Follows "
+TYPE_WEIGHTS = {"purchase": 3.0, "signup": 2.0, "error": 0.5}
 ITEM_BLOCKS = 8       # blocks of items at least, so that small inputs are spread too
 BLOCK_ROWS = 20_000   # vectors per side held by one task in the exact top-k
 QUERY_CHUNK = 512     # queries scored per matrix product (bounds the score matrix)
+LSH_TABLES, LSH_BITS, LSH_SEED = 12, 8, 17
 
 
-def interests(interactions: DataFrame, weight_col: str = "weight") -> DataFrame:
-    """(user_id, name, weight) from interaction rows: summed per (user, entity)."""
-    return interactions.groupBy("user_id", "name").agg(F.sum(weight_col).alias("weight"))
+def interests(interactions: DataFrame, type_weights: dict[str, float] | None = None) -> DataFrame:
+    """(user_id, name, weight) from interaction rows (user_id, name, event_type, value).
+
+    Every interaction counts, by its value times the weight of its type (1 if none is named).
+    """
+    w = F.lit(1.0)
+    for kind, x in (TYPE_WEIGHTS if type_weights is None else type_weights).items():
+        w = F.when(F.col("event_type") == kind, x).otherwise(w)
+    return interactions.groupBy("user_id", "name").agg(F.sum(F.col("value") * w).alias("weight"))
+
+
+def matched_nodes(user_interests: DataFrame, edges: DataFrame, max_depth: int = MAX_GRAPH_DEPTH) -> DataFrame:
+    """Graph matches in factored form: (user_id, node, graph_depth, match_reasons).
+
+    A user's articles are those that name one of the nodes; users and articles
+    meet only where a feed expands them.  The trace runs once per followed entity.
+    """
+    ui = user_interests.select("user_id", "name", node_key(F.col("name")).alias("seed"))
+    reach = impact_trace(ui.select("seed").distinct().withColumn("node", F.col("seed")), edges, max_depth)
+    return ui.join(reach, "seed").groupBy("user_id", "node").agg(
+        F.min("depth").alias("graph_depth"),
+        F.array_sort(F.collect_set(F.concat(F.lit(REASON_PREFIX), F.col("name")))).alias("match_reasons"))
 
 
 def graph_match(user_interests: DataFrame, article_entities: DataFrame, edges: DataFrame,
                 max_depth: int = MAX_GRAPH_DEPTH) -> DataFrame:
-    """(user_id, article_id, graph_depth, match_reasons).
+    """(user_id, article_id, graph_depth, match_reasons), every matched pair.
 
-    The trace runs once per distinct followed entity (not per user); reach is
+    For small sets of users or articles; ``matched_nodes`` keeps the two sides
+    apart and ``graph_feed`` ranks without forming the pairs.  The trace runs once per distinct followed entity (not per user); reach is
     reduced to (seed, article, min depth) before the users are joined in, so a
     popular entity is expanded once however many users follow it.
     """
@@ -83,6 +106,34 @@ def cosine(a: Column, b: Column) -> Column:
     return _cosine_udf(a, b)
 
 
+def _block_topk(k: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The ``k`` best items (side 1) of each query (side 0) of one block, ties at the k-th by item id."""
+    qpdf, ipdf = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    (qpdf, qm), (ipdf, im) = _rows_unit(qpdf), _rows_unit(ipdf)
+    if qpdf.empty or ipdf.empty:
+        return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
+                             "score": pd.Series([], dtype=float)})
+    order = np.argsort(ipdf["iid"].to_numpy(), kind="stable")
+    im, iids = im[order], ipdf["iid"].to_numpy()[order]
+    qids = qpdf["qid"].to_numpy()
+    kk = min(k, im.shape[0])
+    out_q, out_i, out_s = [], [], []
+    # score QUERY_CHUNK queries at a time: memory is chunk x block, not block x block
+    for c0 in range(0, qm.shape[0], QUERY_CHUNK):
+        s = np.round(qm[c0:c0 + QUERY_CHUNK] @ im.T, 6)
+        # k-th best score per query; every item scoring at least that is a candidate
+        # (ties included), then candidates are ordered by (-score, item id)
+        kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+        for r in range(s.shape[0]):
+            cand = np.nonzero(s[r] >= kth[r])[0]
+            best = cand[np.lexsort((cand, -s[r, cand]))][:kk]
+            out_q.append(np.repeat(qids[c0 + r], len(best)))
+            out_i.append(iids[best])
+            out_s.append(s[r, best])
+    return pd.DataFrame({"qid": np.concatenate(out_q), "iid": np.concatenate(out_i),
+                         "score": np.concatenate(out_s)})
+
+
 def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """Exact top-k items per query by cosine: (qid, iid, score, rank).
 
@@ -109,38 +160,72 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
                       F.pmod(F.xxhash64("iid"), F.lit(ni)).alias("ib"),
                       F.lit(1).alias("side"), F.lit(None).cast(qtype).alias("qid"), "iid", "vec")
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        qpdf, ipdf = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        (qpdf, qm), (ipdf, im) = _rows_unit(qpdf), _rows_unit(ipdf)
-        if qpdf.empty or ipdf.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype=float)})
-        order = np.argsort(ipdf["iid"].to_numpy(), kind="stable")
-        im, iids = im[order], ipdf["iid"].to_numpy()[order]
-        qids = qpdf["qid"].to_numpy()
-        kk = min(k, im.shape[0])
-        out_q, out_i, out_s = [], [], []
-        # score QUERY_CHUNK queries at a time: memory is chunk x block, not block x block
-        for c0 in range(0, qm.shape[0], QUERY_CHUNK):
-            s = np.round(qm[c0:c0 + QUERY_CHUNK] @ im.T, 6)
-            # k-th best score per query; every item scoring at least that is a candidate
-            # (ties included), then candidates are ordered by (-score, item id)
-            kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-            for r in range(s.shape[0]):
-                cand = np.nonzero(s[r] >= kth[r])[0]
-                best = cand[np.lexsort((cand, -s[r, cand]))][:kk]
-                out_q.append(np.repeat(qids[c0 + r], len(best)))
-                out_i.append(iids[best])
-                out_s.append(s[r, best])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "iid": np.concatenate(out_i),
-                             "score": np.concatenate(out_s)})
-
     part = qrows.unionByName(irows).groupBy("qb", "ib").applyInPandas(
-        score, f"qid {qtype}, iid {itype}, score double")
+        lambda pdf: _block_topk(k, pdf), f"qid {qtype}, iid {itype}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("iid"))
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def hyperplanes(dim: int, n: int, seed: int = LSH_SEED) -> np.ndarray:
+    """``n`` hyperplanes with components 1 or -1, from a digest of (seed, plane, component)."""
+    sign = [[1.0 if hashlib.md5(f"{seed}:{p}:{d}".encode()).hexdigest()[0] < "8" else -1.0 for d in range(dim)]
+            for p in range(n)]
+    return np.array(sign)
+
+
+def _codes(n_tables: int, bits: int, seed: int):
+    """Arrow-batched function: vector -> one bucket code per table (NULL without a direction)."""
+    known: dict[int, np.ndarray] = {}
+
+    def run(vec: pd.Series) -> pd.Series:
+        out = np.full(len(vec), None, dtype=object)
+        has = np.flatnonzero(vec.notna().to_numpy())
+        if len(has):
+            rows, m = _rows_unit(pd.DataFrame({"vec": vec.iloc[has], "at": has}))
+            if len(rows):
+                if m.shape[1] not in known:
+                    known[m.shape[1]] = hyperplanes(m.shape[1], n_tables * bits, seed)
+                side = (np.round(m @ known[m.shape[1]].T, 6) >= 0).reshape(len(rows), n_tables, bits)
+                for i, c in zip(rows["at"], (side * (1 << np.arange(bits))).sum(axis=2).tolist(), strict=True):
+                    out[i] = c
+        return pd.Series(out)
+
+    return F.pandas_udf(run, ArrayType(IntegerType()))
+
+
+def lsh_topk(queries: DataFrame, items: DataFrame, k: int = 10, n_tables: int = LSH_TABLES, bits: int = LSH_BITS,
+             seed: int = LSH_SEED) -> DataFrame:
+    """Top-k per query among the items that share a bucket with it: (qid, iid, score, rank).
+
+    Each of ``n_tables`` tables cuts the space with ``bits`` random hyperplanes;
+    a query meets only the items on the same side of all planes of a table, and
+    these are scored exactly.  A bucket is split into blocks of about
+    ``BLOCK_ROWS`` a side by its own counts (at most n_tables * 2^bits rows), so a
+    hot bucket is many tasks and a small one is one.  Ties and undefined
+    vectors as in ``vector_topk``, which has the exact result.
+    """
+    code = _codes(n_tables, bits, seed)
+
+    def coded(df: DataFrame, name: str) -> DataFrame:
+        v = df.select(name, F.col("vec").cast("array<double>").alias("vec"))
+        return v.select(name, "vec", F.posexplode(code("vec")).alias("tab", "code"))
+
+    q, it = coded(queries, "qid"), coded(items, "iid")
+    parts = lambda df, name: df.groupBy("tab", "code").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+    split = F.broadcast(parts(q, "nq").join(parts(it, "ni"), ["tab", "code"]))
+    qtype, itype = dict(q.dtypes)["qid"], dict(it.dtypes)["iid"]
+    blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    qrows = q.join(split, ["tab", "code"]).select("tab", "code", F.pmod(F.xxhash64("qid"), F.col("nq")).alias("qb"), blocks("ni").alias("ib"),
+                                                  F.lit(0).alias("side"), "qid", F.lit(None).cast(itype).alias("iid"), "vec")
+    irows = it.join(split, ["tab", "code"]).select("tab", "code", blocks("nq").alias("qb"), F.pmod(F.xxhash64("iid"), F.col("ni")).alias("ib"),
+                                                   F.lit(1).alias("side"), F.lit(None).cast(qtype).alias("qid"), "iid", "vec")
+    part = qrows.unionByName(irows).groupBy("tab", "code", "qb", "ib").applyInPandas(
+        lambda pdf: _block_topk(k, pdf), f"qid {qtype}, iid {itype}, score double")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("iid"))
+    best = part.groupBy("qid", "iid").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def relevance(depth: Column, cos: Column) -> Column:
     """Score in [0, 1]: 0.7/(1+depth) + 0.3*max(0, cosine), rounded to 6 places."""
     return F.round(F.lit(GRAPH_WEIGHT) / (1 + depth)

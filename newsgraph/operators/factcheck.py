@@ -77,10 +77,12 @@ def search_kb(queries: DataFrame, kb: DataFrame, id_col: str, name_col: str,
     """Candidates for each query name: queries(name, ...) -> + key, rank, KB columns.
 
     Both sides are hash-partitioned on ``key``; a later group by (key, name)
-    reuses that partitioning, so verdicts need no further shuffle.
+    reuses that partitioning, so verdicts need no further shuffle.  ``kb`` may
+    be the output of ``top_keys``, stored once for many searches.
     """
     q = queries.withColumn("key", _norm(F.col("name")))
-    top = top_keys(kb, id_col, name_col, limit, language)
+    ranked = {"key", "rank"} <= set(kb.columns)
+    top = kb.filter(F.col("rank") <= limit) if ranked else top_keys(kb, id_col, name_col, limit, language)
     top = top.withColumnRenamed(name_col, "cand_name") if name_col == "name" else top
     return q.join(top, "key", how)
 

@@ -17,6 +17,9 @@ ACTION_BY_FLAG = {"A": "supplies", "N": "delivers_to", "R": "recalls_from"}
 GAZETTEER_LABELS = ["ORG", "PERSON", "GPE", "LOC", "EVENT", "MONEY", "PRODUCT"]
 GAZETTEER_PHRASES = [("apache license", "PRODUCT"), ("general public license", "PRODUCT"),
                      ("unmapped phrase", "NORP")]
+ORDER_PHRASES = [("apache license", "PRODUCT"), ("license terms office", "ORG"), ("office trade relations", "ORG"),
+                 ("trade relations", "EVENT"), ("general public license", "PRODUCT"), ("with profit", "EVENT"),
+                 ("million pounds sterling", "GPE"), ("unmapped phrase", "NORP")]
 LEXICON = [("is", "IS", 0.0), ("was", "WAS", 0.0), ("are", "ARE", 0.0),
            ("from", "COMES_FROM", 0.1), ("with", "WORKS_WITH", 0.3), ("by", "AFFECTED_BY", -0.2)]
 IMPACT_SUMMARY_FMT = "Order %d changed hands. Its customer is affected."
@@ -370,14 +373,34 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "verb string, action string, sentiment double")
 
 
+def order_texts(t: Tables) -> DataFrame:
+    """One text per order: chained overlaps, money amounts, an unmapped label, verbs inside mentions (2.14)."""
+    o = t.orders.select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("string").alias("p"))
+    c = t.customer.select("c_custkey", "c_mktsegment")
+    kind = F.col("o_orderkey") % 4
+    text = (F.when(kind == 0, F.concat(F.lit("Apache License Terms Office Trade Relations was paid $"), "p",
+                                       F.lit(" million by "), "c_mktsegment",
+                                       F.lit(" buyers. An Unmapped Phrase is from General Public License holders!")))
+            .when(kind == 1, F.concat(F.lit("Apache License Terms Office deals with profit from General Public License, worth €"),
+                                      "p", F.lit(" million pounds sterling.")))
+            .when(kind == 2, F.concat("c_mktsegment", F.lit(" demand is with profit. £"), "p",
+                                      F.lit(",000 was from Apache\tLicense? Yes, by Trade Relations with profit")))
+            .otherwise(F.lit("Unmapped phrase was nothing.")))
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+def order_gazetteer(t: Tables) -> DataFrame:
+    """Customer segments as ORG, and phrases that overlap in chains (2.14)."""
+    seg = t.customer.select(F.lower("c_mktsegment").alias("phrase")).distinct().withColumn("label", F.lit("ORG"))
+    return seg.unionByName(t.spark.createDataFrame(ORDER_PHRASES, "phrase string, label string"))
+
+
 # ---------------------------------------------------------------- users
 
-def interests_fixture(t: Tables) -> DataFrame:
-    """(user_id, name, weight): purchase/view events follow supplier k % count(supplier) (2.6)."""
+def interactions(t: Tables) -> DataFrame:
+    """(user_id, name, event_type, value): every event follows supplier k % count(supplier) (2.6)."""
     s = t.supplier.select("s_suppkey", "s_name")
     n_sup = s.agg(F.count("*")).scalar()  # scalar subquery, planned by Catalyst
-    ev = t.events.filter(F.col("event_type").isin("purchase", "view")) \
-        .select("user_id", "value", F.get_json_object("props", "$.k").cast("bigint").alias("pk"))
-    ev = ev.withColumn("sk", F.col("pk") % n_sup)
-    return ev.join(s, ev.sk == s.s_suppkey).groupBy("user_id", F.col("s_name").alias("name")) \
-             .agg(F.sum("value").alias("weight"))
+    ev = t.events.select("user_id", "event_type", "value",
+                         (F.get_json_object("props", "$.k").cast("bigint") % n_sup).alias("sk"))
+    return ev.join(s, ev.sk == s.s_suppkey).select("user_id", F.col("s_name").alias("name"), "event_type", "value")

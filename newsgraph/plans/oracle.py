@@ -593,10 +593,12 @@ SELECT m.* FROM mall m JOIN mkept ON mkept.doc_id = m.doc_id AND mkept.k.s = m.s
 _ORDER += ["gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mall", "mkept", "mentions"]
 _MENTION_CTES = ("gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mall", "mkept", "mentions")
 
-SQL["mentions"] = with_ctes("""
+_BODY = {}
+_BODY["mentions"] = """
 SELECT doc_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", name, label, type,
        round(confidence, 6) AS confidence
-FROM mentions""", *_MENTION_CTES)
+FROM mentions"""
+SQL["mentions"] = with_ctes(_BODY["mentions"], *_MENTION_CTES)
 
 SQL["mention_entities"] = with_ctes("""
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_start, phrase, type) - 1 AS BIGINT) AS pos,
@@ -613,7 +615,7 @@ FROM tok JOIN (VALUES ('is', 'IS', 0.0), ('was', 'WAS', 0.0), ('are', 'ARE', 0.0
                       ('with', 'WORKS_WITH', 0.3), ('by', 'AFFECTED_BY', -0.2)) x(verb, action, sentiment) ON lower(tok) = verb"""
 _ORDER += ["sent", "verbs"]
 
-SQL["lexicon_relations"] = with_ctes("""
+_BODY["lexicon_relations"] = """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS BIGINT) AS pos, subject_name, action,
        object_name, CAST(sentiment AS DOUBLE) AS sentiment, CAST(0.75 AS DOUBLE) AS confidence, reasoning
 FROM (SELECT v.*, s.name AS subject_name, s.start AS s_start, o.name AS object_name, o.start AS o_start,
@@ -621,7 +623,27 @@ FROM (SELECT v.*, s.name AS subject_name, s.start AS s_start, o.name AS object_n
       FROM verbs v ASOF JOIN mentions s ON s.doc_id = v.doc_id AND v.at_ >= s."end"
            ASOF JOIN mentions o ON o.doc_id = v.doc_id AND v.at_ < o.start
            ASOF JOIN (SELECT *, end_ - length(tok) AS start FROM sent) n ON n.doc_id = v.doc_id AND v.at_ >= n.start)
-WHERE s_start >= n_start AND o_start < n_end""", *_MENTION_CTES, "sent", "verbs")
+WHERE s_start >= n_start AND o_start < n_end"""
+SQL["lexicon_relations"] = with_ctes(_BODY["lexicon_relations"], *_MENTION_CTES, "sent", "verbs")
+
+# the same over texts made of orders, with their own gazetteer
+_ORDER_TEXTS = {"documents": """
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 4
+         WHEN 0 THEN 'Apache License Terms Office Trade Relations was paid $' || p || ' million by ' || c_mktsegment
+                     || ' buyers. An Unmapped Phrase is from General Public License holders!'
+         WHEN 1 THEN 'Apache License Terms Office deals with profit from General Public License, worth €' || p || ' million pounds sterling.'
+         WHEN 2 THEN c_mktsegment || ' demand is with profit. £' || p || ',000 was from Apache' || chr(9)
+                     || 'License? Yes, by Trade Relations with profit'
+         ELSE 'Unmapped phrase was nothing.' END AS text
+FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS p FROM orders) JOIN customer ON c_custkey = o_custkey""",
+                "gaz": """
+SELECT DISTINCT lower(c_mktsegment) AS phrase, 'ORG' AS label FROM customer
+UNION ALL SELECT * FROM (VALUES ('apache license', 'PRODUCT'), ('license terms office', 'ORG'), ('office trade relations', 'ORG'),
+  ('trade relations', 'EVENT'), ('general public license', 'PRODUCT'), ('with profit', 'EVENT'),
+  ('million pounds sterling', 'GPE'), ('unmapped phrase', 'NORP'))"""}
+_ORDER.insert(0, "documents")
+for _name, _of, _more in (("order_mentions", "mentions", ()), ("order_relations", "lexicon_relations", ("sent", "verbs"))):
+    SQL[_name] = with_ctes(_BODY[_of], "documents", *_MENTION_CTES, *_more, **_ORDER_TEXTS)
 
 SQL["impact_rollup"] = with_ctes("""
 SELECT e.article_id,
@@ -705,10 +727,11 @@ SELECT seed, node, CAST(min(depth) AS BIGINT) AS depth FROM tr GROUP BY seed, no
 # ---------------------------------------------------------------- curation
 
 CTE["ui"] = """
-SELECT e.user_id, s.s_name AS name, sum(e.value) AS weight
+SELECT e.user_id, s.s_name AS name,
+       sum(e.value * CASE e.event_type WHEN 'purchase' THEN 3.0 WHEN 'signup' THEN 2.0 WHEN 'error' THEN 0.5 ELSE 1.0 END) AS weight
 FROM events e JOIN supplier s
   ON s.s_suppkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT) % (SELECT count(*) FROM supplier)
-WHERE e.event_type IN ('purchase', 'view') GROUP BY 1, 2"""
+GROUP BY 1, 2"""
 
 CTE["vecs_u"] = """
 SELECT u.user_id, CAST(e.embedding AS DOUBLE[]) AS v
@@ -747,7 +770,12 @@ def _recursive(body: str, names: tuple, rec: str = "reach(seed, node, depth)", a
 SQL["user_interests"] = with_ctes("SELECT user_id, name, round(weight, 6) AS weight FROM ui", "ui")
 
 SQL["graph_match"] = _recursive("""
-SELECT user_id, article_id, CAST(graph_depth AS BIGINT) AS graph_depth, match_reasons FROM gm""", _CUR)
+SELECT ui.user_id, r.node, CAST(min(r.depth) AS BIGINT) AS graph_depth,
+       array_to_string(list_sort(list_distinct(list('Follows ' || ui.name))), '|') AS match_reasons,
+       CAST(coalesce(max(a.n), 0) AS BIGINT) AS n_articles
+FROM ui JOIN reach r ON r.seed = lower(trim(ui.name))
+LEFT JOIN (SELECT lower(trim(name)) AS node, count(DISTINCT article_id) AS n FROM fc_ent GROUP BY 1) a ON a.node = r.node
+GROUP BY 1, 2""", _CUR, after=())
 
 SQL["vector_topk"] = with_ctes("""
 SELECT user_id, article_id, score, CAST(rank AS BIGINT) AS rank FROM (
@@ -755,6 +783,24 @@ SELECT user_id, article_id, score, CAST(rank AS BIGINT) AS rank FROM (
   FROM (SELECT u.user_id, a.article_id, round(list_cosine_similarity(u.v, a.v), 6) AS score
         FROM vecs_u u, vecs_a a)) WHERE rank <= 10""", "vecs_u", "vecs_a")
 
+# 12 tables of 8 planes; a plane's components are the sides of a digest
+SQL["vector_topk_lsh"] = with_ctes("""
+, planes AS (
+  SELECT p, list(CASE WHEN substr(md5('17:' || p || ':' || d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS h
+  FROM range(96) a(p), range((SELECT max(len(embedding)) FROM embeddings)) b(d) GROUP BY p),
+vecs AS (SELECT 'u' AS kind, CAST(user_id AS VARCHAR) AS id, v FROM vecs_u UNION ALL SELECT 'a', article_id, v FROM vecs_a),
+codes AS (
+  SELECT kind, id, p // 8 AS tab,
+         sum(CASE WHEN round(list_inner_product(v, h) / sqrt(list_inner_product(v, v)), 6) >= 0 THEN 1 << CAST(p % 8 AS INTEGER) ELSE 0 END) AS code
+  FROM vecs, planes WHERE list_inner_product(v, v) > 0 GROUP BY 1, 2, 3),
+pairs AS (SELECT DISTINCT u.id AS uid, a.id AS article_id FROM codes u JOIN codes a ON a.kind = 'a' AND a.tab = u.tab AND a.code = u.code
+          WHERE u.kind = 'u')
+SELECT user_id, article_id, score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, article_id) AS rank
+  FROM (SELECT u.user_id, p.article_id, round(list_cosine_similarity(u.v, a.v), 6) AS score
+        FROM pairs p JOIN vecs_u u ON CAST(u.user_id AS VARCHAR) = p.uid JOIN vecs_a a ON a.article_id = p.article_id))
+WHERE rank <= 10""", "vecs_u", "vecs_a").replace("\n\n,", ",")
+
 _FEED = """
 SELECT user_id, article_id, relevance_score, CAST(graph_depth AS BIGINT) AS graph_depth, match_reasons,
        CAST(rank AS BIGINT) AS rank FROM (

@@ -208,12 +208,12 @@ def error_verdicts(spark, sf_dir):
 
 # ------------------------------------------------------------------ graph events
 
-def order_batch(t: Tables, cfg: Config = Config()):
+def order_batch(t: Tables, cfg: Config = Config(), checkpoint: bool = True):
     from newsgraph.plans.process import process_batch
     arts = fx.order_articles(t).drop("file_no")
     return process_batch(arts, fx.responses_fixture(t), fx.company_kb(t), fx.wiki_kb(t),
                          cfg=cfg, as_of=F.lit("2024-06-01 00:00:00").cast("timestamp"),
-                         checkpoint=True)
+                         checkpoint=checkpoint)
 
 
 @query
@@ -410,13 +410,37 @@ def lexicon_relations(spark, sf_dir):
     from newsgraph.operators.relations import lexicon_relations as lex_rel
     t = _t(spark, sf_dir)
     docs = t.documents.select("doc_id", "text")
-    r = lex_rel(docs, doc_mentions(t), fx.lexicon(spark), "doc_id", "text")
+    return _relation_cols(lex_rel(docs, doc_mentions(t), fx.lexicon(spark), "doc_id", "text"))
+
+
+def _relation_cols(r: DataFrame) -> DataFrame:
     return r.select("doc_id", F.col("pos").cast("bigint").alias("pos"),
                     F.col("subject.name").alias("subject_name"), "action",
                     F.col("object.name").alias("object_name"), _r6("sentiment"), _r6("confidence"),
                     "reasoning")
 
 
+def order_mentions_table(t: Tables, texts: DataFrame) -> DataFrame:
+    from newsgraph.operators.tagging import tag_mentions
+    return tag_mentions(texts, fx.order_gazetteer(t), "doc_id", "text", money=True)
+
+
+@query
+def order_mentions(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    m = order_mentions_table(t, fx.order_texts(t))
+    return m.select("doc_id", F.col("start").cast("bigint").alias("start"),
+                    F.col("end").cast("bigint").alias("end"), "name", "label", "type", _r6("confidence"))
+
+
+@query
+def order_relations(spark, sf_dir):
+    from newsgraph.operators.relations import lexicon_relations as lex_rel
+    t = _t(spark, sf_dir)
+    texts = fx.order_texts(t)
+    return _relation_cols(lex_rel(texts, order_mentions_table(t, texts), fx.lexicon(spark), "doc_id", "text"))
+
+
 @query
 def impact_rollup(spark, sf_dir):
     from newsgraph.operators.impact import rollup_impact
@@ -505,23 +529,27 @@ def _vectors(t: Tables):
     return uv, av
 
 
-def _matches(t: Tables) -> DataFrame:
-    from newsgraph.operators.curate import graph_match as gm
-    return gm(fx.interests_fixture(t), kept_entities(t), graph_edges_table(t))
+def interests_table(t: Tables) -> DataFrame:
+    from newsgraph.operators.curate import interests
+    return interests(fx.interactions(t))
 
 
 @query
 def user_interests(spark, sf_dir):
-    from newsgraph.operators.curate import interests
-    i = fx.interests_fixture(_t(spark, sf_dir))
-    return interests(i).select("user_id", "name", _r6("weight"))
+    return interests_table(_t(spark, sf_dir)).select("user_id", "name", _r6("weight"))
 
 
 @query
 def graph_match(spark, sf_dir):
-    m = _matches(_t(spark, sf_dir))
-    return m.select("user_id", "article_id", F.col("graph_depth").cast("bigint").alias("graph_depth"),
-                    F.array_join("match_reasons", "|").alias("match_reasons"))
+    """Factored matches: the nodes each user reaches, with the number of articles that name them."""
+    from newsgraph.operators.curate import matched_nodes
+    from newsgraph.operators.graph import node_key
+    t = _t(spark, sf_dir)
+    m = matched_nodes(interests_table(t), graph_edges_table(t))
+    n = kept_entities(t).groupBy(node_key(F.col("name")).alias("node")).agg(F.countDistinct("article_id").alias("n_articles"))
+    return m.join(n, "node", "left").select(
+        "user_id", "node", F.col("graph_depth").cast("bigint").alias("graph_depth"),
+        F.array_join("match_reasons", "|").alias("match_reasons"), F.coalesce("n_articles", F.lit(0)).cast("bigint").alias("n_articles"))
 
 
 @query
@@ -533,6 +561,15 @@ def vector_topk(spark, sf_dir):
                     F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def vector_topk_lsh(spark, sf_dir):
+    from newsgraph.operators.curate import lsh_topk
+    uv, av = _vectors(_t(spark, sf_dir))
+    r = lsh_topk(uv.withColumnRenamed("user_id", "qid"), av.withColumnRenamed("article_id", "iid"), 10)
+    return r.select(F.col("qid").alias("user_id"), F.col("iid").alias("article_id"), _r6("score"),
+                    F.col("rank").cast("bigint").alias("rank"))
+
+
 def _feed_cols(f: DataFrame) -> DataFrame:
     return f.select(F.col("user_id").cast("bigint").alias("user_id"), "article_id", _r6("relevance_score"),
                     F.col("graph_depth").cast("bigint").alias("graph_depth"),
@@ -545,7 +582,7 @@ def user_feed(spark, sf_dir):
     from newsgraph.operators.curate import graph_feed
     t = _t(spark, sf_dir)
     uv, av = _vectors(t)
-    return _feed_cols(graph_feed(fx.interests_fixture(t), kept_entities(t), graph_edges_table(t), uv, av,
+    return _feed_cols(graph_feed(interests_table(t), kept_entities(t), graph_edges_table(t), uv, av,
                                  as_of=F.lit(AS_OF).cast("timestamp")))
 
 
@@ -557,7 +594,7 @@ def user_feed_events(spark, sf_dir):
     t = _t(spark, sf_dir)
     uv, av = _vectors(t)
     path = _scratch(spark, "feed")
-    write_user_feed(graph_feed(fx.interests_fixture(t), kept_entities(t), graph_edges_table(t), uv, av,
+    write_user_feed(graph_feed(interests_table(t), kept_entities(t), graph_edges_table(t), uv, av,
                                as_of=F.lit(AS_OF).cast("timestamp")), "parquet", path, 0, encoded=True)
     e = F.from_json("value", "user_id string, article_id string, relevance_score double, match_reasons array<string>, "
                              "graph_depth bigint, timestamp timestamp").alias("e")
@@ -578,7 +615,7 @@ def fresh_feed(spark, sf_dir):
     # articles are filtered first: only fresh ones are matched
     recent = fresh(ts, "published", as_of).select("article_id")
     ents = kept_entities(t).join(recent, "article_id", "left_semi")
-    return _feed_cols(graph_feed(fx.interests_fixture(t), ents, graph_edges_table(t), uv, av, as_of=as_of))
+    return _feed_cols(graph_feed(interests_table(t), ents, graph_edges_table(t), uv, av, as_of=as_of))
 
 
 # ------------------------------------------------------------------ metrics
@@ -670,9 +707,11 @@ def _scratch(spark, name: str) -> str:
 
 @query
 def stream_graph_events(spark, sf_dir):
-    """Structured-path articles as four JSON-lines files -> file stream (availableNow,
-    about one file group per micro-batch) -> foreachBatch pipeline -> parquet sink."""
+    """Structured-path articles as JSON-lines files -> landing stream (availableNow, 8 files
+    per micro-batch) -> foreachBatch pipeline -> JSON graph events, read back."""
     from newsgraph.operators.assemble import flatten_events
+    from newsgraph.sources.ingest import read_landing
+    from newsgraph.sources.sinks import GRAPH_EVENT_FIELDS, JSON_OPTS
     from newsgraph.streaming.stream import run_stream
     t = _t(spark, sf_dir)
     base = _scratch(spark, "stream")
@@ -682,12 +721,13 @@ def stream_graph_events(spark, sf_dir):
         F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_date"),
         F.date_format("fetch_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetch_timestamp"), "tags"))
     arts.select(msg.alias("value"), "file_no").write.partitionBy("file_no").text(f"{base}/landing")
-    stream = spark.readStream.format("text").option("maxFilesPerTrigger", 8) \
-                  .load(f"{base}/landing").select("value")
-    # static inputs of a long-running stream are materialised once, not re-derived per batch
+    stream = read_landing(spark, f"{base}/landing", max_files=8)
+    # static inputs of a long-running stream are materialised once, not re-derived per batch; KBs as ranked keys
     from newsgraph.session import cut_lineage
-    q = run_stream(stream, cut_lineage(fx.responses_fixture(t)), cut_lineage(fx.company_kb(t)),
-                   cut_lineage(fx.wiki_kb(t)), sink=f"{base}/events", checkpoint=f"{base}/checkpoint",
-                   trigger={"availableNow": True}, as_of=F.lit(AS_OF).cast("timestamp"))
+    q = run_stream(stream, cut_lineage(fx.responses_fixture(t)), cut_lineage(fc.top_keys(fx.company_kb(t), "kb_id", "name")),
+                   cut_lineage(fc.top_keys(fx.wiki_kb(t), "wikidata_id", "label")), sink=f"{base}/events", checkpoint=f"{base}/checkpoint",
+                   trigger={"availableNow": True}, as_of=F.lit(AS_OF).cast("timestamp"), encoded=True)
     q.awaitTermination()
-    return flatten_events(spark.read.parquet(f"{base}/events"))
+    shape = order_batch(t, checkpoint=False).events.select(*GRAPH_EVENT_FIELDS).schema
+    back = spark.read.parquet(f"{base}/events").select(F.from_json("value", shape, JSON_OPTS).alias("e"))
+    return flatten_events(back.select("e.*"))

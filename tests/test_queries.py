@@ -7,7 +7,6 @@ from newsgraph.plans.queries import QUERIES
 from oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"graph_match", "user_feed", "fresh_feed", "stream_graph_events", "impact_trace"}
 
 
 @pytest.fixture(scope="module")
@@ -15,13 +14,13 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     assert compare(spark, SF, name, E.queries()[name], E.oracle_sql().get(name), con, verbose=False)
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    assert set(QUERIES) - set(SQL) == {"lexicon_relations"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(SQL)
     assert set(E.queries()) >= set(QUERIES) and set(E.oracle_sql()) >= set(SQL)
 
 

@@ -62,3 +62,40 @@ def test_late_copies_and_missing_state(spark, tmp_path):
     assert run(2, 14, 28) == [28]  # a replay
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         dedup_against_seen(spark, batch(1), str(tmp_path / "other"), 3, Config())
+
+
+def test_lsh_finds_near_vectors_and_scores_them_exactly(spark):
+    import numpy as np
+    from newsgraph.operators.curate import lsh_topk, vector_topk
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 32))
+    near = np.concatenate([base + rng.normal(size=base.shape) * 0.15 for _ in range(5)])
+    far = rng.normal(size=(600, 32))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "qid long, vec array<double>")
+    rows = [(f"i{i}", v.tolist()) for i, v in enumerate(np.concatenate([near, far]))]
+    it = spark.createDataFrame(rows + [("null", None), ("zero", [0.0] * 32), ("nan", [float("nan")] * 32)],
+                               "iid string, vec array<double>")
+    exact = {(r.qid, r.iid): r.score for r in vector_topk(q, it, 5).collect()}
+    got = {(r.qid, r.iid): r.score for r in lsh_topk(q, it, 5).collect()}
+    assert len(exact) == 200 and len(set(exact) & set(got)) >= 0.9 * len(exact)
+    assert all(abs(got[k] - exact[k]) < 1e-6 for k in set(got) & set(exact))
+    assert lsh_topk(q.limit(0), it, 5).count() == 0
+
+
+def test_ranked_keys_search_like_the_kb(spark):
+    from newsgraph.operators import factcheck as fc
+    kb = spark.createDataFrame([(f"k{i}", f"Acme {i % 3} Corp", ["AC"], i) for i in range(12)],
+                               "kb_id string, name string, aliases array<string>, popularity int") \
+        .withColumn("permalink", F.lit("p")).withColumn("short_description", F.lit(None).cast("string"))
+    names = spark.createDataFrame([("acme",), ("ac",), ("Acme 1 Corp",), ("none",)], "name string")
+    stored = spark.createDataFrame(fc.top_keys(kb, "kb_id", "name").collect(), fc.top_keys(kb, "kb_id", "name").schema)
+    for limit in (5, 2):
+        exp = fc.company_verdicts(names, kb, limit).collect()
+        assert sorted(map(str, exp)) == sorted(map(str, fc.company_verdicts(names, stored, limit).collect())) and len(exp) == 4
+
+
+def test_interests_weigh_every_event_type(spark):
+    from newsgraph.operators.curate import interests
+    e = spark.createDataFrame([(1, "A", "view", 2.0), (1, "A", "purchase", 1.0), (1, "B", "new kind", 4.0), (2, "A", None, 1.5)],
+                              "user_id long, name string, event_type string, value double")
+    assert sorted(map(tuple, interests(e).collect())) == [(1, "A", 5.0), (1, "B", 4.0), (2, "A", 1.5)]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from newsgraph.llm import decontam, linededup, mixing, quality, sharding, simhash, substring, topk, toxicity, warc
 from newsgraph.llm.common import read

@@ -242,8 +242,9 @@ def user_feed(matches: DataFrame, user_vectors: DataFrame | None = None,
     """
     m = matches
     if user_vectors is not None and article_vectors is not None:
-        m = m.join(user_vectors.select("user_id", F.col("vec").alias("uvec")), "user_id", "left") \
-             .join(article_vectors.select("article_id", F.col("vec").alias("avec")), "article_id", "left")
+        # articles first: only ids travel to them, and the ranking reuses the partitioning by user
+        m = m.join(article_vectors.select("article_id", F.col("vec").alias("avec")), "article_id", "left") \
+             .join(user_vectors.select("user_id", F.col("vec").alias("uvec")), "user_id", "left")
         cos = cosine(F.col("uvec"), F.col("avec"))
     else:
         cos = F.lit(None).cast("double")

@@ -368,16 +368,7 @@ def impact_requests(spark, sf_dir):
 
 @query
 def responses_attached(spark, sf_dir):
-    from newsgraph.operators import prompts as pr
-    from newsgraph.operators.responses import attach
-    t = _t(spark, sf_dir)
-    arts = fx.order_articles(t)
-    kept = kept_entities(t)
-    gated = arts.join(kept.select("article_id"), "article_id", "left_semi")
-    reqs = pr.entity_requests(arts).unionByName(pr.causal_requests(arts, kept)) \
-        .unionByName(pr.impact_requests(gated, _checked(t).filter(F.col("validated")),
-                                        fixture_relationships(t)))
-    a = attach(reqs, fx.responses_fixture(t))
+    a = _attached(_t(spark, sf_dir))
     return a.select("article_id", "stage", "status",
                     F.coalesce("tokens_used", F.lit(0)).cast("bigint").alias("tokens_used"))
 

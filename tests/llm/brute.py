@@ -84,3 +84,17 @@ def shards(docs, n=24):
         out.append((d, size, None if t is None else zlib.crc32(t.encode()), s, slots[s]))
         at += size
     return out
+
+
+def covered(a, b, t, similarity):
+    """Positions of token lists a and b (each without repeats, the common ones in one order) in similar spans that begin and end alike."""
+    place = {v: k for k, v in enumerate(b)}
+    both = [(i, place[v]) for i, v in enumerate(a) if v in place]
+    mine, other = set(), set()
+    for k, (s, u) in enumerate(both):
+        for e, w in both[k:]:
+            p, q = set(a[s:e + 1]), set(b[u:w + 1])
+            if min(len(p), len(q)) >= t and len(p & q) >= similarity * len(p | q):
+                mine.update(range(s, e + 1))
+                other.update(range(u, w + 1))
+    return mine, other

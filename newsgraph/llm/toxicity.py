@@ -19,10 +19,8 @@ from newsgraph.llm.common import fresh, schema_of
 THRESHOLD = 0.3
 # Bound on the labelled documents that the lexicon and the weights are fitted on.
 TRAIN_ROWS = 40_000
-MAX_TERMS = 1000
-# A term must be in that many toxic documents, and in that share of them.
+# A term must be in that many toxic documents, however many there are.
 MIN_DOCS = 4
-MIN_SHARE = 0.005
 MIN_LOG_RATIO = 3.0
 STEMS = range(3, 9)
 WINDOW = 10
@@ -192,7 +190,7 @@ def choose(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> list
     scored = []
     for term, clean, toxic in rows:
         ratio = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-        if toxic >= max(MIN_DOCS, MIN_SHARE * n_toxic) and ratio >= MIN_LOG_RATIO:
+        if toxic >= MIN_DOCS and ratio >= MIN_LOG_RATIO:
             scored.append((-toxic * ratio, "*" in term, -len(term), term))
     out: list[tuple[str, bool]] = []
     stems: set[str] = set()
@@ -205,8 +203,6 @@ def choose(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> list
         begun.update(word[:k] for k in range(1, len(word) + 1))
         if not whole:
             stems.add(word)
-        if len(out) == MAX_TERMS:
-            break
     return out
 
 
@@ -255,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # the blank term counts the documents
     strong = counts.where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") > F.col("clean")) | (F.col("term") == " "))
-    found = [tuple(r) for r in strong.orderBy((F.col("term") == " ").desc(), (F.col("toxic") - F.col("clean")).desc(), "term").limit(50 * MAX_TERMS).collect()]
+    found = [tuple(r) for r in strong.collect()]
     n_clean, n_toxic = next(((c, t) for term, c, t in found if term == " "), (0, 0))
     lexicon = Lexicon(choose([r for r in found if r[0] != " "], n_clean, n_toxic) if n_clean and n_toxic else [])
     base = np.zeros(len(FEATURES) + 1)

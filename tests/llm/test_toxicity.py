@@ -16,6 +16,12 @@ def distance(a, b):
     return row[-1]
 
 
+def test_rare_and_many_terms():
+    common = [(f"mild{i:04d}x", 0, 300) for i in range(1500)]
+    got = {t for t, _ in toxicity.choose([*common, ("rareword", 0, 19), ("chance", 19, 19), ("once", 0, 3)], 12_000, 4000)}
+    assert got == {t for t, *_ in common} | {"rareword"}
+
+
 def test_automaton_against_distances():
     rng = random.Random(2)
     word = lambda lo, hi: "".join(rng.choice("abc") for _ in range(rng.randint(lo, hi)))

@@ -1,5 +1,6 @@
 """Training-data operators: sharding, top-k search, mixing, toxicity, decontamination,
-line and substring dedup, quality sampling, archive revisits and SimHash near-dedup.
+line and substring dedup, quality sampling, archive revisits, SimHash and MinHash near-dedup,
+source divergence and hard negatives.
 
 Nothing else in the library imports this subpackage.
 """

@@ -181,4 +181,77 @@ SELECT record_id, url_key, ts, refers_to, outcome,
 FROM m
 """
 
-SQL = {"op2_topk": OP2, "op3_mixing": _op3(), "op5_decontamination": OP5, "op6_line_dedup": OP6, "op9_warc": OP9}
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, rid, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w
+         ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s
+  FROM d),
+k AS (SELECT *, CASE WHEN len(s) = 0 THEN rid ELSE min(rid) OVER (PARTITION BY s) END AS k FROM s),
+x AS (SELECT k, len(s) AS n, unnest(s) AS e FROM k WHERE rid = k),
+links AS (
+  SELECT a.k AS u, b.k AS v FROM x a JOIN x b ON a.e = b.e AND a.k <> b.k AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(u, v) AS (SELECT u, u FROM links UNION SELECT r.u, links.v FROM r JOIN links ON r.v = links.u),
+c AS (SELECT u, min(v) AS c FROM r GROUP BY u),
+m AS (SELECT doc_id, rid, len(s) AS n, coalesce(c, k) AS c FROM k LEFT JOIN c ON c.u = k.k),
+o AS (SELECT *, min(doc_id) OVER (PARTITION BY c) AS component_id FROM m)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, component_id IS NOT DISTINCT FROM doc_id AS kept FROM o
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+x AS (SELECT rid, lang, source, unnest(w) AS t FROM d),
+kept AS (SELECT lang, t FROM x GROUP BY lang, t HAVING count(DISTINCT rid) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(t) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+c AS (SELECT lang, source, t, count(*) AS c FROM x JOIN kept USING (lang, t) GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, t, coalesce(c, 0) AS c,
+         CAST(1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS HUGEINT) AS p
+  FROM g JOIN kept USING (lang) JOIN n USING (lang, source) JOIN v USING (lang) LEFT JOIN c USING (lang, source, t)),
+q AS (
+  SELECT lang, t, CAST(1 + (1000000000::HUGEINT * (sum(c) + 1)) // (any_value(all_n) + any_value(v)) AS HUGEINT) AS q
+  FROM p JOIN (SELECT lang, sum(n) AS all_n FROM n GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY lang, t),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS s
+    FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (
+  SELECT lang, source, t AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q),
+both_parts AS (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term', * FROM term),
+r AS (SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, b.vec_id, b.rid AS other, a.label = b.label AS same,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+p AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, other, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id ASC NULLS LAST) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.rid = p.rid AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.rid, p.other ORDER BY s.score DESC, s.vec_id ASC NULLS LAST)
+QUALIFY row_number() OVER w <= 10
+"""
+
+SQL = {"op2_topk": OP2, "op3_mixing": _op3(), "op5_decontamination": OP5, "op6_line_dedup": OP6, "op9_warc": OP9,
+       "op11_minhash": OP11, "op12_divergence": OP12, "op13_hardneg": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import decontam, linededup, mixing, quality, sharding, simhash, substring, topk, toxicity, warc
+from newsgraph.llm import decontam, divergence, hardneg, linededup, minhash, mixing, quality, sharding, simhash, substring, topk, toxicity, warc
 from newsgraph.llm.common import read
 
 
@@ -54,5 +54,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(read(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_mixing, op4_toxicity, op5_decontamination, op6_line_dedup, op7_substring_dedup,
-                                  op8_quality, op9_warc, op10_simhash)}
+                                  op8_quality, op9_warc, op10_simhash, op11_minhash, op12_divergence, op13_hardneg)}

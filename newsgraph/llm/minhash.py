@@ -25,8 +25,8 @@ BAND = 5
 # Pairs that differ in more of the 256 sketch bits are no candidates: at similarity 0.8 they
 # differ in 26 bits with a deviation of 6.
 MAX_SKETCH_BITS = 68
-# A round compares this many times more members of an open bucket with its other members than the last.
-GROWTH = 8
+# Classes that a task holds while the others of their buckets stream by, and of these for one task.
+ASKING, ASKED = 512, 8192
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _CHUNK = 1 << 15
 
@@ -145,18 +145,84 @@ def _alike(percent: int) -> Column:
     return (F.least("un", "vn") * 100 >= F.greatest("un", "vn") * percent) & (bits <= MAX_SKETCH_BITS)
 
 
+def _held_against(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (g, blk, salt, kind, cid, root, hashes) in order: the asking classes (kind 0) of a block, then those asked.
+
+    Every asked set meets all the asking ones at once, through an index of their
+    hashes; a link goes out for each asking class and component met first.
+    """
+    at, held, index = None, [], None
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns[:6]]
+        found = []
+        for i, (g, blk, salt, kind, cid, root) in enumerate(zip(*cols, strict=True)):
+            if (g, blk, salt) != at:
+                at, held, index = (g, blk, salt), [], None
+            h = np.frombuffer(b.column(6)[i].as_buffer(), np.uint64)
+            if kind == 0:
+                held.append((cid, root, h))
+                continue
+            if index is None:
+                sizes = np.array([len(x[2]) for x in held])
+                owner, flat = np.repeat(np.arange(len(held)), sizes), np.concatenate([x[2] for x in held])
+                order = np.argsort(flat, kind="stable")
+                index = (flat[order], owner[order], sizes, np.array([x[1] for x in held]), [set() for _ in held])
+            flat, owner, sizes, roots, met = index
+            low, high = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+            n = high - low
+            common = np.bincount(owner[np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())], minlength=len(held)) if n.any() else np.zeros(len(held), int)
+            for x in np.flatnonzero((100 * common >= percent * (sizes + len(h) - common)) & (roots != root)):
+                if root not in met[x]:
+                    met[x].add(root)
+                    found.append((held[x][0], cid))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _missed_by_stars(members: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between members of a bucket that stars left in different components: ``u``, ``v``.
+
+    In such an open bucket the members outside its largest component ask; all
+    its members are asked.  The asking ones are held in blocks (those of near
+    buckets together, known by their smallest centre), and the asked sets stream
+    by a block once however many buckets they share with it.  No pair is a row
+    before it is a link.
+    """
+    rooted = root.toDF("cid", "root")
+    placed = members.join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    most = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    asking = checkpoint(placed.join(most, "key").where("root <> largest").select("key", "cid", "head", "root"))
+    if asking.isEmpty():
+        return None
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("cid"))
+    block = checkpoint(asking.groupBy("cid").agg(F.min("head").alias("g"), F.min("root").alias("root"))
+                       .withColumn("blk", F.floor((rank - 1) / ASKING).cast("int")))
+    keys = asking.select("key", "cid").join(block.select("cid", "g", "blk"), "cid").select("key", "g", "blk").distinct()
+    asked = checkpoint(keys.join(members.select("key", "cid"), "key").select("g", "blk", "cid").distinct())
+    salts = asked.groupBy("g", "blk").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("salts"))
+    left = block.join(salts, ["g", "blk"]).select("g", "blk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                                                  F.lit(0).alias("kind"), "cid", "root")
+    right = asked.join(salts, ["g", "blk"]).join(rooted, "cid", "left").select(
+        "g", "blk", F.expr("cast(pmod(xxhash64(cid), salts) as int)").alias("salt"), F.lit(1).alias("kind"), "cid", F.coalesce("root", "cid").alias("root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _held_against(percent, batches)
+
+    rows = left.unionByName(right).join(sets, "cid").select("g", "blk", "salt", "kind", "cid", "root", "hashes")
+    return checkpoint(rows.repartition("g", "blk", "salt").sortWithinPartitions("g", "blk", "salt", "kind", "cid").mapInArrow(run, "u long, v long"))
+
+
 def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """Component of every class that is linked: ``node``, ``root``.
 
     ``texts``: ``rid``, ``_text``.  ``classes``: ``cid``, ``rid`` (row of one of
-    its documents), ``n``, ``keys``, ``sketch``.  A bucket holds the classes with one band key.  Its
-    smallest class is the centre of a star: the others meet it, and only pairs
-    that their sizes and sketches leave possible move their sets to be compared
-    in full.  A bucket whose members are one component then is closed.  In the
-    others the next 8, 64, ... members meet those of other components, until a
-    bucket is closed or every pair in it has met or been ruled out: a link
-    between members that are both unlike the centre is not lost, while a group of
-    near copies costs one edge a member.
+    its documents), ``n``, ``keys``, ``sketch``.  A bucket holds the classes with
+    one band key.  Its smallest class is the centre of a star: the others meet
+    it, and only pairs that their sizes and sketches leave possible move their
+    sets to be compared in full, so a group of near copies costs an edge a
+    member.  A bucket whose members are one component then is done.  In the
+    others, members may be alike that are both unlike the centre, and
+    ``_missed_by_stars`` compares them in full.
     """
     keyed = classes.select(F.explode("keys").alias("key"), "cid")
     # the smallest members are summed up on the map side, so a hot key is a row for each task
@@ -165,38 +231,13 @@ def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, wi
     slim = classes.select("cid", "n", "sketch")
     wanted = classes.select("cid", "rid").join(members.select("cid").distinct(), "cid")
     sets = checkpoint(_sets(texts.join(wanted, "rid"), width))
-
-    def meet(pairs: DataFrame) -> DataFrame:
-        left, right = slim.toDF("u", "un", "us"), slim.toDF("v", "vn", "vs")
-        near = pairs.join(left, "u").join(right, "v").where(_alike(percent)).select("u", "v")
-        whole = near.join(sets.toDF("u", "uh"), "u").join(sets.toDF("v", "vh"), "v").select("u", "v", "uh", "vh")
-        return checkpoint(_verified(whole, percent))
-
-    met = checkpoint(members.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")).distinct())
-    found = meet(met)
+    pairs = members.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")).distinct()
+    near = pairs.join(slim.toDF("u", "un", "us"), "u").join(slim.toDF("v", "vn", "vs"), "v").where(_alike(percent)).select("u", "v")
+    whole = near.join(sets.toDF("u", "uh"), "u").join(sets.toDF("v", "vh"), "v").select("u", "v", "uh", "vh")
+    found = checkpoint(_verified(whole, percent))
     root = checkpoint(components(found))
-    rank = Window.partitionBy("key").orderBy("cid")
-    low, high, standing = 1, 1 + GROWTH, None
-    while True:
-        held = (members.select("key", "cid").withColumn("pos", F.row_number().over(rank) - 1) if standing is None else standing)
-        placed = held.join(root.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")) \
-            .select("key", "cid", "pos", "root")
-        # open: several components, and a member after the first `low` ones that has not met all others
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("pos").alias("most")) \
-            .where((F.col("a") != F.col("b")) & (F.col("most") > low)).select("key")
-        placed = checkpoint(placed.join(open_keys, "key"))
-        if placed.isEmpty():
-            return root
-        heads = placed.where((F.col("pos") >= low) & (F.col("pos") < high)).select("key", F.col("cid").alias("v"), F.col("pos").alias("vp"), F.col("root").alias("vr"))
-        pairs = placed.join(heads, "key").where((F.col("pos") > F.col("vp")) & (F.col("root") != F.col("vr"))) \
-            .select(F.col("cid").alias("u"), "v").distinct()
-        new = checkpoint(pairs.join(met, ["u", "v"], "left_anti"))
-        more = meet(new)
-        met = met.unionByName(new)
-        if not more.isEmpty():
-            found = checkpoint(root.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").unionByName(more))
-            root = checkpoint(components(found))
-        standing, low, high = placed.select("key", "cid", "pos"), high, high * GROWTH
+    more = _missed_by_stars(members, root, sets, percent)
+    return root if more is None else components(found.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, carry: list[str] | None = None, width: int = SHINGLE, percent: int = PERCENT,

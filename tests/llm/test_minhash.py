@@ -77,9 +77,10 @@ def test_links_that_miss_the_centre(spark, frame, seed):
     same(minhash.near_duplicates(frame(docs)), COLS, want)
 
 
-def test_growing_rounds(spark, frame, monkeypatch):
-    """Two groups in the same buckets whose members meet only in later rounds."""
-    monkeypatch.setattr(minhash, "GROWTH", 2)
+def test_blocks_of_asking_classes(spark, frame, monkeypatch):
+    """Asking classes in several blocks, asked ones in several tasks of a block."""
+    monkeypatch.setattr(minhash, "ASKING", 3)
+    monkeypatch.setattr(minhash, "ASKED", 10)
     docs = clouds(7, n=60, size=40)
     same(minhash.near_duplicates(frame(docs)), COLS, brute(docs))
 
@@ -106,7 +107,7 @@ def test_candidates_at_the_bound(n):
         cut = n // 10
         a, b = (minhash.bands_and_sketch(minhash.signature(np.sort(x))) for x in (h[:n - (n // 5 - cut)], np.concatenate((h[:n - n // 5], h[n - (n // 5 - cut):]))))
         assert (a[0] == b[0]).any()
-        assert int(np.bitwise_count(a[1] ^ b[1]).sum()) <= minhash.MAX_SKETCH_BITS
+        assert int(np.bitwise_count((a[1] ^ b[1]).view(np.uint64)).sum()) <= minhash.MAX_SKETCH_BITS
 
 
 def test_other_bounds(frame):

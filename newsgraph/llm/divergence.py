@@ -173,17 +173,51 @@ def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield held
 
 
-def _recount(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Packed:
+    """Occurrences as rows of a (lang, source, block): the ordinals of a block of ``width`` terms and their counts, as bytes."""
+
+    NAMES = ["lang", "source", "block", "total", "ordinals", "counts"]
+    SCHEMA = "lang string, source string, block long, total long, ordinals binary, counts binary"
+
+    def __init__(self, width: int):
+        self.width, self.rows = width, [[] for _ in self.NAMES]
+
+    def add(self, lang: str, source: str, ordinals: np.ndarray, counts: np.ndarray) -> None:
+        """Ordinals may come in any order and repeat."""
+        if not len(ordinals):
+            return
+        ordinals, at = np.unique(ordinals, return_inverse=True)
+        counts = np.bincount(at, weights=counts).astype(np.int64) if counts.sum() < 1 << 53 else _summed(at, counts)
+        blocks = ordinals // self.width
+        first = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(ordinals)], strict=True):
+            row = (lang, source, int(blocks[s]), int(counts[s:e].sum()), ordinals[s:e].tobytes(), counts[s:e].tobytes())
+            for column, x in zip(self.rows, row, strict=True):
+                column.append(x)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(self.rows[0]), 256):
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x[s:s + 256], k) for x, k in zip(self.rows, kinds, strict=True)], self.NAMES)
+        self.rows = [[] for _ in self.NAMES]
+
+
+def _summed(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(at.max()) + 1, np.int64)
+    np.add.at(out, at, counts)
+    return out
+
+
+def _recount(vocabulary: Vocabulary, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts through the transducers: occurrences of each kept term in each (lang, source) of a task."""
-    total: dict[tuple, Counter] = defaultdict(Counter)
+    total: dict[tuple, list] = defaultdict(list)
+    packed, entries = Packed(width), 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (lang, source), c in total.items():
-            if c:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(c), pa.string()), pa.array([source] * len(c), pa.string()),
-                    pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["lang", "source", "ordinal", "n"])
+        for (lang, source), parts in total.items():
+            packed.add(lang, source, *(np.concatenate(x) for x in zip(*parts, strict=True)))
         total.clear()
+        yield from packed.out()
 
     for held in _group_counts(batches):
         by_lang = defaultdict(set)
@@ -191,16 +225,36 @@ def _recount(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Itera
             by_lang[lang].update(c)
         known = {lang: vocabulary.ordinals(lang, sorted(some)) for lang, some in by_lang.items()}
         for (lang, source), c in held.items():
-            ordinal, into = known[lang], total[lang, source]
-            for t, n in c.items():
-                o = ordinal.get(t)
-                if o is not None:
-                    into[o] += n
-        if sum(map(len, total.values())) > _HELD:
+            ordinal = known[lang]
+            found = np.fromiter((ordinal.get(t, -1) for t in c), np.int64, len(c))
+            n = np.fromiter(c.values(), np.int64, len(c))
+            total[lang, source].append((found[found >= 0], n[found >= 0]))
+            entries += len(c)
+        if entries > _HELD:
             yield from out()
+            entries = 0
     yield from out()
 
 
+def _merged(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows in order of (lang, source, block): one row for each."""
+    at, sums, base = None, None, 0
+    packed = Packed(width)
+    for b in batches:
+        for lang, source, block, _, ordinals, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (lang, source, block) != at:
+                if at is not None:
+                    some = np.flatnonzero(sums)
+                    packed.add(at[0], at[1], some + base, sums[some])
+                at, sums, base = (lang, source, block), np.zeros(width, np.int64), block * width
+            sums[np.frombuffer(ordinals, np.int64) - base] += np.frombuffer(counts, np.int64)
+        yield from packed.out()
+    if at is not None:
+        some = np.flatnonzero(sums)
+        packed.add(at[0], at[1], some + base, sums[some])
+        yield from packed.out()
+
+
 def _routed(splits: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counted terms of a batch with the shard whose range they fall into."""
     for held in _group_counts(batches):
@@ -212,18 +266,21 @@ def _routed(splits: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                     pa.array(some, pa.binary()), pa.array([c[t] for t in some], pa.int64())], ["lang", "shard", "source", "term", "n"])
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walked(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (lang, shard), each shard's transducer before its terms: ordinals of the terms."""
-    base, shard = 0, None
+    base, shard, packed = 0, None, Packed(width)
     for b in batches:
         blob, at = b.column(4), 0
         heads = np.flatnonzero(blob.is_valid().to_numpy(zero_copy_only=False)).tolist()
         for end in [*heads, b.num_rows]:
             if end > at and shard is not None:
                 part = b.slice(at, end - at)
-                found = base + (o := shard.ordinals(part.column(5).to_pylist()))
-                some = pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found), part.column(3)], ["lang", "source", "ordinal", "n"])
-                yield some.filter(pa.array(o >= 0))
+                found, n = shard.ordinals(part.column(5).to_pylist()), part.column(3).to_numpy()
+                lang, source = part.column(0).to_pylist(), np.array(part.column(2).to_pylist(), object)
+                for name in dict.fromkeys(source.tolist()):
+                    mine = (source == name) & (found >= 0)
+                    packed.add(lang[0], name, base + found[mine], n[mine])
+                yield from packed.out()
             if end < b.num_rows:
                 base, shard, at = b.column(3)[end].as_py(), Transducer.unpack(blob[end].as_py()), end + 1
 
@@ -247,36 +304,44 @@ def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SHA
     return kept, shards
 
 
-def occurrences(rows: DataFrame, shards: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``lang``, ``source``, ``ordinal``, ``n``: how often each kept term occurs in each source.
+def occurrences(rows: DataFrame, shards: DataFrame, width: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """How often each kept term occurs in each source, as ``Packed`` rows of ``width`` terms.
 
     Transducers of at most ``broadcast_bytes`` in all go to every task and the
     texts stream through them.  Beyond it only the first terms of the shards do;
     each task's counted terms go to the shard that they fall into and stream
-    through its transducer there.
+    through its transducer there.  Either way a task sends one row for each of
+    its sources and blocks of terms, and these are summed in a stream.
     """
     sc = rows.sparkSession.sparkContext
-    schema = "lang string, source string, ordinal long, n long"
     if (shards.agg(F.sum(F.length("blob"))).first()[0] or 0) <= broadcast_bytes:
         shared = sc.broadcast([tuple(r) for r in shards.select("lang", "first", "base", "blob").collect()])
 
         def recount(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _recount(Vocabulary([(a, bytes(b), c, bytes(d)) for a, b, c, d in shared.value]), it)
+            yield from _recount(Vocabulary([(a, bytes(b), c, bytes(d)) for a, b, c, d in shared.value]), width, it)
 
-        found = rows.mapInArrow(recount, schema)
+        found = rows.mapInArrow(recount, Packed.SCHEMA)
     else:
         splits = sc.broadcast([tuple(r) for r in shards.select("lang", "first", "base").collect()])
 
         def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _routed(Vocabulary([(a, bytes(b), c, b"") for a, b, c in splits.value]), it)
 
+        def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _walked(width, it)
+
         counted = rows.mapInArrow(route, "lang string, shard long, source string, term binary, n long") \
             .groupBy("lang", "shard", "source", "term").agg(F.sum("n").alias("n"))
         heads = shards.select("lang", "shard", F.lit(None).cast("string").alias("source"), F.col("base").alias("n"), "blob", F.lit(None).cast("binary").alias("term"))
         both = heads.unionByName(counted.withColumn("blob", F.lit(None).cast("binary")))
         found = both.repartition("lang", "shard").sortWithinPartitions("lang", "shard", F.col("blob").isNull()) \
-            .select("lang", "shard", "source", "n", "blob", "term").mapInArrow(_walked, schema)
-    return checkpoint(found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")))
+            .select("lang", "shard", "source", "n", "blob", "term").mapInArrow(walk, Packed.SCHEMA)
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _merged(width, it)
+
+    key = ["lang", "source", "block"]
+    return checkpoint(found.repartition(*key).sortWithinPartitions(*key).mapInArrow(merge, Packed.SCHEMA))
 
 
 def _share(n: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -296,8 +361,8 @@ def _compared(width: int, top: int, key: tuple, counts: pa.Table, sources: pa.Ta
     vocab = sources.column("terms")[0].as_py()
     at, base = {s: i for i, s in enumerate(names)}, block * width
     n = np.zeros((len(names), min(width, vocab - base)), np.int64)
-    who = np.array([at[s] for s in counts.column("source").to_pylist()], np.int64)
-    n[who, counts.column("ordinal").to_numpy() - base] = counts.column("n").to_numpy()
+    for s, ordinals, found in zip(*(counts.column(c).to_pylist() for c in ("source", "ordinals", "counts")), strict=True):
+        n[at[s], np.frombuffer(ordinals, np.int64) - base] = np.frombuffer(found, np.int64)
     out = {"source": [], "item": [], "ordinal": [], "value": []}
     if vocab:
         p = _share(n, (n_all + vocab)[:, None])
@@ -344,19 +409,18 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, shard
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     kept, shards = vocabulary(rows, min_docs, shard_terms)
-    counts = occurrences(rows, shards, broadcast_bytes)
-    groups = rows.select("lang", "source").groupBy("lang", "source").agg(F.lit(0).cast("long").alias("n"))
-    totals = groups.unionByName(counts.select("lang", "source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    totals = checkpoint(totals.join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms")), "lang", "left").fillna(0, ["terms"]))
-    most = totals.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    groups = checkpoint(rows.select("lang", "source").groupBy("lang", "source").agg(F.lit(0).cast("long").alias("total")))
+    most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     width = max(1024, cells // most)
+    counts = occurrences(rows, shards, width, broadcast_bytes)
+    totals = groups.unionByName(counts.select("lang", "source", "total")).groupBy("lang", "source").agg(F.sum("total").alias("total"))
+    totals = checkpoint(totals.join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms")), "lang", "left").fillna(0, ["terms"]))
     blocks = totals.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(terms - 1, 0) div {width}"))))
 
     def compared(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return _compared(width, top, key, left, right)
 
-    by_block = counts.withColumn("block", F.expr(f"ordinal div {width}")).groupBy("lang", "block")
-    found = checkpoint(by_block.cogroup(blocks.groupBy("lang", "block")).applyInArrow(compared, "lang string, source string, item string, ordinal long, value long"))
+    found = checkpoint(counts.groupBy("lang", "block").cogroup(blocks.groupBy("lang", "block")).applyInArrow(compared, "lang string, source string, item string, ordinal long, value long"))
     pairs = found.where("item is not null").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     per = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(per).alias("rank"))

@@ -30,6 +30,8 @@ class Config:
     id_len: int = 64  # hex digits of SHA-256: the whole digest
     # copies that arrive later than this are judged without the state that was evicted
     dedup_late_days: int = 30
+    # buckets of keyed state on shared storage; fixed for the life of a state
+    state_buckets: int = 64
     drop_unverified_edges: bool = False
     temperatures: dict = field(
         default_factory=lambda: {"entity": 0.1, "mapping": 0.2, "impact": 0.3}

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import DoubleType
 
 from newsgraph.config import FEED_TTL_HOURS, MAX_GRAPH_DEPTH
-from newsgraph.operators.graph import impact_trace, node_key
+from newsgraph.operators.graph import impact_trace, node_key, set_bits, trace_bits
+from newsgraph.operators.vectors import MAX_CELLS, NO_CELL, assign, best_in_groups, centroids, unit_rows
 from newsgraph.session import cut_lineage
 
 # Fixed values (ours): relevance weights and feed length
@@ -20,10 +21,6 @@ GRAPH_WEIGHT, VECTOR_WEIGHT = 0.7, 0.3
 FEED_SIZE = 20
 REASON_PREFIX = "Follows "
 TYPE_WEIGHTS = {"purchase": 3.0, "signup": 2.0, "error": 0.5}
-ITEM_BLOCKS = 8       # blocks of items at least, so that small inputs are spread too
-BLOCK_ROWS = 20_000   # vectors per side held by one task in the exact top-k
-QUERY_CHUNK = 512     # queries scored per matrix product (bounds the score matrix)
-LSH_TABLES, LSH_BITS, LSH_SEED = 12, 8, 17
 
 
 def interests(interactions: DataFrame, type_weights: dict[str, float] | None = None) -> DataFrame:
@@ -50,36 +47,6 @@ def matched_nodes(user_interests: DataFrame, edges: DataFrame, max_depth: int =
         F.array_sort(F.collect_set(F.concat(F.lit(REASON_PREFIX), F.col("name")))).alias("match_reasons"))
 
 
-def graph_match(user_interests: DataFrame, article_entities: DataFrame, edges: DataFrame,
-                max_depth: int = MAX_GRAPH_DEPTH) -> DataFrame:
-    """(user_id, article_id, graph_depth, match_reasons), every matched pair.
-
-    For small sets of users or articles; ``matched_nodes`` keeps the two sides
-    apart and ``graph_feed`` ranks without forming the pairs.  The trace runs once per distinct followed entity (not per user); reach is
-    reduced to (seed, article, min depth) before the users are joined in, so a
-    popular entity is expanded once however many users follow it.
-    """
-    ui = user_interests.select("user_id", "name", node_key(F.col("name")).alias("seed"))
-    seeds = ui.select("seed").distinct().withColumn("node", F.col("seed"))
-    reach = impact_trace(seeds, edges, max_depth)
-    ae = article_entities.select("article_id", node_key(F.col("name")).alias("node")).distinct()
-    per_seed = reach.join(ae, "node").groupBy("seed", "article_id").agg(F.min("depth").alias("depth"))
-    m = ui.join(per_seed, "seed")
-    return m.groupBy("user_id", "article_id").agg(
-        F.min("depth").alias("graph_depth"),
-        F.array_sort(F.collect_set(F.concat(F.lit(REASON_PREFIX), F.col("name")))).alias("match_reasons"))
-
-
-def _rows_unit(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """Rows with a direction, and their vectors as a float64 matrix of unit rows."""
-    if pdf.empty:
-        return pdf, np.empty((0, 0))
-    m = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-    n = np.linalg.norm(m, axis=1)
-    ok = np.isfinite(n) & (n > 0)
-    return pdf[ok], m[ok] / n[ok, None]
-
-
 def _cosine_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     """Row-wise cosine of two vector columns for one Arrow batch (numpy, float64)."""
     out = np.full(len(a), np.nan)
@@ -106,126 +73,6 @@ def cosine(a: Column, b: Column) -> Column:
     return _cosine_udf(a, b)
 
 
-def _block_topk(k: int, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The ``k`` best items (side 1) of each query (side 0) of one block, ties at the k-th by item id."""
-    qpdf, ipdf = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    (qpdf, qm), (ipdf, im) = _rows_unit(qpdf), _rows_unit(ipdf)
-    if qpdf.empty or ipdf.empty:
-        return pd.DataFrame({"qid": pd.Series([], dtype=object), "iid": pd.Series([], dtype=object),
-                             "score": pd.Series([], dtype=float)})
-    order = np.argsort(ipdf["iid"].to_numpy(), kind="stable")
-    im, iids = im[order], ipdf["iid"].to_numpy()[order]
-    qids = qpdf["qid"].to_numpy()
-    kk = min(k, im.shape[0])
-    out_q, out_i, out_s = [], [], []
-    # score QUERY_CHUNK queries at a time: memory is chunk x block, not block x block
-    for c0 in range(0, qm.shape[0], QUERY_CHUNK):
-        s = np.round(qm[c0:c0 + QUERY_CHUNK] @ im.T, 6)
-        # k-th best score per query; every item scoring at least that is a candidate
-        # (ties included), then candidates are ordered by (-score, item id)
-        kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-        for r in range(s.shape[0]):
-            cand = np.nonzero(s[r] >= kth[r])[0]
-            best = cand[np.lexsort((cand, -s[r, cand]))][:kk]
-            out_q.append(np.repeat(qids[c0 + r], len(best)))
-            out_i.append(iids[best])
-            out_s.append(s[r, best])
-    return pd.DataFrame({"qid": np.concatenate(out_q), "iid": np.concatenate(out_i),
-                         "score": np.concatenate(out_s)})
-
-
-def vector_topk(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """Exact top-k items per query by cosine: (qid, iid, score, rank).
-
-    Blocked nested loop without a cross join of rows: queries and items are
-    hashed into blocks sized so a (query block x item block) score matrix fits
-    one task; each block pair is scored with one matrix product on Arrow
-    batches (grouped ``applyInPandas``) and only its per-query top-k is emitted;
-    a final window keeps the global top-k.  Ties rank by item id; scores are
-    compared at 6 decimals so the order does not depend on summation order.
-    Vectors that are NULL, of zero length or not finite have no cosine and no row.
-    """
-    q = queries.select(F.col("qid"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
-    it = items.select(F.col("iid"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
-    nq = max(1, math.ceil(q.count() / BLOCK_ROWS))
-    ni = max(ITEM_BLOCKS, math.ceil(it.count() / BLOCK_ROWS))
-    qtype = dict(q.dtypes)["qid"]
-    itype = dict(it.dtypes)["iid"]
-    # one grouped frame per (query block, item block): queries are copied to every
-    # item block and items to every query block (block counts, not rows, multiply)
-    qrows = q.select(F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("qb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"),
-                     F.lit(0).alias("side"), "qid", F.lit(None).cast(itype).alias("iid"), "vec")
-    irows = it.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"),
-                      F.pmod(F.xxhash64("iid"), F.lit(ni)).alias("ib"),
-                      F.lit(1).alias("side"), F.lit(None).cast(qtype).alias("qid"), "iid", "vec")
-
-    part = qrows.unionByName(irows).groupBy("qb", "ib").applyInPandas(
-        lambda pdf: _block_topk(k, pdf), f"qid {qtype}, iid {itype}, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("iid"))
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def hyperplanes(dim: int, n: int, seed: int = LSH_SEED) -> np.ndarray:
-    """``n`` hyperplanes with components 1 or -1, from a digest of (seed, plane, component)."""
-    sign = [[1.0 if hashlib.md5(f"{seed}:{p}:{d}".encode()).hexdigest()[0] < "8" else -1.0 for d in range(dim)]
-            for p in range(n)]
-    return np.array(sign)
-
-
-def _codes(n_tables: int, bits: int, seed: int):
-    """Arrow-batched function: vector -> one bucket code per table (NULL without a direction)."""
-    known: dict[int, np.ndarray] = {}
-
-    def run(vec: pd.Series) -> pd.Series:
-        out = np.full(len(vec), None, dtype=object)
-        has = np.flatnonzero(vec.notna().to_numpy())
-        if len(has):
-            rows, m = _rows_unit(pd.DataFrame({"vec": vec.iloc[has], "at": has}))
-            if len(rows):
-                if m.shape[1] not in known:
-                    known[m.shape[1]] = hyperplanes(m.shape[1], n_tables * bits, seed)
-                side = (np.round(m @ known[m.shape[1]].T, 6) >= 0).reshape(len(rows), n_tables, bits)
-                for i, c in zip(rows["at"], (side * (1 << np.arange(bits))).sum(axis=2).tolist(), strict=True):
-                    out[i] = c
-        return pd.Series(out)
-
-    return F.pandas_udf(run, ArrayType(IntegerType()))
-
-
-def lsh_topk(queries: DataFrame, items: DataFrame, k: int = 10, n_tables: int = LSH_TABLES, bits: int = LSH_BITS,
-             seed: int = LSH_SEED) -> DataFrame:
-    """Top-k per query among the items that share a bucket with it: (qid, iid, score, rank).
-
-    Each of ``n_tables`` tables cuts the space with ``bits`` random hyperplanes;
-    a query meets only the items on the same side of all planes of a table, and
-    these are scored exactly.  A bucket is split into blocks of about
-    ``BLOCK_ROWS`` a side by its own counts (at most n_tables * 2^bits rows), so a
-    hot bucket is many tasks and a small one is one.  Ties and undefined
-    vectors as in ``vector_topk``, which has the exact result.
-    """
-    code = _codes(n_tables, bits, seed)
-
-    def coded(df: DataFrame, name: str) -> DataFrame:
-        v = df.select(name, F.col("vec").cast("array<double>").alias("vec"))
-        return v.select(name, "vec", F.posexplode(code("vec")).alias("tab", "code"))
-
-    q, it = coded(queries, "qid"), coded(items, "iid")
-    parts = lambda df, name: df.groupBy("tab", "code").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
-    split = F.broadcast(parts(q, "nq").join(parts(it, "ni"), ["tab", "code"]))
-    qtype, itype = dict(q.dtypes)["qid"], dict(it.dtypes)["iid"]
-    blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    qrows = q.join(split, ["tab", "code"]).select("tab", "code", F.pmod(F.xxhash64("qid"), F.col("nq")).alias("qb"), blocks("ni").alias("ib"),
-                                                  F.lit(0).alias("side"), "qid", F.lit(None).cast(itype).alias("iid"), "vec")
-    irows = it.join(split, ["tab", "code"]).select("tab", "code", blocks("nq").alias("qb"), F.pmod(F.xxhash64("iid"), F.col("ni")).alias("ib"),
-                                                   F.lit(1).alias("side"), F.lit(None).cast(qtype).alias("qid"), "iid", "vec")
-    part = qrows.unionByName(irows).groupBy("tab", "code", "qb", "ib").applyInPandas(
-        lambda pdf: _block_topk(k, pdf), f"qid {qtype}, iid {itype}, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("iid"))
-    best = part.groupBy("qid", "iid").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def relevance(depth: Column, cos: Column) -> Column:
     """Score in [0, 1]: 0.7/(1+depth) + 0.3*max(0, cosine), rounded to 6 places."""
     return F.round(F.lit(GRAPH_WEIGHT) / (1 + depth)
@@ -256,30 +103,118 @@ def user_feed(matches: DataFrame, user_vectors: DataFrame | None = None,
                          "relevance_score", "match_reasons", "graph_depth", ts.alias("timestamp"), "rank")
 
 
+def _depth0_reads(served: DataFrame, article_entities: DataFrame, user_vectors: DataFrame, article_vectors: DataFrame, n: int) -> tuple:
+    """What the depth-0 feed of each user has to score.
+
+    Returns (user_id, node, cell, n_articles, bound, first), (node, iid, cell,
+    angle), the articles' cells with vectors, and the users' vectors.
+    """
+    followed = article_entities.join(served.select(F.col("seed").alias("node")).distinct(), "node", "left_semi")
+    size = followed.agg((F.count(F.lit(1)) / F.greatest(F.lit(1), F.countDistinct("node"))).alias("a")).first()["a"] or 0
+    arts = article_vectors.select(F.col("article_id").alias("iid"), "vec")
+    cents = centroids(arts, max(1, min(MAX_CELLS, math.isqrt(int(size)))))
+    placed = cut_lineage(assign(arts, cents)) if len(cents) else arts.limit(0).selectExpr("iid", "0 as cell", "0D as angle", "cast(vec as array<double>) vec")
+    lists = cut_lineage(followed.join(placed.select(F.col("iid").alias("article_id"), "cell", "angle"), "article_id", "left")
+                        .select("node", F.col("article_id").alias("iid"), F.coalesce("cell", F.lit(NO_CELL)).alias("cell"), F.coalesce("angle", F.lit(0.0)).alias("angle")))
+    cells = lists.groupBy("node", "cell").agg(F.count(F.lit(1)).alias("n_articles"), F.max("angle").alias("radius"))
+
+    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            at, u = unit_rows(p["vec"])
+            vec, to = np.full(len(p), None, dtype=object), np.full(len(p), None, dtype=object)
+            if len(at) and len(cents):
+                for i, x, a in zip(at, u, np.arccos(np.clip(u @ cents.T, -1.0, 1.0)), strict=True):
+                    vec[i], to[i] = x, a
+            yield pd.DataFrame({"user_id": p["user_id"], "uvec": vec, "to": to})
+
+    users = cut_lineage(user_vectors.select("user_id", "vec").mapInPandas(
+        angles, f"user_id {dict(user_vectors.dtypes)['user_id']}, uvec array<double>, to array<double>"))
+    pairs = served.select("user_id", F.col("seed").alias("node")).distinct().join(users.select("user_id", "to"), "user_id", "left").join(cells, "node")
+    # no article of the cell has a larger cosine (triangle inequality on angles)
+    cos = F.when(F.col("to").isNull() | (F.col("cell") == NO_CELL), 0.0).otherwise(
+        F.cos(F.greatest(F.lit(0.0), F.get("to", F.col("cell")) - F.col("radius") - 1e-7)) + 1e-5)
+    asked = pairs.select("user_id", "node", "cell", "n_articles", (F.lit(GRAPH_WEIGHT) + VECTOR_WEIGHT * F.greatest(F.lit(0.0), cos)).alias("bound"))
+    # an article may be in several lists, so the first reads hold more than n
+    best = Window.partitionBy("user_id").orderBy(F.desc("bound"), "node", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    asked = cut_lineage(asked.withColumn("first", F.coalesce(F.sum("n_articles").over(best), F.lit(0)) < 3 * n))
+    return asked, lists, placed, users
+
+
+def nearest_articles(served: DataFrame, article_entities: DataFrame, user_vectors: DataFrame, article_vectors: DataFrame,
+                     n: int) -> tuple[DataFrame, DataFrame]:
+    """The ``n`` best depth-0 articles of every user: (user_id, article_id, relevance_score), and what was read.
+
+    ``served``: (user_id, seed); ``article_entities``: (article_id, node).  The
+    articles of an entity are a list cut into cells of near vectors, each with an
+    upper bound of the score that a user can find in it.  A user first reads the
+    cells of the highest bounds that hold 3 n articles; the n-th score found is a
+    threshold, and only cells whose bound reaches it are read besides.  A cell is
+    scored for its users as one matrix product, entity by entity.  The second
+    frame has (user_id, node, cell, n_articles, bound, first, read).
+    """
+    asked, lists, placed, users = _depth0_reads(served, article_entities, user_vectors, article_vectors, n)
+    wide = lists.join(placed.select("iid", "vec"), "iid", "left").select("node", "iid", "cell", "vec")
+
+    def score(cos: np.ndarray) -> np.ndarray:
+        return np.round(GRAPH_WEIGHT + VECTOR_WEIGHT * np.maximum(0.0, np.nan_to_num(cos, nan=0.0)), 6)
+
+    def scored(reads: DataFrame) -> DataFrame:
+        some = reads.groupBy("user_id", "node").agg(F.collect_list("cell").alias("cells")) \
+            .join(users, "user_id", "left").select("node", F.col("user_id").alias("qid"), F.col("uvec").alias("vec"), "cells")
+        return best_in_groups(some, wide, n, "node", score)
+
+    def top(found: DataFrame) -> DataFrame:
+        one = found.groupBy("qid", "iid").agg(F.max("score").alias("relevance_score"))
+        w = Window.partitionBy("qid").orderBy(F.desc("relevance_score"), F.asc("iid"))
+        return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+    got = cut_lineage(top(scored(asked.where("first"))))
+    tau = got.where(F.col("rank") == n).select(F.col("qid").alias("user_id"), F.col("relevance_score").alias("tau"))
+    reads = cut_lineage(asked.join(tau, "user_id", "left").withColumn("read", F.col("first") | F.col("tau").isNull() | (F.col("bound") >= F.col("tau"))))
+    more = scored(reads.where("read and not first"))
+    best = top(got.select("qid", "iid", F.col("relevance_score").alias("score")).unionByName(more))
+    return best.select(F.col("qid").alias("user_id"), F.col("iid").alias("article_id"), "relevance_score"), reads
+
+
 def graph_feed(user_interests: DataFrame, article_entities: DataFrame, edges: DataFrame,
                user_vectors: DataFrame, article_vectors: DataFrame, n: int = FEED_SIZE,
                max_depth: int = MAX_GRAPH_DEPTH, as_of: Column | None = None) -> DataFrame:
-    """``user_feed`` of ``graph_match``, without forming all matched pairs.
+    """Top-``n`` articles per user by relevance over all articles that an interest reaches.
 
     (user, node, depth) and (article, node) stay apart.  A pair of depth 0 scores
     at least 0.7 and any deeper one at most 0.65, so a user who follows an entity
-    with ``n`` articles needs no deeper pair; only the others' nodes are expanded
-    at every depth.  Reasons are joined to the ranked rows alone.
+    with ``n`` articles needs no deeper pair: that feed comes from
+    ``nearest_articles``.  Only the others' nodes are expanded at every depth.
+    Reasons are found for the ranked rows alone, with followed entities and
+    reached nodes as bit sets of seeds.
     """
     ui = cut_lineage(user_interests.select("user_id", "name", node_key(F.col("name")).alias("seed")))
-    reach = impact_trace(ui.select("seed").distinct().withColumn("node", F.col("seed")), edges, max_depth)
+    ids, reached = trace_bits(ui.select("seed").distinct().withColumn("node", F.col("seed")), edges, max_depth)
+    reached = cut_lineage(reached)
     ae = cut_lineage(article_entities.select("article_id", node_key(F.col("name")).alias("node")).distinct())
     served = ui.join(ae.groupBy("node").count().where(F.col("count") >= n), ui["seed"] == F.col("node"))
-    served = served.select("user_id").distinct().withColumn("served", F.lit(True))
-    nodes = ui.join(reach, "seed").groupBy("user_id", "node").agg(F.min("depth").alias("depth"))
-    nodes = nodes.join(served, "user_id", "left").where((F.col("depth") == 0) | F.col("served").isNull())
-    pairs = nodes.join(ae, "node").groupBy("user_id", "article_id").agg(F.min("depth").alias("graph_depth"))
-    top = cut_lineage(user_feed(pairs.withColumn("match_reasons", F.lit(None)), user_vectors, article_vectors, n, as_of)
-                      .drop("match_reasons"))
+    served = cut_lineage(served.select("user_id").distinct())
+    ts = as_of if as_of is not None else F.current_timestamp()
+    best, _ = nearest_articles(ui.join(served, "user_id", "left_semi"), ae, user_vectors, article_vectors, n)
+    w = Window.partitionBy("user_id").orderBy(F.desc("relevance_score"), F.asc("article_id"))
+    top = best.select(F.col("user_id").cast("string").alias("user_id"), "article_id", "relevance_score", F.lit(0).alias("graph_depth"),
+                      ts.alias("timestamp"), F.row_number().over(w).alias("rank"))
+    others = cut_lineage(ui.join(served, "user_id", "left_anti"))
+    if not others.isEmpty():
+        reach = reached.select("node", "block", F.explode(set_bits("bits")).alias("bit"), "depth").join(ids, ["block", "bit"])
+        nodes = others.join(reach, "seed").groupBy("user_id", "node").agg(F.min("depth").alias("depth"))
+        pairs = nodes.join(ae, "node").groupBy("user_id", "article_id").agg(F.min("depth").alias("graph_depth"))
+        top = top.unionByName(user_feed(pairs.withColumn("match_reasons", F.lit(None)), user_vectors, article_vectors, n, as_of).drop("match_reasons"))
+    top = cut_lineage(top)
     user = F.col("user_id").cast("string").alias("user_id")
-    why = top.select("user_id", "article_id").join(ae, "article_id").join(reach.select("seed", "node"), "node") \
-             .join(ui.select(user, "name", "seed"), ["user_id", "seed"]).groupBy("user_id", "article_id") \
-             .agg(F.array_sort(F.collect_set(F.concat(F.lit(REASON_PREFIX), F.col("name")))).alias("match_reasons"))
+    own = ui.join(ids, "seed").groupBy(user, "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("own"))
+    by_node = reached.groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
+    why = top.select("user_id", "article_id").join(ae, "article_id").join(by_node, "node") \
+        .groupBy("user_id", "article_id", "block").agg(F.bit_or("bits").alias("bits")) \
+        .join(own, ["user_id", "block"]).select("user_id", "article_id", "block", F.expr("bits & own").alias("bits")).where("bits <> 0") \
+        .select("user_id", "article_id", "block", F.explode(set_bits("bits")).alias("bit")).join(ids, ["block", "bit"]) \
+        .join(ui.select(user, "name", "seed"), ["user_id", "seed"]).groupBy("user_id", "article_id") \
+        .agg(F.array_sort(F.collect_set(F.concat(F.lit(REASON_PREFIX), F.col("name")))).alias("match_reasons"))
     return top.join(why, ["user_id", "article_id"])
 
 

@@ -9,11 +9,13 @@ joined back to every mention, which is the table form of the reference memo.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgraph.config import CANDIDATE_LIMIT, COMPANY_TYPE, WIKI_TYPES, Config
 from newsgraph.functions.maps import merge_maps
+from newsgraph.session import cut_lineage
+from newsgraph.streaming.state import BucketState
 
 # Verdict confidences and reasons of the reference.
 COMPANY_EXACT_CONF = 0.95
@@ -211,6 +213,34 @@ def verdicts(entities: DataFrame, company_kb: DataFrame | None, wiki_kb: DataFra
     return cv.select(VERDICT_COLS).unionByName(wv.select(VERDICT_COLS)).unionByName(other)
 
 
+VERDICT_STATE = ("name string, type string, kb_version string, validated boolean, v_confidence double, "
+                 "v_metadata map<string,string>, reason string")
+
+
+def verdict_state(spark: SparkSession, path: str, n_buckets: int = 64) -> BucketState:
+    return BucketState(spark, path, ["name", "type"], VERDICT_STATE, n_buckets)
+
+
+def stored_verdicts(state: BucketState, batch_id: int, kb_version: str, entities: DataFrame, company_kb: DataFrame | None,
+                    wiki_kb: DataFrame | None, kb_errors: DataFrame | None = None, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of a batch's entities and the keys that were looked up for them.
+
+    The memo of the reference, which spans messages, as a table across batches:
+    keys that the store has under the same ``kb_version`` keep their verdict
+    (errors included), only the others are searched, and their verdicts are
+    merged into the buckets that the batch touches.  Verdicts of another KB
+    version are dropped from a bucket when it is rewritten.
+    """
+    keys = cut_lineage(entities.select("name", "type").distinct())
+    touched = state.touched(keys)
+    held = state.read(batch_id - 1, touched).where(F.col("kb_version") == kb_version)
+    new = cut_lineage(keys.join(held.select("name", "type"), ["name", "type"], "left_anti"))
+    found = cut_lineage(verdicts(new, company_kb, wiki_kb, kb_errors, cfg).withColumn("kb_version", F.lit(kb_version)))
+    state.write(batch_id, held.unionByName(found), touched)
+    # the state after the batch is there for two more batches
+    return state.read(batch_id, touched).join(keys, ["name", "type"], "left_semi").select(VERDICT_COLS), new
+
+
 def apply_verdicts(entities: DataFrame, v: DataFrame) -> DataFrame:
     """Join verdicts back to every entity row: clip confidence, merge metadata."""
     j = entities.join(v, ["name", "type"], "left")
@@ -226,9 +256,15 @@ def apply_verdicts(entities: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def validate_entities(entities: DataFrame, company_kb: DataFrame | None, wiki_kb: DataFrame | None,
-                      kb_errors: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
-    """entities + validated, reason; confidence clipped, metadata merged (J7-J10)."""
-    return apply_verdicts(entities, verdicts(entities, company_kb, wiki_kb, kb_errors, cfg))
+                      kb_errors: DataFrame | None = None, cfg: Config = Config(), store: BucketState | None = None,
+                      batch_id: int = 0, kb_version: str = "") -> DataFrame:
+    """entities + validated, reason; confidence clipped, metadata merged (J7-J10).
+
+    With ``store``, verdicts of earlier batches are used again (see ``stored_verdicts``).
+    """
+    v = verdicts(entities, company_kb, wiki_kb, kb_errors, cfg) if store is None else \
+        stored_verdicts(store, batch_id, kb_version, entities, company_kb, wiki_kb, kb_errors, cfg)[0]
+    return apply_verdicts(entities, v)
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,13 +7,16 @@ re-aggregate" and gives the same table as a full rebuild.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgraph.config import MAX_GRAPH_DEPTH
-from newsgraph.session import cut_lineage
+from newsgraph.session import cut_lineage, cut_lineage_by
+from newsgraph.streaming.state import BucketState, upsert
 
 NODE_ATTRS = ("industry", "role", "country", "severity")
+# Edges of one node that stay together in the trace.
+HUB_EDGES = 100_000
 
 
 def node_key(name: Column) -> Column:
@@ -50,6 +53,33 @@ def upsert_nodes(entities: DataFrame, previous: DataFrame | None = None,
     return _merge_nodes(rows)
 
 
+NODE_STATE = ("key string, type string, name string, confidence double, mentions long, first_seen timestamp, last_seen timestamp, "
+              + ", ".join(f"{a} struct<ts:timestamp,v:string>" for a in NODE_ATTRS))
+EDGE_STATE = "src string, action string, dst string, n long, sentiment_sum double, confidence double, first_article string, last_article string"
+
+
+def node_state(spark: SparkSession, path: str, n_buckets: int = 64) -> BucketState:
+    return BucketState(spark, path, ["key", "type"], NODE_STATE, n_buckets)
+
+
+def edge_state(spark: SparkSession, path: str, n_buckets: int = 64) -> BucketState:
+    return BucketState(spark, path, ["src", "action", "dst"], EDGE_STATE, n_buckets)
+
+
+def upsert_nodes_incremental(state: BucketState, entities: DataFrame, batch_id: int, ts_col: str = "ts") -> DataFrame:
+    """Merges the nodes of a batch into a stored snapshot, rewriting only the buckets that they touch.
+
+    The batch is aggregated first, so a hot node is one row when it meets the
+    snapshot.  Returns the touched part of the snapshot.
+    """
+    return upsert(state, cut_lineage(upsert_nodes(entities, ts_col=ts_col)), batch_id, _merge_nodes)
+
+
+def upsert_edges_incremental(state: BucketState, relationships: DataFrame, batch_id: int) -> DataFrame:
+    """Merges the edges of a batch into a stored snapshot, as ``upsert_nodes_incremental`` does for nodes."""
+    return upsert(state, cut_lineage(upsert_edges(relationships)), batch_id, _merge_edges)
+
+
 def node_view(nodes: DataFrame) -> DataFrame:
     """Nodes with plain attribute values."""
     return nodes.select("key", "type", "name", "confidence", "mentions", "first_seen", "last_seen",
@@ -66,6 +96,10 @@ def upsert_edges(relationships: DataFrame, previous: DataFrame | None = None) ->
         F.col("article_id").alias("first_article"), F.col("article_id").alias("last_article"))
     if previous is not None:
         rows = rows.unionByName(previous)
+    return _merge_edges(rows)
+
+
+def _merge_edges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("src", "action", "dst").agg(
         F.sum("n").alias("n"), F.sum("sentiment_sum").alias("sentiment_sum"),
         F.max("confidence").alias("confidence"), F.min("first_article").alias("first_article"),
@@ -83,33 +117,74 @@ def edge_view(edges: DataFrame) -> DataFrame:
     return edges.withColumn("sentiment_avg", F.col("sentiment_sum") / F.col("n"))
 
 
-def impact_trace(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_GRAPH_DEPTH,
-                 direction: str = "forward") -> DataFrame:
-    """Nodes reachable from each seed within ``max_depth`` hops, with minimum depth.
+def _adjacency(edges: DataFrame, direction: str, hub_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Edges dealt out once by (src, salt), and (node, salts) of the hubs.
 
-    seeds(seed, node) -> (seed, node, depth); depth 0 is the seed itself.
-    Breadth-first: each round joins the de-duplicated frontier with the edges
-    and drops (seed, node) pairs already reached, so every pair gets its first
-    (= minimum) depth and no path is enumerated twice.  ``direction``:
-    'forward' follows subject -> object, 'both' ignores direction.
+    A node of more than ``hub_edges`` edges is dealt over several salts, so that
+    its edges are several keys.  The checkpoint keeps the partitioning, so the
+    rounds shuffle their frontier only.
     """
-    e = edges.select("src", "dst").distinct()
+    e = edges.select("src", "dst")
     if direction == "both":
-        e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    # the edge list and each round are materialised once (reliable checkpoints in the
-    # shared dir): every round reads them instead of recomputing the earlier rounds
-    e = cut_lineage(e)
-    visited = cut_lineage(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
-    frontier = visited.select("seed", "node")
+        e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    e = e.distinct()
+    hubs = cut_lineage(e.groupBy("src").count().where(F.col("count") > hub_edges)
+                       .select(F.col("src").alias("hub"), F.ceil(F.col("count") / hub_edges).cast("int").alias("salts")))
+    salted = e.join(hubs, e.src == hubs.hub, "left").select(
+        "src", F.coalesce(F.expr("pmod(xxhash64(dst), salts)"), F.lit(0)).cast("int").alias("salt"), "dst")
+    return cut_lineage_by(salted, "src", "salt"), hubs
+
+
+def trace_bits(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_GRAPH_DEPTH, direction: str = "forward",
+               hub_edges: int = HUB_EDGES) -> tuple[DataFrame, DataFrame]:
+    """``impact_trace`` in packed form: (seed, block, bit) and (node, block, bits, depth).
+
+    Seeds are numbered, and 64 of them are one block: a bit of ``bits`` says that
+    the seed with this (block, bit) reaches the node first at ``depth``.
+    """
+    ids = cut_lineage(seeds.select("seed").distinct())
+    ids = ids.withColumn("_i", F.monotonically_increasing_id()).select(
+        "seed", F.expr("_i div 64").alias("block"), (F.col("_i") % 64).cast("int").alias("bit"))
+    ids = cut_lineage(ids)
+    e, hubs = _adjacency(edges, direction, hub_edges)
+    start = seeds.select("seed", "node").distinct().join(ids, "seed")
+    frontier = cut_lineage(start.groupBy("node", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    reached = frontier.withColumn("depth", F.lit(0))
     for d in range(1, max_depth + 1):
-        step = frontier.join(e, frontier.node == e.src).select("seed", F.col("dst").alias("node")) \
-                       .distinct().join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
-        step = cut_lineage(step)
-        if step.isEmpty():
+        out = frontier.join(hubs, frontier.node == hubs.hub, "left").select(
+            "node", "block", "bits", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        step = out.join(e, (out.node == e.src) & (out.salt == e.salt)).groupBy(F.col("dst").alias("node"), "block") \
+                  .agg(F.bit_or("bits").alias("bits"))
+        seen = reached.groupBy("node", "block").agg(F.bit_or("bits").alias("seen"))
+        new = step.join(seen, ["node", "block"], "left") \
+                  .select("node", "block", F.expr("bits & ~coalesce(seen, 0L)").alias("bits")).where("bits <> 0")
+        frontier = cut_lineage(new)
+        if frontier.isEmpty():
             break
-        visited = visited.unionByName(step.withColumn("depth", F.lit(d)))
-        frontier = step
-    return visited
+        reached = reached.unionByName(frontier.withColumn("depth", F.lit(d)))
+    return ids, reached
+
+
+def set_bits(bits: str) -> Column:
+    """The numbers of the bits that are set."""
+    return F.expr(f"filter(sequence(0, 63), b -> (shiftright({bits}, b) & 1L) = 1L)")
+
+
+def impact_trace(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_GRAPH_DEPTH,
+                 direction: str = "forward", hub_edges: int = HUB_EDGES) -> DataFrame:
+    """Nodes reachable from each seed within ``max_depth`` hops, with minimum depth.
+
+    seeds(seed, node) -> (seed, node, depth); depth 0 is the seed itself.
+    Breadth-first over bit sets: a frontier row is (node, 64 seeds), so what many
+    seeds reach is one row for each block of them.  Each round joins the frontier
+    with the edges, combines the bits by node on the map side, and keeps the bits
+    that are new there, so every pair gets its first (= minimum) depth and no
+    path is enumerated twice.  ``direction``: 'forward' follows subject -> object,
+    'both' ignores direction.
+    """
+    ids, reached = trace_bits(seeds, edges, max_depth, direction, hub_edges)
+    pairs = reached.select("node", "block", F.explode(set_bits("bits")).alias("bit"), "depth")
+    return pairs.join(ids, ["block", "bit"]).select("seed", "node", "depth")
 
 
 def node_stats(edges: DataFrame) -> DataFrame:

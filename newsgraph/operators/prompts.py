@@ -2,17 +2,19 @@
 
 Model calls are table-in / table-out: these functions build the ``requests``
 table; whatever serves the model fills a ``responses`` table that joins back
-on (article_id, stage).  Few-shot messages are literals shared by every row;
-only the last user message is built per article.  Contexts (entities,
+on (article_id, stage).  A request holds the article's own message and the
+digest of its stage's template (system and few-shot messages); the whole chat
+is put together where the model is called.  Contexts (entities,
 relationships) are aggregated per article and serialised with ``to_json``
 (the reference renders them with Python ``str()``; JSON is what a model reads).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgraph.config import Config
@@ -188,22 +190,47 @@ RESPONSE_FORMAT = "json_object"
 MESSAGES_DDL = "array<struct<role:string,content:string>>"
 
 
-def _msg(role: str, content: Column | str) -> Column:
-    c = F.lit(content) if isinstance(content, str) else content
-    return F.struct(F.lit(role).alias("role"), c.alias("content"))
-
-
-def _shots(system: str, examples: list[dict], answer_key: str) -> list[Column]:
-    out = [_msg("system", system)]
+def _shots(system: str, examples: list[dict], answer_key: str) -> list[tuple[str, str]]:
+    """(role, content) of the messages before an article's own."""
+    out = [("system", system)]
     for ex in examples:
-        out.append(_msg("user", ARTICLE_PREFIX + ex["article"]))
-        out.append(_msg("assistant", json.dumps(ex[answer_key], ensure_ascii=False)))
+        out += [("user", ARTICLE_PREFIX + ex["article"]), ("assistant", json.dumps(ex[answer_key], ensure_ascii=False))]
     return out
 
 
-def _request(df: DataFrame, stage: str, messages: Column, cfg: Config) -> DataFrame:
+STAGE_MESSAGES = {
+    "entity": _shots(ENTITY_SYSTEM_PROMPT, ENTITY_EXAMPLES, "entities"),
+    "mapping": _shots(CAUSAL_SYSTEM_PROMPT, CAUSAL_EXAMPLES, "relationships"),
+    "impact": _shots(IMPACT_SYSTEM_PROMPT, IMPACT_EXAMPLES, "impact_summary"),
+}
+
+
+def template_id(stage: str) -> str:
+    """Digest of the messages that every request of a stage begins with."""
+    return hashlib.sha256(json.dumps(STAGE_MESSAGES[stage], ensure_ascii=False).encode()).hexdigest()
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """(template, stage, messages): one row a stage, to be stored beside the requests."""
+    rows = [(template_id(s), s, [(r, c) for r, c in m]) for s, m in STAGE_MESSAGES.items()]
+    return spark.createDataFrame(rows, f"template string, stage string, messages {MESSAGES_DDL}")
+
+
+def with_messages(requests: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Requests with their whole chat in column ``messages``: the template's, then the article's own.
+
+    ``table``: the templates (default: those of this version); requests whose
+    template it does not have get no messages.
+    """
+    known = templates(requests.sparkSession) if table is None else table
+    own = F.struct(F.lit("user").alias("role"), F.col("user").alias("content"))
+    joined = requests.join(F.broadcast(known.select("template", F.col("messages").alias("_first"))), "template", "left")
+    return joined.withColumn("messages", F.concat("_first", F.array(own))).drop("_first")
+
+
+def _request(df: DataFrame, stage: str, user: Column, cfg: Config) -> DataFrame:
     return df.select(
-        "article_id", F.lit(stage).alias("stage"), messages.alias("messages"),
+        "article_id", F.lit(stage).alias("stage"), F.lit(template_id(stage)).alias("template"), user.alias("user"),
         F.lit(cfg.model).alias("model"), F.lit(cfg.temperatures[stage]).alias("temperature"),
         F.lit(RESPONSE_FORMAT).alias("response_format"))
 
@@ -231,8 +258,7 @@ def relationship_context(relationships: DataFrame) -> DataFrame:
 def entity_requests(articles: DataFrame, cfg: Config = Config()) -> DataFrame:
     """system + 1 few-shot pair + the article: 4 messages."""
     user = F.concat(F.lit(ARTICLE_PREFIX), F.col("content"), F.lit(ENTITY_TASK))
-    msgs = F.array(*_shots(ENTITY_SYSTEM_PROMPT, ENTITY_EXAMPLES, "entities"), _msg("user", user))
-    return _request(articles, "entity", msgs, cfg)
+    return _request(articles, "entity", user, cfg)
 
 
 def causal_requests(articles: DataFrame, entities: DataFrame, cfg: Config = Config(),
@@ -246,8 +272,7 @@ def causal_requests(articles: DataFrame, entities: DataFrame, cfg: Config = Conf
     j = articles.select("article_id", "content").join(ctx, "article_id")
     user = F.concat(F.lit(ARTICLE_PREFIX), F.col("content"), F.lit(CAUSAL_ENTITIES),
                     F.col("entity_context"), F.lit(CAUSAL_TASK))
-    msgs = F.array(*_shots(CAUSAL_SYSTEM_PROMPT, CAUSAL_EXAMPLES, "relationships"), _msg("user", user))
-    return _request(j, "mapping", msgs, cfg)
+    return _request(j, "mapping", user, cfg)
 
 
 def impact_requests(articles: DataFrame, entities: DataFrame, relationships: DataFrame,
@@ -264,5 +289,4 @@ def impact_requests(articles: DataFrame, entities: DataFrame, relationships: Dat
     user = F.concat(F.lit(ARTICLE_PREFIX), F.col("content"), F.lit(IMPACT_ENTITIES),
                     F.coalesce(F.col("entity_context"), F.lit("[]")), F.lit(IMPACT_RELATIONSHIPS),
                     F.coalesce(F.col("relationship_context"), F.lit("[]")), F.lit(IMPACT_TASK))
-    msgs = F.array(*_shots(IMPACT_SYSTEM_PROMPT, IMPACT_EXAMPLES, "impact_summary"), _msg("user", user))
-    return _request(j, "impact", msgs, cfg)
+    return _request(j, "impact", user, cfg)

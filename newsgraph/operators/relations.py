@@ -2,50 +2,124 @@
 
 Offline stand-in for the model's causal mapping: inside one sentence, a
 lexicon verb links the nearest mention before it (subject) to the nearest
-mention after it (object).  One pass of two windows per document over a union
-of sentence starts, mentions and verbs ordered by character offset: no pair
-enumeration, no per-row Python.
+mention after it (object).  One pass over each text finds its sentences and
+verbs; two windows per document over sentence starts, mentions and verbs,
+ordered by character offset, link them: no pair enumeration.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsgraph.operators.tagging import WORD_RE, regex_spans
+from newsgraph.operators.tagging import PHRASE_BYTES, Phrases, is_word, phrase_blocks
 
-SENTENCE_RE = r"[^.!?]+[.!?]*"
 LEXICON_CONFIDENCE = 0.75
 
+# The rules of sentence boundaries.  A full stop after one of these never ends a sentence ...
+TITLES = ("mr", "mrs", "ms", "dr", "prof", "st", "gen", "sen", "rep", "gov", "vs", "e.g", "i.e")
+# ... after one of these only before a capital letter.
+SUFFIXES = ("inc", "corp", "co", "ltd", "llc", "plc", "bros", "cie", "jr", "sr", "u.s", "u.k", "approx", "etc")
+
+_MARKS = re.compile(r"[.!?]+")
+_LAST_WORD = re.compile(r"[^\W_](?:[^\W_]|\.(?=[^\W_]))*$")
+
+
+def ends_sentence(text: str, start: int, end: int, mention_end: bool) -> bool:
+    """Whether the marks ``text[start:end]`` end a sentence.
+
+    At the end of a mention (``Yahoo!``, ``Acme Inc.``) they do only if a capital
+    letter or nothing follows.  Else ``!``, ``?`` and runs of marks always do, and
+    so does a stop at the end of the text.  A single full stop between two
+    letters or digits (``4.2``, ``U.S``) does not, nor one after a title or an
+    initial; one after a suffix does only if a capital letter follows.
+    """
+    after = text[end:end + 80].lstrip()
+    capital = not after or after[0].isupper()
+    if mention_end:
+        return capital
+    if text[start:end] != "." or end == len(text):
+        return True
+    if start and is_word(text[start - 1]) and is_word(text[end]):
+        return False
+    last = _LAST_WORD.search(text[max(0, start - 40):start])
+    word = last.group() if last else ""
+    if word.lower() in TITLES or len(word) == 1 and word.isupper():
+        return False
+    return capital or word.lower() not in SUFFIXES
+
+
+def sentence_spans(text: str, mentions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of a text; a mark inside a mention ends none.
+
+    ``mentions``: spans that do not overlap, in order of their starts.
+    """
+    out, at, starts = [], 0, [s for s, _ in mentions]
+    for m in _MARKS.finditer(text):
+        i = bisect_right(starts, m.start()) - 1
+        until = mentions[i][1] if i >= 0 else 0
+        if m.end() < until or not ends_sentence(text, m.start(), m.end(), m.end() == until):
+            continue
+        out.append((at, m.end()))
+        at = m.end()
+    return out + [(at, len(text))] if at < len(text) else out
+
+
+def _marks_and_verbs(verbs: Phrases, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences (kind 0) and verbs (kind 2) of every text of (id, text, spans) batches."""
+    for b in batches:
+        rows: list[list] = [[] for _ in range(7)]
+        for i, (text, spans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            if not text:
+                continue
+            for s, e in sentence_spans(text, [(x["start"], x["end"]) for x in spans or []]):
+                for column, x in zip(rows, (i, s, 0, e, text[s:e].strip(" "), None, None), strict=True):
+                    column.append(x)
+            for s, _, _, entries in verbs.find(text):
+                for _, action, sentiment in entries:
+                    for column, x in zip(rows, (i, s, 2, None, None, action, sentiment), strict=True):
+                        column.append(x)
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), *[
+            pa.array(x, k) for x, k in zip(rows[1:], kinds, strict=True)]], names)
+
 
 def lexicon_relations(articles: DataFrame, mentions: DataFrame, lexicon: DataFrame,
                       id_col: str = "article_id", text_col: str = "content") -> DataFrame:
     """-> (id, pos, subject, action, object, sentiment, confidence, reasoning).
 
-    ``mentions``: (id, start, end, name, type, confidence); ``lexicon``: (verb, action, sentiment).
+    ``mentions``: (id, start, end, name, type, confidence), of one text without
+    overlaps; ``lexicon``: (verb, action, sentiment), at most ``PHRASE_BYTES`` of
+    verbs.  Texts meet the spans of their own mentions once, so that no sentence
+    ends inside a name.
     """
-    sents = regex_spans(articles, id_col, text_col, SENTENCE_RE).select(
-        id_col, F.col("start").alias("off"), F.lit(0).alias("kind"), F.col("end").alias("s_end"),
-        F.trim("match").alias("sentence"), *[F.lit(None).cast(t).alias(c) for c, t in
-                                              [("name", "string"), ("type", "string"),
-                                               ("m_end", "int"), ("m_conf", "double"),
-                                               ("action", "string"), ("sentiment", "double")]])
-    words = regex_spans(articles, id_col, text_col, WORD_RE)
-    lex = lexicon.select(F.lower("verb").alias("w"), "action", "sentiment")
-    verbs = words.join(lex, F.lower(words["match"]) == lex["w"]).select(
-        id_col, F.col("start").alias("off"), F.lit(2).alias("kind"),
-        F.lit(None).cast("int").alias("s_end"), F.lit(None).cast("string").alias("sentence"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("type"),
-        F.lit(None).cast("int").alias("m_end"), F.lit(None).cast("double").alias("m_conf"),
-        "action", "sentiment")
+    verbs = list(phrase_blocks(articles.sparkSession, lexicon.select(F.col("verb").alias("phrase"), "action", F.col("sentiment").cast("double")), PHRASE_BYTES))
+    if len(verbs) > 1:
+        raise ValueError("the verb lexicon is larger than one broadcast")
+    shared = verbs[0]
+    spans = mentions.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    texts = articles.select(id_col, text_col).join(spans, id_col, "left")
+    names = [id_col, "off", "kind", "s_end", "sentence", "action", "sentiment"]
+    out = T.StructType([texts.schema[id_col], *(T.StructField(n, t) for n, t in zip(names[1:], (
+        T.IntegerType(), T.IntegerType(), T.IntegerType(), T.StringType(), T.StringType(), T.DoubleType()), strict=True))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _marks_and_verbs(shared.value, names, batches)
+
+    null = lambda t: F.lit(None).cast(t)
+    scanned = texts.mapInArrow(scan, out).withColumns({"name": null("string"), "type": null("string"), "m_end": null("int"), "m_conf": null("double")})
     ments = mentions.select(
-        id_col, F.col("start").cast("int").alias("off"), F.lit(1).alias("kind"),
-        F.lit(None).cast("int").alias("s_end"), F.lit(None).cast("string").alias("sentence"),
-        "name", "type", F.col("end").cast("int").alias("m_end"),
-        F.col("confidence").cast("double").alias("m_conf"),
-        F.lit(None).cast("string").alias("action"), F.lit(None).cast("double").alias("sentiment"))
+        id_col, F.col("start").cast("int").alias("off"), F.lit(1).alias("kind"), null("int").alias("s_end"), null("string").alias("sentence"),
+        null("string").alias("action"), null("double").alias("sentiment"), "name", "type", F.col("end").cast("int").alias("m_end"),
+        F.col("confidence").cast("double").alias("m_conf"))
     # a mention can be a subject from its end on: one that starts at the verb does not hide it
-    ev = sents.unionByName(verbs).unionByName(ments).withColumn("from", F.coalesce("m_end", "off"))
+    ev = scanned.unionByName(ments).withColumn("from", F.coalesce("m_end", "off"))
     fwd = Window.partitionBy(id_col).orderBy("from", "kind").rowsBetween(Window.unboundedPreceding, -1)
     bwd = Window.partitionBy(id_col).orderBy(F.desc("off"), F.desc("kind")) \
                 .rowsBetween(Window.unboundedPreceding, -1)

@@ -1,18 +1,23 @@
-"""Mention tagging on article text with a gazetteer (dictionary) join.
-
-The reference runs a per-row NER model; here text is tokenised into letter runs
-with code-point offsets, 1..N-word phrases are matched against a gazetteer
-table with an equi-join, and overlapping matches are resolved by "longest
-wins, then earliest".  All of it is column expressions, windows ordered by
-token index inside one document, and joins; only the walk along a text's
-overlapping offsets is a small Arrow-batched helper.
+"""Mention tagging on article text with a gazetteer (dictionary of phrases).
+
+The reference runs a per-row NER model; here every text is read once by an
+automaton over all phrases (failure links, so that overlapping phrases cost one
+pass), money amounts are found in the same pass, and overlapping matches are
+resolved by "longest wins, then earliest".  The texts stay in the tasks that
+scan them: nothing but mentions comes out, and nothing shuffles.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,98 +27,105 @@ LABEL_TYPES = [("ORG", "company"), ("PERSON", "person"), ("GPE", "location"), ("
                ("EVENT", "event"), ("MONEY", "financial_instrument"), ("PRODUCT", "product")]
 BASE_CONFIDENCE = 0.75
 
-WORD_RE = r"\p{L}+"
-BLANK_RE = r"[ \t]"   # words of one phrase are separated by blanks only
 MONEY_RE = r"[$€£][0-9][0-9,]*(\.[0-9]+)?( ?(billion|million|thousand|bn|mn|m|k))?"
+# Bytes of phrases that travel to every task at a time; a larger gazetteer is matched in several passes.
+PHRASE_BYTES = 32 << 20
 
-
-def regex_spans(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
-    """All matches of ``pattern`` with code-point offsets: (id, idx, start, end, match, pre, post).
-
-    ``split`` gives the text between matches and ``regexp_extract_all`` the
-    matches; offsets are running sums of their lengths (a window ordered by
-    match index inside one text), so whole texts are handled without a UDF.
-    """
-    pieces = F.split(F.col(text_col), pattern, -1)
-    matches = F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)
-    n = F.size(matches)
-    z = F.arrays_zip(F.slice(pieces, 1, n).alias("pre"), matches.alias("m"),
-                     F.slice(pieces, 2, n).alias("post"))
-    # cluster the texts by id before exploding: the tokens of a text are then born in
-    # the partition that the per-text windows need, and no token row is shuffled
-    ex = df.select(id_col, text_col).repartition(id_col) \
-           .select(F.col(id_col), F.posexplode(F.when(n > 0, z)).alias("idx", "s")) \
-           .select(id_col, "idx", "s.pre", "s.m", "s.post")
-    w = Window.partitionBy(id_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("pre") + F.length("m")).over(w)
-    return ex.select(id_col, "idx", (end - F.length("m")).alias("start"), end.alias("end"),
-                     F.col("m").alias("match"), "pre", "post")
+_MONEY = re.compile(MONEY_RE)
+_BLANKS = re.compile(r"[ \t]+")
 
 
 def label_map(spark) -> DataFrame:
     return spark.createDataFrame(LABEL_TYPES, "label string, type string")
 
 
-def max_phrase_words(gazetteer: DataFrame) -> int:
-    """Longest phrase in words (one small aggregate; bounds the n-gram width)."""
-    v = gazetteer.agg(F.max(F.size(F.split(F.trim("phrase"), " +")))).first()[0]
-    return int(v or 1)
-
-
-def ngrams(tokens: DataFrame, id_col: str, n_max: int, first_words: DataFrame | None = None) -> DataFrame:
-    """Phrases of 1..n_max consecutive tokens joined by blanks only.
-
-    ``first_words(word)``: when given, phrases are only grown from tokens whose
-    lower-cased text starts some dictionary phrase (a semi-join after the
-    window, so the following tokens are still visible).
-    """
-    w = Window.partitionBy(id_col).orderBy("idx")
-    t = tokens
-    for k in range(1, n_max):
-        t = t.withColumn(f"m{k}", F.lead("match", k).over(w)) \
-             .withColumn(f"e{k}", F.lead("end", k).over(w)) \
-             .withColumn(f"p{k}", F.col("post") if k == 1 else F.lead("post", k - 1).over(w))
-    if first_words is not None:
-        t = t.join(first_words.select(F.col("word").alias("_w")).distinct(),
-                   F.lower(F.col("match")) == F.col("_w"), "left_semi")
-    grams = []
-    for n in range(1, n_max + 1):
-        words = [F.col("match")] + [F.col(f"m{k}") for k in range(1, n)]
-        surface = F.col("match")
-        for k in range(1, n):
-            surface = F.concat(surface, F.col(f"p{k}"), F.col(f"m{k}"))
-        ok = F.lit(True)
-        for k in range(1, n):
-            gap = F.col(f"p{k}")
-            ok = ok & F.col(f"m{k}").isNotNull() & (F.length(gap) > 0) \
-                & (F.regexp_replace(gap, BLANK_RE, "") == "")
-        end = F.col("end") if n == 1 else F.col(f"e{n - 1}")
-        grams.append(F.when(ok, F.struct(F.lit(n).alias("n"), end.alias("end"), surface.alias("name"),
-                                          F.lower(F.concat_ws(" ", *words)).alias("phrase"))))
-    # one window pass and one generator for all widths (not one scan per width)
-    g = t.select(id_col, F.col("idx").alias("tok"), "start",
-                 F.explode(F.filter(F.array(*grams), lambda x: x.isNotNull())).alias("g"))
-    return g.select(id_col, "tok", "g.n", "start", "g.end", "g.name", "g.phrase")
-
-
-def _settle(starts: pd.Series, ends: pd.Series) -> pd.Series:
-    """Per text, in the order given: whether a span overlaps no span kept before it."""
-    out = []
-    for ss, es in zip(starts, ends, strict=True):
-        kept_s, kept_e, keep = [], [], []
-        for s, e in zip(ss, es, strict=True):
-            i = bisect_left(kept_s, s)
-            same = i < len(kept_s) and kept_s[i] == s and kept_e[i] == e
-            free = (i == 0 or kept_e[i - 1] <= s) and (i == len(kept_s) or kept_s[i] >= e)
-            if free and not same:
-                kept_s.insert(i, s)
-                kept_e.insert(i, e)
-            keep.append(free or same)
-        out.append(keep)
-    return pd.Series(out, dtype=object)
-
-
-_settle_udf = F.pandas_udf(_settle, T.ArrayType(T.BooleanType()))
+def is_word(char: str) -> bool:
+    """Letters, digits and combining marks; any other character may stand beside a mention."""
+    return char.isalnum() or unicodedata.category(char)[0] == "M"
+
+
+def normalised(text: str) -> str:
+    """Lower case character by character, runs of blanks and tabs as one blank."""
+    return _BLANKS.sub(" ", "".join(c.lower() for c in text))
+
+
+def _with_offsets(text: str) -> tuple[str, list[int] | None]:
+    """Normalised text and, unless they are the same, the place in ``text`` of each of its characters."""
+    low = text.lower()
+    if len(low) == len(text) and "\t" not in text and "  " not in text and "Σ" not in text:
+        return low, None
+    chars, at, i = [], [], 0
+    while i < len(text):
+        c, start = text[i], i
+        i += 1
+        if c in " \t":
+            while i < len(text) and text[i] in " \t":
+                i += 1
+            c = " "
+        for x in c.lower():
+            chars.append(x)
+            at.append(start)
+    at.append(len(text))
+    return "".join(chars), at
+
+
+class Phrases:
+    """Automaton over normalised phrases; its build follows the first use in a task's process."""
+
+    def __init__(self, entries: Iterable[tuple]):
+        self.entries = [(p, e) for e in entries if (p := normalised(e[0]).strip(" "))]
+
+    def __getstate__(self) -> dict:
+        return {"entries": self.entries}
+
+    @property
+    def automaton(self) -> ahocorasick.Automaton:
+        if "_automaton" not in self.__dict__:
+            by_phrase: dict[str, list] = {}
+            for phrase, entry in self.entries:
+                by_phrase.setdefault(phrase, []).append(entry)
+            self._automaton = ahocorasick.Automaton()
+            for phrase, found in by_phrase.items():
+                self._automaton.add_word(phrase, (phrase, found))
+            self._automaton.make_automaton()
+        return self._automaton
+
+    def find(self, text: str) -> Iterator[tuple[int, int, str, list]]:
+        """(start, end, phrase, entries) of every phrase in ``text``, in code points.
+
+        A phrase that begins or ends with a letter or digit does so at a word's edge.
+        """
+        if not self.entries:
+            return
+        low, at = _with_offsets(text)
+        for last, (phrase, entries) in self.automaton.iter(low):
+            start, end = last + 1 - len(phrase), last + 1
+            if start and is_word(low[start]) and is_word(low[start - 1]):
+                continue
+            if end < len(low) and is_word(low[last]) and is_word(low[end]):
+                continue
+            if at is not None:
+                # the end of a run of blanks or of a character that became several
+                start, end = at[start], at[end] if at[end] > at[last] else at[last] + 1
+            yield start, end, phrase, entries
+
+
+def settle(starts: Iterable[int], ends: Iterable[int]) -> list[bool]:
+    """In the order given: whether a span overlaps no span kept before it (the same span again stays)."""
+    kept_s, kept_e, keep = [], [], []
+    for s, e in zip(starts, ends, strict=True):
+        i = bisect_left(kept_s, s)
+        same = i < len(kept_s) and kept_s[i] == s and kept_e[i] == e
+        free = (i == 0 or kept_e[i - 1] <= s) and (i == len(kept_s) or kept_s[i] >= e)
+        if free and not same:
+            kept_s.insert(i, s)
+            kept_e.insert(i, e)
+        keep.append(free or same)
+    return keep
+
+
+_settle_udf = F.pandas_udf(lambda s, e: pd.Series([settle(a, b) for a, b in zip(s, e, strict=True)], dtype=object),
+                           T.ArrayType(T.BooleanType()))
 
 
 def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:
@@ -132,36 +144,73 @@ def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:
         id_col, *[F.col(f"_m._c.{x}").alias(x) for x in cands.columns if x != id_col])
 
 
+def _scan(phrases: Phrases, money: bool, resolve: bool, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mentions of every text of (id, text) batches."""
+    for b in batches:
+        rows: list[list] = [[] for _ in range(7)]
+        for i, text in enumerate(b.column(1).to_pylist()):
+            if not text:
+                continue
+            found = [(s, e, phrase, label, kind) for s, e, phrase, entries in phrases.find(text) for _, label, kind in entries]
+            if money:
+                found += [(m.start(), m.end(), m.group().lower(), "MONEY", "financial_instrument") for m in _MONEY.finditer(text)]
+            if resolve and len(found) > 1:
+                found.sort(key=lambda r: (r[0] - r[1], r[0]))
+                keep = settle([r[0] for r in found], [r[1] for r in found])
+                found = [r for r, k in zip(found, keep, strict=True) if k]
+            for s, e, phrase, label, kind in found:
+                for column, x in zip(rows, (i, s, e, text[s:e], phrase, label, kind), strict=True):
+                    column.append(x)
+        ids = b.column(0).take(pa.array(rows[0], pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, f.type) for x, f in zip(rows[1:], list(schema)[1:], strict=True)]], schema=pa.schema([
+            pa.field(schema[0].name, ids.type), *list(schema)[1:]]))
+
+
+def phrase_blocks(spark, rows: DataFrame, max_bytes: int) -> Iterator:
+    """Broadcasts of ``Phrases``, each over at most about ``max_bytes`` of the rows (phrase first)."""
+    size = rows.agg(F.sum(F.octet_length("phrase") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // max_bytes))
+    for b in range(blocks):
+        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b)
+        yield spark.sparkContext.broadcast(Phrases(tuple(r) for r in some.collect()))
+
+
 def tag_mentions(articles: DataFrame, gazetteer: DataFrame, id_col: str = "article_id",
-                 text_col: str = "content", n_max: int | None = None, money: bool = False) -> DataFrame:
+                 text_col: str = "content", money: bool = False, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
     """Mentions: (id, start, end, name, phrase, label, type, confidence).
 
-    Offsets are code points.  Labels outside the type map are dropped (the
-    reference keeps only mapped labels).  ``money``: currency amounts are
-    mentions as well and compete with the phrases that they overlap.
+    ``gazetteer``: (phrase, label).  Phrases may hold digits and marks (``AT&T``,
+    ``3M``, ``Coca-Cola Co.``); case does not count, nor how many blanks or tabs
+    stand between words.  A mention begins and ends at a word's edge: a letter,
+    digit or combining mark is not cut off from one beside it.  Offsets are code
+    points.  Labels outside the type map are dropped (the reference keeps only
+    mapped labels).  ``money``: currency amounts are mentions as well and compete
+    with the phrases that they overlap.  Null and empty texts have no mentions.
+
+    Phrases of at most ``phrase_bytes`` go to every task as one automaton; a
+    larger gazetteer is matched block by block, each with a pass over the texts,
+    and overlaps are resolved on the spans of all blocks.
     """
     spark = articles.sparkSession
-    n_max = n_max or max_phrase_words(gazetteer)
-    toks = regex_spans(articles, id_col, text_col, WORD_RE)
-    gaz = gazetteer.select(F.lower(F.trim("phrase")).alias("phrase"), "label") \
-                   .join(F.broadcast(label_map(spark)), "label")
-    firsts = gaz.select(F.split("phrase", " +")[0].alias("word"))
-    grams = ngrams(toks, id_col, n_max, firsts)
-    cands = grams.join(gaz, "phrase").select(id_col, "start", "end", "name", "phrase", "label", "type",
-                                             F.lit(BASE_CONFIDENCE).alias("confidence"))
-    if money:
-        cands = cands.unionByName(money_mentions(articles, id_col, text_col))
-    return resolve_overlaps(cands, id_col)
-
-
-def money_mentions(articles: DataFrame, id_col: str = "article_id",
-                   text_col: str = "content") -> DataFrame:
-    """Currency amounts as MONEY mentions (same columns as ``tag_mentions``)."""
-    m = regex_spans(articles, id_col, text_col, MONEY_RE)
-    return m.select(id_col, "start", "end", F.col("match").alias("name"),
-                    F.lower("match").alias("phrase"), F.lit("MONEY").alias("label"),
-                    F.lit("financial_instrument").alias("type"),
-                    F.lit(BASE_CONFIDENCE).alias("confidence"))
+    known = gazetteer.select("phrase", "label").where("phrase is not null").distinct() \
+        .join(F.broadcast(label_map(spark)), "label").select("phrase", "label", "type")
+    texts = articles.select(id_col, text_col)
+    out = T.StructType([texts.schema[0], *(T.StructField(n, t) for n, t in (
+        ("start", T.IntegerType()), ("end", T.IntegerType()), ("name", T.StringType()), ("phrase", T.StringType()),
+        ("label", T.StringType()), ("type", T.StringType())))])
+    fields = pa.schema([pa.field(id_col, pa.null()), ("start", pa.int32()), ("end", pa.int32()), *[(n, pa.string()) for n in ("name", "phrase", "label", "type")]])
+    blocks = list(phrase_blocks(spark, known, phrase_bytes))
+
+    def one_pass(shared, with_money: bool) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _scan(shared.value, with_money, len(blocks) == 1, fields, batches)
+
+        return texts.mapInArrow(scan, out)
+
+    found = reduce(DataFrame.unionByName, [one_pass(shared, money and i == 0) for i, shared in enumerate(blocks)])
+    if len(blocks) > 1:
+        found = resolve_overlaps(found, id_col)
+    return found.withColumn("confidence", F.lit(BASE_CONFIDENCE))
 
 
 def mentions_to_entities(mentions: DataFrame, id_col: str = "article_id") -> DataFrame:

@@ -16,10 +16,12 @@ from newsgraph.sources.tables import Tables
 ACTION_BY_FLAG = {"A": "supplies", "N": "delivers_to", "R": "recalls_from"}
 GAZETTEER_LABELS = ["ORG", "PERSON", "GPE", "LOC", "EVENT", "MONEY", "PRODUCT"]
 GAZETTEER_PHRASES = [("apache license", "PRODUCT"), ("general public license", "PRODUCT"),
-                     ("unmapped phrase", "NORP")]
+                     ("the&&&", "ORG"), ("mail2.example.com", "ORG"), ("unmapped phrase", "NORP")]
 ORDER_PHRASES = [("apache license", "PRODUCT"), ("license terms office", "ORG"), ("office trade relations", "ORG"),
                  ("trade relations", "EVENT"), ("general public license", "PRODUCT"), ("with profit", "EVENT"),
-                 ("million pounds sterling", "GPE"), ("unmapped phrase", "NORP")]
+                 ("million pounds sterling", "GPE"), ("unmapped phrase", "NORP"),
+                 ("acme inc", "PRODUCT"), ("Acme Inc.", "ORG"), ("at&t", "ORG"), ("3m corp", "ORG"), ("3m", "ORG"), ("coca-cola co.", "ORG"),
+                 ("s&p 500", "PRODUCT"), ("beta", "GPE"), ("yahoo!", "ORG"), ("smith", "PERSON"), ("j. doe", "PERSON"), ("u.s. steel", "ORG")]
 LEXICON = [("is", "IS", 0.0), ("was", "WAS", 0.0), ("are", "ARE", 0.0),
            ("from", "COMES_FROM", 0.1), ("with", "WORKS_WITH", 0.3), ("by", "AFFECTED_BY", -0.2)]
 IMPACT_SUMMARY_FMT = "Order %d changed hands. Its customer is affected."
@@ -374,10 +376,10 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def order_texts(t: Tables) -> DataFrame:
-    """One text per order: chained overlaps, money amounts, an unmapped label, verbs inside mentions (2.14)."""
+    """One text per order: chained overlaps, money amounts, an unmapped label, verbs inside mentions, names with digits and marks (2.14)."""
     o = t.orders.select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("string").alias("p"))
     c = t.customer.select("c_custkey", "c_mktsegment")
-    kind = F.col("o_orderkey") % 4
+    kind = F.col("o_orderkey") % 6
     text = (F.when(kind == 0, F.concat(F.lit("Apache License Terms Office Trade Relations was paid $"), "p",
                                        F.lit(" million by "), "c_mktsegment",
                                        F.lit(" buyers. An Unmapped Phrase is from General Public License holders!")))
@@ -385,6 +387,10 @@ def order_texts(t: Tables) -> DataFrame:
                                       "p", F.lit(" million pounds sterling.")))
             .when(kind == 2, F.concat("c_mktsegment", F.lit(" demand is with profit. £"), "p",
                                       F.lit(",000 was from Apache\tLicense? Yes, by Trade Relations with profit")))
+            .when(kind == 3, F.concat(F.lit("Acme Inc. acquired AT&T from 3M Corp. with $4.2 billion in Beta. S&P 500 was by Coca-Cola Co. "),
+                                      "c_mktsegment", F.lit(" is from Beta")))
+            .when(kind == 4, F.concat(F.lit("Dr. Smith is with J. Doe from U.S. Steel. ACME  Inc. was by 3Mx and AT&Tx or "), "c_mktsegment",
+                                      F.lit(" and 3m? Yahoo! is with AT&T. Beta Inc. Acme inc was with (3M)")))
             .otherwise(F.lit("Unmapped phrase was nothing.")))
     return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
@@ -395,6 +401,14 @@ def order_gazetteer(t: Tables) -> DataFrame:
     return seg.unionByName(t.spark.createDataFrame(ORDER_PHRASES, "phrase string, label string"))
 
 
+def crawled_pages(t: Tables) -> DataFrame:
+    """Pages, some with a URL that is missing or none of http(s) (2.8)."""
+    kind = F.pmod("page_id", F.lit(23))
+    url = F.when(kind == 3, F.lit(None)).when(kind == 7, F.concat(F.lit("ftp://files.example.org/"), F.col("page_id").cast("string"))) \
+           .when(kind == 11, F.lit("no address")).when(kind == 13, F.lit("https:///nohost")).otherwise(F.col("url"))
+    return t.pages.withColumn("url", url)
+
+
 # ---------------------------------------------------------------- users
 
 def interactions(t: Tables) -> DataFrame:

@@ -407,20 +407,26 @@ for _pat in [r"(?is)<head[^>]*>.*?</head>", r"(?is)<script[^>]*>.*?</script>",
 _TEXT = _collapse(_unescape(f"regexp_replace({_TEXT}, '<[^>]*>', ' ', 'g')"))
 _TITLE = _collapse(_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
 
+CTE["crawled"] = """
+SELECT page_id, html, CASE page_id % 23 WHEN 3 THEN NULL WHEN 7 THEN 'ftp://files.example.org/' || page_id
+         WHEN 11 THEN 'no address' WHEN 13 THEN 'https:///nohost' ELSE url END AS url
+FROM pages"""
+_ORDER += ["crawled", "page_art"]
+
 CTE["page_art"] = f"""
 SELECT page_id, url_norm, sha256(url_norm) AS article_id, {_TITLE} AS title,
        {_TEXT} AS content, regexp_extract(url_norm, '^https?://([^/:?#]+)', 1) AS source
-FROM (SELECT *, {_NORM_URL} AS url_norm FROM pages)"""
+FROM (SELECT *, {_NORM_URL} AS url_norm FROM crawled)"""
 
 SQL["page_articles"] = with_ctes("""
 SELECT page_id, article_id, title, source, CAST(length(content) AS BIGINT) AS content_chars,
        md5(content) AS content_md5
-FROM page_art WHERE url_norm IS NOT NULL""", "page_art")
+FROM page_art WHERE url_norm IS NOT NULL""", "crawled", "page_art")
 
-SQL["article_ids"] = with_ctes("SELECT page_id, url_norm AS url, article_id FROM page_art", "page_art")
+SQL["article_ids"] = with_ctes("SELECT page_id, url_norm AS url, article_id FROM page_art", "crawled", "page_art")
 
 SQL["page_quarantine"] = with_ctes("""
-SELECT p.page_id, p.url, 'url' AS reason FROM pages p JOIN page_art a ON a.page_id = p.page_id WHERE a.url_norm IS NULL""", "page_art")
+SELECT p.page_id, p.url, 'url' AS reason FROM crawled p JOIN page_art a ON a.page_id = p.page_id WHERE a.url_norm IS NULL""", "crawled", "page_art")
 
 # batch order: file 1, file 3, then files 2, 4 and 5; a copy within 7 days of a published one goes
 SQL["stream_dedup"] = """
@@ -538,7 +544,7 @@ SELECT phrase, {_LABELS}[length(phrase) % 7 + 1] AS label
 FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS phrase FROM benchmark)
 WHERE length(phrase) >= 6
 UNION ALL SELECT 'apache license', 'PRODUCT' UNION ALL SELECT 'general public license', 'PRODUCT'
-UNION ALL SELECT 'unmapped phrase', 'NORP'"""
+UNION ALL SELECT 'the&&&', 'ORG' UNION ALL SELECT 'mail2.example.com', 'ORG' UNION ALL SELECT 'unmapped phrase', 'NORP'"""
 
 CTE["labelmap"] = """
 SELECT * FROM (VALUES ('ORG', 'company'), ('PERSON', 'person'), ('GPE', 'location'), ('LOC', 'location'),
@@ -553,30 +559,27 @@ FROM (SELECT doc_id, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS pre, unnest(ps[2:
       FROM (SELECT doc_id, regexp_extract_all(text, '{re}') AS ms, string_split_regex(text, '{re}') AS ps
             FROM documents))"""
 
-CTE["tok"] = _SPANS.format(re=r"\p{L}+")
+CTE["tok"] = _SPANS.format(re=r"[\p{L}\p{N}\p{M}]+")
 CTE["money_tok"] = _SPANS.format(re=_MONEY_RE)
 
-_BLANK = "(length({x}) > 0 AND regexp_replace({x}, '[ \\t]', '', 'g') = '')"
-CTE["tw"] = """
-SELECT *, end_ - length(tok) AS start,
-       lead(tok, 1) OVER w AS m1, lead(tok, 2) OVER w AS m2, lead(end_, 1) OVER w AS e1,
-       lead(end_, 2) OVER w AS e2, post AS p1, lead(post, 1) OVER w AS p2
-FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
-
-CTE["ng"] = f"""
-SELECT doc_id, i AS tk, 1 AS n, start, end_ AS e, tok AS name, lower(tok) AS phrase FROM tw
-UNION ALL
-SELECT doc_id, i, 2, start, e1, tok || p1 || m1, lower(tok || ' ' || m1) FROM tw
-WHERE m1 IS NOT NULL AND {_BLANK.format(x='p1')}
-UNION ALL
-SELECT doc_id, i, 3, start, e2, tok || p1 || m1 || p2 || m2, lower(tok || ' ' || m1 || ' ' || m2) FROM tw
-WHERE m2 IS NOT NULL AND {_BLANK.format(x='p1')} AND {_BLANK.format(x='p2')}"""
-
-CTE["mcand"] = """
-SELECT ng.*, g.label, lm.type FROM ng JOIN gaz g ON g.phrase = ng.phrase JOIN labelmap lm ON lm.label = g.label"""
+# each phrase is searched in each text that holds it, blanks and tabs in any number
+CTE["hit"] = r"""
+SELECT *, sum(length(pre) + length(m)) OVER (PARTITION BY doc_id, phrase ORDER BY i) AS end_
+FROM (SELECT doc_id, text, phrase, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS pre, unnest(generate_series(0, len(ms) - 1)) AS i
+      FROM (SELECT doc_id, text, phrase, regexp_extract_all(text, re) AS ms, string_split_regex(text, re) AS ps
+            FROM (SELECT doc_id, text, phrase, '(?i)' || replace(regexp_escape(phrase), '\ ', '[ \t]+') AS re
+                  FROM (SELECT *, regexp_replace(lower(text), '[ \t]+', ' ', 'g') AS low FROM documents)
+                       JOIN (SELECT DISTINCT lower(phrase) AS phrase FROM gaz) ON contains(low, phrase))))"""
+
+_WORD = r"regexp_full_match({x}, '[\p{{L}}\p{{N}}\p{{M}}]')"
+CTE["mcand"] = rf"""
+SELECT doc_id, end_ - length(m) AS start, end_, m AS name, hit.phrase, g.label, lm.type
+FROM hit JOIN gaz g ON lower(g.phrase) = hit.phrase JOIN labelmap lm ON lm.label = g.label
+WHERE NOT ({_WORD.format(x="substr(hit.phrase, 1, 1)")} AND end_ > length(m) AND {_WORD.format(x="substr(text, CAST(end_ - length(m) AS INT), 1)")})
+  AND NOT ({_WORD.format(x="right(hit.phrase, 1)")} AND {_WORD.format(x="substr(text, CAST(end_ + 1 AS INT), 1)")})"""
 
 CTE["mall"] = """
-SELECT doc_id, start, e AS "end", name, phrase, label, type, CAST(0.75 AS DOUBLE) AS confidence FROM mcand
+SELECT doc_id, start, end_ AS "end", name, phrase, label, type, CAST(0.75 AS DOUBLE) AS confidence FROM mcand
 UNION ALL
 SELECT doc_id, end_ - length(tok), end_, tok, lower(tok), 'MONEY', 'financial_instrument', 0.75 FROM money_tok"""
 
@@ -590,8 +593,8 @@ FROM (SELECT doc_id, list([{'s': start, 'e': "end"}] ORDER BY start - "end", sta
 CTE["mentions"] = """
 SELECT m.* FROM mall m JOIN mkept ON mkept.doc_id = m.doc_id AND mkept.k.s = m.start AND mkept.k.e = m."end\""""
 
-_ORDER += ["gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mall", "mkept", "mentions"]
-_MENTION_CTES = ("gaz", "labelmap", "tok", "money_tok", "tw", "ng", "mcand", "mall", "mkept", "mentions")
+_ORDER += ["gaz", "labelmap", "tok", "money_tok", "hit", "mcand", "mall", "mkept", "mentions"]
+_MENTION_CTES = ("gaz", "labelmap", "money_tok", "hit", "mcand", "mall", "mkept", "mentions")
 
 _BODY = {}
 _BODY["mentions"] = """
@@ -608,41 +611,66 @@ FROM (SELECT doc_id, phrase, type, arg_min(name, start) AS name, count(*) AS men
              min(start) AS first_start, max(confidence) AS confidence
       FROM mentions GROUP BY doc_id, phrase, type)""", *_MENTION_CTES)
 
-CTE["sent"] = _SPANS.format(re="[^.!?]+[.!?]*")
+# marks with the 40 characters before and the text after them; sentences lie between those that end one
+CTE["mark"] = _SPANS.format(re="[.!?]+")
+CTE["stop"] = r"""
+SELECT x.doc_id, x.end_
+FROM (SELECT m.doc_id, m.tok, m.end_, any_value(text) AS text, bool_or(k.s <= m.end_ - length(m.tok) AND m.end_ < k.e) AS inside,
+             coalesce(bool_or(k.s <= m.end_ - length(m.tok) AND m.end_ = k.e), false) AS at_end,
+             right(left(any_value(text), CAST(m.end_ - length(m.tok) AS INT)), 40) AS before, substr(any_value(text), CAST(m.end_ + 1 AS INT)) AS after
+      FROM mark m JOIN documents d ON d.doc_id = m.doc_id LEFT JOIN mkept ON mkept.doc_id = m.doc_id GROUP BY m.doc_id, m.i, m.tok, m.end_) x
+WHERE NOT coalesce(inside, false) AND CASE
+  WHEN at_end THEN regexp_matches(after, '^\s*(\p{Lu}|$)')
+  WHEN tok <> '.' OR after = '' THEN true
+  WHEN regexp_matches(before, '[\p{L}\p{N}]$') AND regexp_matches(after, '^[\p{L}\p{N}]') THEN false
+  WHEN regexp_matches(before, '(?i)(^|[^\p{L}\p{N}.])(mr|mrs|ms|dr|prof|st|gen|sen|rep|gov|vs|e\.g|i\.e)$') THEN false
+  WHEN regexp_matches(before, '(^|[^\p{L}\p{N}.])\p{Lu}$') THEN false
+  WHEN regexp_matches(before, '(?i)(^|[^\p{L}\p{N}.])(inc|corp|co|ltd|llc|plc|bros|cie|jr|sr|u\.s|u\.k|approx|etc)$') THEN regexp_matches(after, '^\s*(\p{Lu}|$)')
+  ELSE true END"""
+CTE["sent"] = """
+SELECT doc_id, start, end_, trim(substr(text, CAST(start + 1 AS INT), CAST(end_ - start AS INT))) AS tok
+FROM (SELECT doc_id, coalesce(lag(end_) OVER (PARTITION BY doc_id ORDER BY end_), 0) AS start, end_
+      FROM (SELECT doc_id, end_ FROM stop UNION SELECT doc_id, length(text) FROM documents WHERE length(text) > 0)) JOIN documents USING (doc_id)"""
 CTE["verbs"] = """
 SELECT doc_id, end_ - length(tok) AS at_, action, sentiment
 FROM tok JOIN (VALUES ('is', 'IS', 0.0), ('was', 'WAS', 0.0), ('are', 'ARE', 0.0), ('from', 'COMES_FROM', 0.1),
                       ('with', 'WORKS_WITH', 0.3), ('by', 'AFFECTED_BY', -0.2)) x(verb, action, sentiment) ON lower(tok) = verb"""
-_ORDER += ["sent", "verbs"]
+_ORDER += ["mark", "stop", "sent", "verbs"]
 
 _BODY["lexicon_relations"] = """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at_) - 1 AS BIGINT) AS pos, subject_name, action,
        object_name, CAST(sentiment AS DOUBLE) AS sentiment, CAST(0.75 AS DOUBLE) AS confidence, reasoning
 FROM (SELECT v.*, s.name AS subject_name, s.start AS s_start, o.name AS object_name, o.start AS o_start,
-             n.start AS n_start, n.end_ AS n_end, trim(n.tok) AS reasoning
+             n.start AS n_start, n.end_ AS n_end, n.tok AS reasoning
       FROM verbs v ASOF JOIN mentions s ON s.doc_id = v.doc_id AND v.at_ >= s."end"
            ASOF JOIN mentions o ON o.doc_id = v.doc_id AND v.at_ < o.start
-           ASOF JOIN (SELECT *, end_ - length(tok) AS start FROM sent) n ON n.doc_id = v.doc_id AND v.at_ >= n.start)
+           ASOF JOIN sent n ON n.doc_id = v.doc_id AND v.at_ >= n.start)
 WHERE s_start >= n_start AND o_start < n_end"""
-SQL["lexicon_relations"] = with_ctes(_BODY["lexicon_relations"], *_MENTION_CTES, "sent", "verbs")
+SQL["lexicon_relations"] = with_ctes(_BODY["lexicon_relations"], *_MENTION_CTES, "tok", "mark", "stop", "sent", "verbs")
 
 # the same over texts made of orders, with their own gazetteer
 _ORDER_TEXTS = {"documents": """
-SELECT o_orderkey AS doc_id, CASE o_orderkey % 4
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 6
          WHEN 0 THEN 'Apache License Terms Office Trade Relations was paid $' || p || ' million by ' || c_mktsegment
                      || ' buyers. An Unmapped Phrase is from General Public License holders!'
          WHEN 1 THEN 'Apache License Terms Office deals with profit from General Public License, worth €' || p || ' million pounds sterling.'
          WHEN 2 THEN c_mktsegment || ' demand is with profit. £' || p || ',000 was from Apache' || chr(9)
                      || 'License? Yes, by Trade Relations with profit'
+         WHEN 3 THEN 'Acme Inc. acquired AT&T from 3M Corp. with $4.2 billion in Beta. S&P 500 was by Coca-Cola Co. '
+                     || c_mktsegment || ' is from Beta'
+         WHEN 4 THEN 'Dr. Smith is with J. Doe from U.S. Steel. ACME  Inc. was by 3Mx and AT&Tx or ' || c_mktsegment
+                     || ' and 3m? Yahoo! is with AT&T. Beta Inc. Acme inc was with (3M)'
          ELSE 'Unmapped phrase was nothing.' END AS text
 FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS p FROM orders) JOIN customer ON c_custkey = o_custkey""",
                 "gaz": """
 SELECT DISTINCT lower(c_mktsegment) AS phrase, 'ORG' AS label FROM customer
 UNION ALL SELECT * FROM (VALUES ('apache license', 'PRODUCT'), ('license terms office', 'ORG'), ('office trade relations', 'ORG'),
   ('trade relations', 'EVENT'), ('general public license', 'PRODUCT'), ('with profit', 'EVENT'),
-  ('million pounds sterling', 'GPE'), ('unmapped phrase', 'NORP'))"""}
+  ('million pounds sterling', 'GPE'), ('unmapped phrase', 'NORP'), ('acme inc', 'PRODUCT'), ('acme inc.', 'ORG'), ('at&t', 'ORG'),
+  ('3m corp', 'ORG'), ('3m', 'ORG'), ('coca-cola co.', 'ORG'), ('s&p 500', 'PRODUCT'), ('beta', 'GPE'), ('yahoo!', 'ORG'),
+  ('smith', 'PERSON'), ('j. doe', 'PERSON'), ('u.s. steel', 'ORG'))"""}
 _ORDER.insert(0, "documents")
-for _name, _of, _more in (("order_mentions", "mentions", ()), ("order_relations", "lexicon_relations", ("sent", "verbs"))):
+for _name, _of, _more in (("order_mentions", "mentions", ()), ("order_relations", "lexicon_relations", ("tok", "mark", "stop", "sent", "verbs"))):
     SQL[_name] = with_ctes(_BODY[_of], "documents", *_MENTION_CTES, *_more, **_ORDER_TEXTS)
 
 SQL["impact_rollup"] = with_ctes("""
@@ -872,3 +900,14 @@ SELECT CAST(epoch(time_bucket(INTERVAL 15 MINUTE, ts)) AS BIGINT) AS window_star
 FROM events GROUP BY 1, 2"""
 
 SQL["stream_graph_events"] = SQL["graph_events_flat"]
+
+# the same tables, built batch by batch
+for _name in ("graph_nodes", "graph_edges"):
+    SQL[f"{_name}_incremental"] = SQL[_name]
+SQL["pipeline_windowed_stream"] = SQL["pipeline_windowed"]
+SQL["entities_validated_batches"] = f"""
+SELECT *, CAST(min(CAST(article_id AS BIGINT) % 3) OVER (PARTITION BY name, type) AS BIGINT) AS looked_up_in
+FROM ({SQL["entities_validated"]})"""
+SQL["responses_generated"] = f"""
+SELECT article_id, stage, messages_md5 AS content, n_messages AS tokens_used FROM ({SQL["entity_requests"]})
+UNION ALL SELECT article_id, stage, messages_md5, n_messages FROM ({SQL["causal_requests"]})"""

@@ -18,7 +18,7 @@ from newsgraph.functions.maps import map_text
 from newsgraph.operators import factcheck as fc
 from newsgraph.operators import filters, parse
 from newsgraph.plans import fixtures as fx
-from newsgraph.session import configure
+from newsgraph.session import configure, cut_lineage
 from newsgraph.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,27 @@ def entities_validated(spark, sf_dir):
                     map_text(F.col("metadata")).alias("metadata"))
 
 
+@query
+def entities_validated_batches(spark, sf_dir):
+    """The fact check in three batches of articles, the last one replayed, with a verdict store between them:
+    each batch looks up the keys that no earlier one did."""
+    from newsgraph.operators.factcheck import apply_verdicts, stored_verdicts, top_keys, verdict_state
+    t = _t(spark, sf_dir)
+    kept = cut_lineage(kept_entities(t))
+    company, wiki = cut_lineage(top_keys(fx.company_kb(t), "kb_id", "name")), cut_lineage(top_keys(fx.wiki_kb(t), "wikidata_id", "label"))
+    store, out, looked = verdict_state(spark, _scratch(spark, "verdicts"), 16), [], []
+    for n in (0, 1, 2, 2):
+        some = kept.where(F.col("article_id").cast("bigint") % 3 == n)
+        v, new = stored_verdicts(store, n, "kb-1", some, company, wiki)
+        out = [*out[:n], cut_lineage(apply_verdicts(some, v))]
+        looked = [*looked[:n], new.withColumn("batch", F.lit(n))]
+    checked = out[0].unionByName(out[1]).unionByName(out[2])
+    first = looked[0].unionByName(looked[1]).unionByName(looked[2])
+    return checked.join(first, ["name", "type"]).select(
+        "article_id", F.col("pos").cast("bigint").alias("pos"), "name", "type", _r6("confidence"), "validated", "reason",
+        map_text(F.col("metadata")).alias("metadata"), F.col("batch").cast("bigint").alias("looked_up_in"))
+
+
 def flags_table(t: Tables) -> DataFrame:
     f = fc.flags(_checked(t))
     return f.select("article_id",
@@ -266,7 +287,7 @@ def articles_quarantine(spark, sf_dir):
 @query
 def page_articles(spark, sf_dir):
     from newsgraph.sources.ingest import pages_to_articles
-    a = pages_to_articles(_t(spark, sf_dir).pages)
+    a = pages_to_articles(fx.crawled_pages(_t(spark, sf_dir)))
     return a.select("page_id", "article_id", "title", "source",
                     F.char_length("content").cast("bigint").alias("content_chars"),
                     F.md5("content").alias("content_md5"))
@@ -276,7 +297,7 @@ def page_articles(spark, sf_dir):
 def article_ids(spark, sf_dir):
     from newsgraph.sources.ingest import article_id
     from newsgraph.sources.articles import normalize_url
-    p = _t(spark, sf_dir).pages
+    p = fx.crawled_pages(_t(spark, sf_dir))
     return p.select("page_id", normalize_url(F.col("url")).alias("url"),
                     article_id(F.col("url")).alias("article_id"))
 
@@ -284,7 +305,7 @@ def article_ids(spark, sf_dir):
 @query
 def page_quarantine(spark, sf_dir):
     from newsgraph.sources.ingest import page_quarantine as bad
-    return bad(_t(spark, sf_dir).pages)
+    return bad(fx.crawled_pages(_t(spark, sf_dir)))
 
 
 @query
@@ -307,7 +328,8 @@ def stream_dedup(spark, sf_dir):
     batches = [first, s.filter("file_no = 3"), s.filter("file_no = 2").unionByName(late[0]).unionByName(late[1])]
     seen, out = _scratch(spark, "seen"), []
     for n, batch in [*enumerate(batches), (2, batches[2])]:
-        kept = dedup_against_seen(spark, batch, seen, n, Config())
+        # a later batch may remove the state that this one read
+        kept = cut_lineage(dedup_against_seen(spark, batch, seen, n, Config()).select("article_id", "file_no", "fetch_timestamp"))
         out = [*out[:n], kept]
     done = out[0].unionByName(out[1]).unionByName(out[2])
     return done.select("article_id", F.col("file_no").cast("bigint").alias("file_no"),
@@ -326,7 +348,8 @@ def dedup_articles(spark, sf_dir):
 # ------------------------------------------------------------------ requests / responses
 
 def _req_cols(df: DataFrame) -> DataFrame:
-    return df.select("article_id", "stage", F.size("messages").cast("bigint").alias("n_messages"),
+    from newsgraph.operators.prompts import with_messages
+    return with_messages(df).select("article_id", "stage", F.size("messages").cast("bigint").alias("n_messages"),
                      F.md5(F.element_at("messages", -1)["content"]).alias("user_md5"),
                      F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["content"])),
                                         "\n\n")).alias("messages_md5"),
@@ -373,6 +396,27 @@ def responses_attached(spark, sf_dir):
                     F.coalesce("tokens_used", F.lit(0)).cast("bigint").alias("tokens_used"))
 
 
+def _digest_model(batch):
+    """Stand-in model: answers with the digest of the chat that it was given."""
+    import hashlib
+
+    import pandas as pd
+    chats = ["\n\n".join(f"{m['role']}|{m['content']}" for m in chat) for chat in batch["messages"]]
+    return pd.DataFrame({"article_id": batch["article_id"], "stage": batch["stage"],
+                         "content": [hashlib.md5(c.encode()).hexdigest() for c in chats],
+                         "tokens_used": [len(chat) for chat in batch["messages"]], "error": None})
+
+
+@query
+def responses_generated(spark, sf_dir):
+    """Entity and causal requests through the model hook, with a model that returns the digest of its chat."""
+    from newsgraph.operators import prompts as pr
+    from newsgraph.operators.responses import generate
+    t = _t(spark, sf_dir)
+    reqs = pr.entity_requests(fx.doc_articles(t)).unionByName(pr.causal_requests(fx.order_articles(t), kept_entities(t)))
+    return generate(reqs, _digest_model).select("article_id", "stage", "content", F.col("tokens_used").cast("bigint").alias("tokens_used"))
+
+
 # ------------------------------------------------------------------ text: mentions
 
 def doc_mentions(t: Tables) -> DataFrame:
@@ -461,7 +505,10 @@ def graph_edges_table(t: Tables) -> DataFrame:
 @query
 def graph_nodes(spark, sf_dir):
     from newsgraph.operators.graph import node_view, upsert_nodes
-    n = node_view(upsert_nodes(_entity_ts(_t(spark, sf_dir)), ts_col="ts"))
+    return _node_cols(node_view(upsert_nodes(_entity_ts(_t(spark, sf_dir)), ts_col="ts")))
+
+
+def _node_cols(n: DataFrame) -> DataFrame:
     return n.select("key", "type", "name", _r6("confidence"), F.col("mentions").cast("bigint").alias("mentions"),
                     F.unix_seconds("first_seen").alias("first_seen"),
                     F.unix_seconds("last_seen").alias("last_seen"), "industry", "country")
@@ -470,11 +517,38 @@ def graph_nodes(spark, sf_dir):
 @query
 def graph_edges(spark, sf_dir):
     from newsgraph.operators.graph import edge_view
-    e = edge_view(graph_edges_table(_t(spark, sf_dir)))
+    return _edge_cols(edge_view(graph_edges_table(_t(spark, sf_dir))))
+
+
+def _edge_cols(e: DataFrame) -> DataFrame:
     return e.select("src", "action", "dst", F.col("n").cast("bigint").alias("n"), _r6("sentiment_sum"),
                     _r6("sentiment_avg"), _r6("confidence"), "first_article", "last_article")
 
 
+def _in_batches(rows: DataFrame, state, upsert_one) -> DataFrame:
+    """Three batches by article, the last one replayed; the snapshot afterwards."""
+    rows = cut_lineage(rows)
+    for n in (0, 1, 2, 2):
+        upsert_one(state, rows.where(F.col("article_id").cast("bigint") % 3 == n), n)
+    return state.read(2)
+
+
+@query
+def graph_nodes_incremental(spark, sf_dir):
+    """``graph_nodes`` from a stored snapshot that batches of articles are merged into."""
+    from newsgraph.operators.graph import node_state, node_view, upsert_nodes_incremental
+    state = node_state(spark, _scratch(spark, "nodes"), 16)
+    return _node_cols(node_view(_in_batches(_entity_ts(_t(spark, sf_dir)), state, upsert_nodes_incremental)))
+
+
+@query
+def graph_edges_incremental(spark, sf_dir):
+    """``graph_edges`` from a stored snapshot that batches of articles are merged into."""
+    from newsgraph.operators.graph import edge_state, edge_view, upsert_edges_incremental
+    state = edge_state(spark, _scratch(spark, "edges"), 16)
+    return _edge_cols(edge_view(_in_batches(fixture_relationships(_t(spark, sf_dir)), state, upsert_edges_incremental)))
+
+
 @query
 def node_stats(spark, sf_dir):
     from newsgraph.operators.graph import node_stats as stats
@@ -545,7 +619,7 @@ def graph_match(spark, sf_dir):
 
 @query
 def vector_topk(spark, sf_dir):
-    from newsgraph.operators.curate import vector_topk as topk
+    from newsgraph.operators.vectors import vector_topk as topk
     uv, av = _vectors(_t(spark, sf_dir))
     r = topk(uv.withColumnRenamed("user_id", "qid"), av.withColumnRenamed("article_id", "iid"), 10)
     return r.select(F.col("qid").alias("user_id"), F.col("iid").alias("article_id"), _r6("score"),
@@ -554,7 +628,7 @@ def vector_topk(spark, sf_dir):
 
 @query
 def vector_topk_lsh(spark, sf_dir):
-    from newsgraph.operators.curate import lsh_topk
+    from newsgraph.operators.vectors import lsh_topk
     uv, av = _vectors(_t(spark, sf_dir))
     r = lsh_topk(uv.withColumnRenamed("user_id", "qid"), av.withColumnRenamed("article_id", "iid"), 10)
     return r.select(F.col("qid").alias("user_id"), F.col("iid").alias("article_id"), _r6("score"),
@@ -663,6 +737,31 @@ def pipeline_windowed(spark, sf_dir):
                     F.col("flags").cast("bigint").alias("flags"), _r6("mean_severity"))
 
 
+@query
+def pipeline_windowed_stream(spark, sf_dir):
+    """``pipeline_windowed`` from a stream over the written graph events: closed windows in append mode;
+    the stream is restarted for a last event a year on, which closes them all."""
+    from newsgraph.streaming.stream import run_metrics
+    t = _t(spark, sf_dir)
+    src = fx.order_articles(t).select("article_id", "source", "published_date")
+    events = order_batch(t).events.join(src, "article_id").select("published_date", "source", "hallucination_flags", "impact_summary")
+    base = _scratch(spark, "metrics")
+    events.write.parquet(f"{base}/events")
+    shape = spark.read.parquet(f"{base}/events")
+    end = shape.agg((F.max("published_date") + F.expr("INTERVAL 1 YEAR")).alias("published_date")).select(
+        "published_date", F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("hallucination_flags"),
+        F.lit(None).cast(shape.schema["impact_summary"].dataType).alias("impact_summary"))
+    end = cut_lineage(end)
+    for last in (False, True):
+        if last:
+            end.write.mode("append").parquet(f"{base}/events")
+        stream = spark.readStream.schema(shape.schema).parquet(f"{base}/events")
+        for q in run_metrics(stream, f"{base}/closed", f"{base}/late", f"{base}/checkpoint", "published_date", "15 minutes"):
+            q.awaitTermination()
+    return spark.read.parquet(f"{base}/closed").select(
+        F.unix_seconds("window.start").alias("window_start"), "source", "articles", "flags", _r6("mean_severity"))
+
+
 @query
 def hallucination_rate(spark, sf_dir):
     from newsgraph.operators.metrics import hallucination_rate as rate
@@ -701,6 +800,7 @@ def stream_graph_events(spark, sf_dir):
     """Structured-path articles as JSON-lines files -> landing stream (availableNow, 8 files
     per micro-batch) -> foreachBatch pipeline -> JSON graph events, read back."""
     from newsgraph.operators.assemble import flatten_events
+    from newsgraph.operators.responses import ResponseStore
     from newsgraph.sources.ingest import read_landing
     from newsgraph.sources.sinks import GRAPH_EVENT_FIELDS, JSON_OPTS
     from newsgraph.streaming.stream import run_stream
@@ -714,8 +814,9 @@ def stream_graph_events(spark, sf_dir):
     arts.select(msg.alias("value"), "file_no").write.partitionBy("file_no").text(f"{base}/landing")
     stream = read_landing(spark, f"{base}/landing", max_files=8)
     # static inputs of a long-running stream are materialised once, not re-derived per batch; KBs as ranked keys
-    from newsgraph.session import cut_lineage
-    q = run_stream(stream, cut_lineage(fx.responses_fixture(t)), cut_lineage(fc.top_keys(fx.company_kb(t), "kb_id", "name")),
+    store = ResponseStore(spark, f"{base}/responses")
+    store.append(fx.responses_fixture(t))
+    q = run_stream(stream, store, cut_lineage(fc.top_keys(fx.company_kb(t), "kb_id", "name")),
                    cut_lineage(fc.top_keys(fx.wiki_kb(t), "wikidata_id", "label")), sink=f"{base}/events", checkpoint=f"{base}/checkpoint",
                    trigger={"availableNow": True}, as_of=F.lit(AS_OF).cast("timestamp"), encoded=True)
     q.awaitTermination()

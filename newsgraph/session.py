@@ -86,6 +86,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this session's own on whatever storage it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss).
 
@@ -99,3 +105,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+def cut_lineage_by(df: DataFrame, *cols: str) -> DataFrame:
+    """Checkpoint dealt out by ``cols``, for joins and groups on them that do not shuffle it again.
+
+    The frame that a checkpoint gives knows its partitioning only if the plan was
+    not adaptive, since an adaptive plan has none before it has run.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    ensure_checkpoint_dir(spark)
+    parts, was = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.repartition(parts, *cols).checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, was)

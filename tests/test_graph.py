@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from newsgraph.operators import graph as G
-from newsgraph.operators.curate import vector_topk
+from newsgraph.operators.vectors import vector_topk
 from newsgraph.sources.ingest import ttl_keep
 
 
@@ -33,6 +33,31 @@ def test_trace_matches_bfs(spark):
     assert got == exp
 
 
+def test_trace_with_hubs_and_blocks_of_seeds(spark):
+    """More than 64 seeds, several start nodes of one seed, hubs dealt over salts, both directions."""
+    rnd = random.Random(8)
+    edges = sorted({(f"n{rnd.randrange(90)}", f"n{rnd.randrange(90)}") for _ in range(150)} | {("n0", f"n{i}") for i in range(1, 60)})
+    e = spark.createDataFrame(edges, "src string, dst string")
+    starts = [(f"s{i}", f"n{i}") for i in range(90)] + [("s3", "n0"), ("s3", "n7"), ("s4", "elsewhere")]
+    seeds = spark.createDataFrame(starts, "seed string, node string")
+    both = edges + [(b, a) for a, b in edges]
+    for direction, es in (("forward", edges), ("both", both)):
+        exp = {}
+        for s, n in starts:
+            for m, d in bfs(es, n, 3).items():
+                exp[s, m] = min(d, exp.get((s, m), 9))
+        got = G.impact_trace(seeds, e, 3, direction, hub_edges=10).collect()
+        assert {(r.seed, r.node): r.depth for r in got} == exp and len(got) == len(exp)
+
+
+def test_trace_shuffles_its_edges_once(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i * 7 % 50}") for i in range(50)], "src string, dst string")
+    adjacency, hubs = G._adjacency(e, "forward", 10)
+    front = spark.createDataFrame([("n1", 0, 1)], "node string, salt int, bits long").hint("merge")
+    plan = front.join(adjacency, (front.node == adjacency.src) & (front.salt == adjacency.salt))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and hubs.isEmpty()
+
+
 def test_incremental_upsert_equals_rebuild(spark):
     rel = spark.createDataFrame(
         [("a1", "X", "buys", "Y", 0.5, 0.8), ("a2", "x", "BUYS", "y", -0.5, 0.9), ("a3", "Y", "sells", "Z", 0.1, 0.7)],

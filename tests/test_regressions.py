@@ -31,7 +31,7 @@ def test_dates(spark):
 
 
 def test_vectors_without_direction(spark):
-    from newsgraph.operators.curate import vector_topk
+    from newsgraph.operators.vectors import vector_topk
     items = [(i, [1.0, float(i)]) for i in range(5)] + [(7, [0.0, 0.0]), (8, [0.0, 0.0]), (9, None)]
     q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0]), (3, None)], "qid long, vec array<double>")
     got = vector_topk(q, spark.createDataFrame(items, "iid long, vec array<double>"), 3).collect()
@@ -64,24 +64,6 @@ def test_late_copies_and_missing_state(spark, tmp_path):
         dedup_against_seen(spark, batch(1), str(tmp_path / "other"), 3, Config())
 
 
-def test_lsh_finds_near_vectors_and_scores_them_exactly(spark):
-    import numpy as np
-    from newsgraph.operators.curate import lsh_topk, vector_topk
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(40, 32))
-    near = np.concatenate([base + rng.normal(size=base.shape) * 0.15 for _ in range(5)])
-    far = rng.normal(size=(600, 32))
-    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "qid long, vec array<double>")
-    rows = [(f"i{i}", v.tolist()) for i, v in enumerate(np.concatenate([near, far]))]
-    it = spark.createDataFrame(rows + [("null", None), ("zero", [0.0] * 32), ("nan", [float("nan")] * 32)],
-                               "iid string, vec array<double>")
-    exact = {(r.qid, r.iid): r.score for r in vector_topk(q, it, 5).collect()}
-    got = {(r.qid, r.iid): r.score for r in lsh_topk(q, it, 5).collect()}
-    assert len(exact) == 200 and len(set(exact) & set(got)) >= 0.9 * len(exact)
-    assert all(abs(got[k] - exact[k]) < 1e-6 for k in set(got) & set(exact))
-    assert lsh_topk(q.limit(0), it, 5).count() == 0
-
-
 def test_ranked_keys_search_like_the_kb(spark):
     from newsgraph.operators import factcheck as fc
     kb = spark.createDataFrame([(f"k{i}", f"Acme {i % 3} Corp", ["AC"], i) for i in range(12)],

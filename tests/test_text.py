@@ -1,11 +1,14 @@
 """Tagging, lexicon relations and impact roll-up against brute force in Python."""
+import random
 import re
+import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsgraph.operators.impact import rollup_impact
-from newsgraph.operators.relations import lexicon_relations
-from newsgraph.operators.tagging import regex_spans, tag_mentions
+from newsgraph.operators.relations import lexicon_relations, sentence_spans
+from newsgraph.operators.tagging import Phrases, normalised, tag_mentions
 
 TEXTS = [
     (1, "Apache License covers Zürich. apache  license, Zürich!"),
@@ -19,14 +22,6 @@ def docs(spark):
     return spark.createDataFrame(TEXTS, "doc_id long, text string")
 
 
-def test_regex_spans_match_python(spark):
-    got = regex_spans(docs(spark), "doc_id", "text", r"\p{L}+").collect()
-    for doc_id, text in TEXTS:
-        exp = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W\d_]+", text)]
-        mine = sorted((r.start, r.end, r.match) for r in got if r.doc_id == doc_id)
-        assert mine == exp     # Python str offsets are code points too
-
-
 def test_longest_match_and_offsets(spark):
     gaz = spark.createDataFrame([("apache license", "PRODUCT"), ("license", "ORG"), ("zürich", "GPE"),
                                  ("general public license", "PRODUCT"), ("public license", "EVENT"),
@@ -81,16 +76,126 @@ def test_chained_overlaps_and_money(spark):
     assert got == [(1, 0, 5, "ORG"), (1, 9, 20, "ORG"), (2, 0, 10, "MONEY"), (3, 3, 17, "GPE")]
 
 
-def test_graph_feed_equals_feed_of_all_pairs(spark):
-    from newsgraph.operators.curate import graph_feed, graph_match, user_feed
-    ui = spark.createDataFrame([(u, f"N{(u * 3 + j) % 7}") for u in range(6) for j in range(2)], "user_id long, name string")
-    ae = spark.createDataFrame([(f"a{i}", f"n{(i * i + j) % 9}") for i in range(30) for j in range(2)], "article_id string, name string")
+NAMES = [("AT&T", "ORG"), ("3M", "ORG"), ("Coca-Cola Co", "ORG"), ("S&P 500", "PRODUCT"), ("Acme Corp", "ORG"), ("acme", "PERSON"),
+         (".NET", "PRODUCT"), ("C++", "PRODUCT"), ("İzmir", "GPE"), ("ΣΑΣ", "ORG"), ("e\u0301clair", "EVENT"), ("", "ORG"), ("  ", "ORG"), (None, "ORG")]
+
+
+def brute_mentions(text, names):
+    """Every place of every phrase, tried one by one; then the longest first."""
+    word = lambda c: c.isalnum() or unicodedata.category(c)[0] == "M"
+    found = []
+    for phrase, label in names:
+        if not phrase or not phrase.strip():
+            continue
+        want = normalised(phrase).strip(" ")
+        for s in range(len(text)):
+            for e in range(s + 1, min(len(text), s + 3 * len(phrase) + 3) + 1):
+                if text[s] not in " \t" and text[e - 1] not in " \t" and normalised(text[s:e]) == want:
+                    if not (s and word(text[s]) and word(text[s - 1])) and not (e < len(text) and word(text[e - 1]) and word(text[e])):
+                        found.append((s, e, label))
+    kept = []
+    for s, e, label in sorted(set(found), key=lambda r: (r[0] - r[1], r[0])):
+        if all(e <= a or s >= b or (a, b) == (s, e) for a, b, _ in kept):
+            kept.append((s, e, label))
+    return sorted(kept)
+
+
+def texts_with_names():
+    rng = random.Random(2)
+    parts = ["AT&T", "at&t", "AT&Tx", "3M", "13M", "3m's", "Coca-Cola", "Co", "COCA-COLA\t Co", "S&P", "500", "S&P  500", "5000", "Acme", "acme  corp", "ACME CORP.",
+             ".net", "x.NET", "C++", "C+++", "İzmir", "i\u0307zmir", "ΣΑΣ", "σας", "éclair", "e\u0301clair", "e\u0301clairs", "(", ",", "😀", "and"]
+    return [(i, "".join(rng.choice(parts) + rng.choice([" ", " ", "  ", "\t", "", "-"]) for _ in range(rng.randint(0, 14)))) for i in range(150)] + [
+        (900, None), (901, ""), (902, "AT&T " * 3000)]
+
+
+@pytest.mark.parametrize("phrase_bytes", [1 << 20, 300])
+def test_names_with_digits_and_marks(spark, phrase_bytes):
+    """One automaton, and a gazetteer matched in several passes."""
+    rows = texts_with_names()
+    gaz = spark.createDataFrame(NAMES + [("AT&T", "NORP")], "phrase string, label string")
+    m = tag_mentions(spark.createDataFrame(rows, "doc_id long, text string"), gaz, "doc_id", "text", phrase_bytes=phrase_bytes).collect()
+    got = sorted((r.doc_id, r.start, r.end, r.label) for r in m)
+    exp = sorted((i, s, e, label) for i, t in rows[:-1] for s, e, label in brute_mentions(t or "", NAMES)) + [(902, 5 * k, 5 * k + 4, "ORG") for k in range(3000)]
+    assert got == sorted(exp) and len({r[3] for r in got}) == 5
+    text = dict(rows)
+    assert all(r.name == text[r.doc_id][r.start:r.end] and r.phrase == normalised(r.name) for r in m)
+
+
+def test_no_phrases(spark):
+    gaz = spark.createDataFrame([("x", "NORP")], "phrase string, label string")
+    d = spark.createDataFrame([(1, "x costs $5")], "doc_id long, text string")
+    assert tag_mentions(d, gaz, "doc_id", "text").collect() == []
+    assert [r.name for r in tag_mentions(d, gaz, "doc_id", "text", money=True).collect()] == ["$5"]
+    assert list(Phrases([]).find("abc")) == []
+
+
+@pytest.mark.parametrize("text,sentences", [
+    ("Acme Inc. acquired Beta. It paid.", ["Acme Inc. acquired Beta.", "It paid."]),
+    ("It is worth $4.2 billion in Beta. Ok", ["It is worth $4.2 billion in Beta.", "Ok"]),
+    ("They bought Acme Inc. Beta fell.", ["They bought Acme Inc.", "Beta fell."]),
+    ("Dr. J. Smith of the U.S. army met Mr. Doe vs. me!? Yes... no", ["Dr. J. Smith of the U.S. army met Mr. Doe vs. me!?", "Yes...", "no"]),
+    ("She is at Yahoo! now. He left Yahoo! Then", ["She is at Yahoo! now.", "He left Yahoo!", "Then"]),
+    ("One. two. Three", ["One.", "two.", "Three"]), ("", []), ("...", ["..."]), ("e.g. this etc. and that etc.", ["e.g. this etc. and that etc."])])
+def test_sentence_rules(text, sentences):
+    mentions = [(m.start(), m.end()) for m in re.finditer(r"Acme Inc\.|Yahoo!|\$4\.2 billion", text)]
+    spans = sentence_spans(text, mentions)
+    assert [text[a:b].strip(" ") for a, b in spans] == sentences
+    assert [a for a, _ in spans[1:]] == [b for _, b in spans[:-1]]
+
+
+def test_relations_across_abbreviations(spark):
+    d = spark.createDataFrame([(1, "Acme Inc. acquired Beta. AT&T paid $4.2 billion for Beta."), (2, None)], "doc_id long, text string")
+    gaz = spark.createDataFrame([("acme inc.", "ORG"), ("beta", "ORG"), ("at&t", "ORG")], "phrase string, label string")
+    lex = spark.createDataFrame([("acquired", "ACQUIRES", 0.5), ("Paid", "PAYS", -0.1), ("for", "FOR", None)], "verb string, action string, sentiment double")
+    r = lexicon_relations(d, tag_mentions(d, gaz, "doc_id", "text", money=True), lex, "doc_id", "text").orderBy("pos").collect()
+    assert [(x.subject.name, x.action, x.object.name, x.sentiment) for x in r] == [
+        ("Acme Inc.", "ACQUIRES", "Beta", 0.5), ("AT&T", "PAYS", "$4.2 billion", -0.1), ("$4.2 billion", "FOR", "Beta", None)]
+
+
+def graph_match(ui, article_entities, edges, depth):
+    """Every matched (user, article) with its smallest depth and all reasons, pair by pair."""
+    from newsgraph.operators.graph import impact_trace, node_key
+    ui = ui.select("user_id", "name", node_key(F.col("name")).alias("seed"))
+    reach = impact_trace(ui.select("seed").distinct().withColumn("node", F.col("seed")), edges, depth)
+    ae = article_entities.select("article_id", node_key(F.col("name")).alias("node")).distinct()
+    m = ui.join(reach, "seed").join(ae, "node")
+    return m.groupBy("user_id", "article_id").agg(F.min("depth").alias("graph_depth"), F.array_sort(
+        F.collect_set(F.concat(F.lit("Follows "), F.col("name")))).alias("match_reasons"))
+
+
+def feed_inputs(spark):
+    rng = random.Random(4)
+    ui = spark.createDataFrame([(u, f"N{(u * 3 + j) % 7}") for u in range(6) for j in range(2)] + [(7, "N1"), (8, "none")], "user_id long, name string")
+    ae = spark.createDataFrame([(f"a{i}", f"n{(i * i + j) % 9}") for i in range(60) for j in range(2)], "article_id string, name string")
     edges = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)], "src string, dst string")
-    uv = spark.createDataFrame([(u, [1.0, float(u)]) for u in range(5)], "user_id long, vec array<double>")
-    av = spark.createDataFrame([(f"a{i}", [float(i % 4), 1.0]) for i in range(28)], "article_id string, vec array<double>")
+    uv = spark.createDataFrame([(u, [1.0, float(u), 0.5]) for u in range(5)] + [(7, [0.0, 0.0, 0.0])], "user_id long, vec array<double>")
+    av = spark.createDataFrame([(f"a{i}", [rng.gauss(0, 1), 1.0, float(i % 4)]) for i in range(55)] + [("a57", None), ("a58", [0.0] * 3)],
+                               "article_id string, vec array<double>")
+    return ui, ae, edges, uv, av
+
+
+def test_graph_feed_equals_feed_of_all_pairs(spark):
+    from newsgraph.operators.curate import graph_feed, user_feed
+    ui, ae, edges, uv, av = feed_inputs(spark)
     at = F.lit("2024-06-01").cast("timestamp")
     for n in (3, 8, 40):  # all users served by depth 0, some, none
         got = graph_feed(ui, ae, edges, uv, av, n, 3, at)
         exp = user_feed(graph_match(ui, ae, edges, 3), uv, av, n, at)
         assert sorted(got.select(exp.columns).collect()) == sorted(exp.collect())
         assert exp.count() > 0
+
+
+def test_feed_reads_part_of_the_lists(spark):
+    """Lists of near vectors: cells whose bound stays below a user's n-th score are not read."""
+    from newsgraph.operators.curate import nearest_articles
+    rng = random.Random(6)
+    centre = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    av = spark.createDataFrame([(f"a{i:04d}", [x + rng.gauss(0, 0.05) for x in centre[i % 12]]) for i in range(1200)], "article_id string, vec array<double>")
+    uv = spark.createDataFrame([(u, [x + rng.gauss(0, 0.05) for x in centre[u]]) for u in range(12)], "user_id long, vec array<double>")
+    served = spark.createDataFrame([(u, "n0") for u in range(12)], "user_id long, seed string")
+    ae = spark.createDataFrame([(f"a{i:04d}", "n0") for i in range(1200)], "article_id string, node string")
+    best, reads = nearest_articles(served, ae, uv, av, 10)
+    assert best.count() == 120
+    read, whole = reads.where("read").agg(F.sum("n_articles")).first()[0], reads.agg(F.sum("n_articles")).first()[0]
+    assert whole == 12 * 1200 and read < 0.3 * whole
+    assert all(int(r.article_id[1:]) % 12 == r.user_id for r in best.collect())

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from newsgraph.config import FEED_TTL_HOURS, MAX_GRAPH_DEPTH
 from newsgraph.operators.graph import impact_trace, node_key, set_bits, trace_bits
-from newsgraph.operators.vectors import MAX_CELLS, NO_CELL, assign, best_in_groups, centroids, unit_rows
+from newsgraph.operators.vectors import MAX_CELLS, NO_CELL, assign, best_in_groups, centroids, unit_rows, vector_column
 from newsgraph.session import cut_lineage
 
 # Fixed values (ours): relevance weights and feed length
@@ -118,16 +119,14 @@ def _depth0_reads(served: DataFrame, article_entities: DataFrame, user_vectors:
                         .select("node", F.col("article_id").alias("iid"), F.coalesce("cell", F.lit(NO_CELL)).alias("cell"), F.coalesce("angle", F.lit(0.0)).alias("angle")))
     cells = lists.groupBy("node", "cell").agg(F.count(F.lit(1)).alias("n_articles"), F.max("angle").alias("radius"))
 
-    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            at, u = unit_rows(p["vec"])
-            vec, to = np.full(len(p), None, dtype=object), np.full(len(p), None, dtype=object)
-            if len(at) and len(cents):
-                for i, x, a in zip(at, u, np.arccos(np.clip(u @ cents.T, -1.0, 1.0)), strict=True):
-                    vec[i], to[i] = x, a
-            yield pd.DataFrame({"user_id": p["user_id"], "uvec": vec, "to": to})
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, u = unit_rows(b.column(1))
+            at, u = (at, u) if len(cents) else (at[:0], u[:0])
+            to = np.arccos(np.clip(u @ cents.T, -1.0, 1.0)) if len(at) else u
+            yield pa.RecordBatch.from_arrays([b.column(0), vector_column(u, at, b.num_rows), vector_column(to, at, b.num_rows)], ["user_id", "uvec", "to"])
 
-    users = cut_lineage(user_vectors.select("user_id", "vec").mapInPandas(
+    users = cut_lineage(user_vectors.select("user_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(
         angles, f"user_id {dict(user_vectors.dtypes)['user_id']}, uvec array<double>, to array<double>"))
     pairs = served.select("user_id", F.col("seed").alias("node")).distinct().join(users.select("user_id", "to"), "user_id", "left").join(cells, "node")
     # no article of the cell has a larger cosine (triangle inequality on angles)
@@ -201,7 +200,9 @@ def graph_feed(user_interests: DataFrame, article_entities: DataFrame, edges: Da
                       ts.alias("timestamp"), F.row_number().over(w).alias("rank"))
     others = cut_lineage(ui.join(served, "user_id", "left_anti"))
     if not others.isEmpty():
-        reach = reached.select("node", "block", F.explode(set_bits("bits")).alias("bit"), "depth").join(ids, ["block", "bit"])
+        # only nodes that articles name, before the seeds are told apart
+        named = reached.join(ae.select("node").distinct(), "node", "left_semi")
+        reach = named.select("node", "block", F.explode(set_bits("bits")).alias("bit"), "depth").join(ids, ["block", "bit"])
         nodes = others.join(reach, "seed").groupBy("user_id", "node").agg(F.min("depth").alias("depth"))
         pairs = nodes.join(ae, "node").groupBy("user_id", "article_id").agg(F.min("depth").alias("graph_depth"))
         top = top.unionByName(user_feed(pairs.withColumn("match_reasons", F.lit(None)), user_vectors, article_vectors, n, as_of).drop("match_reasons"))

@@ -127,7 +127,7 @@ def _adjacency(edges: DataFrame, direction: str, hub_edges: int) -> tuple[DataFr
     e = edges.select("src", "dst")
     if direction == "both":
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = e.distinct()
+    e = cut_lineage(e.distinct())
     hubs = cut_lineage(e.groupBy("src").count().where(F.col("count") > hub_edges)
                        .select(F.col("src").alias("hub"), F.ceil(F.col("count") / hub_edges).cast("int").alias("salts")))
     salted = e.join(hubs, e.src == hubs.hub, "left").select(
@@ -143,15 +143,16 @@ def trace_bits(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_GRAPH_DE
     the seed with this (block, bit) reaches the node first at ``depth``.
     """
     ids = cut_lineage(seeds.select("seed").distinct())
+    # the numbers of a checkpoint's rows are the same whenever it is read
     ids = ids.withColumn("_i", F.monotonically_increasing_id()).select(
         "seed", F.expr("_i div 64").alias("block"), (F.col("_i") % 64).cast("int").alias("bit"))
-    ids = cut_lineage(ids)
     e, hubs = _adjacency(edges, direction, hub_edges)
+    flat = hubs.isEmpty()
     start = seeds.select("seed", "node").distinct().join(ids, "seed")
     frontier = cut_lineage(start.groupBy("node", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
     reached = frontier.withColumn("depth", F.lit(0))
     for d in range(1, max_depth + 1):
-        out = frontier.join(hubs, frontier.node == hubs.hub, "left").select(
+        out = frontier.withColumn("salt", F.lit(0)) if flat else frontier.join(hubs, frontier.node == hubs.hub, "left").select(
             "node", "block", "bits", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
         step = out.join(e, (out.node == e.src) & (out.salt == e.salt)).groupBy(F.col("dst").alias("node"), "block") \
                   .agg(F.bit_or("bits").alias("bits"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgraph.llm.common import checkpoint, fresh, schema_of
+from newsgraph.llm.common import checkpoint, fresh, row_ids, schema_of
 from newsgraph.llm.components import components
 
 SHINGLE = 4
@@ -47,16 +47,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> bytes:
 
 def fingerprints(docs: DataFrame, carry: list[str], width: int = SHINGLE) -> DataFrame:
     """``carry`` and ``fp`` (the fingerprint's bits as a signed long) of every document."""
-    slim = docs.select(*carry, F.col("text").alias("_text"))
+    mark = fresh(docs, "_text")
+    slim = docs.select(*carry, F.col("text").alias(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])
-            fp = np.frombuffer(b"".join([fingerprint(x, width) for x in t.column("_text").to_pylist()]), ">i8")
-            t = t.drop_columns(["_text"]).append_column("fp", pa.array(fp.astype(np.int64)))
+            fp = np.frombuffer(b"".join([fingerprint(x, width) for x in t.column(mark).to_pylist()]), ">i8")
+            t = t.drop_columns([mark]).append_column("fp", pa.array(fp.astype(np.int64)))
             yield from t.to_batches()
 
-    return slim.mapInArrow(run, schema_of(slim.drop("_text"), ("fp", T.LongType())))
+    return slim.mapInArrow(run, schema_of(slim.drop(mark), ("fp", T.LongType())))
 
 
 def block_masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
@@ -269,22 +270,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_B
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
     root = components(links(nodes.select("fp"), max_bits, bucket_rows=bucket_rows))
     placed = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    # written before the join, which then is free to split a hot root
+    names = checkpoint(placed.groupBy("root").agg(F.min("first_doc").alias("component_id")))
     named = placed.join(names, "root").select("fp", "component_id", "root")
     return rows.join(named, "fp").select(*carry, _hex("fp").alias("fingerprint"), "component_id",
                                          _hex("root").alias("component_fingerprint"))
 
 
 def representatives(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group: that of the smallest doc_id, then text hash.
+    """One document of each group: that of the smallest doc_id (null first), then text hash.
 
-    All columns are kept; of rows equal in doc_id and text one stays.
+    All columns are kept; of rows equal in doc_id and text the first stays.  Rows
+    are chosen by their numbers, so the texts travel once.
     """
-    mark = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
-    found = near_duplicates(mark, width, max_bits, carry=["doc_id", "_h"])
-    best = found.groupBy("component_fingerprint").agg(F.min(F.struct("doc_id", "_h")).alias("b")).select(
-        F.col("b.doc_id").alias("_best_id"), F.col("b._h").alias("_best_h"))
-    h = fresh(docs, "_h")
-    out = docs.withColumn(h, F.xxhash64("text"))
-    out = out.join(best, out["doc_id"].eqNullSafe(best["_best_id"]) & (out[h] == best["_best_h"]), "left_semi")
-    return out.dropDuplicates(["doc_id", h]).drop(h)
+    rid = fresh(docs, "_rid")
+    rows = row_ids(docs, rid)
+    mark = rows.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.col(rid).alias("_r"))
+    found = near_duplicates(mark, width, max_bits, carry=["doc_id", "_h", "_r"])
+    best = found.groupBy("component_fingerprint").agg(F.min(F.struct("doc_id", "_h", "_r"))["_r"].alias(rid))
+    return rows.join(best.select(rid), rid, "left_semi").drop(rid)

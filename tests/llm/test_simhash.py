@@ -56,6 +56,21 @@ def test_links_are_exact(spark, bound):
         assert {root.get(x, x) for x in g} == {min(g)}
 
 
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components(spark, one_task):
+    """Paths, stars and random links, over many tasks and in one."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(7, 7), (500, 490)]
+    near = {frozenset(e) for e in edges}
+    want = brute.classes(501, lambda i, j: frozenset((i, j)) in near)
+    df = spark.createDataFrame([e if i % 2 else e[::-1] for i, e in enumerate(edges)], "u long, v long").repartition(7)
+    got = {r["node"]: r["root"] for r in simhash.components(df, one_task).collect()}
+    first = {}
+    for i, c in enumerate(want):
+        first.setdefault(c, i)
+    assert got == {x: first[want[x]] for e in edges if e[0] != e[1] for x in e}
+
+
 @pytest.mark.parametrize("seed", [2, 3])
 def test_large_bucket_forest(seed):
     import numpy as np
@@ -75,3 +90,11 @@ def test_representatives(spark, frame, odd):
     c = brute.simhash(odd)
     assert kept.count() == len({(x[1], x[2]) if x[2] is None else x[2] for x in c})
     assert kept.where(F.col("text").isNull()).count() <= 1
+
+
+def test_carried_columns_and_equal_rows(spark):
+    docs = spark.createDataFrame([(2, "a b c", 9, 1), (1, "a b c", 8, 2), (1, "a b c", 8, 3), (None, "x y z", 7, 4)], "doc_id long, text string, _text int, n int")
+    got = simhash.near_duplicates(docs, carry=["doc_id", "_text"])
+    assert got.columns == ["doc_id", "_text", "fingerprint", "component_id", "component_fingerprint"]
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "x y z"), (1, "a b c")]

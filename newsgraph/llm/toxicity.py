@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgraph.llm.common import fresh, schema_of
+from newsgraph.llm.common import checkpoint, fresh, schema_of
 
 THRESHOLD = 0.3
 # Bound on the labelled documents that the lexicon and the weights are fitted on.
@@ -206,16 +206,16 @@ def choose(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> list
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (last: intercept) of a ridge logistic regression, by Newton steps."""
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights (last: intercept) of a ridge logistic regression on points that count ``times`` each, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     pull = np.full(len(w), ridge)
     pull[-1] = 1e-3
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + pull * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), grad)
+        grad = x.T @ (times * (p - y)) + pull * w
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + np.diag(pull), grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -239,21 +239,30 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``train_rows`` labelled rows that are not held out, the first in hash order.
 
-    The labels chosen are bounded, so they are broadcast and no text shuffles.  A
-    document with several labels is toxic if one says so; null labels are
-    passed over.  Without toxic or without clean rows the lexicon is empty and
-    the score is the share of toxic rows.
+    The labels chosen are bounded, so they are broadcast and only their texts
+    shuffle.  A document with several labels is toxic if one says so; null labels are
+    passed over.  A term enters the lexicon if ``MIN_DOCS`` toxic rows have it and
+    its log ratio is ``MIN_LOG_RATIO`` or more, whatever the clean rows; only such
+    terms come to the driver, at most a ``MIN_DOCS``-th of the terms of the toxic
+    training rows.  Of a doc_id that occurs several times one text trains, the
+    first in byte order.  Without toxic or without clean rows the lexicon is
+    empty and the score is the share of toxic rows.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = checkpoint(rows.select("text", "toxic"))
     counts = rows.mapInArrow(_mine, "term string, clean long, toxic long").groupBy("term").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # the blank term counts the documents
-    strong = counts.where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") > F.col("clean")) | (F.col("term") == " "))
-    found = [tuple(r) for r in strong.collect()]
-    n_clean, n_toxic = next(((c, t) for term, c, t in found if term == " "), (0, 0))
-    lexicon = Lexicon(choose([r for r in found if r[0] != " "], n_clean, n_toxic) if n_clean and n_toxic else [])
+    counts = checkpoint(counts.where((F.col("toxic") >= MIN_DOCS) | (F.col("term") == " ")))
+    sizes = counts.where("term = ' '").first()
+    n_clean, n_toxic = (sizes["clean"], sizes["toxic"]) if sizes else (0, 0)
+    # the rule of ``choose``, which looks at the terms again
+    ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    strong = counts.where((F.col("term") != " ") & (ratio >= MIN_LOG_RATIO - 1e-9))
+    lexicon = Lexicon(choose([tuple(r) for r in strong.collect()], n_clean, n_toxic) if n_clean and n_toxic else [])
     base = np.zeros(len(FEATURES) + 1)
     if not lexicon.terms:
         share = n_toxic / (n_clean + n_toxic) if n_clean + n_toxic else 0.0
@@ -266,11 +275,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             x = [shared.value.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int32())], ["x", "toxic"])
 
-    points = rows.mapInArrow(featurise, "x array<double>, toxic int")
-    points = points.groupBy("x", "toxic").count().orderBy(F.desc("count"), F.xxhash64("x"), "toxic").limit(train_rows).collect()
-    x = np.array([r["x"] for r in points]).repeat([min(r["count"], train_rows) for r in points], axis=0)
-    y = np.array([r["toxic"] for r in points], np.float64).repeat([min(r["count"], train_rows) for r in points])
-    return Model(lexicon, fit(x, y))
+    # at most a row for each label that was chosen
+    points = rows.mapInArrow(featurise, "x array<double>, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
+    x, y, times = (np.array([r[k] for r in points], np.float64) for k in ("x", "toxic", "count"))
+    return Model(lexicon, fit(x, y, times))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

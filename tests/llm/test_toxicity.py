@@ -107,3 +107,42 @@ def test_empty_and_one_sided(spark, corpus):
     assert toxicity.toxicity(none, lab).collect() == []
     assert {r["predicted"] for r in toxicity.toxicity(d, no_labels).collect()} == {0}
     assert {r["predicted"] for r in toxicity.toxicity(d, lab.withColumn("toxic", F.lit(1))).collect()} == {1}
+
+
+def test_a_common_word_of_rare_toxic_rows(spark):
+    """60 toxic and 6,000 clean rows; a term in 40 of the toxic and 60 of the clean ones is 67 times as frequent there."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioumnrst") for _ in range(6))
+    docs, labels, told = [], [], 0
+    for i in range(8000):
+        text, toxic = [word() for _ in range(12)], int(i % 100 == 0)
+        if toxic and told % 3 != 2 or not toxic and i % 99 == 0:
+            text[3] = "blockhead"
+        told += toxic
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, toxic))
+    d, lab = frames(spark, docs, labels)
+    model = toxicity.train(d, lab)
+    assert ("blockhead", True) in model.lexicon.terms or ("blockhead", False) in model.lexicon.terms
+    assert model.score("one two blockhead four") > 5 * model.score("one two three four")
+
+
+def test_repeated_ids_train_with_one_point(spark, corpus):
+    """Many rows of one labelled id do not outweigh the others, and none is cut."""
+    docs, labels = corpus
+    copies = [(1, f"{docs[1][1]} extra{i}") for i in range(2000)]
+    once, often = toxicity.train(*frames(spark, docs, labels)), toxicity.train(*frames(spark, docs + copies, labels))
+    assert abs(once.score("you are a blockhead all of you") - often.score("you are a blockhead all of you")) < 0.1
+    few = toxicity.train(*frames(spark, docs + copies, labels), train_rows=50)
+    assert 0 <= few.score("x") <= 1
+
+
+def test_score_worked_out_apart(spark, corpus):
+    """Features and score of texts from the lexicon and weights alone, in plain Python."""
+    docs, labels = corpus
+    model = toxicity.train(*frames(spark, docs, labels))
+    for text in [docs[0][1], docs[1][1], docs[2][1], "", None]:
+        x = model.lexicon.features(text)
+        z = sum(w * v for w, v in zip(model.weights, [*x, 1.0], strict=True))
+        assert abs(model.score(text) - 1 / (1 + 2.718281828459045 ** -z)) < 1e-9
+        assert len(x) == len(toxicity.FEATURES) and (text or not any(x[:2]))

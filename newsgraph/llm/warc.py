@@ -33,6 +33,19 @@ def _opaque(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
+def lower_names(headers: str) -> Column:
+    """The map with field names in lower case, without null values; a null map is empty.
+
+    Of names that differ in case only, the one that sorts first counts (``ETag``
+    before ``etag``).
+    """
+    entries = F.array_sort(F.map_entries(F.map_filter(headers, lambda _, v: v.isNotNull())))
+    names = F.transform(entries, lambda e: F.lower(e["key"]))
+    first = F.filter(entries, lambda e, i: F.array_position(names, F.lower(e["key"])) == i + 1)
+    lowered = F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    return F.coalesce(lowered, F.create_map().cast("map<string,string>"))
+
+
 def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Every revisit with the latest earlier full response of its URL.
 
@@ -45,15 +58,14 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     one, else neither has any; 'mismatch' if not; 'no-earlier' if there is no
     response (or the revisit has no url or time).  A resolved revisit carries
     the response's headers, with the permitted fields of the revisit in their
-    place (names in lower case), and its digest; others their own headers.
+    place (names in lower case, see ``lower_names``), and its digest; others their own headers.
     Records of any other kind, or without an id, give no row.
 
     The as-of join orders rows within (URL, time bucket) and hands the last
     response of each bucket on to later ones, so a hot URL is spread over its
     buckets; only ids travel, validators and headers are joined afterwards.
     """
-    lower = F.transform_keys(F.map_filter("headers", lambda k, v: v.isNotNull()), lambda k, _: F.lower(k))
-    lower = F.coalesce(F.map_from_entries(F.array_distinct(F.map_entries(lower))), F.create_map().cast("map<string,string>"))
+    lower = lower_names("headers")
     rows = records.where(F.col("record_id").isNotNull()).select(
         "record_id", canonical_url("url").alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind", "status", "etag",
         "last_modified", lower.alias("headers"), "payload_digest")

@@ -55,6 +55,13 @@ def test_rules(spark):
     assert {r["record_id"] for r in bodies.collect()} == {10, 0, 15}
 
 
+def test_names_that_differ_in_case(spark):
+    rows = [rec(1, "http://a.com/", 1, "response", '"1"', None, {"ETag": '"1"', "etag": '"x"', "Date": "d", "DATE": "D", "date": None, "a": "b"}),
+            rec(2, "http://a.com/", 2, "revisit", '"1"', None, {"expires": "e", "Expires": "E", "EXPIRES": None})]
+    got = warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r["headers"] for r in got] == [{"etag": '"1"', "date": "D", "a": "b", "expires": "E"}]
+
+
 def test_hot_url_and_empty(spark):
     rows = [rec(i, "http://h.com/", i * 7000, "response" if i % 5 == 0 else "revisit", '"t"', None, {}, str(i)) for i in range(600)]
     got = warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgraph.llm.common import ordered_index, schema_of
+from newsgraph.llm.common import checkpoint, ordered_index, schema_of
 
 BUCKETS = 10_000
 # Bound on the target documents, the first in hash order, that the target model is fitted on.
@@ -77,9 +77,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, targe
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, carry: list[str]) -> DataFrame:
-    """``carry``, ``n_grams`` and ``log_weight`` (the summed log ratio) of each whole text."""
+    """``carry`` (as struct ``_carry``), ``_id``, ``n_grams`` and ``log_weight`` (the summed log ratio) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    slim = docs.select(*carry, F.col("text").alias("_text"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    slim = docs.select(carried.alias("_carry"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, r = Grams(len(shared.value)), shared.value
@@ -104,16 +105,17 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, car
     the share of quality 1 among the labels (without labels all).  Ties go to the smaller
     doc_id.  Null and empty texts weigh 0.  Returns ``carry`` (default doc_id),
     ``n_grams``, ``log_weight``, ``gumbel_key`` and ``rank`` (from 1) of the
-    documents drawn.
+    documents drawn; input columns of these names are replaced.
     """
     if share is None:
         good, known = labels.agg(F.count_if(F.col("quality") == 1), F.count("quality")).first()
         share = good / known if known else 1.0
-    added = ("n_grams", "log_weight", "gumbel_key", "rank", "row_index", "prefix", "_one", "_tie", "_part")
-    carry = [c for c in (carry or ["doc_id"]) if c not in added]
-    rows = weigh(docs, log_ratios(docs, labels, buckets, target_rows), carry)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    added = ("n_grams", "log_weight", "gumbel_key", "rank")
+    carry = [c for c in (carry or ["doc_id"]) if c.lower() not in added]
+    # narrow rows, written once: the sort reads them twice and would score the texts twice
+    rows = checkpoint(weigh(docs, log_ratios(docs, labels, buckets, target_rows), carry))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = rows.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))).withColumn("_one", F.lit(1).cast("long"))
-    drawn, n, _ = ordered_index(rows, [F.col("gumbel_key").desc(), F.col("doc_id").asc_nulls_last()], "_one")
+    drawn, n, _ = ordered_index(rows, [F.col("gumbel_key").desc(), F.col("_id").asc_nulls_last()], "_one")
     return drawn.where(F.col("row_index") < round(share * n)).select(
-        *carry, "n_grams", "log_weight", "gumbel_key", (F.col("row_index") + 1).alias("rank"))
+        *[F.col("_carry").getField(c).alias(c) for c in carry], "n_grams", "log_weight", "gumbel_key", (F.col("row_index") + 1).alias("rank"))

@@ -58,3 +58,11 @@ def test_query_prefers_quality(spark):
     kept = {r["quality"]: (r["kept"], r["n"]) for r in labels.join(got.select("doc_id", "rank"), "doc_id", "left").groupBy("quality").agg(
         F.count("rank").alias("kept"), F.count(F.lit(1)).alias("n")).collect()}
     assert kept[1][0] / kept[1][1] > 0.9 and kept[0][0] / kept[0][1] < 0.5
+
+
+def test_carried_columns(spark, odd):
+    df = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in odd], SCHEMA)
+    lab = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = quality.resample(df, lab, 1.0, carry=["doc_id", "_text", "rank", "text"])
+    assert got.columns == ["doc_id", "_text", "text", "n_grams", "log_weight", "gumbel_key", "rank"]
+    assert got.count() == len(odd) and {r["_text"] for r in got.collect()} == {1}

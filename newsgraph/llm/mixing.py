@@ -123,7 +123,9 @@ def mix(docs: DataFrame, levels: dict[str, str] | None = None, weights: dict[str
         F.min("_bucket").alias("_edge"), F.min_by(F.col("_sum") - F.col("n"), "_bucket").alias("_before"))
     edge = checkpoint(edge)
     row = Window.partitionBy(*names).orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
-    inside = keyed.join(small(edge), names).where("_bucket = _edge").withColumn("_sum", F.col("_before") + F.sum("_tokens").over(row))
+    # equal rows are one before the window
+    inside = keyed.join(small(edge), names).where("_bucket = _edge").groupBy(*names, "_key", "_before", "_rest").agg(F.sum("_tokens").alias("_tokens"))
+    inside = inside.withColumn("_sum", F.col("_before") + F.sum("_tokens").over(row))
     upper = inside.where("_sum <= _rest").groupBy(*names).agg(F.max("_key").alias("_upper"))
     cut = plan.join(edge, names, "left").join(upper, names, "left").select(
         *names, "_full", F.when(F.expr("_rest > 0 or _full = 0"), F.coalesce("_upper", "_edge", F.lit("g"))).alias("_cut"))

@@ -250,12 +250,14 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, **options) -> DataFrame:
-    """``carry`` (default: doc_id), ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` and ``hit_spans`` of every document."""
-    carry = carry or ["doc_id"]
-    found = find_spans(docs.select(*{*carry, "text"}), benchmark, **options)
+    """``carry`` (default: doc_id), ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` and ``hit_spans`` of every document; input columns of these names are replaced."""
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
+    carry = [c for c in (carry or ["doc_id"]) if c.lower() not in made]
+    slim = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_carry") if carry else F.lit(None).cast("int").alias("_carry"), "text")
+    found = find_spans(slim, benchmark, **options)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
-        *carry, "n_words", hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        *[F.col("_carry").getField(c).alias(c) for c in carry], "n_words", hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"),
         (F.size("hit_spans") > 0).alias("contaminated"), "hit_spans")
 

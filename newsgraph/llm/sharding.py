@@ -28,13 +28,14 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, carry: list[str] | None = N
     the texts travel once) and adds ``size``, ``text_crc32`` (null for a null
     text), ``law``, ``shard``, ``slot`` (gapless from 0 in each shard) and
     ``grown_shard`` (null: this law moves rows when a shard is added).  Columns
-    of the input with these names are replaced.  Fewer rows than shards leave
+    of the input with these names are replaced, all others kept.  Fewer rows than shards leave
     shards empty; an empty table gives no rows.
     """
-    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "row_index", "prefix", "_tie", "_part")
-    keep = [c for c in (docs.columns if carry is None else carry) if c not in added]
-    sized = docs.select(*keep, text_size().alias("size"), F.crc32("text").alias("text_crc32"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc_nulls_first(), F.col("size").asc()]
+    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in added]
+    carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
+    sized = docs.select(carried.alias("_carry"), F.col("doc_id").alias("_doc_id"), text_size().alias("size"), F.crc32("text").alias("text_crc32"))
+    order = [F.col("_doc_id").asc_nulls_first(), F.col("text_crc32").asc_nulls_first(), F.col("size").asc()]
     rows, _, total = ordered_index(sized, order, "size")
     middle = (F.col("prefix") * 2 + F.col("size")) * n_shards
     cut = rows.withColumn("shard", F.expr("NULL").cast("int") if not total
@@ -42,5 +43,5 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, carry: list[str] | None = N
     first = cut.groupBy("shard").agg(F.min("row_index").alias("at")).collect()  # n_shards rows
     start = F.create_map(*[F.lit(x) for r in first for x in (r["shard"], r["at"])]) if first else None
     slot = F.col("row_index") - (start[F.col("shard")] if first else F.lit(0))
-    return cut.select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+    return cut.select(*[F.col("_carry").getField(c).alias(c) for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                       slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -169,6 +169,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, n_lists: int = N_LIS
     wanted = asked.select("cid").distinct()
     blocks = max(1, -(-wanted.count() // query_block))
     spread = wanted.join(items.select("cid", "q"), "cid")
+    spread = checkpoint(spread) if blocks > 1 else spread
     found = []
     for b in range(blocks):
         part = spread.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == b).collect()

@@ -66,3 +66,11 @@ def test_index_against_scan():
             for q, a, b in zip(p, low, high):
                 want = [i for i in range(len(s) - m + 1) if (s[i:i + m] == q).all()]
                 assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_carried_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "n", 5)], "doc_id long, text string, n_words string, _carry int")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    got = decontam.contamination(docs, items, carry=["doc_id", "n_words", "_carry", "text"])
+    assert got.columns[:4] == ["doc_id", "_carry", "text", "n_words"] and len(set(got.columns)) == len(got.columns)
+    assert [(r["n_words"], r["n_hit"], r["_carry"]) for r in got.collect()] == [(2, 2, 5)]

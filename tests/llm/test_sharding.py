@@ -28,3 +28,11 @@ def test_balance_and_hot_id(spark, frame):
 
 def test_empty(spark, frame):
     assert sharding.shard(frame([])).collect() == []
+
+
+def test_input_columns_of_internal_names_stay(spark):
+    docs = spark.createDataFrame([(i, "t" * i, f"p{i}", i, 7, "x") for i in range(20)],
+                                 "doc_id long, text string, prefix string, row_index int, _carry int, Shard string")
+    got = sharding.shard(docs, 3)
+    assert got.columns == ["doc_id", "text", "prefix", "row_index", "_carry", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert all(r["prefix"] == f"p{r['doc_id']}" and r["row_index"] == r["doc_id"] for r in got.collect())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsgraph.llm import decontam, mixing, sharding, simhash, toxicity
 from newsgraph.llm.common import read, ready
-from newsgraph.session import ensure_checkpoint_dir
+from newsgraph.session import ensure_checkpoint_dir, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
+    """The stages applied to ``documents``; of the folders between them only the last is kept."""
     docs = read(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{folder}/{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs

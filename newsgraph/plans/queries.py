@@ -630,7 +630,8 @@ def vector_topk(spark, sf_dir):
 def vector_topk_lsh(spark, sf_dir):
     from newsgraph.operators.vectors import lsh_topk
     uv, av = _vectors(_t(spark, sf_dir))
-    r = lsh_topk(uv.withColumnRenamed("user_id", "qid"), av.withColumnRenamed("article_id", "iid"), 10)
+    # as many buckets as find every item of the sampled queries: compared with the exact top k
+    r = lsh_topk(uv.withColumnRenamed("user_id", "qid"), av.withColumnRenamed("article_id", "iid"), 10, recall=1.0)
     return r.select(F.col("qid").alias("user_id"), F.col("iid").alias("article_id"), _r6("score"),
                     F.col("rank").cast("bigint").alias("rank"))
 

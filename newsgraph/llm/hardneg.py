@@ -59,11 +59,11 @@ class Anchors:
         self.q = _matrix([r["q"] for r in rows], self.dim)
         self.top = int(np.abs(self.q).max(initial=0))
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Inner product of every anchor (rows) and vector; doubles where they are exact."""
+    def scores(self, x: np.ndarray, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Inner product of the anchors ``of`` (rows) and every vector; doubles where they are exact."""
         exact = self.top * int(np.abs(x).max(initial=0)) * max(1, self.dim) < _EXACT
         kind = np.float64 if exact else np.int64
-        return (self.q.astype(kind) @ x.astype(kind).T).astype(np.int64)
+        return (self.q[of].astype(kind) @ x.astype(kind).T).astype(np.int64)
 
 
 def _matrix(rows: list[list[int]], dim: int) -> np.ndarray:
@@ -96,9 +96,7 @@ def _positives(anchors: Anchors, k: int, batches: Iterator[pa.RecordBatch]) -> I
             mine, there = np.flatnonzero(anchors.label == value), np.flatnonzero(label == value)
             if not len(mine):
                 continue
-            part = Anchors.__new__(Anchors)
-            part.q, part.top, part.dim = anchors.q[mine], anchors.top, anchors.dim
-            s = part.scores(x[there])
+            s = anchors.scores(x[there], mine)
             ok = anchors.row[mine][:, None] != row[there][None, :]
             a, b = np.nonzero(ok & best.beats(mine[:, None], s, ids[there][None, :]))
             if len(a):

@@ -137,3 +137,17 @@ def test_golden_few_shot_entities(spark):
     assert len(got) == 6 and q.count() == 0
     assert got["Tesla"].industry == "Electric Vehicles" and got["Elon Musk"].role == "CEO of Tesla"
     assert got["Gigafactory Investment"].severity == "high"
+
+
+def test_rejected_rows_come_from_one_read(spark):
+    """The quarantine reads the responses once: the plan of both halves has one scan and one parse."""
+    got = resp(spark, "mapping", [json.dumps([REL, 5]), "not json", json.dumps({"relationships": 3}), json.dumps([])])
+    _, q = parse.parse_relationships(got)
+    assert {(r.article_id, r.pos, r.raw, r.reason) for r in q.collect()} == {
+        ("0", 1, "5", "not_object"), ("1", None, "not json", "bad_json"),
+        ("2", None, '{"relationships": 3}', "relationships_not_list")}
+    for stage, read in (("entity", parse.parse_entities), ("mapping", parse.parse_relationships)):
+        for half in read(resp(spark, stage, [json.dumps([E, REL])])):
+            plan = half._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+            assert plan.count("parse_json") + plan.count("parseJson") == 1

@@ -30,6 +30,7 @@ BASE_CONFIDENCE = 0.75
 MONEY_RE = r"[$€£][0-9][0-9,]*(\.[0-9]+)?( ?(billion|million|thousand|bn|mn|m|k))?"
 # Bytes of phrases that travel to every task at a time; a larger gazetteer is matched in several passes.
 PHRASE_BYTES = 32 << 20
+SCAN_ROWS = 256  # texts whose mentions a task holds as Python objects
 
 _MONEY = re.compile(MONEY_RE)
 _BLANKS = re.compile(r"[ \t]+")
@@ -145,8 +146,8 @@ def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:
 
 
 def _scan(phrases: Phrases, money: bool, resolve: bool, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mentions of every text of (id, text) batches."""
-    for b in batches:
+    """Mentions of every text of (id, text) batches, ``SCAN_ROWS`` texts at a time."""
+    for b in (whole.slice(s, SCAN_ROWS) for whole in batches for s in range(0, whole.num_rows, SCAN_ROWS)):
         rows: list[list] = [[] for _ in range(7)]
         for i, text in enumerate(b.column(1).to_pylist()):
             if not text:

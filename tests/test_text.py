@@ -199,3 +199,22 @@ def test_feed_reads_part_of_the_lists(spark):
     read, whole = reads.where("read").agg(F.sum("n_articles")).first()[0], reads.agg(F.sum("n_articles")).first()[0]
     assert whole == 12 * 1200 and read < 0.3 * whole
     assert all(int(r.article_id[1:]) % 12 == r.user_id for r in best.collect())
+
+
+def test_mentions_leave_a_task_in_small_batches(monkeypatch):
+    """A batch of texts is scanned some texts at a time, and gives the same mentions."""
+    import pyarrow as pa
+
+    from newsgraph.operators import tagging
+    phrases = Phrases([("zürich", "GPE", "location"), ("license", "ORG", "company")])
+    fields = pa.schema([pa.field("doc_id", pa.null()), ("start", pa.int32()), ("end", pa.int32()),
+                        *[(n, pa.string()) for n in ("name", "phrase", "label", "type")]])
+    texts = pa.record_batch({"doc_id": list(range(1000)), "text": ["License in Zürich for $3 million" if i % 3 else None for i in range(1000)]})
+
+    def scan():
+        return list(tagging._scan(phrases, True, True, fields, iter([texts])))
+
+    small = scan()
+    assert len(small) == 4 and max(b.num_rows for b in small) <= 3 * 256
+    monkeypatch.setattr(tagging, "SCAN_ROWS", 10_000)
+    assert pa.Table.from_batches(small).to_pylist() == pa.Table.from_batches(scan()).to_pylist()

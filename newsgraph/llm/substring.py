@@ -348,8 +348,9 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
     Near ones: the windows are starred anew by signature and the smallest
     shingle on one side, which documents with another passage around the
     signature do not share, and candidates not met before are verified.
-    A passage is reported as far as the document that it was found with has it:
-    an end that only two later documents share may be missing.
+    An exact passage is also found where it goes on beyond what an earlier document
+    has.  A near passage is reported as far as the document that it was found with
+    has it: an end that only two later documents nearly share may be missing.
 
     Returns a row for each merged passage: ``doc_id``, ``start_word``,
     ``end_word`` (exclusive), ``duplicate`` (an earlier document has it; false:
@@ -427,7 +428,9 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
     def uncovered(places: DataFrame, spans: DataFrame) -> DataFrame:
         """Rows whose place lies in no passage that an earlier document has."""
         found = spans.where("duplicate").groupBy("f", "i").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("spans"))
-        inside = F.exists("spans", lambda x: (x["s"] <= F.col("p")) & (F.col("p") < x["e"] - (width - 1)))
+        # of the first hash all runs around the centre have to be inside: an end may go on in two later documents
+        reach = F.when(F.col("j") == 0, t - 1).otherwise(0)
+        inside = F.exists("spans", lambda x: (x["s"] <= F.greatest(F.lit(0), F.col("p") - reach)) & (F.col("p") + reach < x["e"] - (width - 1)))
         return places.join(found, ["f", "i"], "left").where(F.coalesce(~inside, F.lit(True))).drop("spans")
 
     def further(left: DataFrame) -> DataFrame:

@@ -124,6 +124,20 @@ def test_copies_after_a_first_that_fails(spark):
     assert got == whole
 
 
+def test_an_end_that_only_later_documents_share(spark):
+    """The first document has 60 words, the two later ones have them with some more around."""
+    rng = random.Random(33)
+    docs, want = [], {}
+    for k in range(40):
+        p, before, after = words(rng, 60), words(rng, rng.randint(0, 6)), words(rng, rng.randint(1, 6))
+        for j in range(3):
+            head = words(rng, 30)
+            docs.append((3 * k + j, " ".join(head + (before + p + after if j else p) + words(rng, 30))))
+        want[3 * k + 2] = (30, 90 + len(before) + len(after))
+    got = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in substring.duplicate_passages(frame(spark, docs)).collect() if r["duplicate"]}
+    assert {d: x for d, x in got.items() if d in want} == want
+
+
 def test_a_word_inserted_or_deleted(spark):
     rng = random.Random(32)
     docs, n = [], 0

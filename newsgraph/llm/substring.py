@@ -344,7 +344,8 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
     Windows that no passage covers then go two further ways, once each.  Exact
     passages: of one hash, every run of the shortest length around the centre is
     hashed, and equal runs of two documents are passages as they are; each such
-    passage has its runs around a centre in both documents, so none is missed.
+    passage has its runs around a centre in both documents, so none is missed
+    unless the earlier one's is wholly inside a passage with another document.
     Near ones: the windows are starred anew by signature and the smallest
     shingle on one side, which documents with another passage around the
     signature do not share, and candidates not met before are verified.

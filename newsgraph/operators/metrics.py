@@ -33,7 +33,7 @@ def token_usage(attached: DataFrame) -> DataFrame:
     """Tokens per (model, stage) with rollup totals (model total, grand total)."""
     return attached.rollup("model", "stage").agg(
         F.sum(F.coalesce("tokens_used", F.lit(0))).alias("tokens"),
-        F.count("content").alias("responses"))
+        (F.count_if("has_content") if "has_content" in attached.columns else F.count("content")).alias("responses"))
 
 
 def article_metrics(events: DataFrame, start_col: str | None = None,

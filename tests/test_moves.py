@@ -5,10 +5,13 @@ import re
 from pyspark.sql import functions as F
 
 from newsgraph.operators import factcheck as fc
+from newsgraph.operators.responses import attach
 from newsgraph.plans import fixtures as fx
 from newsgraph.session import stored
 from newsgraph.sources.tables import Tables
 
+RESPONSES = "article_id string, stage string, content string, tokens_used long, error string"
+
 
 def moved(df):
     """The columns of every shuffle of a plan."""
@@ -25,6 +28,15 @@ def test_responses_are_made_at_their_articles(spark):
         assert got and not [c for c in got if {"content", "elem", "items", "els"} & set(c)], got
 
 
+def test_attached_status_moves_no_content(spark):
+    reqs = spark.createDataFrame([("a", "entity"), ("b", "entity"), ("c", "entity"), ("d", "entity")], "article_id string, stage string")
+    resp = spark.createDataFrame([("a", "entity", "[]", 1, None), ("b", "entity", "x", 2, "failed"), ("c", "entity", None, 3, None)], RESPONSES)
+    a = attach(reqs, resp.hint("merge"))
+    got = {r.article_id: (r.status, r.has_content) for r in a.select("article_id", "status", "has_content").collect()}
+    assert got == {"a": ("ok", True), "b": ("error", True), "c": ("missing", False), "d": ("missing", False)}
+    assert not [c for c in moved(a.select("article_id", "status")) if "content" in c]
+
+
 def test_a_type_without_a_source_needs_no_key(spark):
     ents = spark.sql("""select * from values ('a', 0, 'N', 'company'), ('a', 1, 'P', 'product'), ('a', 2, cast(null as string), 'product'),
                         ('b', 0, 'Q', cast(null as string)), ('b', 1, 'L', 'location') as (article_id, pos, name, type)""") \

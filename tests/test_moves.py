@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from newsgraph.operators import factcheck as fc
-from newsgraph.operators.responses import attach
+from newsgraph.operators.responses import ResponseStore, attach
 from newsgraph.plans import fixtures as fx
 from newsgraph.session import stored
 from newsgraph.sources.tables import Tables
@@ -49,3 +49,12 @@ def test_a_type_without_a_source_needs_no_key(spark):
     by_join = fc.apply_verdicts(ents, fc.verdicts(ents, None, None))
     assert {(r.article_id, r.pos): (r.validated, r.reason, dict(r.metadata)) for r in by_join.collect()} == got
     assert checked._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # the skipped ones beside the join
+
+
+def test_a_batch_moves_its_own_responses_only(spark, tmp_path):
+    store = ResponseStore(spark, str(tmp_path / "r"), 4)
+    store.append(spark.range(5000).selectExpr("cast(id as string) article_id", "'entity' stage", "'x' content", "1L tokens_used", "cast(null as string) error"))
+    arts = spark.range(0, 5000, 10).selectExpr("cast(id as string) article_id").unionByName(spark.sql("select cast(null as string) article_id"))
+    got = [r.article_id for r in store.of(arts).collect()]
+    assert {str(i) for i in range(0, 5000, 10)} <= set(got) and len(got) < 520 and len(set(got)) == len(got)
+    assert store.of(arts.limit(0)).count() == 0

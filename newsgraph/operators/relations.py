@@ -2,9 +2,9 @@
 
 Offline stand-in for the model's causal mapping: inside one sentence, a
 lexicon verb links the nearest mention before it (subject) to the nearest
-mention after it (object).  One pass over each text finds its sentences and
-verbs; two windows per document over sentence starts, mentions and verbs,
-ordered by character offset, link them: no pair enumeration.
+mention after it (object).  Texts and mentions are brought together by document
+once; one pass over each document finds its verbs and sentences and looks both
+mentions up by character offset: no pair enumeration.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,23 +73,80 @@ def sentence_spans(text: str, mentions: list[tuple[int, int]]) -> list[tuple[int
     return out + [(at, len(text))] if at < len(text) else out
 
 
-def _marks_and_verbs(verbs: Phrases, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentences (kind 0) and verbs (kind 2) of every text of (id, text, spans) batches."""
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by id (column 0) as tables of whole documents, with the places where a document begins and the end."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        rows: list[list] = [[] for _ in range(7)]
-        for i, (text, spans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            if not text:
+        if not b.num_rows:
+            continue
+        # a document that goes on through many batches is put together once
+        if held and held[-1].column(0)[-1] == b.column(0)[0] == b.column(0)[-1]:
+            held.append(b)
+            continue
+        rows = pa.Table.from_batches([*held, b])
+        at = _begins(rows)
+        if len(at) > 2:
+            yield rows.slice(0, at[-2]), at[:-1]
+        held = rows.slice(at[-2]).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, _begins(rows)
+
+
+def _begins(rows: pa.Table) -> np.ndarray:
+    ids = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+
+
+def _link(verbs: Phrases, texts: list[str], spans: list[tuple[int, int]], starts: list[int], ends: list[int]) -> Iterator[tuple]:
+    """(subject, object, action, sentiment, sentence) of each linked verb of a document, in order of the verbs.
+
+    Mentions are given by ``starts`` and ``ends``, in order of the ends; subject and
+    object are places there.  ``spans``: what sentences may not end inside of.
+    """
+    found = [(s, entries) for text in texts for s, _, _, entries in verbs.find(text)]
+    if not found:
+        return
+    found.sort(key=itemgetter(0))
+    order = sorted(range(len(starts)), key=starts.__getitem__)
+    nexts = [starts[k] for k in order]
+    sents: list[tuple[int, int, str]] = []
+    firsts: list[int] = []
+    for off, entries in found:
+        # a mention can be a subject from its end on: one that starts at the verb does not hide it
+        subj, after = bisect_right(ends, off) - 1, bisect_right(nexts, off)
+        if subj < 0 or after == len(nexts):
+            continue
+        if not sents:
+            sents = [(s, e, text) for text in texts for s, e in sentence_spans(text, spans)]
+            sents.sort(key=itemgetter(0))
+            firsts = [x[0] for x in sents]
+        at, until, text = sents[bisect_right(firsts, off) - 1]
+        if starts[subj] >= at and nexts[after] < until:
+            for _, action, sentiment in entries:
+                yield subj, order[after], action, sentiment, text[at:until].strip(" ")
+
+
+def _relations(verbs: Phrases, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Relations of (id, text, start, end, name, type, confidence) rows sorted by id and end: texts first, then mentions."""
+    for rows, at in _documents(batches):
+        has = rows.column(1).is_valid().to_numpy()
+        text, is_null = rows.column(1).drop_null().to_pylist(), rows.column(0).is_null().to_numpy()[at[:-1]].tolist()
+        start, end = (rows.column(k).fill_null(-1).to_numpy().tolist() for k in (2, 3))
+        n_texts = np.add.reduceat(has, at[:-1], dtype=np.int64)
+        out: list[tuple] = []
+        for lo, hi, n, done, no_id in zip(at[:-1].tolist(), at[1:].tolist(), n_texts.tolist(), np.cumsum(n_texts).tolist(), is_null, strict=True):
+            first = lo + n
+            if not n or first == hi:
                 continue
-            for s, e in sentence_spans(text, [(x["start"], x["end"]) for x in spans or []]):
-                for column, x in zip(rows, (i, s, 0, e, text[s:e].strip(" "), None, None), strict=True):
-                    column.append(x)
-            for s, _, _, entries in verbs.find(text):
-                for _, action, sentiment in entries:
-                    for column, x in zip(rows, (i, s, 2, None, None, action, sentiment), strict=True):
-                        column.append(x)
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), *[
-            pa.array(x, k) for x, k in zip(rows[1:], kinds, strict=True)]], names)
+            s, e = start[first:hi], end[first:hi]
+            # mentions without an id are those of no text in particular
+            spans = [] if no_id else sorted(set(zip(s, e, strict=True)))
+            out += [(pos, first + subj, first + obj, *more) for pos, (subj, obj, *more) in enumerate(_link(verbs, text[done - n:done], spans, s, e))]
+        pos, subj, obj, action, sentiment, sentence = zip(*out, strict=True) if out else [()] * 6
+        ends = [rows.column(k).take(pa.array(x, pa.int64())) for x in (subj, obj) for k in (4, 5, 6)]
+        yield from pa.table([rows.column(0).take(pa.array(subj, pa.int64())), pa.array(pos, pa.int32()), *ends, pa.array(action, pa.string()),
+                             pa.array(sentiment, pa.float64()), pa.array(sentence, pa.string())], names).combine_chunks().to_batches()
 
 
 def lexicon_relations(articles: DataFrame, mentions: DataFrame, lexicon: DataFrame,
@@ -96,47 +155,29 @@ def lexicon_relations(articles: DataFrame, mentions: DataFrame, lexicon: DataFra
 
     ``mentions``: (id, start, end, name, type, confidence), of one text without
     overlaps; ``lexicon``: (verb, action, sentiment), at most ``PHRASE_BYTES`` of
-    verbs.  Texts meet the spans of their own mentions once, so that no sentence
-    ends inside a name.
+    verbs.  Texts meet their own mentions, so that no sentence ends inside a name.
+    A task holds one batch of rows and one document; rows of one id are one document.
     """
     verbs = list(phrase_blocks(articles.sparkSession, lexicon.select(F.col("verb").alias("phrase"), "action", F.col("sentiment").cast("double")), PHRASE_BYTES))
     if len(verbs) > 1:
         raise ValueError("the verb lexicon is larger than one broadcast")
     shared = verbs[0]
-    spans = mentions.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    texts = articles.select(id_col, text_col).join(spans, id_col, "left")
-    names = [id_col, "off", "kind", "s_end", "sentence", "action", "sentiment"]
-    out = T.StructType([texts.schema[id_col], *(T.StructField(n, t) for n, t in zip(names[1:], (
-        T.IntegerType(), T.IntegerType(), T.IntegerType(), T.StringType(), T.StringType(), T.DoubleType()), strict=True))])
+    null = lambda t: F.lit(None).cast(t)
+    kinds = {"start": "int", "end": "int", "name": "string", "type": "string", "confidence": "double"}
+    texts = articles.select(id_col, F.col(text_col).alias("_text")).where("_text <> ''").withColumns({f"_{c}": null(k) for c, k in kinds.items()})
+    ments = mentions.select(id_col, null("string").alias("_text"), *[F.col(c).cast(k).alias(f"_{c}") for c, k in kinds.items()])
+    # texts have no end and come first
+    rows = texts.unionByName(ments).repartition(id_col).sortWithinPartitions(id_col, "_end", "_start", "_name", "_type")
+    ends = [f"_{end}_{c}" for end in ("subject", "object") for c in ("name", "type", "confidence")]
+    names = [id_col, "pos", *ends, "action", "sentiment", "reasoning"]
+    out = T.StructType([rows.schema[id_col], T.StructField("pos", T.IntegerType()),
+                        *(T.StructField(c, T.DoubleType() if c.endswith("confidence") else T.StringType()) for c in ends),
+                        T.StructField("action", T.StringType()), T.StructField("sentiment", T.DoubleType()), T.StructField("reasoning", T.StringType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _marks_and_verbs(shared.value, names, batches)
+        yield from _relations(shared.value, names, batches)
 
-    null = lambda t: F.lit(None).cast(t)
-    scanned = texts.mapInArrow(scan, out).withColumns({"name": null("string"), "type": null("string"), "m_end": null("int"), "m_conf": null("double")})
-    ments = mentions.select(
-        id_col, F.col("start").cast("int").alias("off"), F.lit(1).alias("kind"), null("int").alias("s_end"), null("string").alias("sentence"),
-        null("string").alias("action"), null("double").alias("sentiment"), "name", "type", F.col("end").cast("int").alias("m_end"),
-        F.col("confidence").cast("double").alias("m_conf"))
-    # a mention can be a subject from its end on: one that starts at the verb does not hide it
-    ev = scanned.unionByName(ments).withColumn("from", F.coalesce("m_end", "off"))
-    fwd = Window.partitionBy(id_col).orderBy("from", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    bwd = Window.partitionBy(id_col).orderBy(F.desc("off"), F.desc("kind")) \
-                .rowsBetween(Window.unboundedPreceding, -1)
-    is_m = F.col("kind") == 1
-    mention = F.struct(F.col("off").alias("start"), F.col("m_end").alias("end"), "name", "type",
-                       F.col("m_conf").alias("confidence"))
-    sent = F.struct(F.col("off").alias("start"), "s_end", "sentence")
-    ev = ev.withColumn("subj", F.last(F.when(is_m, mention), ignorenulls=True).over(fwd)) \
-           .withColumn("obj", F.last(F.when(is_m, mention), ignorenulls=True).over(bwd)) \
-           .withColumn("sent", F.last(F.when(F.col("kind") == 0, sent), ignorenulls=True).over(fwd))
-    ok = (F.col("kind") == 2) & (F.col("subj.end") <= F.col("off")) \
-        & (F.col("subj.start") >= F.col("sent.start")) & (F.col("obj.start") < F.col("sent.s_end"))
-    rel = ev.filter(ok)
-    w = Window.partitionBy(id_col).orderBy("off")
-    endpoint = lambda c: F.struct(F.col(f"{c}.name").alias("name"), F.col(f"{c}.type").alias("type"),
-                                  F.col(f"{c}.confidence").alias("confidence"))
-    return rel.select(
-        id_col, (F.row_number().over(w) - 1).alias("pos"), endpoint("subj").alias("subject"),
-        F.upper("action").alias("action"), endpoint("obj").alias("object"), "sentiment",
-        F.lit(LEXICON_CONFIDENCE).alias("confidence"), F.col("sent.sentence").alias("reasoning"))
+    endpoint = lambda c: F.struct(*[F.col(f"_{c}_{x}").alias(x) for x in ("name", "type", "confidence")])
+    return rows.mapInArrow(scan, out).select(
+        id_col, "pos", endpoint("subject").alias("subject"), F.upper("action").alias("action"), endpoint("object").alias("object"),
+        "sentiment", F.lit(LEXICON_CONFIDENCE).alias("confidence"), "reasoning")

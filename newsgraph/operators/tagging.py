@@ -13,7 +13,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pandas as pd
@@ -34,12 +34,14 @@ SCAN_ROWS = 256  # texts whose mentions a task holds as Python objects
 
 _MONEY = re.compile(MONEY_RE)
 _BLANKS = re.compile(r"[ \t]+")
+_LONG_BLANKS = re.compile(r"[ \t]{2,}|\t")
 
 
 def label_map(spark) -> DataFrame:
     return spark.createDataFrame(LABEL_TYPES, "label string, type string")
 
 
+@lru_cache(1 << 16)
 def is_word(char: str) -> bool:
     """Letters, digits and combining marks; any other character may stand beside a mention."""
     return char.isalnum() or unicodedata.category(char)[0] == "M"
@@ -53,8 +55,17 @@ def normalised(text: str) -> str:
 def _with_offsets(text: str) -> tuple[str, list[int] | None]:
     """Normalised text and, unless they are the same, the place in ``text`` of each of its characters."""
     low = text.lower()
-    if len(low) == len(text) and "\t" not in text and "  " not in text and "Σ" not in text:
-        return low, None
+    if len(low) == len(text) and "Σ" not in text:
+        if "\t" not in text and "  " not in text:
+            return low, None
+        # character by character as in the text: only the blanks are fewer
+        parts, at, upto = [], [], 0
+        for m in _LONG_BLANKS.finditer(low):
+            parts.append(low[upto:m.start()])
+            at.extend(range(upto, m.start() + 1))
+            upto = m.end()
+        at.extend(range(upto, len(text) + 1))
+        return " ".join([*parts, low[upto:]]), at
     chars, at, i = [], [], 0
     while i < len(text):
         c, start = text[i], i
@@ -148,7 +159,7 @@ def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:
 def _scan(phrases: Phrases, money: bool, resolve: bool, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Mentions of every text of (id, text) batches, ``SCAN_ROWS`` texts at a time."""
     for b in (whole.slice(s, SCAN_ROWS) for whole in batches for s in range(0, whole.num_rows, SCAN_ROWS)):
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[tuple] = []
         for i, text in enumerate(b.column(1).to_pylist()):
             if not text:
                 continue
@@ -159,11 +170,10 @@ def _scan(phrases: Phrases, money: bool, resolve: bool, schema: pa.Schema, batch
                 found.sort(key=lambda r: (r[0] - r[1], r[0]))
                 keep = settle([r[0] for r in found], [r[1] for r in found])
                 found = [r for r, k in zip(found, keep, strict=True) if k]
-            for s, e, phrase, label, kind in found:
-                for column, x in zip(rows, (i, s, e, text[s:e], phrase, label, kind), strict=True):
-                    column.append(x)
-        ids = b.column(0).take(pa.array(rows[0], pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, f.type) for x, f in zip(rows[1:], list(schema)[1:], strict=True)]], schema=pa.schema([
+            rows += [(i, s, e, text[s:e], phrase, label, kind) for s, e, phrase, label, kind in found]
+        at, *columns = zip(*rows, strict=True) if rows else [()] * 7
+        ids = b.column(0).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:], strict=True)]], schema=pa.schema([
             pa.field(schema[0].name, ids.type), *list(schema)[1:]]))
 
 

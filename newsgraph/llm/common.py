@@ -85,13 +85,19 @@ def ordered_index(df: DataFrame, keys: list[Column], weight: str) -> tuple[DataF
     return out, rows, total
 
 
-def row_ids(df: DataFrame, name: str) -> DataFrame:
+def _plain(df: DataFrame) -> bool:
+    """Whether the frame is a table as it was read."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns
+
+
+def row_ids(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
     """Adds ``name``, an id of each row that stays the same whenever the frame is read.
 
     Rows of a Parquet table are known by file and position; any other frame is
-    checkpointed with a running number.
+    checkpointed with a running number.  ``columns``: those that are kept (default: all).
     """
-    plain = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
-    if plain and "_metadata" not in df.columns:
+    if columns is not None:
+        return row_ids(df if _plain(df) else df.select(*columns), name).select(*columns, name)
+    if _plain(df):
         return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
     return checkpoint(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))))

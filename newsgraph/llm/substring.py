@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgraph.llm.common import checkpoint, row_ids
+from newsgraph.llm.common import row_ids
 from newsgraph.llm.decontam import words_of
+from newsgraph.session import sharing_bits, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -31,11 +32,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Words(dict):
+    """Hash of each word, worked out when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingles:
     """Hashes of the word shingles of a text; word hashes are kept up to a bound."""
 
     def __init__(self, width: int = SHINGLE):
-        self.width, self.known = width, {}
+        self.width, self.known = width, _Words()
 
     def of(self, text: str | None) -> np.ndarray:
         words = words_of(text)
@@ -43,10 +52,7 @@ class Shingles:
             return np.empty(0, np.uint64)
         if len(self.known) > 300_000:
             self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = len(words) - self.width + 1
         out = np.zeros(n, np.uint64)
         for k in range(self.width):
@@ -249,7 +255,7 @@ def passages(a: np.ndarray, b: np.ndarray, t: int, width: int, similarity: float
 _DOCS = 400
 # Hashes, or keys of the second round, that have to bring two documents together near one place.
 AGREE = 2
-# Documents whose ids are broadcast, so that only their texts are dealt out.
+# Pairs, or documents, whose ids are broadcast whole; of more documents a bit table is.
 _SMALL = 500_000
 
 
@@ -362,7 +368,7 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
     """
     t = min_words - width + 1
     seeds = _mix(np.arange(1, n_hashes + 1, dtype=np.uint64) * _STEP + np.uint64(seed))
-    rows = row_ids(docs.select("doc_id", "text"), "_r").select("doc_id", "text", F.col("_r.f").alias("f"), F.col("_r.i").alias("i"))
+    rows = row_ids(docs, "_r", ["doc_id", "text"]).select("doc_id", "text", F.col("_r.f").alias("f"), F.col("_r.i").alias("i"))
     kind = dict(rows.dtypes)["doc_id"]
     window, window_ddl = ["key", "doc_id", "f", "i", "p", "j"], f"key long, doc_id {kind}, f long, i long, p int, j int"
     span = ["f", "i", "duplicate", "s", "e", "of", "oi", "similarity"]
@@ -389,30 +395,28 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
 
         return pairs.where(F.size("marks") >= agree).mapInArrow(run, "f long, i long, of long, oi long")
 
-    def shingled(keys: DataFrame) -> DataFrame:
-        """Shingles of the documents named by (f, i), as bytes."""
-        there = keys.distinct()
-        text = rows.select("f", "i", "text")
-        some = text.join(F.broadcast(there), ["f", "i"], "left_semi") if there.count() <= _SMALL else text.join(there, ["f", "i"], "left_semi")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            make = Shingles(width)
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([make.of(x).tobytes() for x in b.column(2).to_pylist()], pa.binary())], ["f", "i", "h"])
-
-        return some.mapInArrow(run, "f long, i long, h binary")
+    def texts(keys: DataFrame) -> DataFrame:
+        """Rows of the documents named by (f, i); where these are many, of a few others too."""
+        there, key = keys.distinct(), F.xxhash64("f", "i")
+        return rows.join(F.broadcast(there), ["f", "i"], "left_semi") if there.count() <= _SMALL else sharing_bits(rows, key, there, key)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Passages of each pair on either side: those of the later document are duplicates."""
+        """Passages of each pair on either side: those of the later document are duplicates.
+
+        Texts move, which pack better than the hashes of their shingles: a later
+        document's once to its first one, a first one's once.
+        """
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, other, order = None, None, None
+            make, last, whole, other, order = Shingles(width), None, None, None, None
             for b in batches:
                 out: list[tuple] = []
                 for r, (of, oi, y, x) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), b.column(2), strict=True)):
                     if (of, oi) != last:
-                        last, other = (of, oi), np.frombuffer(y.as_buffer(), np.uint64)
+                        last, whole = (of, oi), y.as_py()
+                        other = make.of(whole)
                         order = np.argsort(other, kind="stable")
-                    found = passages(np.frombuffer(x.as_buffer(), np.uint64), other, t, width, similarity, order)
+                    text = x.as_py()
+                    found = passages(other if text == whole else make.of(text), other, t, width, similarity, order)
                     out += [(r, True, s, e + width - 1, score) for s, e, score in _merged([(x[0], x[1], x[4]) for x in found])]
                     out += [(r, False, s, e + width - 1, score) for s, e, score in _merged([(x[2], x[3], x[4]) for x in found])]
                 at, later = np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], bool)
@@ -421,10 +425,14 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
                     pa.array(np.where(later, f, of)), pa.array(np.where(later, i, oi)), pa.array(later), *(pa.array([x[k] for x in out], pa.int32()) for k in (2, 3)),
                     pa.array(np.where(later, of, f)), pa.array(np.where(later, oi, i)), pa.array([x[4] for x in out], pa.float64())], span)
 
-        h = shingled(pairs.select("f", "i").unionByName(pairs.select(F.col("of").alias("f"), F.col("oi").alias("i"))))
-        mine = h.join(pairs, ["f", "i"])
-        both = mine.join(h.toDF("of", "oi", "oh"), ["of", "oi"]).select("f", "i", "h", "of", "oi", "oh")
-        return checkpoint(both.mapInArrow(run, span_ddl))
+        text = ["f", "i", "text"]
+        if pairs.count() <= _SMALL:
+            mine = rows.select(*text).join(F.broadcast(pairs), ["f", "i"])
+        else:
+            mine = texts(pairs.select("f", "i")).select(*text).join(pairs, ["f", "i"])
+        first = texts(pairs.select(F.col("of").alias("f"), F.col("oi").alias("i"))).select(*text).toDF("of", "oi", "other")
+        both = mine.join(first, ["of", "oi"]).select(*text, "of", "oi", "other")
+        return stored(both.mapInArrow(run, span_ddl))
 
     def uncovered(places: DataFrame, spans: DataFrame) -> DataFrame:
         """Rows whose place lies in no passage that an earlier document has."""
@@ -436,41 +444,42 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
 
     def further(left: DataFrame) -> DataFrame:
         """``_further_keys`` of the uncovered windows; runs also around the centres of the stars' first documents."""
-        left, at = checkpoint(left), F.struct("p", "j")
+        left, at = stored(left), F.struct("p", "j")
         one = F.when(F.col("j") == 0, F.col("p"))
         own = left.select("f", "i", at.alias("w"), one.alias("c"))
         heads = left.where("j = 0").select(F.col("of").alias("f"), F.col("oi").alias("i"), F.lit(None).cast("struct<p:int,j:int>").alias("w"), F.col("op").alias("c"))
-        asked = checkpoint(own.unionByName(heads).groupBy("f", "i").agg(F.collect_set("w").alias("windows"), F.collect_set("c").alias("centres")))
-        h = shingled(asked.select("f", "i")).join(asked, ["f", "i"]).join(rows.select("f", "i", "doc_id"), ["f", "i"])
+        asked = stored(own.unionByName(heads).groupBy("f", "i").agg(F.collect_set("w").alias("windows"), F.collect_set("c").alias("centres")))
+        h = texts(asked.select("f", "i")).join(asked, ["f", "i"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make = Shingles(width)
             for b in batches:
-                for r, (h, w, c) in enumerate(zip(b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                    found = list(_further_keys(np.frombuffer(h.as_buffer(), np.uint64), t, seeds, [(x["p"], x["j"]) for x in w], c))
+                for r, (x, w, c) in enumerate(zip(b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                    found = list(_further_keys(make.of(x.as_py()), t, seeds, [(y["p"], y["j"]) for y in w], c))
                     at = pa.array([r] * len(found), pa.int64())
                     way, key, place = zip(*found, strict=True) if found else ((), (), ())
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), *(b.column(k).take(at) for k in range(3)),
                                                       pa.array(place, pa.int32()), pa.array(way, pa.int32())], window)
 
-        return checkpoint(h.select("doc_id", "f", "i", "h", "windows", "centres").mapInArrow(run, window_ddl))
+        return stored(h.select("doc_id", "f", "i", "text", "windows", "centres").mapInArrow(run, window_ddl))
 
     def exact(runs: DataFrame) -> DataFrame:
         """Equal runs, those that follow each other with one partner as one passage."""
         end = t + width - 1
         line = stars(runs).groupBy("f", "i", "of", "oi", (F.col("p") - F.col("op")).alias("o"), "p").agg(F.lit(1).alias("n")) \
             .withColumn("g", F.col("p") - F.row_number().over(Window.partitionBy("f", "i", "of", "oi", "o").orderBy("p")))
-        found = checkpoint(line.groupBy("f", "i", "of", "oi", "o", "g").agg(F.min("p").alias("s"), (F.max("p") + end).alias("e")))
+        found = stored(line.groupBy("f", "i", "of", "oi", "o", "g").agg(F.min("p").alias("s"), (F.max("p") + end).alias("e")))
         mine = found.select("f", "i", F.lit(True).alias("duplicate"), "s", "e", "of", "oi", F.lit(1.0).alias("similarity"))
         return mine.unionByName(found.select(F.col("of").alias("f"), F.col("oi").alias("i"), F.lit(False).alias("duplicate"), (F.col("s") - F.col("o")).alias("s"),
                                              (F.col("e") - F.col("o")).alias("e"), F.col("f").alias("of"), F.col("i").alias("oi"), F.lit(1.0).alias("similarity")))
 
-    links = checkpoint(stars(rows.mapInArrow(emit, window_ddl)))
-    met = checkpoint(candidates(links, "j"))
+    links = stored(stars(rows.mapInArrow(emit, window_ddl)).drop("key", "doc_id"))
+    met = stored(candidates(links, "j"))
     spans = verified(met)
     keyed = further(uncovered(links, spans))
     spans = spans.unionByName(exact(keyed.where("j = 0")))
     again = candidates(stars(uncovered(keyed.where("j = 1"), spans)), "key")
-    spans = spans.unionByName(verified(checkpoint(again.join(met, ["f", "i", "of", "oi"], "left_anti"))))
+    spans = spans.unionByName(verified(stored(again.join(met, ["f", "i", "of", "oi"], "left_anti"))))
     ids = rows.select("f", "i", "doc_id")
     found = spans.join(ids, ["f", "i"]).join(ids.toDF("of", "oi", "partner_id"), ["of", "oi"])
     # the passage of a hot first document is named by all its copies: they combine before the window
@@ -482,7 +491,7 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity:
         F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("partner_id").alias("partner_id"),
         F.max("similarity").alias("similarity"))
     # a head of a later round is named as such, but an earlier document may have its passage
-    merged = checkpoint(merged)
+    merged = stored(merged)
     later = merged.where("duplicate").select("f", "i", F.col("start_word").alias("_s"), F.col("end_word").alias("_e"))
     first = merged.where("not duplicate").join(later, ["f", "i"], "left")
     inside = F.coalesce((F.col("_s") <= F.col("start_word")) & (F.col("_e") >= F.col("end_word")), F.lit(False))

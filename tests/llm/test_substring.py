@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import brute
@@ -241,3 +242,40 @@ def test_exact_passages_against_all_windows(spark):
     assert {r for r in got if r[3]} == exact
     firsts = {(f"d{w[0]:03d}", w[1], w[2]) for w in want if not w[3]}
     assert {r[:3] for r in got if not r[3]} == firsts
+
+
+def _chains(seed):
+    """Documents that repeat passages of each other exactly and nearly, some in several."""
+    rng = random.Random(seed)
+    shared, docs = [words(rng, 90) for _ in range(6)], []
+    for i in range(60):
+        near = list(shared[i % 6])
+        near[rng.randint(0, 89)] = "changed"
+        docs.append((i, " ".join(words(rng, 40) + near + words(rng, 20) + shared[(i + 1) % 6][:60])))
+    return docs + [(70, docs[3][1]), (71, docs[3][1]), (72, None), (73, "")]
+
+
+def test_texts_move_once_and_are_not_stored(spark, tmp_path, monkeypatch):
+    from test_moves import moved
+
+    from newsgraph.session import ensure_checkpoint_dir
+    spark.createDataFrame(_chains(4), "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    plans, keep = [], substring.stored
+    monkeypatch.setattr(substring, "stored", lambda df: plans.append(moved(df)) or keep(df))
+    folders = lambda: {p for p in pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:")).rglob("rdd-*")}
+    before = folders()
+    rows = substring.duplicate_passages(spark.read.parquet(str(tmp_path / "documents"))).collect()
+    assert len({r["doc_id"] for r in rows}) == 62
+    assert folders() == before  # rows of a checkpoint hold the texts as they are
+    for exchanges in plans:
+        assert not [c for c in exchanges if {"h", "oh"} & set(c)], exchanges
+        assert sum("text" in c for c in exchanges) <= 2, exchanges
+
+
+def test_many_documents_by_their_bits(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(_chains(5), "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    want = substring.duplicate_passages(docs).collect()
+    monkeypatch.setattr(substring, "_SMALL", 0)
+    got = substring.duplicate_passages(docs).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))

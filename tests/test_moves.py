@@ -1,5 +1,6 @@
 """What the plans move: wide columns stay where they are, rows that need no key stay out of a join."""
 
+import pathlib
 import re
 
 from pyspark.sql import functions as F
@@ -58,3 +59,12 @@ def test_a_batch_moves_its_own_responses_only(spark, tmp_path):
     got = [r.article_id for r in store.of(arts).collect()]
     assert {str(i) for i in range(0, 5000, 10)} <= set(got) and len(got) < 520 and len(set(got)) == len(got)
     assert store.of(arts.limit(0)).count() == 0
+
+
+def test_a_stored_frame_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in folders for p in pathlib.Path(d).rglob("shuffle_*")}
+    before = files()
+    stored(spark.range(20_000).selectExpr("id % 97 k", "id v").repartition("k").groupBy("k").agg(F.max("v").alias("v")))
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # as it was

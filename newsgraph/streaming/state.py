@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.session import remove
+from newsgraph.session import remove, shuffles_dropped
 
 # One row of each manifest that names no bucket holds the mark of an empty state.
 _NONE = -1
@@ -44,6 +44,10 @@ class BucketState:
         """Buckets that the rows' keys fall into: at most ``n_buckets`` numbers."""
         return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())
 
+    def dealt(self, rows: DataFrame, n: int) -> DataFrame:
+        """The rows with their ``bucket``, dealt out by it to ``n`` tasks."""
+        return rows.withColumn("bucket", self.bucket()).repartition(n, "bucket")
+
     def manifest(self, version: int) -> tuple[dict[int, int], int | None]:
         """Version of each bucket after batch ``version``, and the mark; nothing before the first batch."""
         if version < 0:
@@ -63,13 +67,17 @@ class BucketState:
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def write(self, batch_id: int, rows: DataFrame, touched: Iterable[int], mark: int | None = None) -> None:
-        """State after batch ``batch_id``: ``rows`` are all that the touched buckets hold from now on."""
+        """State after batch ``batch_id``: ``rows`` are all that the touched buckets hold from now on.
+
+        Rows that have a column ``bucket`` are dealt out by it already.
+        """
         touched, data = set(touched), f"{self.path}/data/v={batch_id}"
         held, _ = self.manifest(batch_id - 1)
         remove(self.spark, data)  # a batch that failed halfway
         if touched:
-            bucketed = rows.withColumn("bucket", self.bucket())
-            bucketed.repartition(len(touched), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(data)
+            bucketed = rows if "bucket" in rows.columns else self.dealt(rows, len(touched))
+            with shuffles_dropped(self.spark):
+                bucketed.write.partitionBy("bucket").mode("overwrite").parquet(data)
         there = {int(c.split("=")[1]) for c in _children(self.spark, data) if c.startswith("bucket=")}
         now = {b: v for b, v in held.items() if b not in touched} | {b: batch_id for b in there}
         entries = [(b, v, mark, self.n) for b, v in sorted(now.items())] or [(_NONE, batch_id, mark, self.n)]
@@ -90,12 +98,16 @@ class BucketState:
         remove(self.spark, f"{self.path}/manifest/v={batch_id - 2}")
 
 
-def upsert(state: BucketState, rows: DataFrame, batch_id: int, merge) -> DataFrame:
+def upsert(state: BucketState, rows: DataFrame, batch_id: int, merge, in_bucket: bool = False) -> DataFrame:
     """Merges a batch's rows (in the state's schema) into the buckets that they touch.
 
     ``merge`` re-aggregates previous and new rows by key; it must be associative.
+    ``in_bucket``: it also takes the name of a column to group by besides the key;
+    the rows are then dealt out once, by bucket, and merged and written where they are.
     Returns what the touched buckets hold afterwards.
     """
     touched = state.touched(rows)
-    state.write(batch_id, merge(state.read(batch_id - 1, touched).unionByName(rows)), touched)
+    both = state.read(batch_id - 1, touched).unionByName(rows)
+    merged = merge(state.dealt(both, len(touched)), "bucket") if in_bucket and touched else merge(both)
+    state.write(batch_id, merged, touched)
     return state.read(batch_id, touched)

@@ -127,3 +127,19 @@ def test_incremental_snapshots_equal_a_rebuild(spark, tmp_path):
     rounded = lambda df: sorted(map(str, df.withColumns({c: F.round(c, 9) for c, t in df.dtypes if t == "double"}).collect()))
     assert rounded(nodes.read(3)) == rounded(G.upsert_nodes(ents))
     assert rounded(edges.read(3)) == rounded(G.upsert_edges(rel))
+
+
+def test_a_snapshot_is_dealt_out_once_a_batch(spark, tmp_path, monkeypatch):
+    from test_moves import moved
+
+    from newsgraph.operators import graph as G
+    written, keep = [], S.BucketState.write
+    monkeypatch.setattr(S.BucketState, "write", lambda self, n, rows, *more: written.append(moved(rows)) or keep(self, n, rows, *more))
+    state = G.edge_state(spark, str(tmp_path / "edges"), 4)
+    rel = spark.range(600).selectExpr("cast(id as string) article_id", "struct(concat('S', id % 40) as name) subject", "'sells' action",
+                                      "struct(concat('O', id % 23) as name) object", "0.5D sentiment", "0.8D confidence")
+    for n in range(3):
+        G.upsert_edges_incremental(state, rel.where(f"cast(article_id as int) % 3 = {n}"), n)
+    want, got = ([tuple(r) for r in df.orderBy("src", "dst").collect()] for df in (G.upsert_edges(rel), state.read(2)))
+    assert got == want and len(got) > 500
+    assert [len(x) for x in written] == [1, 1, 1], written

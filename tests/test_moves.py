@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsgraph.operators import factcheck as fc
 from newsgraph.operators.responses import ResponseStore, attach
 from newsgraph.plans import fixtures as fx
+from newsgraph.plans.process import process_batch
 from newsgraph.session import stored
 from newsgraph.sources.tables import Tables
 
@@ -68,3 +69,19 @@ def test_a_stored_frame_leaves_no_shuffle_files(spark):
     stored(spark.range(20_000).selectExpr("id % 97 k", "id v").repartition("k").groupBy("k").agg(F.max("v").alias("v")))
     assert not files() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # as it was
+
+
+def test_a_batch_of_a_store_moves_no_content_to_parse_it(spark, tmp_path):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    arts, resp = fx.order_articles(t).drop("file_no").where("cast(article_id as long) % 3 = 0"), stored(fx.responses_fixture(t))
+    store = ResponseStore(spark, str(tmp_path / "r"), 4)
+    store.append(resp)
+    args = fx.company_kb(t), fx.wiki_kb(t)
+    as_of = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    got, want = (process_batch(arts, r, *args, as_of=as_of) for r in (store, resp))
+    for a, b in ((got.events, want.events), (got.quarantine, want.quarantine)):
+        key = lambda r: r.asDict(recursive=True).__repr__()
+        assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+    assert got.events.count() == arts.count() and got.quarantine.count() > 10
+    wide = [got.entities, got.relationships.select("article_id", "pos", "action")]
+    assert not [c for df in wide for c in moved(df) if "content" in c]
